@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values of the round-number rule: the bias towards larger units and towards five, the shrink factor
 # for a range that is tiny next to its values, the rounding tolerance and the double precision epsilon.
@@ -17,35 +19,32 @@ def spaced(lo: Column, hi: Column, n: Column) -> Column:
                        lambda i: F.when(i == 0, lo).when(i == n, hi).otherwise(lo + i * step))
 
 
-def pretty(lo: Column, hi: Column, n: Column) -> Column:
-    """About ``n`` intervals of width 1, 2 or 5 times a power of ten that cover ``lo``..``hi``."""
-    n = n.cast("int")
-    least = F.floor(n / 3).cast("int")
-    width = hi - lo
-    scale = F.greatest(F.abs(lo), F.abs(hi))
-    at_zero = (width == 0) & (hi == 0)
-    tiny = at_zero | (width < scale * (1 + 1 / (1 + BIAS)) * F.greatest(F.lit(1), n) * EPS * 3)
-    base_cell = F.when(at_zero, 1.0).otherwise(scale)
-    shrunk = F.when(base_cell > 10, base_cell / 10 + 9).otherwise(base_cell) * SHRINK
-    cell = F.when(tiny, shrunk / F.greatest(F.lit(1), least)).otherwise(width / F.greatest(F.lit(1), n))
-    power = F.pow(F.lit(10.0), F.floor(F.log10(cell)))
-
-    def wins(multiple, previous, bias):
-        return power * multiple - cell < (cell - power * previous) * bias
-
-    two, five, ten = wins(2, 1, BIAS), wins(5, 2, BIAS_FIVE), wins(10, 5, BIAS)
-    unit = power * F.when(two & five & ten, 10.0).when(two & five, 5.0).when(two, 2.0).otherwise(1.0)
-    first = F.floor(lo / unit + ROUNDING)
-    last = F.ceil(hi / unit - ROUNDING)
-    short = F.greatest(least - (last - first), F.lit(0))
-    half, odd = F.floor(short / 2), short % 2
-    from_zero = (lo == 0) & (first == 0) & (hi != 0)
-    up = F.when(from_zero, short).when(first >= 0, half).otherwise(half + odd)
-    down = F.when(from_zero, F.lit(0)).when(first >= 0, half + odd).otherwise(half)
-    first, last = first - down, last + up
-    start, end, count = F.least(lo, first * unit), F.greatest(hi, last * unit), last - first
-    near_zero = 1e-14 * (end - start) / count
-    return F.transform(spaced(start, end, count), lambda s: F.when(F.abs(s) < near_zero, 0.0).otherwise(s))
+def with_pretty(df: DataFrame, lo: Column, hi: Column, n: Column, name: str) -> DataFrame:
+    """Add about ``n`` intervals of width 1, 2 or 5 times a power of ten that cover ``lo``..``hi``."""
+    steps = [
+        {"__lo": lo, "__hi": hi, "__n": n.cast("int")},
+        {"__least": "n div 3", "__scale": "greatest(abs(lo), abs(hi))", "__zero": "hi = lo and hi = 0"},
+        # A range that is tiny next to its values gets a cell that fits the values instead.
+        {"__tiny": f"zero or hi - lo < scale * {1 + 1 / (1 + BIAS)!r}D * greatest(1, n) * {3 * EPS!r}D", "__size": "if(zero, 1D, scale)"},
+        {"__cell": f"if(tiny, if(size > 10, 9 + size / 10, size) * {SHRINK}D / greatest(1, least), (hi - lo) / greatest(1, n))"},
+        {"__power": "pow(10D, floor(log10(cell)))"},
+        {"__two": f"2 * power - cell < {BIAS}D * (cell - power)", "__five": f"5 * power - cell < {BIAS_FIVE}D * (cell - 2 * power)",
+         "__ten": f"10 * power - cell < {BIAS}D * (cell - 5 * power)"},
+        {"__unit": "power * case when two and five and ten then 10 when two and five then 5 when two then 2 else 1 end"},
+        {"__first": f"floor(lo / unit + {ROUNDING}D)", "__last": f"ceil(hi / unit - {ROUNDING}D)"},
+        {"__short": "greatest(least - (last - first), 0L)", "__at": "lo = 0 and first = 0 and hi != 0"},
+        {"__up": "if(at, short, short div 2 + if(first >= 0, 0, short % 2))", "__down": "if(at, 0, short div 2 + if(first >= 0, short % 2, 0))"},
+        {"__from": "least(lo, (first - down) * unit)", "__to": "greatest(hi, (last + up) * unit)", "__count": "last + up - first + down"},
+    ]
+    own = sorted({k[2:] for step in steps for k in step}, key=len, reverse=True)
+    word = re.compile(r"\b(" + "|".join(own) + r")\b(?!\()")
+    out = df
+    for step in steps:
+        out = out.withColumns({k: F.expr(word.sub(r"__\1", v)) if isinstance(v, str) else v for k, v in step.items()})
+    near_zero = 1e-14 * (F.col("__to") - F.col("__from")) / F.col("__count")
+    values = F.transform(spaced(F.col("__from"), F.col("__to"), F.col("__count")),
+                         lambda s: F.when(F.abs(s) < near_zero, 0.0).otherwise(s))
+    return out.withColumn(name, values).drop(*["__" + c for c in own])
 
 
 def closed_edges(breaks: Column, lo: Column, hi: Column) -> Column:

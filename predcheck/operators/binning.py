@@ -15,7 +15,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.breaks import closed_edges, closest, interval, labels_column, pretty, spaced
+from ..functions.breaks import closed_edges, closest, interval, labels_column, spaced, with_pretty
 from ..functions.quantiles import grouped_quantiles, select_ranks
 from ..functions.values import as_column, as_double, literal, null_safe_join, number_text
 from ..plans.storage import compact, materialize, small, split_rows
@@ -342,11 +342,11 @@ def _cuts(rows, keys, table, rule, largest) -> DataFrame:
     if method == "equal":
         return table.withColumn("__cuts", spaced(lo, hi, n))
     if method == "pretty":
-        return table.withColumn("__cuts", pretty(lo, hi, n))
+        return with_pretty(table, lo, hi, n, "__cuts")
     if method == "sd":
         mean, sd = F.col("xmean"), F.col("sd")
-        round_z = pretty((lo - mean) / sd, (hi - mean) / sd, n)
-        return table.withColumn("__z", round_z).withColumn("__cuts", F.transform("__z", lambda z: z * sd + mean))
+        table = with_pretty(table, (lo - mean) / sd, (hi - mean) / sd, n, "__z")
+        return table.withColumn("__cuts", F.transform("__z", lambda z: z * sd + mean))
     if method == "dpih":
         fitted = clusters.fit_plug_in(rows, keys, table, largest)
     else:
