@@ -4,6 +4,9 @@ A group that one task can sort is ranked with a window. A larger group is never
 split points cut it into value ranges, the ranges are counted with map-side aggregation, and only the ranges
 that hold a wanted rank are shuffled and sorted. Ties at a split point form a range of their own, which needs
 no sort at all, so one very frequent value cannot fill a task.
+
+Groups that repeat the same design many times (the replicates of a bin) allow more: a few of them show where the
+quantiles of all of them lie, and values outside those brackets only have to be counted.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.storage import group_sizes, materialize, small, split_rows
+from ..plans.storage import compact, group_sizes, materialize, small, split_rows
 from .values import null_safe_join, quoted
 
 # Plotting-position constants (a, b) of the continuous definitions 4 to 9.
@@ -158,3 +161,77 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     if largest <= split_rows(df.sparkSession):
         return _windowed(df, keys, value, probs, qtype, list(extra))
     return _split(df, keys, value, probs, qtype, list(extra), list(split_keys) if split_keys is not None else keys)
+
+
+#: Replicates that show where the quantiles lie; with fewer than ten times as many, brackets do not pay.
+PILOTS = 20
+#: Expected share of the values inside the brackets above which they do not pay.
+BRACKET_SHARE = 0.5
+
+
+def brackets_pay(rows: int, replicates: int, probs: Sequence[float]) -> bool:
+    """Brackets are about 11 standard errors wide; they pay when groups are large and there are many of them."""
+    share = sum(11.2 * math.sqrt(p * (1 - p) / max(rows, 1)) for p in probs)
+    return replicates >= 10 * PILOTS and share <= BRACKET_SHARE
+
+
+def _reduced(df: DataFrame, keys: list[str], shared: list[str], value: str, brackets: DataFrame, count: int, probes: int) -> DataFrame:
+    """(keys, __v, __ok): values inside a bracket as they are, the others as the end of the last bracket below."""
+    v = quoted(value)
+    inside = " or ".join(f"{v} between __lo{i} and __hi{i}" for i in range(probes))
+    below = ", ".join(f"if(__hi{i} < {v}, __hi{i}, double('-infinity'))" for i in range(probes))
+    joined = null_safe_join(df.select(*keys, value), small(brackets, count), shared) \
+        .na.fill({f"__lo{i}": float("-inf") for i in range(probes)}).na.fill({f"__hi{i}": float("inf") for i in range(probes)}) \
+        .selectExpr(*map(quoted, keys), v, f"{v} is null or {inside} as __ok", f"greatest({below}, double('-infinity')) as __below")
+    return joined.selectExpr(*map(quoted, keys), f"if(__ok, {v}, __below) as __v", "__ok")
+
+
+def bracketed_quantiles(df: DataFrame, shared: Sequence[str], replicate: str, pilots: Sequence, value: str, probs: Sequence[float],
+                        qtype: int = 7, largest: int | None = None) -> DataFrame:
+    """``grouped_quantiles`` by (shared, replicate), for many replicates of the same groups.
+
+    The quantiles of the ``pilots`` give a bracket per group and probability. Only values inside brackets are shuffled one by one;
+    all others are counted before the shuffle. A group whose quantile falls outside its bracket is computed again in full, so
+    the result is exact whatever the pilots showed.
+    """
+    shared, probs = list(shared), [float(p) for p in probs]
+    keys = [*shared, replicate]
+    trial = materialize(df.filter(F.col(replicate).isin(list(pilots))).select(*keys, value))
+    seen = grouped_quantiles(trial, keys, value, probs, qtype, largest=largest, split_keys=shared)
+    ends = []
+    for i in range(len(probs)):
+        low, high = F.min(F.col("q")[i]), F.max(F.col("q")[i])
+        # One more range on both sides; anything undefined leaves the bracket open.
+        ends += [F.coalesce(F.nanvl(low - (high - low), F.lit(None)), F.lit(float("-inf"))).alias(f"__lo{i}"),
+                 F.coalesce(F.nanvl(high + (high - low), F.lit(None)), F.lit(float("inf"))).alias(f"__hi{i}")]
+    brackets, count = compact(seen.groupBy(*shared).agg(*ends))
+    inside = _reduced(trial, keys, shared, value, brackets, count, len(probs)).filter("__ok")
+    if group_sizes(inside, keys)[1] > split_rows(df.sparkSession):
+        return grouped_quantiles(df, keys, value, probs, qtype, largest=largest, split_keys=shared)
+
+    # Groups that no pilot has are not in the brackets; open ones keep all their values.
+    counted = _reduced(df, keys, shared, value, brackets, count, len(probs)).groupBy(*keys, "__v", "__ok").agg(F.count(F.lit(1)).alias("__c"))
+    by = ", ".join(map(quoted, keys))
+    spec = f"(partition by {by} order by __v asc nulls last, __ok desc"
+    ranked = counted.selectExpr(
+        "*", f"sum(__c) over {spec} rows between unbounded preceding and current row) as __upto",
+        f"lead(__v) over {spec}) as __next", f"lead(__ok) over {spec}) as __next_ok",
+        f"sum(if(__v is null, 0L, __c)) over {spec} rows between unbounded preceding and unbounded following) as __n")
+    picks = []
+    for i, p in enumerate(probs):
+        lo, hi, weight = ranks("__n", p, qtype)
+        here = f"__v is not null and {lo} > __upto - __c and {lo} <= __upto"
+        upper = f"if({hi} > __upto, __next, __v)"
+        picks += [F.expr(f"max(case when {here} then {interpolate('__v', upper, weight)} end) as __q{i}"),
+                  F.expr(f"max(case when {here} then not __ok or ({hi} > __upto and not __next_ok) end) as __miss{i}")]
+    probes = range(len(probs))
+    got = ranked.groupBy(*keys).agg(F.expr("max(__n) as n"), *picks)
+    got = materialize(got.selectExpr(*map(quoted, keys), "n", f"array({', '.join(f'__q{i}' for i in probes)}) as q",
+                                     " or ".join(f"coalesce(__miss{i}, false)" for i in probes) + " as __miss"))
+    missed = got.filter("__miss").select(*keys)
+    again = missed.count()
+    if not again:
+        return got.drop("__miss")
+    rows = null_safe_join(df.select(*keys, value), small(missed, again), keys, "left_semi")
+    redone = grouped_quantiles(rows, keys, value, probs, qtype, largest=largest, split_keys=shared)
+    return got.filter("not __miss").drop("__miss").unionByName(redone)

@@ -18,7 +18,10 @@ def censored(value: Column, blq: Column) -> Column:
 def long_quantiles(df: DataFrame, keys: Sequence[str], value: str, qpred: Sequence[float], qtype: int, largest: int,
                    split_keys: Sequence[str] | None = None) -> DataFrame:
     """(keys, ``q_index``, ``y``): one row per group and probability. A quantile among censored values is missing."""
-    wide = grouped_quantiles(df, list(keys), value, qpred, qtype, largest=largest, split_keys=split_keys)
+    return to_long(grouped_quantiles(df, list(keys), value, qpred, qtype, largest=largest, split_keys=split_keys), keys)
+
+
+def to_long(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wide.select(*keys, F.posexplode("q").alias("q_index", "__q")) \
         .select(*keys, "q_index", F.expr("if(__q != double('-infinity'), __q, null) as y"))
 

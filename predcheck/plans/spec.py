@@ -15,7 +15,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.values import as_column, as_double, null_safe_join
+from ..functions.quantiles import PILOTS, bracketed_quantiles, brackets_pay
+from ..functions.values import as_column, as_double
 from ..operators import align, bininfo as info, correct, statistics as st, strata as sf
 from ..operators.binning import BinModel, BinRule, fit_bins
 from .storage import BROADCAST_BYTES, compact, small
@@ -287,6 +288,13 @@ class VPC:
         """(strata, bin, repl, q_index, y): the heavy step, one shuffle of the simulated rows."""
         keys = [*self.strata, "bin", "repl"]
         rows = self.corrected_sim().select(*keys, F.col("ypc" if self.predcor else "y").alias("v"))
+        largest = self.sizes["largest"]
+        if brackets_pay(largest, 10 * PILOTS, self.qpred):
+            numbers = sorted(r[0] for r in self.sim.select("repl").distinct().collect() if r[0] is not None)
+            if brackets_pay(largest, len(numbers), self.qpred):
+                step = len(numbers) // PILOTS
+                return st.to_long(bracketed_quantiles(rows, keys[:-1], "repl", numbers[::step][:PILOTS], "v", self.qpred,
+                                                      self.quantile_type, largest), keys)
         # Replicates of a bin resemble each other, so split points of large groups are shared between them.
         return st.long_quantiles(rows, keys, "v", self.qpred, self.quantile_type, self.sizes["largest"], keys[:-1])
 

@@ -21,7 +21,9 @@ def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sim_events(spark: SparkSession, sf_dir: str, replicates: int = 20) -> DataFrame:
     """Every event once per replicate, scaled by a factor that depends on the event and the replicate."""
-    rows = load(spark, sf_dir, "events").select(
+    # One small file is one task: spread the events before they are multiplied.
+    events = load(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism, "event_id")
+    rows = events.select(
         F.col("event_id").alias("obs_id"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("repl"), F.col("value"))
     mix = (F.col("obs_id") * 31 + F.col("repl") * 17 + F.col("obs_id") * F.col("repl")) % 101
     return rows.select("obs_id", "repl", (F.col("value") * (mix.cast("double") / 100.0 + 0.5)).alias("y_sim"))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from predcheck.functions.quantiles import grouped_quantiles, select_ranks
+from predcheck.functions.quantiles import bracketed_quantiles, grouped_quantiles, select_ranks
 
 # numpy's names of the definitions 1 to 9
 METHODS = ["inverted_cdf", "averaged_inverted_cdf", "closest_observation", "interpolated_inverted_cdf", "hazen", "weibull",
@@ -71,3 +71,48 @@ def test_recursion_and_shared_split_points(spark):
             assert r.v == np.sort(pdf[(pdf.k == r.k) & (pdf.rep == r.rep)].y.to_numpy())[r.r - 1]
     finally:
         spark.conf.unset("predcheck.splitRows")
+
+
+def replicated(shifts, n=400, seed=6):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for rep, shift in enumerate(shifts):
+        y = np.where(rng.random(n) < 0.2, 0.0, np.round(rng.normal(size=n), 2)) + shift
+        rows += [("a", rep, float(v)) for v in y] + [("b", rep, None)] + [("c", rep, float("inf") if i % 2 else float(i)) for i in range(6)]
+    return pd.DataFrame(rows, columns=["k", "repl", "y"])
+
+
+@pytest.mark.parametrize("qtype", [2, 7])
+@pytest.mark.parametrize("far", [0.0, 50.0])
+@pytest.mark.parametrize("task_rows", ["4000000", "30"])
+def test_brackets_are_exact_even_when_the_pilots_mislead(spark, qtype, far, task_rows):
+    # Replicates 4 and 7 lie far from the pilots when ``far`` is not zero, so their quantiles miss the brackets.
+    pdf = replicated([0.0] * 4 + [far] + [0.01] * 2 + [-far] + [0.02] * 2)
+    df = spark.createDataFrame(pdf).withColumn("y", F.nanvl("y", F.lit(None)))
+    spark.conf.set("predcheck.splitRows", task_rows)
+    try:
+        got = bracketed_quantiles(df, ["k"], "repl", [0, 1, 2, 3], "y", [0.05, 0.5, 0.95], qtype).collect()
+    finally:
+        spark.conf.unset("predcheck.splitRows")
+    assert len(got) == 30
+    for r in got:
+        part = pdf[(pdf.k == r.k) & (pdf.repl == r.repl)].y.to_numpy()
+        if r.k == "b":
+            assert r.n == 0 and r.q == [None] * 3
+        elif r.k == "a":
+            assert np.allclose(r.q, np.quantile(part, [0.05, 0.5, 0.95], method=METHODS[qtype - 1]), atol=1e-12)
+        else:
+            assert r.q[0] < 2 and r.q[2] == float("inf")
+
+
+def test_brackets_in_the_pipeline(spark, monkeypatch):
+    import predcheck as pk
+    import predcheck.plans.spec as spec
+    rng = np.random.default_rng(3)
+    obs = spark.createDataFrame([(i, "ab"[i % 2], float(i % 7), float(rng.normal())) for i in range(300)], "obs_id long, s string, x double, y double")
+    sim = obs.select("obs_id", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("repl"), "y") \
+        .withColumn("y", F.col("y") + F.col("repl") / 100 + (F.col("obs_id") * F.col("repl") % 13) / 13)
+    v = pk.observed(obs, "x", "y", id="obs_id").simulated(sim, "y").stratify("~ s").binning(method="ntile", nbins=2).statistics()
+    plain = v.stats.collect()
+    monkeypatch.setattr(spec, "brackets_pay", lambda *a: True)
+    assert v.stats.collect() == plain
