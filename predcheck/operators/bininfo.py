@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quantiles import grouped_quantiles
 from ..functions.values import null_safe_join
@@ -14,12 +14,12 @@ from .align import dense_index
 INFO_COLUMNS = ("nobs", "xmedian", "xmean", "xmin", "xmax", "xmid", "xleft", "xright", "xcenter")
 
 
-def _basic(obs: DataFrame, keys: list[str], largest: int) -> DataFrame:
-    rows = obs.select(*keys, "bin_num", "x")
-    got = grouped_quantiles(rows, keys, "x", [0.5], largest=largest, extra=[
-        F.min("bin_num").alias("bin_num"), F.avg("x").alias("xmean"), F.min("x").alias("xmin"), F.max("x").alias("xmax")])
-    return got.select(*keys, "bin_num", F.col("n").alias("nobs"), F.col("q")[0].alias("xmedian"), "xmean", "xmin", "xmax",
-                      ((F.col("xmin") + F.col("xmax")) * 0.5).alias("xmid"))
+def _basic(obs: DataFrame, keys: list[str], largest: int, extra: Sequence[Column]) -> DataFrame:
+    own = {*keys, "q", "n"}
+    got = grouped_quantiles(obs, keys, "x", [0.5], largest=largest, extra=[
+        F.min("bin_num").alias("bin_num"), F.avg("x").alias("xmean"), F.min("x").alias("xmin"), F.max("x").alias("xmax"), *extra])
+    return got.select(*keys, F.col("n").alias("nobs"), F.col("q")[0].alias("xmedian"), *[c for c in got.columns if c not in own],
+                      F.expr("(xmin + xmax) * 0.5D as xmid"))
 
 
 def _neighbours(info: DataFrame, within: list[str], most_bins: int) -> DataFrame:
@@ -36,16 +36,21 @@ def _neighbours(info: DataFrame, within: list[str], most_bins: int) -> DataFrame
     return null_safe_join(placed, right, [*within, "__at"]).drop("__at")
 
 
-def bin_information(obs: DataFrame, strata: Sequence[str], by_strata: bool, largest: int, bins: int) -> DataFrame:
-    """``obs`` holds strata, bin, bin_num and x. Pooled statistics are repeated for every stratum of a bin."""
+def bin_information(obs: DataFrame, strata: Sequence[str], by_strata: bool, largest: int, bins: int,
+                    extra: dict[str, Column] | None = None) -> DataFrame:
+    """``obs`` holds strata, bin, bin_num, x and what ``extra``, more aggregates per (strata, bin), needs.
+
+    Pooled statistics are repeated for every stratum of a bin.
+    """
+    more = [c.alias(n) for n, c in (extra or {}).items()]
     strata = list(strata)
     within = strata if by_strata else []
     keys = [*within, "bin"]
-    info = _neighbours(_basic(obs, keys, largest), within, bins)
-    info = info.withColumn("xleft", F.coalesce((F.col("xmin") + F.col("__prev")) * 0.5, "xmin")) \
-        .withColumn("xright", F.coalesce((F.col("xmax") + F.col("__next")) * 0.5, "xmax")) \
-        .withColumn("xcenter", (F.col("xleft") + F.col("xright")) * 0.5)
-    if strata and not by_strata:
-        pairs = obs.groupBy(*strata, "bin").agg(F.count(F.lit(1)).alias("__c")).drop("__c")
+    pooled = bool(strata) and not by_strata
+    info = _neighbours(_basic(obs, keys, largest, () if pooled else more), within, bins)
+    info = info.selectExpr("*", "coalesce((xmin + __prev) * 0.5D, xmin) as xleft", "coalesce((xmax + __next) * 0.5D, xmax) as xright") \
+        .selectExpr("*", "(xleft + xright) * 0.5D as xcenter")
+    if pooled:
+        pairs = obs.groupBy(*strata, "bin").agg(F.count(F.lit(1)).alias("__c"), *more).drop("__c")
         info = null_safe_join(pairs, small(info, bins), ["bin"])
-    return info.select(*strata, "bin", "bin_num", *INFO_COLUMNS)
+    return info.select(*strata, "bin", "bin_num", *INFO_COLUMNS, *(extra or {}))

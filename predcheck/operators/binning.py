@@ -227,6 +227,8 @@ class BinModel:
     strata: list[str]
     table: DataFrame
     rows: int
+    #: Rows of the largest stratum, hence an upper bound for the rows of a bin; None when nothing was counted.
+    largest: int | None = None
 
     def transform(self, df: DataFrame, x: str = "__x", id: str = "__id", column: str = "__bin") -> DataFrame:
         """Add bin, bin_num, bin_left and bin_right. Bins already there stay where the rule does not apply."""
@@ -305,7 +307,7 @@ def fit_bins(rows: DataFrame, rule: BinRule, strata: Sequence[str] = ()) -> BinM
         rows = null_safe_join(rows, small(table.select(*keys), groups), keys, "left_semi")
     if rule.grouped:
         made, count = compact(_grouped_function(rows, keys, rule).withColumn("__hit", F.lit(True)))
-        return BinModel(rule, keys, made, count)
+        return BinModel(rule, keys, made, count, largest)
 
     method, payload = rule.method, []
     if method is not None:
@@ -320,7 +322,7 @@ def fit_bins(rows: DataFrame, rule: BinRule, strata: Sequence[str] = ()) -> BinM
             table = table.withColumn("__labels", labels_column(F.col("__cuts"), rule.right and method == "breaks"))
             payload.append("__labels")
     made, count = compact(table.select(*keys, *payload, *[f"__stat_{n}" for n in rule.stats], F.lit(True).alias("__hit")))
-    return BinModel(rule, keys, made, count)
+    return BinModel(rule, keys, made, count, largest)
 
 
 def _cuts(rows, keys, table, rule, largest) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quantiles import grouped_quantiles
-from ..functions.values import no_nan, null_safe_join, ratio
+from ..functions.values import no_nan, ratio
 
 
 def median_prediction(obs: DataFrame, keys: Sequence[str], largest: int) -> DataFrame:
@@ -33,7 +33,6 @@ def corrected(y: Column, pc: Column, log: bool, lower_bound: float = 0.0) -> Col
     return no_nan(pc * y)
 
 
-def with_correction(obs: DataFrame, medians: DataFrame, strata: Sequence[str], log: bool, lower_bound: float) -> DataFrame:
-    """Add mpred, ``pc`` and ``ypc`` to binned observations."""
-    return null_safe_join(obs, medians, [*strata, "bin"]).withColumn("pc", correction(log, lower_bound)) \
-        .withColumn("ypc", corrected(F.col("y"), F.col("pc"), log, lower_bound))
+def with_correction(obs: DataFrame, log: bool, lower_bound: float) -> DataFrame:
+    """Add ``pc`` and ``ypc`` to observations that know the ``mpred`` of their bin."""
+    return obs.withColumn("pc", correction(log, lower_bound)).withColumn("ypc", corrected(F.col("y"), F.col("pc"), log, lower_bound))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quantiles import grouped_quantiles
-from ..functions.values import NEG_INF, no_nan, null_safe_join
+from ..functions.values import NEG_INF, no_nan
 
 
 def censored(value: Column, blq: Column) -> Column:
@@ -41,10 +41,3 @@ def percent_below(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, ``y``): percent of true ``blq`` flags; missing when any flag of the group is missing."""
     share = F.avg(F.col("blq").cast("double")) * 100
     return df.groupBy(*keys).agg(F.when(F.count(F.lit(1)) == F.count("blq"), share).alias("y"))
-
-
-def attach(intervals: DataFrame, observed: DataFrame, bins: DataFrame, strata: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Every simulated group, with the observed value and the x of its bin."""
-    keys = [*strata, "bin"]
-    joined = null_safe_join(intervals, observed, [*keys, *by])
-    return null_safe_join(joined, bins.select(*keys, "bin_num", "xbin"), keys)

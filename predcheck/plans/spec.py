@@ -16,10 +16,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quantiles import PILOTS, bracketed_quantiles, brackets_pay
-from ..functions.values import as_column, as_double
+from ..functions.values import as_column, as_double, null_safe_join
 from ..operators import align, bininfo as info, correct, statistics as st, strata as sf
 from ..operators.binning import BinModel, BinRule, fit_bins
-from .storage import BROADCAST_BYTES, compact, small
+from .storage import BROADCAST_BYTES, compact, group_sizes, small, split_rows
 
 #: Estimated size of one observation (id, strata, bin, limit, correction) in a broadcast table.
 OBS_ROW_BYTES = 128
@@ -31,8 +31,10 @@ def _id_column(id) -> Column:
     return as_column(id)
 
 
-#: Fields that may change without changing the bins.
-_KEEP_BINS = {"sim", "pred", "predcor", "log", "lower_bound", "qpred", "conf_level", "quantile_type"}
+# What the kept intermediate results depend on.
+_OBS_FIELDS = ("data", "id", "x", "y", "pred", "blq", "lloq", "strat_rows", "strat_cols", "layers", "drop_blq")
+_CACHED = {"_obs": _OBS_FIELDS, "_groups": (*_OBS_FIELDS, "by_strata", "xbin", "predcor"),
+           "sizes": (*_OBS_FIELDS, "by_strata", "xbin", "predcor")}
 
 
 @dataclass(frozen=True)
@@ -73,9 +75,9 @@ class VPC:
     def update(self, **fields) -> "VPC":
         """Replace named fields; ``None`` removes an optional one."""
         out = dataclasses.replace(self, **fields)
-        if set(fields) <= _KEEP_BINS:
-            kept = ("sizes", "_bins") if fields.get("pred", self.pred) is not self.pred else ("sizes", "_bins", "_obs")
-            out.__dict__.update({k: self.__dict__[k] for k in kept if k in self.__dict__})
+        for name, depends in _CACHED.items():
+            if name in self.__dict__ and all(fields.get(f, getattr(self, f)) is getattr(self, f) for f in depends):
+                out.__dict__[name] = self.__dict__[name]
         return out
 
     def simulated(self, data: DataFrame, y, *, id=None, repl="repl", order: Sequence | None = None) -> "VPC":
@@ -205,111 +207,140 @@ class VPC:
             raise ValueError("Need to specify binning first")
 
     @cached_property
-    def sizes(self) -> dict:
-        """One small job: rows of the largest bin, bins, rows without a bin, observations below the limit."""
+    def _bound(self) -> tuple[int, int]:
+        """(largest bin, number of bins), both upper bounds: from the strata counted when bins were fitted, if those are
+        small enough to decide every plan, else counted."""
+        known = [layer.model.largest for layer in self.layers]
+        if None not in known and max(known) <= split_rows(self.data.sparkSession):
+            return max(known), max(known)
+        groups, largest = group_sizes(self.obs(), [*self.strata, "bin"])
+        return largest, groups
+
+    @cached_property
+    def _groups(self) -> DataFrame:
+        """Every (strata, bin) once: gid, bin_num, xbin, rows, below, and mpred under prediction correction.
+
+        ``gid`` stands for the strata and the bin in everything that is done with the replicates.
+        """
         self._need_bins()
         keys = [*self.strata, "bin"]
-        per_bin = self.obs().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("blq").alias("below"))
+        table = self._bins({"rows": F.count(F.lit(1)), "below": F.count_if("blq")})
+        if self.predcor:
+            medians = correct.median_prediction(self.obs(), keys, self._bound[0])
+            table = null_safe_join(table, medians, keys)
+        stored, count = compact(table.withColumn("gid", F.monotonically_increasing_id()))
+        return small(stored, count)
+
+    @cached_property
+    def sizes(self) -> dict:
+        """Rows of the largest bin, bins, rows without a bin, rows, observations below the limit."""
         no_stratum = F.lit(False)
         for s in self.strata:
             no_stratum = no_stratum | F.col(s).isNull()
-        row = per_bin.agg(F.max("n").alias("largest"), F.count(F.lit(1)).alias("bins"),
-                          F.sum(F.when(F.col("bin").isNull(), F.col("n"))).alias("missing_bins"),
-                          F.sum("n").alias("rows"), F.sum("below").alias("below"), F.count_if(no_stratum).alias("no_stratum")).first()
+        row = self._groups.agg(F.max("rows").alias("largest"), F.count(F.lit(1)).alias("bins"),
+                               F.sum(F.when(F.col("bin").isNull(), F.col("rows"))).alias("missing_bins"),
+                               F.sum("rows").alias("rows"), F.sum("below").alias("below"), F.count_if(no_stratum).alias("no_stratum")).first()
         if row["no_stratum"]:
             raise ValueError("stratification variables must not have missing values")
         return {k: row[k] or 0 for k in ("largest", "bins", "missing_bins", "rows", "below")}
 
-    @cached_property
-    def _medians(self) -> DataFrame:
-        """(strata, bin, mpred), computed once."""
-        table, count = compact(correct.median_prediction(self.obs(), [*self.strata, "bin"], self.sizes["largest"]))
-        return small(table, count)
-
-    @cached_property
-    def _bins(self) -> DataFrame:
-        """``bins()``, computed once."""
-        table, count = compact(self.bins())
-        return small(table, count)
+    def _grouped_obs(self) -> DataFrame:
+        """Binned observations with the gid of their bin, and pc and ypc under prediction correction."""
+        keys = [*self.strata, "bin"]
+        carried = ["gid", "mpred"] if self.predcor else ["gid"]
+        rows = null_safe_join(self.obs(), self._groups.select(*keys, *carried), keys)
+        return correct.with_correction(rows, self.log, self.lower_bound) if self.predcor else rows
+
+    def _grouped_sim(self, *carried: str) -> DataFrame:
+        """Simulated rows with the gid (and more, if named) of their observation; ``y`` raw, ``v`` corrected."""
+        names = dict.fromkeys(["gid", *carried, *(["lloq"] if self.drop_blq else []), *(["pc"] if self.predcor else [])])
+        obs = self._grouped_obs().select("obs_id", *names)
+        # Observations go to every executor only when their counted rows are few; the simulated rows never do,
+        # whatever size Spark estimates for them.
+        fits = self.sizes["rows"] * OBS_ROW_BYTES <= BROADCAST_BYTES
+        rows = self.sim.join(F.broadcast(obs) if fits else obs.hint("merge"), "obs_id")
+        if self.drop_blq:
+            rows = rows.filter("y >= lloq or y is null or lloq is null")
+        value = correct.corrected(F.col("y"), F.col("pc"), self.log, self.lower_bound) if self.predcor else F.col("y")
+        return rows.withColumn("v", value)
 
     def corrected_obs(self) -> DataFrame:
         """Binned observations with mpred and ypc when prediction correction is on."""
         self._need_bins()
-        if not self.predcor:
-            return self.obs()
-        return correct.with_correction(self.obs(), self._medians, self.strata, self.log, self.lower_bound)
+        return self._grouped_obs().drop("gid") if self.predcor else self.obs()
 
     def corrected_sim(self) -> DataFrame:
         """Simulated rows with the stratum, bin, limit and correction of their observation."""
-        obs = self.corrected_obs()
-        carried = [*self.strata, "bin", "lloq", *(["pc"] if self.predcor else [])]
-        obs = obs.select("obs_id", *carried)
-        # Observations go to every executor only when their counted rows are few; the simulated rows never do,
-        # whatever size Spark estimates for them.
-        fits = self.sizes["rows"] * OBS_ROW_BYTES <= BROADCAST_BYTES
-        rows = self.sim.join(F.broadcast(obs) if fits else obs.hint("merge"), "obs_id")
-        if self.drop_blq:
-            rows = rows.filter(F.coalesce(F.col("y") >= F.col("lloq"), F.lit(True)))
-        if self.predcor:
-            rows = rows.withColumn("ypc", correct.corrected(F.col("y"), F.col("pc"), self.log, self.lower_bound))
-        return rows
+        rows = self._grouped_sim(*self.strata, "bin", "lloq").drop("gid")
+        return rows.withColumnRenamed("v", "ypc") if self.predcor else rows.drop("v")
 
     # -------------------------------------------------------------------------------------------- results
 
+    def _info(self, by_strata: bool, extra: dict | None = None) -> DataFrame:
+        self._need_bins()
+        # Pooled bins span strata; the bound of a bin within its stratum does not hold for them.
+        pooled = bool(self.strata) and not by_strata and any(layer.model.rule.by_strata for layer in self.layers)
+        largest, bins = (None, self._bound[1]) if pooled else self._bound
+        needed = [*self.strata, "bin", "bin_num", "x", *(["blq"] if extra else [])]
+        return info.bin_information(self.obs().select(*needed), self.strata, by_strata, largest, bins, extra)
+
     def bininfo(self, by_strata: bool | None = None) -> DataFrame:
-        by = self.by_strata if by_strata is None else by_strata
-        pooled = not by or not self.strata
-        # Pooled bins span strata, so their size is counted anew.
-        largest = None if pooled and self.strata else self.sizes["largest"]
-        return info.bin_information(self.obs(), self.strata, by, largest, self.sizes["bins"])
+        """One row per (strata, bin): nobs, xmedian, xmean, xmin, xmax, xmid, xleft, xright, xcenter."""
+        return self._info(self.by_strata if by_strata is None else by_strata)
 
-    def bins(self) -> DataFrame:
-        """(strata, bin, bin_num, xbin): the x value that represents each bin."""
+    def _bins(self, extra: dict[str, Column]) -> DataFrame:
         keys = [*self.strata, "bin"]
         if isinstance(self.xbin, str):
-            return self.bininfo().select(*keys, "bin_num", F.col(self.xbin).alias("xbin"))
-        grouped = self.obs_with_x().groupBy(*keys)
+            return self._info(self.by_strata, extra).select(*keys, "bin_num", F.col(self.xbin).alias("xbin"), *extra)
         value = F.min("bin_num") if isinstance(self.xbin, Column) else self.xbin(F.col("__bx"))
-        return grouped.agg(F.min("bin_num").alias("bin_num"), value.alias("xbin"))
+        return self._obs_with_x().groupBy(*keys).agg(F.min("bin_num").alias("bin_num"), value.alias("xbin"),
+                                                     *[c.alias(n) for n, c in extra.items()])
 
-    def obs_with_x(self) -> DataFrame:
+    def _obs_with_x(self) -> DataFrame:
         """Binned observations plus ``__bx``, the variable that was binned last."""
-        frame = dataclasses.replace(self, pred=self.layers[-1].x).obs()
-        return frame.withColumn("__bx", F.col("pred"))
+        return dataclasses.replace(self, pred=self.layers[-1].x).obs().withColumnRenamed("pred", "__bx")
+
+    def bins(self) -> DataFrame:
+        """(strata, bin, bin_num, xbin): the x value that represents each bin."""
+        return self._groups.select(*self.strata, "bin", "bin_num", "xbin")
+
+    def _named(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Replace gid by the strata and the bin, plus more columns of the bin if named."""
+        return df.join(self._groups.select("gid", *self.strata, "bin", *columns), "gid").drop("gid")
+
+    def _observed_quantiles(self) -> DataFrame:
+        value = F.col("ypc" if self.predcor else "y")
+        rows = self._grouped_obs().select("gid", st.censored(value, F.col("blq")).alias("v"))
+        return st.long_quantiles(rows, ["gid"], "v", self.qpred, self.quantile_type, self.sizes["largest"])
 
     def observed_quantiles(self) -> DataFrame:
         """(strata, bin, q_index, y), values below the limit ranking lowest."""
-        value = F.col("ypc" if self.predcor else "y")
-        keys = [*self.strata, "bin"]
-        rows = self.corrected_obs().select(*keys, st.censored(value, F.col("blq")).alias("v"))
-        return st.long_quantiles(rows, keys, "v", self.qpred, self.quantile_type, self.sizes["largest"])
+        return self._named(self._observed_quantiles()).select(*self.strata, "bin", "q_index", "y")
 
-    def replicate_quantiles(self) -> DataFrame:
-        """(strata, bin, repl, q_index, y): the heavy step, one shuffle of the simulated rows."""
-        keys = [*self.strata, "bin", "repl"]
-        rows = self.corrected_sim().select(*keys, F.col("ypc" if self.predcor else "y").alias("v"))
-        largest = self.sizes["largest"]
+    def _replicate_quantiles(self) -> DataFrame:
+        """(gid, repl, q_index, y): the heavy step, one shuffle of the simulated rows or of those near a quantile."""
+        rows, largest = self._grouped_sim().select("gid", "repl", "v"), self.sizes["largest"]
         if brackets_pay(largest, 10 * PILOTS, self.qpred):
             numbers = sorted(r[0] for r in self.sim.select("repl").distinct().collect() if r[0] is not None)
             if brackets_pay(largest, len(numbers), self.qpred):
-                step = len(numbers) // PILOTS
-                return st.to_long(bracketed_quantiles(rows, keys[:-1], "repl", numbers[::step][:PILOTS], "v", self.qpred,
-                                                      self.quantile_type, largest), keys)
+                pilots = numbers[::len(numbers) // PILOTS][:PILOTS]
+                return st.to_long(bracketed_quantiles(rows, ["gid"], "repl", pilots, "v", self.qpred, self.quantile_type, largest),
+                                  ["gid", "repl"])
         # Replicates of a bin resemble each other, so split points of large groups are shared between them.
-        return st.long_quantiles(rows, keys, "v", self.qpred, self.quantile_type, self.sizes["largest"], keys[:-1])
+        return st.long_quantiles(rows, ["gid", "repl"], "v", self.qpred, self.quantile_type, largest, ["gid"])
 
-    def _results(self, intervals: DataFrame, observed: DataFrame, by: Sequence[str]) -> DataFrame:
-        bins = self.sizes["bins"]
-        return st.attach(intervals, small(observed, bins * max(1, len(self.qpred))), self._bins, self.strata, by)
+    def replicate_quantiles(self) -> DataFrame:
+        """(strata, bin, repl, q_index, y)."""
+        return self._named(self._replicate_quantiles()).select(*self.strata, "bin", "repl", "q_index", "y")
 
     def interval_table(self) -> DataFrame:
         """The ``stats`` columns plus bin_num and q_index, in no particular order."""
         if self.qpred is None:
             raise ValueError("call statistics() first")
-        keys = [*self.strata, "bin", "q_index"]
-        intervals = st.over_replicates(self.replicate_quantiles(), keys, self.conf_level, self.quantile_type, 0)
+        intervals = st.over_replicates(self._replicate_quantiles(), ["gid", "q_index"], self.conf_level, self.quantile_type, 0)
+        observed = small(self._observed_quantiles(), self.sizes["bins"] * len(self.qpred))
         names = F.array(*[F.lit(f"q{p:.15g}") for p in self.qpred])
-        return self._results(intervals, self.observed_quantiles(), ["q_index"]) \
+        return self._named(intervals.join(observed, ["gid", "q_index"], "left"), "bin_num", "xbin") \
             .withColumn("qname", F.element_at(names, F.col("q_index") + 1))
 
     @property
@@ -325,12 +356,11 @@ class VPC:
             raise ValueError("call statistics() first")
         if not self.sizes["below"]:
             return None
-        keys = [*self.strata, "bin"]
-        flagged = self.corrected_sim().select(*keys, "repl", (F.col("y") < F.col("lloq")).alias("blq"))
-        per_replicate = st.percent_below(flagged, [*keys, "repl"])
-        intervals = st.over_replicates(per_replicate, keys, self.conf_level, self.quantile_type, 0)
-        table = self._results(intervals, st.percent_below(self.obs().select(*keys, "blq"), keys), [])
-        return table.orderBy(*self.strata, "xbin").select(*keys, "xbin", "y", "lo", "md", "hi")
+        flagged = self._grouped_sim("lloq").select("gid", "repl", F.expr("y < lloq as blq"))
+        intervals = st.over_replicates(st.percent_below(flagged, ["gid", "repl"]), ["gid"], self.conf_level, self.quantile_type, 0)
+        observed = small(st.percent_below(self._grouped_obs().select("gid", "blq"), ["gid"]), self.sizes["bins"])
+        return self._named(intervals.join(observed, "gid", "left"), "xbin").orderBy(*self.strata, "xbin") \
+            .select(*self.strata, "bin", "xbin", "y", "lo", "md", "hi")
 
     def summary(self) -> DataFrame:
         """One row: replicates, prediction_corrected, stratified_by, has_stats."""
