@@ -137,9 +137,16 @@ def _with_parameter(table: DataFrame, rows: DataFrame, strata: list[str], rule:
 
 # ------------------------------------------------------------------------------------------------- methods
 
-def _quantile_breaks(rows, strata, table, qtype, largest, closed):
+def _bin_counts(table: DataFrame, rule: BinRule) -> list[int]:
+    """The numbers of bins in use; they differ only when given per stratum or by default."""
+    if isinstance(rule.nbins, (int, float)):
+        return [int(rule.nbins)]
+    return sorted(r[0] for r in table.select("nbins").distinct().collect())
+
+
+def _quantile_breaks(rows, strata, table, rule, qtype, largest, closed):
     """Breaks at i/nbins, the ends included for ``closed``; ``nbins`` may differ between strata."""
-    counts = sorted(r[0] for r in table.select("nbins").distinct().collect())
+    counts = _bin_counts(table, rule)
     if counts and counts[0] < 1:
         raise ValueError("nbins must be at least 1")
 
@@ -313,7 +320,7 @@ def fit_bins(rows: DataFrame, rule: BinRule, strata: Sequence[str] = ()) -> BinM
     if method is not None:
         needed = {"fixed": "breaks", **NEEDS}.get(method, "nbins")
         table = _with_parameter(table, rows, keys, rule, needed)
-        if needed == "nbins" and method in STYLES and method != "dpih" and table.filter("nbins < 2").limit(1).count():
+        if needed == "nbins" and method in STYLES and method != "dpih" and min(_bin_counts(table, rule), default=2) < 2:
             raise ValueError("interval styles need at least 2 bins")
         table = _cuts(rows, keys, table, rule, largest)
         payload = ["__cuts"]
@@ -334,7 +341,7 @@ def _cuts(rows, keys, table, rule, largest) -> DataFrame:
         return table.withColumn("__cuts", F.col("breaks"))
     if method in ("eqcut", "quantile"):
         qtype = rule.quantile_type if method == "eqcut" else rule.options.get("type", 7)
-        return _quantile_breaks(rows, keys, table, qtype, largest, method == "quantile").withColumnRenamed("breaks", "__cuts")
+        return _quantile_breaks(rows, keys, table, rule, qtype, largest, method == "quantile").withColumnRenamed("breaks", "__cuts")
     if method == "ntile":
         starts = _rank_starts(rows, keys, table, largest).groupBy(*keys).agg(
             F.array_sort(F.collect_list(F.struct("__x", "__id", F.col("__b").cast("long").alias("__b")))).alias("__cuts"))

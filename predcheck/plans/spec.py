@@ -86,11 +86,13 @@ class VPC:
         if order is not None:
             if self.positions is None:
                 raise ValueError("simulated(order=...) needs observed(order=...)")
-            rows = align.dense_index(data.withColumn("__y", as_double(y)), order)
+            keys = {f"__o{i}": as_column(c) for i, c in enumerate(order)}
+            narrow = data.select(*[c.alias(n) for n, c in keys.items()], as_double(y).alias("y"))
+            rows = align.dense_index(narrow, list(keys))
             if rows.count() % max(self.positions, 1):
                 raise ValueError("Rows in sim is not a multiple of rows in obs")
             numbered = align.number_replicates(rows, self.positions)
-            return self.update(sim=numbered.select("obs_id", "repl", F.col("__y").alias("y")))
+            return self.update(sim=numbered.select("obs_id", "repl", "y"))
         return self.update(sim=data.select(_id_column(self.id if id is None else id).alias("obs_id"),
                                            as_column(repl).cast("int").alias("repl"), as_double(y).alias("y")))
 
