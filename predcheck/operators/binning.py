@@ -8,6 +8,7 @@ most of the data costs no more than the others.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -20,6 +21,7 @@ from ..functions.quantiles import grouped_quantiles, select_ranks
 from ..functions.values import as_column, as_double, literal, null_safe_join, number_text
 from ..plans.storage import compact, materialize, small, split_rows
 from . import clusters
+from .align import dense_index
 
 # The interval styles and the other method names.
 STYLES = ("fixed", "sd", "equal", "pretty", "quantile", "kmeans", "hclust", "bclust", "fisher", "jenks", "dpih")
@@ -191,14 +193,16 @@ def _rank_starts(rows, strata, table, largest):
     upto = F.sum("c").over(Window.partitionBy(*strata).orderBy("s"))
     spans = spans.withColumn("below", upto - F.col("tied")).filter("__t is not null")
     local = null_safe_join(at, spans.select(*strata, "__t", "below", "tied"), [*strata, "__t"], "inner")
-    local = materialize(local.select(*strata, "__t", F.col("r").alias("rank"), (F.col("r") - F.col("below")).alias("r"), "tied"))
-    most = local.agg(F.max("tied")).first()[0] or 0
-    ties = materialize(near.filter("tie").select(*strata, F.col("__x").alias("__t"), "__id"))
-    ids = select_ranks(ties, [*strata, "__t"], "__id", local.select(*strata, "__t", "r").distinct(), most)
-    found = null_safe_join(local.select(*strata, "__t", "r", "rank"), ids, [*strata, "__t", "r"], "inner")
+    local = materialize(local.select(*strata, "__t", F.col("r").alias("rank"), (F.col("r") - F.col("below")).alias("r")))
+    # The ties of one value may be a large share of the data: number them all at once, whatever the type of the id.
+    ties = dense_index(near.filter("tie").select(*strata, F.col("__x").alias("__t"), "__id"), [*strata, "__t", "__id"], "__at")
+    firsts = ties.groupBy(*strata, "__t").agg(F.min("__at").alias("first"))
+    places = null_safe_join(local, firsts, [*strata, "__t"], "inner") \
+        .select(*strata, "__t", "rank", F.expr("first + r - 1 as __at"))
+    found = places.join(ties.select("__at", "__id"), "__at").drop("__at")
     starts = starts.withColumnRenamed("r", "rank")
     return null_safe_join(found, starts, [*strata, "rank"], "inner") \
-        .select(*strata, F.col("__t").alias("__x"), F.col("v").alias("__id"), "__b")
+        .select(*strata, F.col("__t").alias("__x"), "__id", "__b")
 
 
 def _grouped_function(rows, strata, rule):
@@ -308,7 +312,14 @@ def fit_bins(rows: DataFrame, rule: BinRule, strata: Sequence[str] = ()) -> BinM
     table, groups = compact(rows.groupBy(*keys).agg(
         F.count(x).alias("n"), F.count(F.lit(1)).alias("n_all"), F.min(x).alias("xmin"), F.max(x).alias("xmax"),
         F.avg(x).alias("xmean"), F.stddev_samp(x).alias("sd"), *stats))
-    largest = table.agg(F.max("n_all")).first()[0] or 0
+    infinite = float("inf")
+    largest, missing, unbounded = table.agg(
+        F.max("n_all"), F.sum(F.col("n_all") - F.col("n")), F.count_if((F.col("xmin") == -infinite) | (F.col("xmax") == infinite))).first()
+    largest = largest or 0
+    if missing:
+        warnings.warn("x contains missing values, which could affect binning", stacklevel=3)
+    if unbounded:
+        warnings.warn("x contains non-finite values, which could affect binning", stacklevel=3)
     table = _selected(table, rule, keys)
     if rule.stratum is not None:
         rows = null_safe_join(rows, small(table.select(*keys), groups), keys, "left_semi")

@@ -167,3 +167,32 @@ def test_bad_requests(spark):
         assign_bins(df, "x", BinRule(method="centers", centers=centers), ["strat"], "obs_id")
     with pytest.raises(Exception, match="right number"):
         assign_bins(df, "x", BinRule(func=lambda x, n, strat: [1], grouped=True), ["strat"], "obs_id").collect()
+
+
+@pytest.mark.parametrize("method", ["pam", "kmeans", "hclust", "fisher", "jenks", "bclust", "dpih", "sd", "pretty", "equal", "quantile"])
+def test_pooled_bins_are_the_same_in_every_stratum(spark, method):
+    xs = list(np.random.default_rng(0).normal(size=80))
+    pooled = run(spark, xs, ["a", "b"] * 40, by=(), method=method, nbins=4)
+    assert numbers(pooled, "bin") == numbers(run(spark, xs, method=method, nbins=4), "bin")
+
+
+def test_pooled_user_functions(spark):
+    xs = [1.0, 2.0, 3.0, 10.0]
+    above = run(spark, xs, by=(), func=lambda x, mean: (x > mean).cast("int"), stats={"mean": F.avg})
+    assert numbers(above) == [0, 0, 0, 1]
+    words = run(spark, xs, by=(), func=lambda x, n: ["low" if v < 2.5 else "high" for v in x], grouped=True)
+    assert numbers(words, "bin") == ["low", "low", "high", "high"] and numbers(words) == [None] * 4
+
+
+def test_ties_of_a_split_stratum_with_text_ids(tiny_tasks):
+    xs = [4.0] * 300 + [5.0] * 100
+    df = frame(tiny_tasks, xs).withColumn("name", F.format_string("n%05d", F.col("obs_id")))
+    got = numbers(assign_bins(df, "x", BinRule(method="ntile", nbins=7), ["strat"], "name"))
+    assert got == [float(7 * i // 400 + 1) for i in range(400)]
+
+
+def test_missing_and_infinite_x_warn(spark):
+    with pytest.warns(UserWarning, match="missing"):
+        run(spark, [1, None, 3], method="ntile", nbins=2)
+    with pytest.warns(UserWarning, match="non-finite"):
+        run(spark, [1, float("inf"), 3], method="ntile", nbins=2)
