@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.values import as_column
-from ..plans.storage import materialize, small
+from ..plans.storage import materialize
 
 _LOCAL_BITS = 33
 
