@@ -223,3 +223,22 @@ def test_csv_and_parquet(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "t.csv")).first().y == 2.5
     assert read_table(spark, str(tmp_path / "t")).first().id == 1
     assert math.isclose(read_table(spark, str(tmp_path / "t.csv"), schema="id int, s string, y double, d date").first().y, 2.5)
+
+
+def test_results_do_not_depend_on_broadcasts(spark, monkeypatch):
+    import predcheck.plans.spec as spec
+    import predcheck.plans.storage as storage
+    obs = small(spark, 300).withColumn("blq", F.col("y") < 0.6).withColumn("lloq", F.lit(0.6))
+    sim = replicates(spark, obs)
+
+    def tables():
+        v = check(spark, obs, sim).binning(method="eqcut", nbins=3).predcorrect().statistics()
+        return v, result(v.stats), result(v.pctblq)
+
+    plain = tables()
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(spec, "BROADCAST_BYTES", 0)
+    merged = tables()
+    assert merged[1:] == plain[1:]
+    plan = merged[0]._grouped_sim()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
