@@ -819,6 +819,31 @@ def entry(spark: SparkSession) -> DataFrame:
     return flagship(spark, ENTRY_DIR).stats
 
 
+def _add_corpus_queries() -> None:
+    """The queries for training data, if their subpackage is there; any other failed import is an error."""
+    parts = ("predcheck.llm", "predcheck.llm.queries", "corpus_pipeline")
+    try:
+        from predcheck.llm import queries as corpus
+    except ModuleNotFoundError as e:
+        if e.name not in parts:
+            raise
+        return
+    _QUERIES.update(corpus.QUERIES)
+    _SQL.update(corpus.SQL)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as e:
+        if e.name not in parts:
+            raise
+        return
+    _QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        _SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+_add_corpus_queries()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
