@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import scan
 from .mixing import curriculum_mixing
 from .packing import best_fit_packing
+from .syncmers import fingerprints
 from .tables import read
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read(spark, sf_dir, "documents"))
 
@@ -17,5 +23,9 @@ def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mixing(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_curriculum_mixing)}
+def op8_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op8_syncmer_fingerprints)}
 SQL: dict[str, str] = {}
