@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .licenses import scan
 from .mixing import curriculum_mixing
 from .packing import best_fit_packing
+from .quality import quality
 from .syncmers import fingerprints
 from .tables import read
+from .toxicity import toxicity
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +29,14 @@ def op8_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op8_syncmer_fingerprints)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op8_syncmer_fingerprints,
+                                   op9_toxicity, op10_quality)}
 SQL: dict[str, str] = {}
