@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import ngram_jaccard
 from .licenses import scan
 from .mixing import curriculum_mixing
 from .packing import best_fit_packing
@@ -13,6 +14,10 @@ from .tables import read
 from .toxicity import toxicity
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(read(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
@@ -37,6 +42,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op8_syncmer_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op8_syncmer_fingerprints,
                                    op9_toxicity, op10_quality)}
 SQL: dict[str, str] = {}
