@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chaining import substring_dedup
 from .jaccard import ngram_jaccard
 from .licenses import scan
 from .mixing import curriculum_mixing
@@ -30,6 +31,10 @@ def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mixing(read(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op8_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
@@ -42,6 +47,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op8_syncmer_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op6_substring_dedup, op8_syncmer_fingerprints,
                                    op9_toxicity, op10_quality)}
 SQL: dict[str, str] = {}
