@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .jaccard import whole_groups
 from .tables import batch, broadcast_if, sized, store
-from .text import LOWER, chunks, gram_hashes, strings, word_hashes, word_spans
+from .text import LOWER, chunks, gram_hashes, mix, strings, word_hashes, word_spans
 
 SEED_WORDS, SPACING = 6, 8
 MIN_WORDS, IDENTITY = 50, 0.8
@@ -59,14 +59,23 @@ def least_of(h: np.ndarray, inside: np.ndarray) -> np.ndarray:
 
 
 def text_seeds(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
-    """(text number, first word, hash) of the seeds of all texts of at least ``min_words`` words."""
+    """(text number, first word, hash) of the seeds of all texts of at least ``min_words`` words.
+
+    A text's second, third, ... occurrence of a seed is a seed of its own, so runs that repeat one phrase match in order."""
     starts, ends, first = word_spans(data, offsets)
     counts = np.diff(first)
     grams, n = gram_hashes(word_hashes(LOWER[data], starts, ends), first, SEED_WORDS)
     text = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
     chosen = least_of(grams, n[text] - place) & (counts[text] >= min_words)
-    return text[chosen], place[chosen], grams[chosen]
+    text, place, grams = text[chosen], place[chosen], grams[chosen]
+    order = np.lexsort((place, grams, text))
+    again = np.zeros(len(order), bool)
+    again[1:] = (grams[order][1:] == grams[order][:-1]) & (text[order][1:] == text[order][:-1])
+    run = np.arange(len(order))
+    nth = np.empty(len(order), np.uint64)
+    nth[order] = run - np.maximum.accumulate(np.where(again, 0, run))
+    return text, place, mix(grams + nth * np.uint64(0x9FB21C651E98DF25))
 
 
 class Fenwick:
