@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .chaining import substring_dedup
+from .hamming import SQL as TOP_K_SQL, exact_top_k
 from .jaccard import ngram_jaccard
 from .licenses import scan
 from .mixing import curriculum_mixing
@@ -35,6 +36,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op8_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
@@ -47,6 +52,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op6_substring_dedup, op8_syncmer_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op6_substring_dedup, op7_exact_top_k, op8_syncmer_fingerprints,
                                    op9_toxicity, op10_quality)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_exact_top_k": TOP_K_SQL}
