@@ -8,6 +8,7 @@ from .chaining import substring_dedup
 from .hamming import SQL as TOP_K_SQL, exact_top_k
 from .jaccard import ngram_jaccard
 from .licenses import scan
+from .lm import lm_scores
 from .mixing import curriculum_mixing
 from .packing import best_fit_packing
 from .quality import quality
@@ -20,6 +21,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
@@ -52,6 +57,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op6_substring_dedup, op7_exact_top_k, op8_syncmer_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op6_substring_dedup, op7_exact_top_k, op8_syncmer_fingerprints,
                                    op9_toxicity, op10_quality)}
 SQL: dict[str, str] = {"op7_exact_top_k": TOP_K_SQL}

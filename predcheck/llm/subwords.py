@@ -8,6 +8,7 @@ merge ranks in a byte-pair encoder; every other word goes to the tokenizers libr
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import regex
@@ -51,25 +52,38 @@ class WordIds(dict):
             ranks.setdefault(raw(left) + raw(right), len(ranks))
         self.piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         ids = {raw(t): i for t, i in vocabulary.items() if t.encode() not in self.special}
-        self.id_of = np.zeros(len(ranks), np.int64)
-        for token, rank in ranks.items():
-            self.id_of[rank] = ids.get(token, -1)
+        self.id_of = [ids.get(token, 0) for token in sorted(ranks, key=ranks.get)].__getitem__
         self.split = regex.compile(PATTERN).findall
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
         text = word.decode()
-        if text.isascii() and text.isalpha():
-            ranks = self.piece(word.lower() + b"\xff")
+        if text.isascii():
+            if text.isalpha():
+                out = array("I", map(self.id_of, self.piece(word.lower() + b"\xff"))).tobytes()
+            elif text[:-1].isalpha() and text[-1] in ".,;:!?":  # two parts that the vocabulary splits anyway
+                out = self[word[:-1]] + self._marks(text[-1])
+            elif b"<|" not in word:
+                out = self._merged(text)
+            else:
+                out = self._encoded(text)
         elif max(text) < "ɐ" and b"<|" not in word and "\x85" not in text and "\xa0" not in text:
-            ranks = [r for part in self.split(text.lower()) for r in self.piece(part.encode() + b"\xff")]
+            out = self._merged(text)
         else:  # characters with other normal forms, and strings of special tokens
-            ranks = None
-        ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4") if ranks is None else self.id_of[ranks].astype("<u4")
-        self[word] = out = ids.tobytes()
+            out = self._encoded(text)
+        self[word] = out
         return out
 
+    def _marks(self, text: str) -> bytes:
+        return array("I", map(self.id_of, self.piece(text.encode() + b"\xff"))).tobytes()
+
+    def _merged(self, text: str) -> bytes:
+        return b"".join(self._marks(part) for part in self.split(text.lower()))
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 _loaded: dict[str, WordIds] = {}
 
