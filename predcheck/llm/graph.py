@@ -18,7 +18,7 @@ def forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     Self-loops and repeated edges are harmless; without edges both tables are empty.
     """
     edges, left = sized(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels, trees = nodes.withColumn("label", F.col("node")), edges.select("a", "b").limit(0)
     open_edges = edges.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
     while left:

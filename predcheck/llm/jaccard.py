@@ -9,7 +9,7 @@ symmetric difference from below (suffix filter). Pairs that pass are verified on
 Frequencies come from a count sketch over all documents, whose size is bounded; any estimate orders grams validly, as
 it is the same for every document. Documents with equal sets are joined once, through the one of least id.
 
-Groups of one gram never become all their pairs. First, rows of a group are compared at distances 1, 2, 4, ... in
+Groups of one gram never become all their pairs. First, rows of a group are compared at distances 1, 4, 16, ... in
 order of size; of the candidate pairs, only a spanning forest is verified, which joins families of near copies at one
 verification a document. Then only pairs across the components found are compared, each group's rows outside its
 largest component against all its rows, and what passes the filters is verified: no link between components is lost.
@@ -187,7 +187,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def near_pairs(groups: DataFrame) -> DataFrame:
-    """Candidate pairs at distances 1, 2, 4, ... within a group, in order of size: a few for each row."""
+    """Candidate pairs at distances 1, 4, 16, ... within a group, in order of size: a few for each row."""
     def run(batches):
         for table in whole_groups(batches, ["gram", "salt"]):
             gram, salt = table["gram"].to_numpy(), table["salt"].to_numpy()
@@ -201,7 +201,7 @@ def near_pairs(groups: DataFrame) -> DataFrame:
                 ok = passes(n[i], at[i], bits[i], n[j], at[j], bits[j])
                 if ok.any():
                     yield _pairs(node[i[ok]], node[j[ok]])
-                step *= 2
+                step *= 4
 
     salted = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / GROUP_ROWS)).cast("int"))
     dealt = salted.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n", "node")
