@@ -350,7 +350,10 @@ def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float =
         F.collect_set(F.struct("start_word", "end_word")).alias("__spans"))  # at most a document's own words
     spans, n = sized(spans)
     parted = spans.filter("__part <> 0").limit(1).count() > 0
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1 << 31)).cast("int") if parted else F.lit(0)
-    rows = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__part": part}).join(broadcast_if(spans, 4 * n), ["__doc", "__part"], "left")
-    cut = F.arrow_udf(without_spans, "string")(F.when(F.col("__spans").isNotNull(), F.col("text")), "__spans")
-    return rows.select(*[F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    # whole rows travel as one struct, so no column of theirs can clash
+    text = F.col("__row.text").cast("string")
+    part = F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 31)).cast("int") if parted else F.lit(0)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    rows = whole.withColumns({"__doc": F.col("__row.doc_id").cast("long"), "__part": part}).join(broadcast_if(spans, 4 * n), ["__doc", "__part"], "left")
+    cut = F.arrow_udf(without_spans, "string")(F.when(F.col("__spans").isNotNull(), text), "__spans")
+    return rows.select(*[F.when(F.col("__spans").isNull(), text).otherwise(cut).alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -281,7 +281,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     known = profiled.filter("slice is null").select("doc_id", "n", "digest", "bits")
     classes = store(known.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits")))
     nodes, count = sized(classes.select("node").distinct())
-    chosen = docs.withColumn("__id", F.col("doc_id").cast("long")).join(broadcast_if(nodes.select(F.col("node").alias("__id")), count), "__id", "left_semi")
+    chosen = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).join(broadcast_if(nodes.select(F.col("node").alias("doc_id")), count), "doc_id", "left_semi")
     same = Window.partitionBy("gram")
     rows = prefixes(chosen, sketch, bits).withColumn("rows", F.count(F.lit(1)).over(same)).filter("rows > 1")
     rows = rows.join(classes.select("node", "n", "bits"), ["node", "n"])
@@ -320,7 +320,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     groups = store(similar_groups(docs).select(F.col("doc_id").alias("__id"), "component_id").filter("__id is not null"))
     kept, rows = sized(groups.filter("component_id = __id").select("__id").distinct())
     total, ids = groups.agg(F.count("__id"), F.count_distinct("__id")).first()
-    named = docs.withColumn("__id", F.col("doc_id").cast("long")).join(broadcast_if(kept, rows), "__id", "left_semi")
+    # whole rows travel as one struct, so no column of theirs can clash
+    whole = docs.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    named = whole.join(broadcast_if(kept, rows), "__id", "left_semi")
     if total > ids:
         named = named.dropDuplicates(["__id"])
-    return named.drop("__id").unionByName(docs.filter("doc_id is null"))
+    return named.select("__row").union(whole.filter("__id is null").select("__row")).select("__row.*")

@@ -102,6 +102,8 @@ def fit(doc: np.ndarray, words: np.ndarray, labels: np.ndarray, features: int =
     gap[np.isin(known, identity)] = np.inf
     kept = np.sort(np.argsort(-gap, kind="stable")[:max(features, int(np.isinf(gap).sum()))])
     kept = kept[gap[kept] >= SEPARATION]
+    if len(kept) == 0:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(prior))
     column = np.full(len(known), -1)
     column[kept] = np.arange(len(kept))
     used = column[index] >= 0
