@@ -19,17 +19,21 @@ def spaced(lo: Column, hi: Column, n: Column) -> Column:
                        lambda i: F.when(i == 0, lo).when(i == n, hi).otherwise(lo + i * step))
 
 
-def with_pretty(df: DataFrame, lo: Column, hi: Column, n: Column, name: str) -> DataFrame:
-    """Add about ``n`` intervals of width 1, 2 or 5 times a power of ten that cover ``lo``..``hi``."""
+def with_pretty(df: DataFrame, lo: Column, hi: Column, n: Column, name: str, min_n: int | None = None, shrink: float = SHRINK,
+                bias: float = BIAS, bias_five: float | None = None) -> DataFrame:
+    """Add about ``n`` intervals of width 1, 2 or 5 times a power of ten that cover ``lo``..``hi``; at least ``min_n``
+    (a third of ``n``). A greater ``bias`` favours wider intervals, ``bias_five`` those of width 5."""
+    bias, shrink = float(bias), float(shrink)
+    bias_five = BIAS_FIVE - 1.5 * BIAS + 1.5 * bias if bias_five is None else float(bias_five)
     steps = [
         {"__lo": lo, "__hi": hi, "__n": n.cast("int")},
-        {"__least": "n div 3", "__scale": "greatest(abs(lo), abs(hi))", "__zero": "hi = lo and hi = 0"},
+        {"__least": "n div 3" if min_n is None else F.lit(int(min_n)).cast("long"), "__scale": "greatest(abs(lo), abs(hi))", "__zero": "hi = lo and hi = 0"},
         # A range that is tiny next to its values gets a cell that fits the values instead.
-        {"__tiny": f"zero or hi - lo < scale * {1 + 1 / (1 + BIAS)!r}D * greatest(1, n) * {3 * EPS!r}D", "__size": "if(zero, 1D, scale)"},
-        {"__cell": f"if(tiny, if(size > 10, 9 + size / 10, size) * {SHRINK}D / greatest(1, least), (hi - lo) / greatest(1, n))"},
+        {"__tiny": f"zero or hi - lo < scale * {1 + 1 / (1 + bias)!r}D * greatest(1, n) * {3 * EPS!r}D", "__size": "if(zero, 1D, scale)"},
+        {"__cell": f"if(tiny, if(size > 10, 9 + size / 10, size) * {shrink}D / greatest(1, least), (hi - lo) / greatest(1, n))"},
         {"__power": "pow(10D, floor(log10(cell)))"},
-        {"__two": f"2 * power - cell < {BIAS}D * (cell - power)", "__five": f"5 * power - cell < {BIAS_FIVE}D * (cell - 2 * power)",
-         "__ten": f"10 * power - cell < {BIAS}D * (cell - 5 * power)"},
+        {"__two": f"2 * power - cell < {bias}D * (cell - power)", "__five": f"5 * power - cell < {bias_five}D * (cell - 2 * power)",
+         "__ten": f"10 * power - cell < {bias}D * (cell - 5 * power)"},
         {"__unit": "power * case when two and five and ten then 10 when two and five then 5 when two then 2 else 1 end"},
         {"__first": f"floor(lo / unit + {ROUNDING}D)", "__last": f"ceil(hi / unit - {ROUNDING}D)"},
         {"__short": "greatest(least - (last - first), 0L)", "__at": "lo = 0 and first = 0 and hi != 0"},

@@ -33,7 +33,7 @@ def dense_index(df: DataFrame, order: Sequence, name: str = "row_index") -> Data
 def number_replicates(sim: DataFrame, n_obs: int, index: str = "row_index") -> DataFrame:
     """Position i belongs to observation ``i mod n`` of replicate ``i div n + 1``."""
     position = F.col(index)
-    return sim.withColumns({"obs_id": F.pmod(position, F.lit(n_obs)), "repl": (F.floor(position / n_obs) + 1).cast("int")})
+    return sim.withColumns({"obs_id": F.pmod(position, F.lit(n_obs)), "repl": (F.expr(f"`{index}` div {int(n_obs)}") + 1).cast("int")})
 
 
 def cyclic_label(df: DataFrame, labels: Sequence, index: str = "row_index", name: str = "label") -> DataFrame:
@@ -54,8 +54,11 @@ def from_replicate(obs: DataFrame, sim: DataFrame, value, name: str, on: str = "
     return obs.join(one, on, "left")
 
 
-def _comparable_id(df: DataFrame, name: str) -> Column:
-    return F.col(name).cast("double") if isinstance(df.schema[name].dataType, T.NumericType) else F.col(name)
+def _comparable_id(df: DataFrame, name: str, exact: bool) -> Column:
+    """Integers as integers if both tables have them, other numbers as doubles."""
+    if not isinstance(df.schema[name].dataType, T.NumericType):
+        return F.col(name)
+    return F.col(name).cast("long" if exact else "double")
 
 
 def order_report(obs: DataFrame, sim: DataFrame, order_obs: Sequence, order_sim: Sequence,
@@ -64,11 +67,12 @@ def order_report(obs: DataFrame, sim: DataFrame, order_obs: Sequence, order_sim:
     o = dense_index(obs.select(*[F.col(c) for c in dict.fromkeys([*obs.columns[:2], *order_obs])]), order_obs)
     s = dense_index(sim.select(*[F.col(c) for c in dict.fromkeys([*sim.columns[:2], *order_sim])]), order_sim)
     kinds = [isinstance(d.schema[d.columns[0]].dataType, T.NumericType) for d in (obs, sim)]
+    exact = all(isinstance(d.schema[d.columns[0]].dataType, T.IntegralType) for d in (obs, sim))
     n_obs, n_sim = o.count(), s.count()
-    left = o.select(F.col("row_index").alias("obs_id"), _comparable_id(obs, obs.columns[0]).alias("id_o"),
+    left = o.select(F.col("row_index").alias("obs_id"), _comparable_id(obs, obs.columns[0], exact).alias("id_o"),
                     F.col(obs.columns[1]).cast("double").alias("t_o"))
     right = s.select(F.pmod("row_index", F.lit(max(n_obs, 1))).alias("obs_id"),
-                     _comparable_id(sim, sim.columns[0]).alias("id_s"), F.col(sim.columns[1]).cast("double").alias("t_s"))
+                     _comparable_id(sim, sim.columns[0], exact).alias("id_s"), F.col(sim.columns[1]).cast("double").alias("t_s"))
     same = F.col("id_o").eqNullSafe(F.col("id_s")) if kinds[0] == kinds[1] else F.lit(False)
     close = F.coalesce(F.abs(F.col("t_o") - F.col("t_s")) < tol, F.lit(False))
     return right.join(left, "obs_id", "left").agg(
@@ -82,9 +86,9 @@ def check_order(obs: DataFrame, sim: DataFrame, order_obs: Sequence, order_sim:
     """Number of replicates; raises when the two tables do not line up."""
     row = order_report(obs, sim, order_obs, order_sim, tol).first()
     if not row["multiple_ok"]:
-        raise ValueError("Rows in sim is not a multiple of rows in obs")
+        raise ValueError("the number of simulated rows must be a multiple of the number of observations")
     if not row["id_ok"]:
-        raise ValueError("ID columns are not identical")
+        raise ValueError("some ID differs between the two tables")
     if not row["time_ok"]:
-        raise ValueError("Time columns are not equal")
+        raise ValueError("some Time differs between the two tables")
     return int(row["nrep"])

@@ -27,6 +27,10 @@ from .align import dense_index
 STYLES = ("fixed", "sd", "equal", "pretty", "quantile", "kmeans", "hclust", "bclust", "fisher", "jenks", "dpih")
 METHODS = ("centers", "breaks", "ntile", "eqcut", "pam", *STYLES)
 CLUSTERED = ("pam", "kmeans", "hclust", "bclust", "fisher", "jenks")
+# What each method takes beside its main parameter.
+OPTIONS = {"fixed": {"fixedBreaks"}, "quantile": {"type"}, "pretty": {"min_n", "shrink", "bias", "bias_five"}, "hclust": {"linkage"},
+           "bclust": {"seed", "iter_base", "base_centers"}, "dpih": {"gridsize"}}
+NO_STRATUM = "strata with missing values can't be used"
 NEEDS = {"centers": "centers", "breaks": "breaks", "ntile": "nbins", "eqcut": "nbins", "pam": "nbins"}
 
 BIN_COLUMNS = ("bin", "bin_num", "bin_left", "bin_right")
@@ -59,20 +63,26 @@ class BinRule:
 
     def __post_init__(self):
         if sum(v is not None for v in (self.method, self.column, self.func)) != 1:
-            raise ValueError("Incorrect binning specification")
+            raise ValueError("give exactly one of a bin column, a method and a function")
         if self.method is not None:
             if self.method not in METHODS:
-                raise ValueError(f"Unknown binning method: {self.method}")
+                raise ValueError(f"no such binning method: {self.method}")
+            unknown = set(self.options) - OPTIONS.get(self.method, set())
+            if unknown:
+                raise ValueError(f"{self.method} does not know {', '.join(sorted(unknown))}")
+        elif self.func is None and self.options:
+            raise ValueError(f"a bin column takes no {', '.join(sorted(self.options))}")
+        if self.method is not None:
             needed = NEEDS.get(self.method)
             if needed and getattr(self, needed) is None:
-                raise ValueError(f"{needed} must be specified to use this binning method")
+                raise ValueError(f"method {self.method} needs {needed}")
             if self.method == "fixed" and self.options.get("fixedBreaks") is None:
-                raise ValueError("fixedBreaks must be specified to use this binning method")
+                raise ValueError("method fixed needs fixedBreaks")
         for name in ("centers", "breaks", "nbins"):
             value = getattr(self, name)
             if isinstance(value, DataFrame):
                 if not self.by_strata:
-                    raise ValueError(f"by_strata must be True when {name} is a DataFrame")
+                    raise ValueError(f"a table of {name} has rows by stratum, so bins can't be pooled")
                 if name not in value.columns:
                     raise ValueError(f"{name} table must contain column {name}")
             elif name != "nbins" and value is not None:
@@ -82,7 +92,7 @@ class BinRule:
             if not isinstance(self.stratum, (dict, list, tuple, DataFrame)):
                 raise ValueError("stratum must be a dict, a list of dicts or a DataFrame")
             if not self.by_strata:
-                raise ValueError("by_strata must be True when stratum is specified")
+                raise ValueError("bins of chosen strata can't be pooled")
 
 
 # ---------------------------------------------------------------------------------------------- parameters
@@ -214,13 +224,13 @@ def _grouped_function(rows, strata, rule):
     schema = T.StructType([rows.schema[s] for s in strata] + [
         T.StructField("__x", T.DoubleType()), T.StructField("bin", T.StringType()), T.StructField("bin_num", T.DoubleType())])
     names = [s for s in strata if s != POOLED]
-    func = rule.func
+    func, options = rule.func, rule.options
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__x").reset_index(drop=True)
-        got = list(func(pdf["__x"], pdf["n"], **{s: pdf[s].iloc[0] for s in names}))
+        got = list(func(pdf["__x"], pdf["n"], **{s: pdf[s].iloc[0] for s in names}, **options))
         if len(got) != len(pdf):
-            raise ValueError("The binning function did not return the right number of elements")
+            raise ValueError("a bin function must return the right number of bins: one for each value")
         num = pd.to_numeric(pd.Series(got), errors="coerce").astype(float)
         text = [None if g is None or g != g else g if isinstance(g, str) else f"{g:.15g}" for g in got]
         return pd.DataFrame({**{s: pdf[s] for s in strata}, "__x": pdf["__x"], "bin": text, "bin_num": num})
@@ -287,7 +297,7 @@ class BinModel:
             return dict(zip(BIN_COLUMNS, (F.when(i.isNotNull(), F.try_element_at("__labels", i)), i.cast("double"), left, right)))
         if rule.func is not None:
             names = [s for s in self.strata if s != POOLED] + [f"__stat_{s}" for s in rule.stats]
-            value = rule.func(x, **{n.removeprefix("__stat_"): F.col(n) for n in names})
+            value = rule.func(x, **{n.removeprefix("__stat_"): F.col(n) for n in names}, **rule.options)
         else:
             value = F.col(column)
         kind = df.select(value.alias("v")).schema["v"].dataType
@@ -297,11 +307,13 @@ class BinModel:
         return dict(zip(BIN_COLUMNS, (value.cast("string"), none, none, none)))
 
 
-def fit_bins(rows: DataFrame, rule: BinRule, strata: Sequence[str] = ()) -> BinModel:
-    """Fit ``rule`` to ``rows``, which hold the strata, ``__x`` (double) and, for rank groups, ``__id``."""
+def fit_bins(rows: DataFrame, rule: BinRule, strata: Sequence[str] = (), whole: bool = False) -> BinModel:
+    """Fit ``rule`` to ``rows``, which hold the strata, ``__x`` (double) and, for rank groups, ``__id``.
+
+    ``whole`` refuses strata with missing values."""
     names = list(strata) if rule.by_strata and strata else []
     if rule.stratum is not None and not strata:
-        raise ValueError("No stratification has been specified")
+        raise ValueError("chosen strata need a stratification")
     keys = names or [POOLED]
     if keys == [POOLED]:
         rows = rows.withColumn(POOLED, F.lit(0))
@@ -313,13 +325,18 @@ def fit_bins(rows: DataFrame, rule: BinRule, strata: Sequence[str] = ()) -> BinM
         F.count(x).alias("n"), F.count(F.lit(1)).alias("n_all"), F.min(x).alias("xmin"), F.max(x).alias("xmax"),
         F.avg(x).alias("xmean"), F.stddev_samp(x).alias("sd"), *stats))
     infinite = float("inf")
-    largest, missing, unbounded = table.agg(
-        F.max("n_all"), F.sum(F.col("n_all") - F.col("n")), F.count_if((F.col("xmin") == -infinite) | (F.col("xmax") == infinite))).first()
+    no_stratum = F.lit(False)
+    for k in keys:
+        no_stratum = no_stratum | F.col(k).isNull()
+    largest, missing, unbounded, outside = table.agg(
+        F.max("n_all"), F.sum(F.col("n_all") - F.col("n")), F.count_if((F.col("xmin") == -infinite) | (F.col("xmax") == infinite)), F.count_if(no_stratum)).first()
+    if whole and outside:
+        raise ValueError(NO_STRATUM)
     largest = largest or 0
     if missing:
-        warnings.warn("x contains missing values, which could affect binning", stacklevel=3)
+        warnings.warn("some x are missing values; they get no bin", stacklevel=3)
     if unbounded:
-        warnings.warn("x contains non-finite values, which could affect binning", stacklevel=3)
+        warnings.warn("some x are non-finite values; bins may reach to infinity", stacklevel=3)
     table = _selected(table, rule, keys)
     if rule.stratum is not None:
         rows = null_safe_join(rows, small(table.select(*keys), groups), keys, "left_semi")
@@ -362,13 +379,13 @@ def _cuts(rows, keys, table, rule, largest) -> DataFrame:
     if method == "equal":
         return table.withColumn("__cuts", spaced(lo, hi, n))
     if method == "pretty":
-        return with_pretty(table, lo, hi, n, "__cuts")
+        return with_pretty(table, lo, hi, n, "__cuts", **rule.options)
     if method == "sd":
         mean, sd = F.col("xmean"), F.col("sd")
         table = with_pretty(table, (lo - mean) / sd, (hi - mean) / sd, n, "__z")
         return table.withColumn("__cuts", F.transform("__z", lambda z: z * sd + mean))
     if method == "dpih":
-        fitted = clusters.fit_plug_in(rows, keys, table, largest)
+        fitted = clusters.fit_plug_in(rows, keys, table, largest, int(rule.options.get("gridsize", clusters.GRID)))
     else:
         fitted = clusters.fit(rows, keys, table, method, rule.options)
     return null_safe_join(table, fitted.withColumnRenamed("cuts", "__cuts"), keys)

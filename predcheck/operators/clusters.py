@@ -1,25 +1,34 @@
-"""One-dimensional clustering of every stratum in one job.
+"""One-dimensional clustering of every stratum, with one answer at every size.
 
-Spark reduces each stratum to a bounded table first: its distinct values with counts when there are at most
-``CELLS`` of them (the optimum is then exact), else a quantile or grid summary. Above the bound the summary only seeds
-Lloyd rounds, which run over all the data until no centre moves. Optimal one-dimensional clusters are
-intervals, so a small dynamic program over the sorted table finds them and nothing depends on random starts.
+Optimal one-dimensional clusters are intervals of the sorted values. ``fisher``, ``jenks``, ``kmeans`` and ``pam`` look for the
+k intervals of least squared or absolute deviation. Each stratum is summarised by cells of neighbouring values; a dynamic program over the
+cells gives a solution, and another one, which pays nothing for the cells that hold a cut, a lower bound for every place
+of every cut. Cells in which an optimal cut (or median) cannot lie are settled and merged; the others are split, on the executors, until they
+hold one value each. The result is then the optimum over all values, while a task only ever holds a few thousand cells of a stratum.
+
+``hclust`` merges pairs of clusters that are each other's nearest neighbour, all at once, and notes at which height each border
+between neighbouring values disappears: the cut into k clusters is at the k - 1 highest borders. ``bclust`` resamples all values by weights
+from a hash and clusters each resample like ``kmeans``.
 """
 
 from __future__ import annotations
 
+import heapq
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.breaks import closest
 from ..functions.quantiles import grouped_quantiles
 from ..functions.values import null_safe_join
 from ..plans.storage import compact, materialize, small
+from .align import dense_index
 
-CELLS = 2000
+#: Cells that a stratum is cut into at a time, and clusters that one task finishes merging. Neither changes a result.
+CELLS = 1024
 CELLS_CONF = "predcheck.clusterCells"
-ROUNDS = 50
 
 # Number of resamples and base centres of bagged clustering; grid size of the plug-in width.
 BAGS, BASE_CENTERS, GRID = 10, 20, 401
@@ -27,34 +36,41 @@ BAGS, BASE_CENTERS, GRID = 10, 20, 401
 
 # ------------------------------------------------------------------------------ helpers on one small table
 
-def spread(values: np.ndarray, weights: np.ndarray, absolute: bool) -> np.ndarray:
-    """cost[i, j] of one cluster over the sorted values i..j: squared or absolute deviation, ``inf`` below."""
-    m = len(values)
-    w = np.concatenate([[0.0], np.cumsum(weights)])
-    s = np.concatenate([[0.0], np.cumsum(weights * values)])
-    i, j = np.arange(m)[:, None], np.arange(m)[None, :]
-    total, moment = w[j + 1] - w[i], s[j + 1] - s[i]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if absolute:
-            mid = np.searchsorted(w[1:], (w[i] + total / 2).ravel() - 1e-9).reshape(m, m)
-            mid = np.clip(mid, i, np.maximum(i, j))
-            at = values[mid]
-            left = at * (w[mid + 1] - w[i]) - (s[mid + 1] - s[i])
-            right = (s[j + 1] - s[mid + 1]) - at * (w[j + 1] - w[mid + 1])
-            cost = left + right
-        else:
-            q = np.concatenate([[0.0], np.cumsum(weights * values * values)])
-            cost = np.maximum((q[j + 1] - q[i]) - moment * moment / total, 0.0)
-    return np.where(j >= i, cost, np.inf)
+def _costs(cells: dict, absolute: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(upper, lower) bounds of the cost of one cluster over the cells i..j; 0 below the diagonal.
 
-
-def best_intervals(values, weights, k: int, absolute: bool = False) -> list[tuple[int, int]]:
-    """The ``k`` intervals (first, last index) of least total cost."""
-    m = len(values)
+    Squared deviations are exact. For absolute ones, the lowest value of the cell that holds the median is a centre that
+    exists; by convexity the true median can't gain more than its cell's width times the slope there.
+    """
+    w, s, q = (np.concatenate([[0.0], np.cumsum(cells[c])]) for c in ("w", "s", "q"))
+    m = len(w) - 1
+    i, j = np.arange(m)[:, None], np.arange(m)[None, :]
+    upto = np.maximum(j, i)
+    total, moment = w[upto + 1] - w[i], s[upto + 1] - s[i]
+    if not absolute:
+        cost = np.maximum((q[upto + 1] - q[i]) - moment * moment / total, 0.0)
+        cost = np.where(j >= i, cost, 0.0)
+        return cost, cost
+    mid = _median_cells(w, i, upto, total)
+    low, high = cells["lo"][mid], cells["hi"][mid]
+    left = w[mid] - w[i]
+    cost = low * left - (s[mid] - s[i]) + (s[upto + 1] - s[mid]) - low * (w[upto + 1] - w[mid])
+    gain = np.maximum((w[upto + 1] - w[mid]) - left, 0.0) * (high - low)
+    return np.where(j >= i, cost, 0.0), np.where(j >= i, np.maximum(cost - gain, 0.0), 0.0)
+
+
+def _median_cells(w, i, j, total) -> np.ndarray:
+    """The cell of the lower median of the cells i..j, from cumulative weights."""
+    mid = np.searchsorted(w[1:], (w[i] + total / 2).ravel() - 1e-9 * np.maximum(1.0, w[-1] * 1e-6)).reshape(total.shape)
+    return np.clip(mid, i, j)
+
+
+def best_intervals(cells: dict, k: int, cost: np.ndarray) -> tuple[list[tuple[int, int]], float]:
+    """The ``k`` intervals (first, last cell) of least total cost, and that cost."""
+    m = len(cells["w"])
     k = max(1, min(int(k), m))
-    shifted = values - np.average(values, weights=weights)
-    cost = spread(shifted, weights, absolute)
-    best, starts = cost[0], []
+    cost = np.where(np.arange(m)[None, :] >= np.arange(m)[:, None], cost, np.inf)
+    best, starts = cost[0].copy(), []
     for _ in range(1, k):
         options = cost.copy()
         options[1:] += best[:-1, None]
@@ -67,44 +83,100 @@ def best_intervals(values, weights, k: int, absolute: bool = False) -> list[tupl
         out.append((int(start[last]), last))
         last = int(start[last]) - 1
     out.append((0, last))
-    return out[::-1]
-
-
-def merge_neighbours(low: np.ndarray, high: np.ndarray, k: int, weights=None) -> list[tuple[int, int]]:
-    """Agglomerate sorted cells until ``k`` remain: by extent (complete linkage) or, given weights, by mean."""
-    groups = [(i, i) for i in range(len(low))]
-    lo, hi = list(map(float, low)), list(map(float, high))
-    w = None if weights is None else list(map(float, weights))
-    while len(groups) > max(1, k):
-        if w is None:
-            gaps = [hi[i + 1] - lo[i] for i in range(len(groups) - 1)]
-        else:
-            gaps = [lo[i + 1] - lo[i] for i in range(len(groups) - 1)]
-        i = int(np.argmin(gaps))
-        groups[i:i + 2] = [(groups[i][0], groups[i + 1][1])]
-        if w is None:
-            hi[i:i + 2] = [hi[i + 1]]
-            lo[i:i + 2] = [lo[i]]
+    return out[::-1], float(best[-1])
+
+
+def undecided(cells: dict, k: int, lower: np.ndarray, most: float, absolute: bool) -> np.ndarray:
+    """Live cells that may hold a cut (or, for absolute deviations, a median) of a solution of cost at most ``most``."""
+    m, live = len(cells["w"]), cells["live"]
+    # inner[p, q]: least cost of a cluster between cuts in the cells p - 1 and q - 1, which cost nothing; 0 and m + 1 are the ends
+    inner = np.full((m + 2, m + 2), np.inf)
+    inner[np.triu_indices(m + 2)] = 0.0
+    inner[:m, 2:] = np.where(np.arange(m)[None, :] >= np.arange(m)[:, None], lower, inner[:m, 2:])
+    inner[:, 1:m + 1][:, ~live] = np.inf
+    inner[1:m + 1][~live] = np.inf
+    inner[:, 0] = inner[m + 1] = np.inf
+    forward, backward = [inner[0]], [inner[:, m + 1]]  # forward[j][q]: j + 1 clusters before a cut in q
+    for _ in range(1, k):
+        forward.append((forward[-1][:, None] + inner)[1:m + 1].min(axis=0))
+        backward.append((inner + backward[-1][None, :])[:, 1:m + 1].min(axis=1))
+    limit = most * (1 + 1e-9) + 1e-12
+    found = np.zeros(m + 2, bool)
+    for j in range(1, k):
+        found |= forward[j - 1] + backward[k - j - 1] <= limit
+    found = found[1:m + 1]
+    if absolute:
+        w = np.concatenate([[0.0], np.cumsum(cells["w"])])
+        end = np.full(m + 2, np.inf)
+        changes = np.zeros(m + 1, np.int64)
+        for j in range(k):
+            before, after = end.copy(), end.copy()
+            before[0] = after[m + 1] = 0.0
+            before = forward[j - 1] if j else before
+            after = backward[k - j - 2] if j < k - 1 else after
+            p, q = np.nonzero(before[:, None] + inner + after[None, :] <= limit)
+            # the cluster has all cells between, and any part of those of its two cuts
+            outer_a, outer_b = np.maximum(p - 1, 0), np.minimum(q - 1, m - 1)
+            inner_a, inner_b = p, q - 2
+            from_, to = outer_a, np.maximum(inner_b, outer_a)
+            low = _median_cells(w, from_, to, w[to + 1] - w[from_])
+            from_, to = np.minimum(inner_a, outer_b), outer_b
+            high = _median_cells(w, from_, to, w[to + 1] - w[from_])
+            np.add.at(changes, np.minimum(low, high), 1)
+            np.add.at(changes, np.maximum(low, high) + 1, -1)
+        found = found | (np.cumsum(changes[:-1]) > 0)
+    return found & live
+
+
+def settle(cells: dict, k: int, absolute: bool) -> dict:
+    """One step: runs of cells that can't hold a cut are merged for good; ``live`` flags the others."""
+    if len(cells["w"]) <= k:
+        return cells
+    upper, lower = _costs(cells, absolute)
+    _, most = best_intervals(cells, k, upper)
+    found = undecided(cells, k, lower, most, absolute)
+    run = np.concatenate([[0], np.cumsum(found[1:] | found[:-1])])  # a new run wherever either neighbour is undecided
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    last = np.append(first[1:], len(run)) - 1
+    return {"lo": cells["lo"][first], "hi": cells["hi"][last], **{c: np.add.reduceat(cells[c], first) for c in ("w", "s", "q", "d")},
+            "live": found[first]}
+
+
+def border_heights(low: np.ndarray, high: np.ndarray, weight: np.ndarray, linkage: str) -> np.ndarray:
+    """The height at which each border between sorted neighbouring clusters disappears (complete, single or average linkage).
+
+    ``low`` and ``high`` are the clusters' ends; for average linkage both are the mean."""
+    n = len(low)
+    lo, hi, w = list(map(float, low)), list(map(float, high)), list(map(float, weight))
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    heights = np.zeros(max(0, n - 1))
+
+    def gap(i, j):
+        return lo[j] - hi[i] if linkage == "single" else hi[j] - lo[i]
+
+    heap = [(gap(i, i + 1), i, i + 1, 0, 0) for i in range(n - 1)]
+    heapq.heapify(heap)
+    version, border, top = [0] * n, list(range(n)), 0.0
+    while heap:
+        h, i, j, vi, vj = heapq.heappop(heap)
+        if version[i] != vi or version[j] != vj:
+            continue
+        top = max(top, h)
+        heights[border[i]] = top
+        if linkage == "average":
+            lo[i] = hi[i] = (w[i] * lo[i] + w[j] * lo[j]) / (w[i] + w[j])
         else:
-            mean = (w[i] * lo[i] + w[i + 1] * lo[i + 1]) / (w[i] + w[i + 1])
-            w[i:i + 2] = [w[i] + w[i + 1]]
-            lo[i:i + 2] = [mean]
-    return groups
-
-
-def bagged_cuts(values, weights, k: int, seed: int) -> list[float]:
-    """Cuts of bagged clustering: base centres of resampled data, merged by average linkage."""
-    rng = np.random.default_rng(seed)
-    centers = []
-    for _ in range(BAGS):
-        drawn = rng.poisson(weights).astype(float)
-        keep = drawn > 0
-        if keep.any():
-            v, w = values[keep], drawn[keep]
-            centers += [np.average(v[a:b + 1], weights=w[a:b + 1]) for a, b in best_intervals(v, w, BASE_CENTERS)]
-    c = np.sort(np.array(centers))
-    groups = merge_neighbours(c, c, k, np.ones(len(c)))
-    return [float(c[a[1]] + c[b[0]]) / 2 for a, b in zip(groups, groups[1:])]
+            hi[i] = hi[j]
+        w[i] += w[j]
+        border[i], right[i] = border[j], right[j]
+        version[i] += 1
+        version[j] = -1
+        if right[i] < n:
+            left[right[i]] = i
+            heapq.heappush(heap, (gap(i, right[i]), i, right[i], version[i], version[right[i]]))
+        if left[i] >= 0:
+            heapq.heappush(heap, (gap(left[i], i), left[i], i, version[left[i]], version[i]))
+    return heights
 
 
 def plug_in_width(counts: np.ndarray, delta: float) -> float:
@@ -138,101 +210,193 @@ def _per_group(cells: DataFrame, strata: list[str], fn) -> DataFrame:
     return cells.groupBy(*strata).applyInPandas(run, T.StructType(fields))
 
 
-def _summary(values: DataFrame, table: DataFrame, strata: list[str], grid: bool, cells: int) -> DataFrame:
-    """At most about ``cells`` rows (lo, hi, mid, w) per stratum."""
-    if grid:
-        span = F.col("xmax") - F.col("xmin")
-        cell = F.least(F.lit(cells - 1), F.floor((F.col("x") - F.col("xmin")) / span * cells))
-        spans = F.broadcast(table.filter("xmax > xmin").select(*strata, "xmin", "xmax"))
-        return null_safe_join(values, spans, strata, "inner").groupBy(*strata, cell.alias("cell")).agg(
-            F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mid"),
-            F.count(F.lit(1)).cast("double").alias("w")).drop("cell")
-    steps = [(i + 0.5) / cells for i in range(cells)]
-    points = F.percentile_approx("x", [0.0, *steps, 1.0], 10 * cells)
-    sketch = values.groupBy(*strata).agg(points.alias("p")).select(*strata, F.explode("p").alias("lo"))
-    return sketch.groupBy(*strata, "lo").agg(F.count(F.lit(1)).cast("double").alias("w")) \
-        .withColumns({"hi": F.col("lo"), "mid": F.col("lo")})
-
-
-def _lloyd(values: DataFrame, strata: list[str], centers: DataFrame, absolute: bool) -> DataFrame:
-    """Move the centres of all strata at once until none moves; every round scans all the data."""
-    centers, groups = compact(centers)
-    for _ in range(ROUNDS):
-        near = null_safe_join(values, small(centers, groups, 1024), strata) \
-            .select(*strata, "x", closest(F.col("x"), F.col("cuts")).alias("c"))
-        if absolute:
-            # The lower median of each cluster: a data value, as a medoid is.
-            mids = grouped_quantiles(near, [*strata, "c"], "x", [0.5], 1).select(*strata, F.col("q")[0].alias("m"))
-        else:
-            mids = near.groupBy(*strata, "c").agg(F.avg("x").alias("m"))
-        moved, _ = compact(mids.groupBy(*strata).agg(F.sort_array(F.collect_set("m")).alias("cuts")))
-        change = null_safe_join(moved, centers.withColumnRenamed("cuts", "old"), strata)
-        if not change.filter(~F.col("cuts").eqNullSafe(F.col("old"))).limit(1).count():
-            break
-        centers = moved
-    return centers
+def _numbered(values: DataFrame, strata: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(strata -> g, one row each, with a hash h of the stratum; (g, x, w) of the distinct values), both stored."""
+    groups = materialize(values.select(*strata).distinct().withColumns({"g": F.monotonically_increasing_id(), "h": F.xxhash64(*strata)}))
+    distinct = values.groupBy(*strata, "x").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return groups, materialize(null_safe_join(distinct, groups, strata, "inner").select("g", "x", "w"))
 
 
-def _breaks_of(values: DataFrame, strata: list[str], centers: DataFrame, upper_ends: bool) -> DataFrame:
-    """Breaks between the clusters around ``centers``: upper class ends, or midway between neighbours."""
-    owned = null_safe_join(values, F.broadcast(centers), strata).withColumn("c", closest(F.col("x"), F.col("cuts")))
-    ranges = owned.groupBy(*strata, "c").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    ordered = ranges.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
-    first = F.array(F.col("s")[0]["a"])
-    if upper_ends:
-        return ordered.select(*strata, F.concat(first, F.transform("s", lambda s: s["b"])).alias("cuts"))
-    gaps = F.transform(F.slice("s", 1, F.size("s") - 1), lambda s, i: (s["b"] + F.col("s")[i + 1]["a"]) / 2)
-    return ordered.select(*strata, F.concat(first, gaps, F.array(F.element_at("s", -1)["b"])).alias("cuts"))
+CELL = "g long, lo double, hi double, w double, s double, q double, d double, live boolean, k int, shift double, pieces int"
+_SUMS = ("w", "s", "q", "d")
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[dict, float, int, np.ndarray, np.ndarray]:
+    """Sorted cells about the stratum's mean, the mean, k, and the cells' ends as they are in the data."""
+    shift = float(pdf["shift"].iloc[0])
+    lo, hi = pdf["lo"].to_numpy(float), pdf["hi"].to_numpy(float)
+    cells = {"lo": lo - shift, "hi": hi - shift, "live": pdf["live"].to_numpy(bool), **{c: pdf[c].to_numpy(float) for c in _SUMS}}
+    return cells, shift, int(pdf["k"].iloc[0]), lo, hi
+
+
+def _optimum(values: DataFrame, wanted: DataFrame, absolute: bool, cells: int) -> DataFrame:
+    """(g, parts): the k intervals of least cost of each g as arrays of (a, b, m, mean): lowest, highest and median value, and mean.
+
+    ``values`` is (g, x, w), one row per distinct value; ``wanted`` (g, k)."""
+    spans = values.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("shift"),
+                                    F.count(F.lit(1)).cast("double").alias("d"))
+    zero = F.lit(0.0)
+    table = spans.join(wanted, "g").select("g", "lo", "hi", zero.alias("w"), zero.alias("s"), zero.alias("q"), "d", F.lit(True).alias("live"), "k", "shift",
+                                           F.lit(cells).alias("pieces"))
+    table, live, opened = materialize(table), values, F.lit(True)
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lo")
+        own, shift, k, lo, hi = _arrays(pdf)
+        new = settle(own, k, absolute)
+        to_split = int((new["live"] & (new["hi"] > new["lo"])).sum())
+        # as many parts that a stratum's cells stay about as many
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "lo": lo[np.searchsorted(own["lo"], new["lo"])], "hi": hi[np.searchsorted(own["hi"], new["hi"])],
+                             **{c: new[c] for c in _SUMS}, "live": new["live"], "k": k, "shift": shift, "pieces": max(4, cells // max(1, to_split))})
+
+    while True:
+        # the first round splits the whole stratum, even if it has one value; its sums are not known yet
+        cuts = table.filter(opened & F.col("live")).select("g", "lo", "hi", "d", "k", "shift", "pieces")
+        n = cuts.count()
+        if not n:
+            break
+        near = small(cuts.withColumnRenamed("g", "__g"), n)
+        inside = live.join(near, (F.col("g") == F.col("__g")) & (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+        inside = materialize(inside.select("g", "x", "w", "lo", "hi", "d", "k", "shift", "pieces"))
+        part = F.least(F.col("pieces") - 1, F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("pieces"))).cast("double")
+        place = F.when(F.col("d") <= F.col("pieces"), F.col("x")).otherwise(part)  # few values: each a cell of its own
+        off = F.col("x") - F.col("shift")
+        new = inside.groupBy("g", "lo", place.alias("place"), "k", "shift", "pieces").agg(
+            F.min("x").alias("a"), F.max("x").alias("b"), F.sum("w").alias("w"), F.sum(F.col("w") * off).alias("s"), F.sum(F.col("w") * off * off).alias("q"),
+            F.count(F.lit(1)).cast("double").alias("d"))
+        new = new.select("g", F.col("a").alias("lo"), F.col("b").alias("hi"), *_SUMS, F.lit(True).alias("live"), "k", "shift", "pieces")
+        rows = new.unionByName(table.filter(~(opened & F.col("live"))))
+        table = materialize(rows.groupBy("g").applyInPandas(step, CELL))
+        live, opened = inside.select("g", "x", "w"), F.col("hi") > F.col("lo")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, shift, k, lo, hi = _arrays(pdf.sort_values("lo"))
+        parts, _ = best_intervals(own, k, _costs(own, absolute)[0])
+        w = np.concatenate([[0.0], np.cumsum(own["w"])])
+        out = []
+        for a, b in parts:
+            mid = _median_cells(w, np.array([a]), np.array([b]), w[b + 1:b + 2] - w[a:a + 1])[0]
+            out.append({"a": lo[a], "b": hi[b], "m": lo[mid], "mean": shift + own["s"][a:b + 1].sum() / own["w"][a:b + 1].sum()})
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "parts": [out]})
+
+    return table.groupBy("g").applyInPandas(solve, "g long, parts array<struct<a: double, b: double, m: double, mean: double>>")
+
+
+def _merged(values: DataFrame, wanted: DataFrame, linkage: str, cells: int) -> DataFrame:
+    """(g, cuts): breaks from the lowest to the highest value at the k - 1 borders that agglomeration keeps longest."""
+    rows = values.select("g", F.col("x").alias("lo"), F.col("x").alias("hi"), "w", F.col("x").alias("first"), F.col("x").alias("last"))
+    borders = None
+    while (rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > cells:
+        # clusters in order of their position; neighbours are found by position, so no stratum is in one task
+        at = dense_index(rows, ["g", "lo"], "at")
+        sides = at.select("g", "lo", "hi", "w", "first", "last", "at")
+        after = sides.select("g", (F.col("at") - 1).alias("at"), *[F.col(c).alias(f"n_{c}") for c in ("lo", "hi", "w", "first", "last")])
+        gap = F.col("n_lo") - F.col("hi") if linkage == "single" else F.col("n_hi") - F.col("lo")
+        pairs = materialize(sides.join(after, ["g", "at"], "left").withColumn("gap", gap))
+        left = pairs.select("g", (F.col("at") + 1).alias("at"), F.col("gap").alias("gap_left"))
+        right = pairs.select("g", (F.col("at") - 1).alias("at"), F.col("gap").alias("gap_right"))
+        # of equal gaps the left one is nearer, so exactly one border of every tie is chosen
+        chosen = pairs.join(left, ["g", "at"], "left").join(right, ["g", "at"], "left").withColumn(
+            "joins", F.expr("gap is not null and (gap_left is null or gap < gap_left) and (gap_right is null or gap <= gap_right)"))
+        chosen = materialize(chosen)
+        gone = chosen.filter("joins").select("g", F.col("last").alias("below"), F.col("n_first").alias("above"), F.col("gap").alias("height"))
+        borders = gone if borders is None else borders.unionByName(gone)
+        taken = chosen.filter("joins").select("g", (F.col("at") + 1).alias("at"), F.lit(True).alias("taken"))
+        kept = chosen.join(taken, ["g", "at"], "left_anti")
+        mean = (F.col("lo") * F.col("w") + F.col("n_lo") * F.col("n_w")) / (F.col("w") + F.col("n_w"))
+        ends = {"lo": mean, "hi": mean} if linkage == "average" else {"lo": F.col("lo"), "hi": F.col("n_hi")}
+        rows = materialize(kept.select("g", *[F.when(F.col("joins"), c).otherwise(F.col(n)).alias(n) for n, c in ends.items()],
+                                       F.when(F.col("joins"), F.col("w") + F.col("n_w")).otherwise(F.col("w")).alias("w"), "first",
+                                       F.when(F.col("joins"), F.col("n_last")).otherwise(F.col("last")).alias("last")))
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lo")
+        heights = border_heights(pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["w"].to_numpy(), linkage)
+        below, above = pdf["last"].to_numpy()[:-1], pdf["first"].to_numpy()[1:]
+        return pd.DataFrame({"g": pdf["g"].iloc[0] if len(pdf) else 0, "below": below, "above": above, "height": heights})
+
+    rest = rows.groupBy("g").applyInPandas(finish, "g long, below double, above double, height double")
+    every = rest if borders is None else rest.unionByName(borders)
+    # a border outlasts those below it in height; of equal heights the lower border goes first
+    place = Window.partitionBy("g").orderBy(F.col("height").desc(), F.col("below").desc())
+    kept = every.join(wanted, "g").withColumn("place", F.row_number().over(place)).filter("place < k")
+    cuts = kept.groupBy("g").agg(F.array_sort(F.collect_list((F.col("below") + F.col("above")) / 2)).alias("inner"))
+    ends = values.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    none = F.array().cast("array<double>")
+    return ends.join(cuts, "g", "left").select("g", F.concat(F.array("a"), F.coalesce("inner", none), F.array("b")).alias("cuts"))
+
+
+def poisson(seed: int, bag: int):
+    """Column function (h, x, w) -> a Poisson number of mean w, from a hash of all but w."""
+    def draw(h: pa.Array, x: pa.Array, w: pa.Array) -> pa.Array:
+        key = (h.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (x.to_numpy().view(np.uint64) + np.uint64(seed * 1000 + bag))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            key = (key ^ (key >> np.uint64(shift))) * np.uint64(factor)
+        u = ((key ^ (key >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53
+        mean = w.to_numpy().astype(float)
+        out, chance = np.zeros(len(u)), np.exp(-np.minimum(mean, 600.0))
+        total, low = chance.copy(), mean <= 600
+        step = 0
+        while (left := low & (u > total) & (step < 1200)).any():  # the number whose cumulative chance reaches u
+            step += 1
+            chance = chance * mean / step
+            total = np.where(left, total + chance, total)
+            out[left] = step
+        if (~low).any():
+            out[~low] = np.maximum(0, np.round(mean[~low] + np.sqrt(mean[~low]) * np.array([NormalDist().inv_cdf(min(max(v, 1e-12), 1 - 1e-12)) for v in u[~low]])))
+        return pa.array(out)
+
+    return F.arrow_udf(draw, "double")
+
+
+def _bagged(values: DataFrame, wanted: DataFrame, cells: int, seed: int, bags: int, base: int) -> DataFrame:
+    """(g, cuts), from (g, h, x, w), of bagged clustering: ``base`` centres of each of ``bags`` resamples, merged by average linkage."""
+    drawn = None
+    for bag in range(bags):
+        one = values.select("g", F.lit(bag).alias("bag"), "x", poisson(seed, bag)("h", "x", "w").alias("w")).filter("w > 0")
+        drawn = one if drawn is None else drawn.unionByName(one)
+    drawn = materialize(drawn)
+    numbers = materialize(drawn.select("g", "bag").distinct().withColumn("own", F.monotonically_increasing_id()))
+    drawn = drawn.join(small(numbers, numbers.count()), ["g", "bag"]).select(F.col("own").alias("g"), "x", "w")
+    parts = _optimum(materialize(drawn), numbers.select(F.col("own").alias("g"), F.lit(base).alias("k")), False, cells)
+    centers = parts.select("g", F.explode("parts.mean").alias("x")).join(numbers.select(F.col("own").alias("g"), F.col("g").alias("group")), "g") \
+        .groupBy("group", "x").agg(F.count(F.lit(1)).cast("double").alias("w")).select(F.col("group").alias("g"), "x", "w")
+    cuts = _merged(materialize(centers), wanted, "average", max(cells, bags * base))
+    ends = values.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    return ends.join(cuts, "g").select("g", F.concat(F.array("a"), F.slice("cuts", 2, F.greatest(F.size("cuts") - 2, F.lit(0))), F.array("b")).alias("cuts"))
 
 
 def fit(rows: DataFrame, strata: list[str], table: DataFrame, method: str, options: dict) -> DataFrame:
     """(strata, ``cuts``): medoids for ``pam``, otherwise breaks from the smallest to the largest value.
 
-    ``rows`` holds (strata, __x); ``table`` one row per stratum with ``nbins``, ``xmin`` and ``xmax``.
+    ``rows`` holds (strata, __x); ``table`` one row per stratum with ``nbins``.
     """
     cells = int(rows.sparkSession.conf.get(CELLS_CONF, str(CELLS)))
-    values = rows.filter(F.col("__x").isNotNull()).select(*strata, F.col("__x").alias("x"))
-    guess = values.groupBy(*strata).agg(F.approx_count_distinct("x", 0.02).alias("d")).agg(F.max("d")).first()[0]
-    exact = (guess or 0) <= 2 * cells
-    if exact:
-        # Equal values are merged before anything is shuffled.
-        cell = materialize(values.groupBy(*strata, "x").agg(F.count(F.lit(1)).cast("double").alias("w")))
-        distinct = cell.groupBy(*strata).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
-        exact = distinct <= cells
-        cell = cell.select(*strata, F.col("x").alias("lo"), F.col("x").alias("hi"), F.col("x").alias("mid"), "w")
-    if not exact:
-        cell = _summary(values, table, strata, method == "hclust", cells)
-    wanted = F.broadcast(table.select(*strata, F.col("nbins").cast("int").alias("k")))
-    cell = null_safe_join(cell, wanted, strata, "inner")
-    seed = int(options.get("seed", 1))
-
-    def ends(pdf, groups):
-        lo, hi = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
-        return [lo[0], *[(hi[a[1]] + lo[b[0]]) / 2 for a, b in zip(groups, groups[1:])], hi[-1]]
-
-    def solve(pdf):
-        mid, w, k = pdf["mid"].to_numpy(float), pdf["w"].to_numpy(float), int(pdf["k"].iloc[0])
-        if method == "hclust":
-            return ends(pdf, merge_neighbours(pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), k))
-        if method == "bclust":
-            return [mid[0], *bagged_cuts(mid, w, k, seed), mid[-1]]
-        groups = best_intervals(mid, w, k, absolute=method == "pam")
+    groups, values = _numbered(rows.filter(F.col("__x").isNotNull()).select(*strata, F.col("__x").alias("x")), strata)
+    wanted = materialize(null_safe_join(groups, table.select(*strata, F.col("nbins").cast("int").alias("k")), strata, "inner").select("g", "k"))
+    if method == "hclust":
+        linkage = options.get("linkage", "complete")
+        if linkage not in ("complete", "single", "average"):
+            raise ValueError("linkage is complete, single or average")
+        cuts = _merged(values, wanted, linkage, cells)
+    elif method == "bclust":
+        hashed = values.join(groups.select("g", "h"), "g").select("g", "h", "x", "w")
+        cuts = _bagged(hashed, wanted, cells, int(options.get("seed", 1)), int(options.get("iter_base", BAGS)), int(options.get("base_centers", BASE_CENTERS)))
+    else:
+        parts = _optimum(values, wanted, method == "pam", cells)
+        first, last = F.array(F.col("parts")[0]["a"]), F.array(F.element_at("parts", -1)["b"])
         if method == "pam":
-            return [mid[a + np.searchsorted(np.cumsum(w[a:b + 1]), w[a:b + 1].sum() / 2 - 1e-9)] for a, b in groups]
-        if not exact:
-            return [np.average(mid[a:b + 1], weights=w[a:b + 1]) for a, b in groups]
-        if method == "jenks":
-            return [mid[0], *[mid[b] for _, b in groups]]
-        return ends(pdf, groups)
-
-    solved = _per_group(cell, strata, solve)
-    if exact or method in ("hclust", "bclust"):
-        return solved
-    centers = _lloyd(values, strata, solved, absolute=method == "pam")
-    return centers if method == "pam" else _breaks_of(values, strata, centers, method == "jenks")
+            found = F.col("parts.m")
+        elif method == "jenks":
+            found = F.concat(first, F.col("parts.b"))
+        else:
+            inner = F.slice("parts", 1, F.size("parts") - 1)
+            found = F.concat(first, F.transform(inner, lambda p, i: (p["b"] + F.col("parts")[i + 1]["a"]) / 2), last)
+        cuts = parts.select("g", found.alias("cuts"))
+    return groups.join(cuts, "g").drop("g", "h")
 
 
-def fit_plug_in(rows: DataFrame, strata: list[str], table: DataFrame, largest: int) -> DataFrame:
+def fit_plug_in(rows: DataFrame, strata: list[str], table: DataFrame, largest: int, grid: int = GRID) -> DataFrame:
     """Breaks of the plug-in bin width, from the smallest value on. Only grid counts leave the executors."""
     quartiles = grouped_quantiles(rows, strata, "__x", [0.25, 0.75], largest=largest)
     iqr = quartiles.select(*strata, ((F.col("q")[1] - F.col("q")[0]) / 1.349).alias("iqr"))
@@ -242,18 +406,18 @@ def fit_plug_in(rows: DataFrame, strata: list[str], table: DataFrame, largest: i
     if scaled.filter("scale is null").limit(1).count():
         raise ValueError("dpih needs a positive spread in every stratum")
     data = rows.filter(F.col("__x").isNotNull())
-    at = (F.col("__x") - F.col("xmin")) / (F.col("xmax") - F.col("xmin")) * (GRID - 1)
-    cell = F.least(F.floor(at), F.lit(GRID - 2)).cast("int")
+    at = (F.col("__x") - F.col("xmin")) / (F.col("xmax") - F.col("xmin")) * (grid - 1)
+    cell = F.least(F.floor(at), F.lit(grid - 2)).cast("int")
     binned = null_safe_join(data, small(scaled, groups), strata, "inner").withColumn("at", at) \
         .groupBy(*strata, cell.alias("cell"), "xmin", "xmax", "scale").agg(
             F.sum(1 - (F.col("at") - cell)).alias("low"), F.sum(F.col("at") - cell).alias("high"))
 
     def solve(pdf):
-        counts = np.zeros(GRID)
+        counts = np.zeros(grid)
         np.add.at(counts, pdf["cell"].to_numpy(int), pdf["low"].to_numpy(float))
         np.add.at(counts, pdf["cell"].to_numpy(int) + 1, pdf["high"].to_numpy(float))
         a, b, scale = (float(pdf[c].iloc[0]) for c in ("xmin", "xmax", "scale"))
-        width = scale * plug_in_width(counts, (b - a) / scale / (GRID - 1))
+        width = scale * plug_in_width(counts, (b - a) / scale / (grid - 1))
         return a + width * np.arange(int(np.ceil((b - a) / width)) + 1)
 
     return _per_group(binned.withColumn("lo", F.col("cell")), strata, solve)

@@ -22,7 +22,7 @@ def _terms(side: str) -> list[str]:
 def split_formula(formula: str) -> tuple[list[str], list[str], bool]:
     """``~ a + b`` gives columns only, ``a ~ b`` rows and columns; ``.`` is an empty side."""
     if not isinstance(formula, str) or formula.count("~") != 1:
-        raise ValueError("Expecting a formula")
+        raise ValueError("a stratification formula has one ~, as in '~ a' or 'a ~ b'")
     left, right = formula.split("~")
     return _terms(left), _terms(right), bool(left.strip())
 
@@ -42,8 +42,8 @@ def as_terms(values: Sequence, derived: dict[str, Column]) -> list[Term]:
 def check_terms(rows: list[Term], cols: list[Term]) -> None:
     names = [n for n, _ in rows + cols]
     if not names:
-        raise ValueError("Invalid stratification formula: no variables specified")
+        raise ValueError("the stratification names no variable")
     if set(names) & set(RESERVED) or any(n.startswith("__") for n in names):
-        raise ValueError("The names used for stratification must not include: " + ", ".join(RESERVED))
+        raise ValueError("these names are taken and can't be strata: " + ", ".join(RESERVED))
     if len(set(names)) != len(names):
         raise ValueError("a stratification variable is given twice")

@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.quantiles import PILOTS, bracketed_quantiles, brackets_pay
 from ..functions.values import as_column, as_double, null_safe_join
 from ..operators import align, bininfo as info, correct, statistics as st, strata as sf
-from ..operators.binning import BinModel, BinRule, fit_bins
-from .storage import BROADCAST_BYTES, compact, group_sizes, small, split_rows
+from ..operators.binning import NO_STRATUM, BinModel, BinRule, fit_bins
+from .storage import broadcast_bytes, compact, group_sizes, small, split_rows
 
-#: Estimated size of one observation (id, strata, bin, limit, correction) in a broadcast table.
-OBS_ROW_BYTES = 128
+#: Size of one observation (id, group, limit, correction) in a broadcast table.
+OBS_ROW_BYTES = 64
 
 
 def _id_column(id) -> Column:
@@ -34,7 +34,7 @@ def _id_column(id) -> Column:
 # What the kept intermediate results depend on.
 _OBS_FIELDS = ("data", "id", "x", "y", "pred", "blq", "lloq", "strat_rows", "strat_cols", "layers", "drop_blq")
 _CACHED = {"_obs": _OBS_FIELDS, "_groups": (*_OBS_FIELDS, "by_strata", "xbin", "predcor"),
-           "sizes": (*_OBS_FIELDS, "by_strata", "xbin", "predcor")}
+           "sizes": (*_OBS_FIELDS, "by_strata", "xbin", "predcor"), "_replicates": ("data", "id", "sim")}
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,7 @@ class VPC:
     log: bool = False
     lower_bound: float = 0.0
     drop_blq: bool = False
+    check: bool = True
     qpred: tuple[float, ...] | None = None
     conf_level: float = 0.95
     quantile_type: int = 7
@@ -80,9 +81,21 @@ class VPC:
                 out.__dict__[name] = self.__dict__[name]
         return out
 
-    def simulated(self, data: DataFrame, y, *, id=None, repl="repl", order: Sequence | None = None) -> "VPC":
+    def _joined(self, data: DataFrame | None) -> "VPC":
+        """The check with the columns of ``data``, one row per observation, added to its table (or replacing columns)."""
+        if data is None:
+            return self
+        keys = list(self.id) if isinstance(self.id, (list, tuple)) else [self.id]
+        if self.positions is not None or not all(isinstance(k, str) for k in keys):
+            raise ValueError("data= needs observations that are identified by named columns")
+        added = [c for c in data.columns if c not in keys]
+        return self.update(data=self.data.drop(*added).join(data.select(*keys, *added), keys, "left"))
+
+    def simulated(self, data: DataFrame, y, *, id=None, repl="repl", order: Sequence | None = None, check: bool = True) -> "VPC":
         """Replicates. Either ``id`` and ``repl`` say which observation and replicate a row belongs to, or
-        ``order`` says how to number the rows (the observations must then have been given an order too)."""
+        ``order`` says how to number the rows (the observations must then have been given an order too).
+
+        With ids, ``statistics`` checks that every replicate has every observation once; ``check=False`` leaves it out."""
         if order is not None:
             if self.positions is None:
                 raise ValueError("simulated(order=...) needs observed(order=...)")
@@ -90,40 +103,55 @@ class VPC:
             narrow = data.select(*[c.alias(n) for n, c in keys.items()], as_double(y).alias("y"))
             rows = align.dense_index(narrow, list(keys))
             if rows.count() % max(self.positions, 1):
-                raise ValueError("Rows in sim is not a multiple of rows in obs")
+                raise ValueError("the number of simulated rows must be a multiple of the number of observations")
             numbered = align.number_replicates(rows, self.positions)
-            return self.update(sim=numbered.select("obs_id", "repl", "y"))
+            return self.update(sim=numbered.select("obs_id", "repl", "y"), check=False)
         return self.update(sim=data.select(_id_column(self.id if id is None else id).alias("obs_id"),
-                                           as_column(repl).cast("int").alias("repl"), as_double(y).alias("y")))
+                                           as_column(repl).cast("int").alias("repl"), as_double(y).alias("y")), check=check)
+
+    def censoring(self, blq=None, lloq=None, *, data: DataFrame | None = None) -> "VPC":
+        """Replace the flag, the limit or both; what is left out keeps its value, also a flag that came from the limit.
 
-    def censoring(self, blq=None, lloq=None) -> "VPC":
-        """Replace the flag, the limit or both; what is left out keeps the value given to ``observed``."""
-        limit = self.lloq if lloq is None else lloq
-        return self.update(blq=self.blq if blq is None else blq, lloq=limit)
+        Once censored rows are left out, another flag means other rows: bins and correction have to be given again."""
+        flag = blq if blq is not None else self.blq if self.blq is not None else as_double(self.y) < as_double(self.lloq)
+        out = self._joined(data).update(blq=flag, lloq=self.lloq if lloq is None else lloq)
+        return out._unbinned() if self.drop_blq else out
 
     def filter_blq(self) -> "VPC":
-        """Leave out observations below the limit and simulated values below it."""
-        return self.update(drop_blq=True)
+        """Leave out observations below the limit, and simulated values below it.
+
+        A missing flag leaves an observation out; a missing simulated value, or limit, leaves a simulated row in. An
+        observation that is left out takes its simulated values with it. Bins that were fitted to the rows left out
+        are dropped, and the correction with them."""
+        return self if self.drop_blq else self.update(drop_blq=True)._unbinned()
+
+    def _unbinned(self) -> "VPC":
+        return self.update(layers=(), predcor=False, qpred=None)
 
     def stratify(self, formula: str | None = None, *, rows: Sequence = (), cols: Sequence = (),
-                 derived: dict[str, Column] | None = None) -> "VPC":
+                 derived: dict[str, Column] | None = None, data: DataFrame | None = None) -> "VPC":
         """``"~ a + b"``, ``"a ~ b"`` or explicit sides. Bins and correction have to be given again."""
         two_sided = bool(rows)
         if formula is not None:
             rows, cols, two_sided = sf.split_formula(formula)
         left, right = sf.as_terms(rows, derived or {}), sf.as_terms(cols, derived or {})
         sf.check_terms(left, right)
-        return self.update(strat_rows=tuple(left), strat_cols=tuple(right), two_sided=two_sided,
-                           layers=(), predcor=False, qpred=None)
+        return self._joined(data).update(strat_rows=tuple(left), strat_cols=tuple(right), two_sided=two_sided)._unbinned()
 
     def binning(self, bin=None, *, method: str | None = None, func: Callable | None = None, nbins=None, centers=None,
                 breaks=None, xbin: Any = "xmedian", altx=None, stratum=None, by_strata: bool = True, right: bool = False,
-                quantile_type: int = 7, stats: dict | None = None, grouped: bool = False, **options) -> "VPC":
-        """Bins from a column (``bin``), a named ``method``, a ``func``, or a numeric ``xbin`` column."""
+                quantile_type: int = 7, stats: dict | None = None, grouped: bool = False, data: DataFrame | None = None,
+                **options) -> "VPC":
+        """Bins from a column (``bin``), a named ``method``, a ``func``, or a numeric ``xbin`` column.
+
+        ``options`` are those of the method, or further arguments of ``func``; a method refuses names it does not know."""
+        if data is not None:
+            return self._joined(data).binning(bin, method=method, func=func, nbins=nbins, centers=centers, breaks=breaks, xbin=xbin, altx=altx, stratum=stratum,
+                                              by_strata=by_strata, right=right, quantile_type=quantile_type, stats=stats, grouped=grouped, **options)
         if isinstance(xbin, Column):
             bin, method, func = xbin, None, None
         elif not callable(xbin) and xbin not in info.INFO_COLUMNS:
-            raise ValueError("Invalid xbin")
+            raise ValueError(f"xbin must be a Column, a function or one of {', '.join(info.INFO_COLUMNS)}")
         elif bin is None and method is None and func is None:
             method = "centers" if centers is not None else "breaks" if breaks is not None else None
         per_row = nbins if isinstance(nbins, (str, Column)) else None
@@ -135,16 +163,18 @@ class VPC:
         if per_row is not None:
             inputs["__nbins"] = as_column(per_row)
         rows = self._observed().select(*[c.alias(n) for n, c in self._strata()], *[c.alias(n) for n, c in inputs.items()])
-        model = fit_bins(rows, rule, self.strata if by_strata or stratum is not None else [])
+        model = fit_bins(rows, rule, self.strata if by_strata or stratum is not None else [], whole=True)
         kept = self.layers if stratum is not None else ()
         return self.update(layers=(*kept, Layer(model, x, bin)), by_strata=by_strata, xbin=xbin, predcor=False, qpred=None)
 
-    def predcorrect(self, pred=None, *, log: bool = False, lower_bound: float = 0.0) -> "VPC":
+    def predcorrect(self, pred=None, *, log: bool = False, lower_bound: float = 0.0, data: DataFrame | None = None) -> "VPC":
+        if data is not None:
+            return self._joined(data).predcorrect(pred, log=log, lower_bound=lower_bound)
         pred = self.pred if pred is None else pred
         if pred is None:
-            raise ValueError("No pred specified")
+            raise ValueError("prediction correction needs pred")
         if not self.layers:
-            raise ValueError("Need to specify binning before pred correction")
+            raise ValueError("prediction correction needs bins: call binning first")
         return self.update(pred=pred, predcor=True, log=log, lower_bound=lower_bound)
 
     def nopredcorrect(self) -> "VPC":
@@ -154,14 +184,37 @@ class VPC:
                    quantile_type: int = 7) -> "VPC":
         """Ask for the quantile and percent-below-limit tables, ``stats`` and ``pctblq``."""
         if not self.layers:
-            raise ValueError("Need to specify binning before the statistics")
+            raise ValueError("statistics needs bins: call binning first")
         if self.sim is None:
-            raise ValueError("Need simulated data before the statistics")
+            raise ValueError("statistics needs replicates: call simulated first")
         out = self.update(qpred=tuple(float(p) for p in qpred), conf_level=conf_level, quantile_type=quantile_type)
         if out.sizes["missing_bins"]:
-            warnings.warn("There are bins missing. Has binning been specified for all strata?", stacklevel=2)
+            warnings.warn("some observations have no bin; not every stratum may have been binned", stacklevel=2)
+        if out.check and (bad := out._replicates["misaligned"]):
+            raise ValueError(f"{bad} replicates do not have every observation exactly once, e.g. {out._replicates['example']}; "
+                             "see alignment(), or pass check=False to simulated()")
         return out
 
+    def alignment(self) -> DataFrame:
+        """One row per replicate: repl, rows, and aligned, whether it has every observation exactly once.
+
+        Ids are compared by their number and two checksums, so the simulated rows are read once and never shuffled."""
+        keys = self.data.select(_id_column(self.id).alias("obs_id"))
+        sums = [F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("obs_id").bitwiseAND(F.lit((1 << 40) - 1))).alias("low"), F.bit_xor(F.xxhash64("obs_id")).alias("xor")]
+        unique = F.count(F.lit(1)) == F.count_distinct("obs_id")
+        want = keys.agg(*[c.alias(f"want_{n}") for c, n in zip(sums, ("rows", "low", "xor"))], unique.alias("unique"))
+        right = F.col("unique") & (F.col("rows") == F.col("want_rows")) & F.col("low").eqNullSafe(F.col("want_low")) & F.col("xor").eqNullSafe(F.col("want_xor"))
+        by_replicate = self.sim.groupBy("repl").agg(*sums)
+        return by_replicate.join(F.broadcast(want)).select("repl", "rows", (right & F.col("repl").isNotNull()).alias("aligned"))
+
+    @cached_property
+    def _replicates(self) -> dict:
+        """Replicates, those that are misaligned and one of them, and pilots: replicate numbers spread over all of them."""
+        shares = [(i + 0.5) / PILOTS for i in range(PILOTS)]
+        row = self.alignment().agg(F.count("repl"), F.count_if(~F.col("aligned")), F.min(F.when(~F.col("aligned"), F.col("repl"))),
+                                   F.percentile_approx("repl", shares, 1000)).first()
+        return {"count": row[0], "misaligned": row[1], "example": row[2], "pilots": sorted(set(row[3] or []))}
+
     # ------------------------------------------------------------------------------------- working tables
 
     @property
@@ -206,7 +259,7 @@ class VPC:
 
     def _need_bins(self) -> None:
         if not self.layers:
-            raise ValueError("Need to specify binning first")
+            raise ValueError("there are no bins yet: call binning first")
 
     @cached_property
     def _bound(self) -> tuple[int, int]:
@@ -243,7 +296,7 @@ class VPC:
                                F.sum(F.when(F.col("bin").isNull(), F.col("rows"))).alias("missing_bins"),
                                F.sum("rows").alias("rows"), F.sum("below").alias("below"), F.count_if(no_stratum).alias("no_stratum")).first()
         if row["no_stratum"]:
-            raise ValueError("stratification variables must not have missing values")
+            raise ValueError(NO_STRATUM)
         return {k: row[k] or 0 for k in ("largest", "bins", "missing_bins", "rows", "below")}
 
     def _grouped_obs(self) -> DataFrame:
@@ -257,10 +310,10 @@ class VPC:
         """Simulated rows with the gid (and more, if named) of their observation; ``y`` raw, ``v`` corrected."""
         names = dict.fromkeys(["gid", *carried, *(["lloq"] if self.drop_blq else []), *(["pc"] if self.predcor else [])])
         obs = self._grouped_obs().select("obs_id", *names)
-        # Observations go to every executor only when their counted rows are few; the simulated rows never do,
-        # whatever size Spark estimates for them.
-        fits = self.sizes["rows"] * OBS_ROW_BYTES <= BROADCAST_BYTES
-        rows = self.sim.join(F.broadcast(obs) if fits else obs.hint("merge"), "obs_id")
+        # Observations go to every executor only when their counted rows are few; the simulated rows never do, whatever
+        # size Spark estimates for them. Beyond that, each task builds a table of its observations: no sort of the replicates.
+        fits = self.sizes["rows"] * OBS_ROW_BYTES <= broadcast_bytes(self.data.sparkSession)
+        rows = self.sim.join(F.broadcast(obs) if fits else obs.hint("shuffle_hash"), "obs_id")
         if self.drop_blq:
             rows = rows.filter("y >= lloq or y is null or lloq is null")
         value = correct.corrected(F.col("y"), F.col("pc"), self.log, self.lower_bound) if self.predcor else F.col("y")
@@ -288,19 +341,21 @@ class VPC:
 
     def bininfo(self, by_strata: bool | None = None) -> DataFrame:
         """One row per (strata, bin): nobs, xmedian, xmean, xmin, xmax, xmid, xleft, xright, xcenter."""
-        return self._info(self.by_strata if by_strata is None else by_strata)
+        by_strata = self.by_strata if by_strata is None else by_strata
+        return self._info(by_strata).orderBy(*self.strata, "xmin", "bin")
 
     def _bins(self, extra: dict[str, Column]) -> DataFrame:
         keys = [*self.strata, "bin"]
         if isinstance(self.xbin, str):
             return self._info(self.by_strata, extra).select(*keys, "bin_num", F.col(self.xbin).alias("xbin"), *extra)
-        value = F.min("bin_num") if isinstance(self.xbin, Column) else self.xbin(F.col("__bx"))
+        value = F.min("__bx") if isinstance(self.xbin, Column) else self.xbin(F.col("__bx"))
         return self._obs_with_x().groupBy(*keys).agg(F.min("bin_num").alias("bin_num"), value.alias("xbin"),
                                                      *[c.alias(n) for n, c in extra.items()])
 
     def _obs_with_x(self) -> DataFrame:
-        """Binned observations plus ``__bx``, the variable that was binned last."""
-        return dataclasses.replace(self, pred=self.layers[-1].x).obs().withColumnRenamed("pred", "__bx")
+        """Binned observations plus ``__bx``: the column that is xbin, else the variable that was binned last."""
+        wanted = self.xbin if isinstance(self.xbin, Column) else self.layers[-1].x
+        return dataclasses.replace(self, pred=wanted).obs().withColumnRenamed("pred", "__bx")
 
     def bins(self) -> DataFrame:
         """(strata, bin, bin_num, xbin): the x value that represents each bin."""
@@ -323,10 +378,9 @@ class VPC:
         """(gid, repl, q_index, y): the heavy step, one shuffle of the simulated rows or of those near a quantile."""
         rows, largest = self._grouped_sim().select("gid", "repl", "v"), self.sizes["largest"]
         if brackets_pay(largest, 10 * PILOTS, self.qpred):
-            numbers = sorted(r[0] for r in self.sim.select("repl").distinct().collect() if r[0] is not None)
-            if brackets_pay(largest, len(numbers), self.qpred):
-                pilots = numbers[::len(numbers) // PILOTS][:PILOTS]
-                return st.to_long(bracketed_quantiles(rows, ["gid"], "repl", pilots, "v", self.qpred, self.quantile_type, largest),
+            known = self._replicates
+            if brackets_pay(largest, known["count"], self.qpred):
+                return st.to_long(bracketed_quantiles(rows, ["gid"], "repl", known["pilots"], "v", self.qpred, self.quantile_type, largest),
                                   ["gid", "repl"])
         # Replicates of a bin resemble each other, so split points of large groups are shared between them.
         return st.long_quantiles(rows, ["gid", "repl"], "v", self.qpred, self.quantile_type, largest, ["gid"])
@@ -366,14 +420,9 @@ class VPC:
 
     def summary(self) -> DataFrame:
         """One row: replicates, prediction_corrected, stratified_by, has_stats."""
-        counts = self._observed().agg(F.count(F.lit(1)).alias("n_obs"))
-        if self.sim is None:
-            replicates = F.lit(None).cast("long")
-        else:
-            counts = counts.select("n_obs", F.lit(self.sim.count()).alias("n_sim"))
-            replicates = F.expr("n_sim div n_obs")
-        return counts.select(replicates.alias("replicates"), F.lit(self.predcor).alias("prediction_corrected"),
-                             F.lit(", ".join(self.strata)).alias("stratified_by"), F.lit(self.qpred is not None).alias("has_stats"))
+        replicates = F.lit(None).cast("long") if self.sim is None else F.count_distinct("repl").cast("long")
+        counts = (self.data.limit(1) if self.sim is None else self.sim).agg(replicates.alias("replicates"), F.lit(self.predcor).alias("prediction_corrected"))
+        return counts.withColumns({"stratified_by": F.lit(", ".join(self.strata)), "has_stats": F.lit(self.qpred is not None)})
 
 
 def observed(data: DataFrame, x, yobs=None, *, y=None, id=None, order: Sequence | None = None, pred=None, blq=None,

@@ -6,6 +6,7 @@ cluster names in ``spark.checkpoint.dir``, so it outlives any executor and cuts
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,7 @@ SPLIT_ROWS_CONF = "predcheck.splitRows"
 SPLIT_ROWS_DEFAULT = 4_000_000
 
 #: Largest estimated size, in bytes, of a table sent to every executor.
+BROADCAST_CONF = "predcheck.broadcastBytes"
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 _local_dirs: dict[str, str] = {}
@@ -25,12 +27,16 @@ def split_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(SPLIT_ROWS_CONF, str(SPLIT_ROWS_DEFAULT)))
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    return int(spark.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a scratch folder only when Spark runs in one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _local_dirs:
@@ -48,7 +54,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, rows: int, row_bytes: int = 256) -> DataFrame:
     """Hint a broadcast when the counted rows fit; otherwise leave the join to Spark."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows * row_bytes <= broadcast_bytes(df.sparkSession) else df
 
 
 def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:

@@ -154,7 +154,7 @@ def test_steps_are_checked(spark):
 def test_missing_bins_warn(spark):
     obs = small(spark)
     v = check(spark, obs, replicates(spark, obs)).binning(method="ntile", nbins=2, stratum={"strat": "a"})
-    with pytest.warns(UserWarning, match="bins missing"):
+    with pytest.warns(UserWarning, match="no bin"):
         out = v.statistics()
     assert {(r.strat, r.bin) for r in out.stats.collect()} == {("a", "1"), ("a", "2"), ("b", None)}
     with warnings.catch_warnings():
