@@ -481,18 +481,102 @@ def bin_style_default_count(spark, sf):
     return cut_rows(spark, sf, method="equal")
 
 
+def intervals_sql(k, src="obs", absolute=False):
+    """The k intervals of least cost of every stratum by dynamic programming over all pairs of distinct values:
+    best(strat, cost, parts), parts being {a, b, m} with the lowest, highest and lower median value of an interval."""
+    if absolute:
+        # the lower median of the sorted rows f..t is row (f + t) // 2
+        prefix = f"""r AS (SELECT strat, x, row_number() OVER (PARTITION BY strat ORDER BY x) AS n, sum(x) OVER (PARTITION BY strat ORDER BY x ROWS UNBOUNDED PRECEDING) AS S FROM {src}),
+v AS (SELECT strat, x, row_number() OVER (PARTITION BY strat ORDER BY x) AS i, f, t FROM (SELECT strat, x, min(n) AS f, max(n) AS t FROM r GROUP BY strat, x)),
+c AS (SELECT a.strat, a.i, z.i AS j, (h.x * (h.n - a.f + 1) - (h.S - fr.S + fr.x)) + ((tr.S - h.S) - h.x * (z.t - h.n)) AS cost, h.x AS m
+  FROM v a JOIN v z ON a.strat = z.strat AND z.i >= a.i JOIN r h ON h.strat = a.strat AND h.n = (a.f + z.t) // 2
+  JOIN r fr ON fr.strat = a.strat AND fr.n = a.f JOIN r tr ON tr.strat = a.strat AND tr.n = z.t)"""
+    else:
+        prefix = f"""r AS (SELECT strat, x, count(*)::DOUBLE AS w, avg(avg(x)) OVER (PARTITION BY strat) AS o FROM {src} GROUP BY strat, x),
+v AS (SELECT strat, x, row_number() OVER u AS i, sum(w) OVER u AS W, sum(w * (x - o)) OVER u AS S, sum(w * (x - o) * (x - o)) OVER u AS Q
+  FROM r WINDOW u AS (PARTITION BY strat ORDER BY x)),
+q AS (SELECT strat, i + 1 AS i, W, S, Q FROM v UNION ALL SELECT DISTINCT strat, 1, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM v),
+c AS (SELECT a.strat, a.i, z.i AS j, (z.Q - a.Q) - (z.S - a.S) * (z.S - a.S) / (z.W - a.W) AS cost, NULL::DOUBLE AS m FROM q a JOIN v z ON a.strat = z.strat AND z.i >= a.i)"""
+    layers = ["l1 AS (SELECT strat, j, cost, [{'i': i, 'j': j, 'm': m}] AS parts FROM c WHERE i = 1)"]
+    for n in range(2, k + 1):
+        layers.append(f"""l{n} AS (SELECT c.strat, c.j, min(l.cost + c.cost) AS cost, arg_min(l.parts || [{{'i': c.i, 'j': c.j, 'm': c.m}}], l.cost + c.cost) AS parts
+  FROM c JOIN l{n - 1} l ON l.strat = c.strat AND l.j = c.i - 1 GROUP BY c.strat, c.j)""")
+    last = f"""w AS (SELECT l.strat, cost, unnest(parts) AS p, generate_subscripts(parts, 1) AS n FROM l{k} l JOIN (SELECT strat, max(i) AS i FROM v GROUP BY strat) e ON e.strat = l.strat AND e.i = l.j),
+best AS (SELECT w.strat AS s, any_value(cost) AS cost, list({{'a': f.x, 'b': t.x, 'm': p.m}} ORDER BY n) AS parts
+  FROM w JOIN v f ON f.strat = w.strat AND f.i = p.i JOIN v t ON t.strat = w.strat AND t.i = p.j GROUP BY w.strat)"""
+    return ",\n".join([prefix, *layers, last])
+
+
+HALFWAY = "[parts[1].a] || list_transform(range(2, len(parts) + 1), lambda z: (parts[z - 1].b + parts[z].a) / 2) || [parts[len(parts)].b]"
+UPPER_ENDS = "[parts[1].a] || list_transform(parts, lambda z: z.b)"
+CLUSTER_LABEL = """binned AS (SELECT *, i AS b FROM cut),
+labels AS (SELECT DISTINCT strat, i AS b, printf('[%.3g,%.3g', e[i], e[i + 1]) || CASE WHEN i = len(e) - 1 THEN ']' ELSE ')' END AS bin FROM cut)"""
+
+
+def clusters_sql(breaks):
+    return with_(OBS, intervals_sql(4), cut_sql(breaks).replace("FROM lim", "FROM lim JOIN best ON s = strat"), CLUSTER_LABEL, INFO,
+                 select=f"SELECT strat, bin, b::DOUBLE AS bin_num, {INFO_OUT} FROM info JOIN labels USING (strat, b)")
+
+
+_CLUSTERS = {"kmeans": clusters_sql(HALFWAY), "fisher": clusters_sql(HALFWAY), "jenks": clusters_sql(UPPER_ENDS)}
+
+
 def _clustered(method):
     def run(spark, sf):
         v = stratified(spark, sf).binning(method=method, nbins=4)
         return rounded(v.bininfo())
     run.__name__ = "bin_by_medoids" if method == "pam" else f"bin_style_{method}"
-    return query()(run)
+    return query(_CLUSTERS.get(method))(run)
 
 
 for _m in ("pam", "kmeans", "hclust", "bclust", "fisher", "jenks", "dpih"):
     _clustered(_m)
 
 
+# The least cost is unique even where several sets of intervals reach it. Prices have thousands of distinct values a stratum.
+PRICES = "obs AS (SELECT o_orderpriority AS strat, o_totalprice AS x FROM orders)"
+
+
+def prices(spark, sf):
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("strat"), F.col("o_totalprice").alias("x"))
+
+
+@query(with_(PRICES, intervals_sql(3), select="SELECT s AS strat, round(cost / 1e6, 6) AS cost FROM best"))
+def cluster_cost_squared(spark, sf):
+    got = pk.assign_bins(prices(spark, sf), "x", pk.BinRule(method="fisher", nbins=3), ["strat"], "id")
+    parts = got.groupBy("strat", "bin_num").agg((F.var_pop("x") * F.count("x")).alias("c"))
+    return rounded(parts.groupBy("strat").agg((F.sum("c") / 1e6).alias("cost")))
+
+
+@query(with_(PRICES, intervals_sql(3, absolute=True), select="SELECT s AS strat, round(cost, 6) AS cost FROM best"))
+def cluster_cost_absolute(spark, sf):
+    got = pk.assign_bins(prices(spark, sf), "x", pk.BinRule(method="pam", nbins=3), ["strat"], "id")
+    return rounded(got.groupBy("strat").agg(F.sum(F.abs(F.col("x") - F.col("bin_num"))).alias("cost")))
+
+
+# Every replicate of an odd number misses its first observation; one replicate has an id that no observation has.
+@query(with_(OBS, SIM, select="""SELECT repl, count(*) AS rows, repl % 2 = 0 AND repl <> 4 AS aligned
+  FROM sim WHERE NOT (repl % 2 = 1 AND obs_id = (SELECT min(obs_id) FROM obs)) GROUP BY repl"""))
+def replicate_alignment(spark, sf):
+    first = obs_events(spark, sf).agg(F.min("obs_id")).first()[0]
+    broken = sim_events(spark, sf, REPLICATES).filter(~((F.col("repl") % 2 == 1) & (F.col("obs_id") == first)))
+    broken = broken.withColumn("obs_id", F.when((F.col("repl") == 4) & (F.col("obs_id") == first), -1).otherwise(F.col("obs_id")))
+    return stratified(spark, sf).simulated(broken, "y_sim").alignment()
+
+
+@query(with_(OBS, "binned AS (SELECT *, floor(x / 6) AS b FROM obs)", INFO, select=f"SELECT strat, round(b, 6) AS bin_num, {INFO_OUT} FROM info"))
+def bin_function_argument(spark, sf):
+    v = stratified(spark, sf).binning(func=lambda x, strat, width: F.floor(x / width).cast("double"), width=6.0)
+    return rounded(v.bininfo().drop("bin"))
+
+
+@query(with_(OBS, "lim AS (SELECT event_id AS obs_id, 3 + event_id % 4 AS l FROM events)",
+             select="SELECT obs_id, y < l AS blq, l::DOUBLE AS lloq FROM obs JOIN lim USING (obs_id)"))
+def censoring_from_other_data(spark, sf):
+    limits = load(spark, sf, "events").select(F.col("event_id").alias("obs_id"), (F.col("event_id") % 4 + 3).alias("limit_there"))
+    return base(spark, sf).censoring(blq=F.col("y") < F.col("limit_there"), lloq="limit_there", data=limits).obs().select("obs_id", "blq", "lloq")
+
+
 @query(with_(OBS, "st AS (SELECT strat, min(x) AS mn, max(x) AS mx FROM obs GROUP BY strat)", select="""SELECT obs_id, strat,
   least(4, floor((x - mn) / (mx - mn) * 5))::INTEGER AS bin_num FROM obs JOIN st USING (strat)"""))
 def bin_by_user_expression(spark, sf):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.values import null_safe_join
+from .align import dense_index
 from .statistics import interval_probs
 
 
@@ -24,9 +25,12 @@ def points(vpc) -> DataFrame:
 
 def bin_colors(vpc) -> DataFrame:
     """Bins of every stratum numbered by their mean x."""
-    means = vpc.obs().groupBy(*vpc.strata, "bin").agg(F.avg("x").alias("xmean")).filter("bin is not null")
-    order = Window.partitionBy(*vpc.strata).orderBy("xmean", "bin")
-    return means.withColumn("color", F.row_number().over(order))
+    means = vpc.obs().groupBy(*vpc.strata, "bin").agg(F.avg("x").alias("xmean"), F.min("bin_num").alias("bin_num")).filter("bin is not null")
+    # bins are numbered by a range sort over all strata: no stratum's bins have to meet in one task
+    placed = dense_index(means, [*vpc.strata, "xmean", "bin_num", "bin"], "__at")
+    firsts = placed.groupBy(*vpc.strata).agg(F.min("__at").alias("__first"))
+    numbered = null_safe_join(placed, firsts, vpc.strata) if vpc.strata else placed.crossJoin(F.broadcast(firsts))
+    return numbered.withColumn("color", (F.col("__at") - F.col("__first") + 1).cast("int")).drop("__at", "__first", "bin_num")
 
 
 def colored_points(vpc) -> DataFrame:
