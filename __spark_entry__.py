@@ -19,7 +19,7 @@ from predcheck.functions.quantiles import grouped_quantiles  # noqa: E402
 from predcheck.operators import report as rp  # noqa: E402
 from predcheck.operators.correct import median_prediction  # noqa: E402
 from predcheck.operators.statistics import censored, long_quantiles, percent_below  # noqa: E402
-from predcheck.sources.fixtures import load, obs_events, obs_orders, sim_events  # noqa: E402
+from check_tables import load, obs_events, obs_orders, sim_events  # noqa: E402
 
 ENTRY_DIR = "/root/testdata/sf0.001"
 REPLICATES = 20
