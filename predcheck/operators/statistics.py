@@ -37,7 +37,11 @@ def over_replicates(per_replicate: DataFrame, keys: Sequence[str], conf_level: f
     return got.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("lo", "md", "hi"))])
 
 
+def share_below() -> Column:
+    """Percent of true ``blq`` flags of a group; missing when any flag is missing."""
+    return F.when(F.count(F.lit(1)) == F.count("blq"), F.avg(F.col("blq").cast("double")) * 100)
+
+
 def percent_below(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, ``y``): percent of true ``blq`` flags; missing when any flag of the group is missing."""
-    share = F.avg(F.col("blq").cast("double")) * 100
-    return df.groupBy(*keys).agg(F.when(F.count(F.lit(1)) == F.count("blq"), share).alias("y"))
+    return df.groupBy(*keys).agg(share_below().alias("y"))

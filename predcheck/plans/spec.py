@@ -15,11 +15,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.quantiles import PILOTS, bracketed_quantiles, brackets_pay
+from ..functions.quantiles import PILOTS, bracketed_quantiles, brackets_pay, grouped_quantiles
 from ..functions.values import as_column, as_double, null_safe_join
 from ..operators import align, bininfo as info, correct, statistics as st, strata as sf
 from ..operators.binning import NO_STRATUM, BinModel, BinRule, fit_bins
-from .storage import broadcast_bytes, compact, group_sizes, small, split_rows
+from .storage import broadcast_bytes, compact, group_sizes, materialize, small, split_rows
 
 #: Size of one observation (id, group, limit, correction) in a broadcast table.
 OBS_ROW_BYTES = 64
@@ -382,8 +382,19 @@ class VPC:
             if brackets_pay(largest, known["count"], self.qpred):
                 return st.to_long(bracketed_quantiles(rows, ["gid"], "repl", known["pilots"], "v", self.qpred, self.quantile_type, largest),
                                   ["gid", "repl"])
+        return st.to_long(self._per_replicate, ["gid", "repl"])
+
+    @cached_property
+    def _per_replicate(self) -> DataFrame:
+        """(gid, repl, q, below): the quantiles of every replicate and its percentage below the limit, from one pass.
+
+        Stored if anything is below the limit, because both tables of results are then made from it."""
+        flagged = bool(self.sizes["below"])
+        rows = self._grouped_sim(*["lloq"] * flagged).select("gid", "repl", "v", F.expr("y < lloq" if flagged else "false").alias("blq"))
         # Replicates of a bin resemble each other, so split points of large groups are shared between them.
-        return st.long_quantiles(rows, ["gid", "repl"], "v", self.qpred, self.quantile_type, largest, ["gid"])
+        got = grouped_quantiles(rows, ["gid", "repl"], "v", self.qpred, self.quantile_type, extra=[st.share_below().alias("below")],
+                                largest=self.sizes["largest"], split_keys=["gid"])
+        return materialize(got) if flagged else got
 
     def replicate_quantiles(self) -> DataFrame:
         """(strata, bin, repl, q_index, y)."""
@@ -412,8 +423,11 @@ class VPC:
             raise ValueError("call statistics() first")
         if not self.sizes["below"]:
             return None
-        flagged = self._grouped_sim("lloq").select("gid", "repl", F.expr("y < lloq as blq"))
-        intervals = st.over_replicates(st.percent_below(flagged, ["gid", "repl"]), ["gid"], self.conf_level, self.quantile_type, 0)
+        if "_per_replicate" in self.__dict__:  # asked for the quantiles before: their pass has counted the flags too
+            share = self._per_replicate.select("gid", F.col("below").alias("y"))
+        else:
+            share = st.percent_below(self._grouped_sim("lloq").select("gid", "repl", F.expr("y < lloq as blq")), ["gid", "repl"])
+        intervals = st.over_replicates(share, ["gid"], self.conf_level, self.quantile_type, 0)
         observed = small(st.percent_below(self._grouped_obs().select("gid", "blq"), ["gid"]), self.sizes["bins"])
         return self._named(intervals.join(observed, "gid", "left"), "xbin").orderBy(*self.strata, "xbin") \
             .select(*self.strata, "bin", "xbin", "y", "lo", "md", "hi")
