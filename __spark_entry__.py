@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F  # noqa: E402
 
 import predcheck as pk  # noqa: E402
-from predcheck.functions.quantiles import grouped_quantiles  # noqa: E402
+from predcheck.functions.quantiles import bracketed_quantiles, grouped_quantiles  # noqa: E402
 from predcheck.operators import report as rp  # noqa: E402
 from predcheck.operators.correct import median_prediction  # noqa: E402
 from predcheck.operators.statistics import censored, long_quantiles, percent_below  # noqa: E402
@@ -707,6 +707,35 @@ def statistics_uncorrected(spark, sf):
 
 # ----------------------------------------------------------------------------------------------- statistics
 
+def split_sql(value):
+    return with_(OBS, select=f"SELECT strat, count({value}) AS n, " + ", ".join(
+        f"round(quantile_cont({value}, {p}), 6) AS q{i}" for i, p in enumerate(QPRED)) + " FROM obs GROUP BY strat")
+
+
+def split_quantiles_of(df, value):
+    got = grouped_quantiles(df.withColumn("v", value), ["strat"], "v", QPRED, limit=150)
+    return rounded(got.select("strat", "n", *[F.col("q")[i].alias(f"q{i}") for i in range(3)]))
+
+
+# Groups of more than 150 rows are cut into ranges of values, as groups of millions are without the argument.
+@query(split_sql("y"))
+def split_quantiles(spark, sf):
+    return split_quantiles_of(obs_events(spark, sf), F.col("y"))
+
+
+@query(split_sql("floor(x / 5)"))
+def split_quantiles_of_ties(spark, sf):
+    return split_quantiles_of(obs_events(spark, sf), F.floor(F.col("x") / 5).cast("double"))
+
+
+@query(with_(OBS, SIM, select="SELECT strat, repl, " + ", ".join(f"round(quantile_cont(y_sim, {p}), 6) AS q{i}" for i, p in enumerate(QPRED)) +
+             " FROM sim JOIN obs USING (obs_id) GROUP BY strat, repl"))
+def bracketed_replicates(spark, sf):
+    rows = sim_events(spark, sf, REPLICATES).join(obs_events(spark, sf).select("obs_id", "strat"), "obs_id")
+    got = bracketed_quantiles(rows, ["strat"], "repl", [2, 8, 14, 20], "y_sim", QPRED)
+    return rounded(got.select("strat", "repl", *[F.col("q")[i].alias(f"q{i}") for i in range(3)]))
+
+
 @query(with_(OBS, "vals AS (SELECT strat, list(y ORDER BY y) AS v FROM obs GROUP BY strat)", select=" UNION ALL ".join(
     f"SELECT strat, {t} AS qtype, " + ", ".join(f"round({list_quantile(p, t)}, 6) AS q{i}" for i, p in enumerate((0.05, 0.5, 0.95, 0.333))) + " FROM vals"
     for t in range(1, 10))))

@@ -76,13 +76,13 @@ def _windowed(df, keys, value, probs, qtype, extra):
 
 
 def select_ranks(df: DataFrame, keys: list[str], value: str, wants: DataFrame, largest: int,
-                 split_keys: list[str] | None = None) -> DataFrame:
+                 split_keys: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """``wants`` holds (keys, ``r``); the result adds ``v``, the r-th smallest non-null value of the group.
 
     ``largest`` bounds the rows of a group. ``df`` should be a stored table: it is scanned several times. Split
     points are computed per ``split_keys``, a subset of the keys whose groups share a similar distribution.
     """
-    limit = split_rows(df.sparkSession)
+    limit = limit or split_rows(df.sparkSession)
     split_keys = keys if split_keys is None else split_keys
     data = df.filter(F.col(value).isNotNull()).select(*keys, value)
     if largest <= limit:
@@ -115,14 +115,13 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, wants: DataFrame, l
     sub = null_safe_join(tagged.withColumnRenamed("__part", name), small(rest.select(*inner_keys).distinct(), left["c"]),
                          inner_keys, "left_semi")
     local = rest.select(*inner_keys, F.col("r").alias("__r"), F.expr("r - __before").alias("r"))
-    inner = select_ranks(sub, inner_keys, value, local.drop("__r"), left["n"], [*split_keys, name])
+    inner = select_ranks(sub, inner_keys, value, local.drop("__r"), left["n"], [*split_keys, name], limit)
     deep = null_safe_join(local, inner, [*inner_keys, "r"], "inner")
     return found.unionByName(deep.select(*keys, F.col("__r").alias("r"), "v"))
 
 
-def _split(df, keys, value, probs, qtype, extra, split_keys):
+def _split(df, keys, value, probs, qtype, extra, split_keys, limit):
     data = materialize(df)
-    limit = split_rows(df.sparkSession)
     counted = data.groupBy(*keys).agg(F.count(value).alias("n"), F.count(F.lit(1)).alias("__rows"), *extra)
     hot = materialize(counted.filter(F.col("__rows") > limit))
     most, groups = hot.agg(F.max("__rows"), F.count(F.lit(1))).first()
@@ -134,7 +133,7 @@ def _split(df, keys, value, probs, qtype, extra, split_keys):
         data = null_safe_join(data, hot_keys, keys, "left_semi")
     wanted = ", ".join(r for p in probs for r in ranks("n", p, qtype)[:2])
     wants = hot.filter("n > 0").selectExpr(*map(quoted, keys), f"explode(array_distinct(array({wanted}))) as r")
-    found = select_ranks(data, keys, value, wants, most, split_keys)
+    found = select_ranks(data, keys, value, wants, most, split_keys, limit)
     found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("__m"))
     joined = null_safe_join(hot, found, keys, "left")
     qs = []
@@ -150,17 +149,19 @@ def _split(df, keys, value, probs, qtype, extra, split_keys):
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], qtype: int = 7,
                       extra: Sequence[Column] = (), largest: int | None = None,
-                      split_keys: Sequence[str] | None = None) -> DataFrame:
+                      split_keys: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """One row per group: keys, ``n`` (non-null values), the ``extra`` aggregates and ``q``, an array<double>.
 
-    ``largest`` is an upper bound for the rows of a group when the caller knows one; it is counted otherwise.
+    ``largest`` is an upper bound for the rows of a group when the caller knows one; it is counted otherwise. Groups of
+    more than ``limit`` rows (``predcheck.splitRows``) are cut into ranges of values; the result is the same.
     """
     keys, probs = list(keys), [float(p) for p in probs]
+    limit = limit or split_rows(df.sparkSession)
     if largest is None:
         largest = group_sizes(df, keys)[1]
-    if largest <= split_rows(df.sparkSession):
+    if largest <= limit:
         return _windowed(df, keys, value, probs, qtype, list(extra))
-    return _split(df, keys, value, probs, qtype, list(extra), list(split_keys) if split_keys is not None else keys)
+    return _split(df, keys, value, probs, qtype, list(extra), list(split_keys) if split_keys is not None else keys, limit)
 
 
 #: Replicates that show where the quantiles lie; with fewer than ten times as many, brackets do not pay.
