@@ -432,6 +432,14 @@ def bin_by_equal_counts_type6(spark, sf):
     return cut_rows(spark, sf, method="eqcut", nbins=5, quantile_type=6)
 
 
+@query(with_(OBS, "vals AS (SELECT strat AS s, length(strat) AS k, list(x ORDER BY x) AS v FROM obs GROUP BY strat)",
+             f"qs AS (SELECT s, list_transform(range(1, k), lambda z: {list_quantile('(z / k)', 7)}) AS quantiles FROM vals)",
+             cut_sql("quantiles").replace("FROM lim", "FROM lim JOIN qs ON s = strat"), select="SELECT obs_id, strat, i::INTEGER AS bin_num FROM cut"))
+def bin_equal_counts_per_stratum(spark, sf):
+    table = obs_events(spark, sf).select("strat", F.length("strat").alias("nbins")).distinct()
+    return row_bins(stratified(spark, sf).binning(method="eqcut", nbins=table))
+
+
 @query(with_(OBS, cut_sql("[2::DOUBLE, 12::DOUBLE, 23::DOUBLE]"), select=CUT_OUT))
 def bin_style_fixed(spark, sf):
     return cut_rows(spark, sf, method="fixed", options={"fixedBreaks": [2, 12, 23]})

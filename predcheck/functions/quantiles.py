@@ -27,11 +27,12 @@ FUZZ = 4 * 2.0 ** -52
 MAX_SPLITS = 256
 
 
-def ranks(n: str, p: float, qtype: int = 7) -> tuple[str, str, str]:
-    """SQL for the lower rank, the upper rank (both within 1..n) and the weight of the upper one."""
-    if not 0 <= p <= 1:
-        raise ValueError("probabilities must lie in [0, 1]")
-    p = f"{float(p)!r}D"
+def ranks(n: str, p: float | str, qtype: int = 7) -> tuple[str, str, str]:
+    """SQL for the lower rank, the upper rank (both within 1..n) and the weight of the upper one; ``p`` may be SQL."""
+    if not isinstance(p, str):
+        if not 0 <= p <= 1:
+            raise ValueError("probabilities must lie in [0, 1]")
+        p = f"{float(p)!r}D"
     if qtype == 7:
         h = f"(({n} - 1) * {p} + 1)"
         j = f"floor({h})"
@@ -164,6 +165,24 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     return _split(df, keys, value, probs, qtype, list(extra), list(split_keys) if split_keys is not None else keys, limit)
 
 
+def steps_within_groups(df: DataFrame, keys: Sequence[str], value: str, sizes: DataFrame, closed: bool, qtype: int, largest: int) -> DataFrame:
+    """(keys, ``q``): quantiles at i/k for every group's own k, from ``sizes`` (keys, k, n); the ends too if ``closed`` or k is 1.
+
+    The ranks wanted are rows of a table, so the plan does not grow with the number of different k."""
+    keys = list(keys)
+    first = F.when(F.lit(closed) | (F.col("k") == 1), 0).otherwise(1)
+    wanted = sizes.filter("n > 0").select(*keys, "k", F.col("n").cast("long").alias("n"), F.explode(F.sequence(first, F.col("k") - first)).alias("i"))
+    lo, hi, weight = ranks("n", "(i / k)", qtype)
+    wanted = materialize(wanted.selectExpr(*map(quoted, keys), "i", f"cast({lo} as long) as __lo", f"cast({hi} as long) as __hi", f"cast({weight} as double) as __w"))
+    places = wanted.select(*keys, F.col("__lo").alias("r")).union(wanted.select(*keys, "__hi")).distinct()
+    found = materialize(select_ranks(materialize(df.select(*keys, value)), keys, value, places, largest))
+    for end in ("lo", "hi"):
+        own = found.select(*keys, F.col("r").alias(f"__{end}"), F.col("v").cast("double").alias(f"__v{end}"))
+        wanted = null_safe_join(wanted, own, [*keys, f"__{end}"], "inner")
+    point = F.struct("i", F.expr(interpolate("__vlo", "__vhi", "__w")).alias("v"))
+    return wanted.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("__p")).select(*keys, F.col("__p.v").alias("q"))
+
+
 #: Replicates that show where the quantiles lie; with fewer than ten times as many, brackets do not pay.
 PILOTS = 20
 #: Expected share of the values inside the brackets above which they do not pay.

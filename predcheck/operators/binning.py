@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.breaks import closed_edges, closest, interval, labels_column, spaced, with_pretty
-from ..functions.quantiles import grouped_quantiles, select_ranks
+from ..functions.quantiles import grouped_quantiles, select_ranks, steps_within_groups
 from ..functions.values import as_column, as_double, literal, null_safe_join, number_text
 from ..plans.storage import compact, materialize, small, split_rows
 from . import clusters
@@ -149,29 +149,23 @@ def _with_parameter(table: DataFrame, rows: DataFrame, strata: list[str], rule:
 
 # ------------------------------------------------------------------------------------------------- methods
 
-def _bin_counts(table: DataFrame, rule: BinRule) -> list[int]:
-    """The numbers of bins in use; they differ only when given per stratum or by default."""
-    if isinstance(rule.nbins, (int, float)):
-        return [int(rule.nbins)]
-    return sorted(r[0] for r in table.select("nbins").distinct().collect())
+def _least_bins(table: DataFrame, rule: BinRule) -> int | None:
+    """The smallest number of bins in use; None without strata."""
+    return int(rule.nbins) if isinstance(rule.nbins, (int, float)) else table.agg(F.min("nbins")).first()[0]
 
 
 def _quantile_breaks(rows, strata, table, rule, qtype, largest, closed):
     """Breaks at i/nbins, the ends included for ``closed``; ``nbins`` may differ between strata."""
-    counts = _bin_counts(table, rule)
-    if counts and counts[0] < 1:
+    least = _least_bins(table, rule)
+    if least is not None and least < 1:
         raise ValueError("nbins must be at least 1")
-
-    def steps(k):
-        # One bin has no inner quantile; both ends then make one closed bin.
-        return [i / k for i in range(k + 1)] if closed or k == 1 else [i / k for i in range(1, k)]
-
-    probs = sorted({p for k in counts for p in steps(k)})
-    joined = null_safe_join(table, grouped_quantiles(rows, strata, "__x", probs, qtype, largest=largest).drop("n"), strata)
-    breaks = F.lit(None).cast("array<double>")
-    for k in counts:
-        breaks = F.when(F.col("nbins") == k, F.array(*[F.col("q")[probs.index(p)] for p in steps(k)])).otherwise(breaks)
-    return joined.withColumn("breaks", breaks).drop("q")
+    if isinstance(rule.nbins, (int, float)):
+        k = least  # one bin has no inner quantile; both ends then make one closed bin
+        probs = [i / k for i in range(k + 1)] if closed or k == 1 else [i / k for i in range(1, k)]
+        found = grouped_quantiles(rows, strata, "__x", probs, qtype, largest=largest).drop("n")
+    else:
+        found = steps_within_groups(rows, strata, "__x", table.select(*strata, F.col("nbins").alias("k"), "n"), closed, qtype, largest)
+    return null_safe_join(table, found, strata).withColumnRenamed("q", "breaks")
 
 
 def _rank_starts(rows, strata, table, largest):
@@ -348,7 +342,7 @@ def fit_bins(rows: DataFrame, rule: BinRule, strata: Sequence[str] = (), whole:
     if method is not None:
         needed = {"fixed": "breaks", **NEEDS}.get(method, "nbins")
         table = _with_parameter(table, rows, keys, rule, needed)
-        if needed == "nbins" and method in STYLES and method != "dpih" and min(_bin_counts(table, rule), default=2) < 2:
+        if needed == "nbins" and method in STYLES and method != "dpih" and (_least_bins(table, rule) or 2) < 2:
             raise ValueError("interval styles need at least 2 bins")
         table = _cuts(rows, keys, table, rule, largest)
         payload = ["__cuts"]
