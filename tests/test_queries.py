@@ -1,5 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -11,7 +13,11 @@ def duck():
     return connect(entry.ENTRY_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+# The corpus queries without SQL are held against brute force in their own folder.
+NAMES = [n for n in entry.queries() if n in entry.oracle_sql() or not re.match(r"op\d+_|pipeline$", n)]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     assert compare(spark, duck, entry.ENTRY_DIR, name) is None
 
