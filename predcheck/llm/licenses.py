@@ -246,7 +246,7 @@ class Scanner:
                 found.append((m.start(), m.end(), i))
         if not found:
             return []
-        spaces = np.flatnonzero(np.array([c == " " for c in text])) if len(text) < 64 else _spaces(text)
+        spaces = _spaces(text)
         starts, ends = np.searchsorted(spaces, [f[0] for f in found], side="left"), np.searchsorted(spaces, [f[1] - 1 for f in found], side="left")
         return self.resolve([Detection(int(a), int(b), f[2]) for a, b, f in zip(starts, ends, found)])
 
@@ -288,8 +288,7 @@ COLUMNS = ("doc_id long, n_words long, n_base long, first_word long, last_word l
            "n_detections long")
 _NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 _TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64())
-#: Every rule's keyword and base phrase has one of these bytes strings, so most texts need no further look.
-_scanner: list[Scanner] = []
+_scanner: list[Scanner] = []  # built once by a task
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.storage import materialize as store, shared_dir
 
-__all__ = ["broadcast_if", "held_out", "read", "sized", "store", "shared_dir", "text_of"]
+__all__ = ["batch", "broadcast_if", "held_out", "read", "sized", "store", "shared_dir", "text_of"]
 
 #: Rows of a two- or three-number table that may be sent to every executor.
 BROADCAST_ROWS = 500_000
@@ -42,7 +40,3 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
 
 def batch(names, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=list(names))
-
-
-def run_name() -> str:
-    return uuid.uuid4().hex
