@@ -12,15 +12,22 @@ from pyspark.sql import DataFrame, functions as F
 from .tables import sized
 
 
-def forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def forest(edges: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) -> (labels (node, label), tree edges (a, b)). A label is the least node of its component.
 
-    Self-loops and repeated edges are harmless; without edges both tables are empty.
+    ``known`` (node, label) gives components to start from; the trees then only join those. Self-loops and repeated
+    edges are harmless; without edges both tables are empty.
     """
     edges, left = sized(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels, trees = nodes.withColumn("label", F.col("node")), edges.select("a", "b").limit(0)
     open_edges = edges.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
+    if known is not None:
+        labels, _ = sized(nodes.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        for end in ("a", "b"):
+            open_edges = open_edges.join(labels.select(F.col("node").alias(end), F.col("label").alias("__own")), end) \
+                .withColumn(f"l{end}", F.col("__own")).drop("__own")
+        open_edges, left = sized(open_edges.filter("la <> lb"))
     while left:
         hooks, _ = sized(open_edges.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.struct(F.least("la", "lb").alias("to"), "a", "b")).alias("hook"))
                          .select("label", "hook.to", "hook.a", "hook.b"))

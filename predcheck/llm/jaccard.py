@@ -9,11 +9,12 @@ symmetric difference from below (suffix filter). Pairs that pass are verified on
 Frequencies come from a count sketch over all documents, whose size is bounded; any estimate orders grams validly, as
 it is the same for every document. Documents with equal sets are joined once, through the one of least id.
 
-Groups of one gram never become all their pairs. First, rows of a group are compared at distances 1, 4, 16, ... in
-order of size; of the candidate pairs, only a spanning forest is verified, which joins families of near copies at one
-verification a document. Then only pairs across the components found are compared, each group's rows outside its
-largest component against all its rows, and what passes the filters is verified: no link between components is lost.
-Groups of many rows are dealt to several tasks in both steps.
+Groups of one gram never become all their pairs. In a few rounds, rows of a group are compared at distances 1, 4, 16, ...
+in changing order; of the candidate pairs across components, only a spanning forest is verified, and the links join
+components. The first round takes only pairs whose bitmaps are clearly close, so that nearly all of its forest holds:
+families of near copies come together at about one verification a document. At last, only groups that still hold several
+components are compared in full, each group's rows outside its largest component against all its rows, and all that passes the filters is
+verified: no link between components is lost. Groups of many rows are dealt to several tasks in all rounds.
 
 Defined cases: a text without words (or null) has no grams, links with nothing and is its own component; a text of one
 to four words is one gram, its whole sequence; rows of one doc_id with different texts are one document that links
@@ -39,7 +40,10 @@ WORDS = 5
 PERCENT = 80
 #: Rows of one gram that a task takes at once.
 GROUP_ROWS = 8192
-BITMAP_BITS = 512
+#: Bits of a set's parity bitmap. The closer their number is above the differences allowed, the more pairs pass in vain.
+BITMAP_BITS = 2048
+#: Share of the differences allowed that the first round takes as clearly close, and further rounds before the last.
+CLOSE, ROUNDS = 0.75, 2
 _SLICES = 64
 
 
@@ -79,13 +83,14 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def passes(n_a, at_a, bits_a, n_b, at_b, bits_b) -> np.ndarray:
-    """Length, positional and suffix filters for pairs that share the grams at places ``at_a`` and ``at_b``."""
+def passes(n_a, at_a, bits_a, n_b, at_b, bits_b, share: float = 1.0) -> np.ndarray:
+    """Length, positional and suffix filters for pairs that share the grams at places ``at_a`` and ``at_b``; ``share`` of
+    the differences allowed may show in the bitmaps."""
     least = needed(n_a, n_b)
     ok = (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * PERCENT) & (1 + np.minimum(n_a - at_a, n_b - at_b) - 1 >= least)
     where = np.flatnonzero(ok)
     apart = np.bitwise_count(bits_a[where] ^ bits_b[where]).sum(1, dtype=np.int64)
-    ok[where] = apart <= (n_a + n_b - 2 * least)[where]
+    ok[where] = apart <= share * (n_a + n_b - 2 * least)[where]
     return ok
 
 
@@ -186,26 +191,32 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return batch(["a", "b"], np.minimum(a, b), np.maximum(a, b))
 
 
-def near_pairs(groups: DataFrame) -> DataFrame:
-    """Candidate pairs at distances 1, 4, 16, ... within a group, in order of size: a few for each row."""
+def near_pairs(groups: DataFrame, turn: int) -> DataFrame:
+    """Candidate pairs across components at distances 1, 4, 16, ... within a group: a few for each row.
+
+    Rows are in order of size in the first turn, which takes only clearly close pairs, and of a hash in the others."""
+    share = 1.0 if turn else CLOSE
+
     def run(batches):
         for table in whole_groups(batches, ["gram", "salt"]):
-            gram, salt = table["gram"].to_numpy(), table["salt"].to_numpy()
+            gram, salt, label = table["gram"].to_numpy(), table["salt"].to_numpy(), table["label"].to_numpy()
             node, n, at, bits = _columns(table)
             step = 1
             while step < len(node):
-                i = np.flatnonzero((gram[:-step] == gram[step:]) & (salt[:-step] == salt[step:]) & (node[:-step] != node[step:]))
+                i = np.flatnonzero((gram[:-step] == gram[step:]) & (salt[:-step] == salt[step:]))
                 if len(i) == 0:
                     break
+                i = i[label[i] != label[i + step]]
                 j = i + step
-                ok = passes(n[i], at[i], bits[i], n[j], at[j], bits[j])
+                ok = passes(n[i], at[i], bits[i], n[j], at[j], bits[j], share)
                 if ok.any():
                     yield _pairs(node[i[ok]], node[j[ok]])
                 step *= 4
 
     salted = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / GROUP_ROWS)).cast("int"))
-    dealt = salted.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n", "node")
-    return dealt.select("gram", "salt", "node", "n", "at", "bits").mapInArrow(run, "a long, b long").distinct()
+    order = ["n", "node"] if turn == 0 else [F.xxhash64(F.lit(turn), "node"), "node"]
+    dealt = salted.repartition("gram", "salt").sortWithinPartitions("gram", "salt", *order)
+    return dealt.select("gram", "salt", "label", "node", "n", "at", "bits").mapInArrow(run, "a long, b long").distinct()
 
 
 def pairs_across(groups: DataFrame) -> DataFrame:
@@ -283,16 +294,30 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     nodes, count = sized(classes.select("node").distinct())
     chosen = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).join(broadcast_if(nodes.select(F.col("node").alias("doc_id")), count), "doc_id", "left_semi")
     same = Window.partitionBy("gram")
-    rows = prefixes(chosen, sketch, bits).withColumn("rows", F.count(F.lit(1)).over(same)).filter("rows > 1")
-    rows = rows.join(classes.select("node", "n", "bits"), ["node", "n"])
-    groups = store(rows.select("gram", "node", "n", "at", "rows", "bits"))
-
-    _, trees = forest(near_pairs(groups))
-    first = verified(docs, trees)
-    links = first.filter("linked").select("a", "b")
-    labels = components(links)
-    labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    late = pairs_across(labelled).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    groups = store(prefixes(chosen, sketch, bits).withColumn("rows", F.count(F.lit(1)).over(same)).filter("rows > 1"))
+    bitmaps = classes.select("node", "n", "bits")
+
+    def mixed(labels: DataFrame | None) -> DataFrame:
+        """Rows with their components, of groups that hold several, and with their bitmaps."""
+        if labels is None:
+            return groups.withColumn("label", F.col("node")).join(bitmaps, ["node", "n"])
+        own = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        own = own.withColumns({"__least": F.min("label").over(same), "__most": F.max("label").over(same)}).filter("__least <> __most")
+        return own.drop("__least", "__most").join(bitmaps, ["node", "n"])
+
+    labels, tried, links = None, None, None
+    for turn in range(1 + ROUNDS):
+        candidates = near_pairs(mixed(labels), turn)
+        if tried is not None:
+            candidates = candidates.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        _, trees = forest(candidates, labels)
+        if turn and not trees.limit(1).count():
+            break
+        checked = verified(docs, trees)
+        tried = checked if tried is None else tried.unionByName(checked)
+        links = tried.filter("linked").select("a", "b")
+        labels = components(links)
+    late = pairs_across(mixed(labels)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(verified(docs, store(late)).filter("linked").select("a", "b"))
 
     found = components(links).select(F.col("node"), F.col("label").alias("component_id"))
