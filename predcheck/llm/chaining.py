@@ -1,9 +1,10 @@
 """Substring dedup by collinear chaining: fuzzy passages that a document shares with an earlier one.
 
 Seeds are six-word runs chosen as minimizers (the run of least hash among SPACING neighbours), so equal passages give
-equal seeds wherever they stand. All occurrences of a seed meet in one group; each is matched with the seed's first
-document (least id) and with the document just before its own, never with all others, so a passage in n documents
-costs 2 n matches. Matches of a pair of documents are chained: a chain's score is its seeds' less a cost for every word
+equal seeds wherever they stand. All occurrences of a seed meet in one group; each is matched with the first place in
+the seed's first document (least id) and the last place in the document just before its own, never with all others, so
+a passage in n documents costs 2 n matches. Second and later occurrences within a document are matched by their number
+as well, for text that repeats one phrase. Matches of a pair of documents are chained: a chain's score is its seeds' less a cost for every word
 in between, and a Fenwick tree over places in the earlier document finds the best chain to extend in logarithmic time.
 Chains are aligned on the words of both documents: seeds are fixed, gaps are aligned by dynamic programming, ends are
 extended while they match. An alignment with enough words and identity is a repeated passage.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .jaccard import whole_groups
 from .tables import batch, broadcast_if, sized, store
-from .text import LOWER, chunks, gram_hashes, mix, strings, word_hashes, word_spans
+from .text import LOWER, chunks, gram_hashes, strings, word_hashes, word_spans
 
 SEED_WORDS, SPACING = 6, 8
 MIN_WORDS, IDENTITY = 50, 0.8
@@ -59,9 +60,9 @@ def least_of(h: np.ndarray, inside: np.ndarray) -> np.ndarray:
 
 
 def text_seeds(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
-    """(text number, first word, hash) of the seeds of all texts of at least ``min_words`` words.
+    """(text number, first word, hash, nth) of the seeds of all texts of at least ``min_words`` words.
 
-    A text's second, third, ... occurrence of a seed is a seed of its own, so runs that repeat one phrase match in order."""
+    ``nth`` counts the occurrences of a seed in its text from 0, so runs that repeat one phrase can also match in order."""
     starts, ends, first = word_spans(data, offsets)
     counts = np.diff(first)
     grams, n = gram_hashes(word_hashes(LOWER[data], starts, ends), first, SEED_WORDS)
@@ -73,9 +74,9 @@ def text_seeds(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS
     again = np.zeros(len(order), bool)
     again[1:] = (grams[order][1:] == grams[order][:-1]) & (text[order][1:] == text[order][:-1])
     run = np.arange(len(order))
-    nth = np.empty(len(order), np.uint64)
+    nth = np.empty(len(order), np.int64)
     nth[order] = run - np.maximum.accumulate(np.where(again, 0, run))
-    return text, place, mix(grams + nth * np.uint64(0x9FB21C651E98DF25))
+    return text, place, grams, nth
 
 
 class Fenwick:
@@ -193,25 +194,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 31)).cast("int"))
 
 
+def _partners(seeds: DataFrame, key: str) -> DataFrame:
+    """(doc, part, at, first_doc, first_part, of): each occurrence in a later document with the first place of the
+    key's first document and the last place of the document just before its own."""
+    ordered = Window.partitionBy(key).orderBy("doc", "part", "at")
+    here = F.struct("doc", "part", "at")
+    # frames end at the current row, so a group is read once in order and never held
+    past = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    seen = seeds.withColumns({"first": F.first(here).over(past), "before": F.lag(here).over(ordered)})
+    entered = F.when((F.col("before.doc") != F.col("doc")) | (F.col("before.part") != F.col("part")), F.col("before"))
+    seen = seen.withColumn("prior", F.last(entered, ignorenulls=True).over(past))
+    later = seen.filter("doc <> first.doc or part <> first.part")
+    pairs = later.withColumn("to", F.explode(F.array_distinct(F.array("first", "prior"))))
+    return pairs.select("doc", "part", "at", F.col("to.doc").alias("first_doc"), F.col("to.part").alias("first_part"), F.col("to.at").alias("of"))
+
+
 def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, part, at, first_doc, first_part, of): seeds shared with an earlier document."""
+    """(doc, part, at, first_doc, first_part, of): seeds shared with an earlier document, by gram and, for periodic text, by number."""
     def run(batches):
         for table in batches:
             for own, data, offsets in chunks(table):
-                text, place, grams = text_seeds(data, offsets, min_words)
+                text, place, grams, nth = text_seeds(data, offsets, min_words)
                 where = pa.array(text)
-                yield batch(["seed", "doc", "part", "at"], grams.astype(np.int64), own.column(0).take(where), own.column(1).take(where), place.astype(np.int32))
+                yield batch(["seed", "nth", "doc", "part", "at"], grams.astype(np.int64), nth.astype(np.int32), own.column(0).take(where), own.column(1).take(where), place.astype(np.int32))
 
-    seeds = rows.select("doc", "part", "text").mapInArrow(run, "seed long, doc long, part int, at int")
-    group = Window.partitionBy("seed")
-    ordered = group.orderBy("doc", "part", "at")
-    here = F.struct("doc", "part", "at")
-    # frames end at the current row, so a group is read once in order and never held
-    seen = seeds.withColumns({"first": F.first(here).over(ordered.rowsBetween(Window.unboundedPreceding, 0)), "before": F.lag(here).over(ordered)})
-    later = seen.filter("before is not null and (doc <> first.doc or part <> first.part)")
-    other = F.when((F.col("before.doc") != F.col("first.doc")) & ((F.col("before.doc") != F.col("doc")) | (F.col("before.part") != F.col("part"))), F.col("before"))
-    pairs = later.withColumn("to", F.explode(F.filter(F.array("first", other), lambda x: x.isNotNull())))
-    return pairs.select("doc", "part", "at", F.col("to.doc").alias("first_doc"), F.col("to.part").alias("first_part"), F.col("to.at").alias("of"))
+    seeds = rows.select("doc", "part", "text").mapInArrow(run, "seed long, nth int, doc long, part int, at int")
+    group = Window.partitionBy("seed").orderBy("doc", "part", "at")
+    near = seeds.withColumns({"__before": F.lag("doc").over(group), "__after": F.lead("doc").over(group)})
+    shared = store(near.filter("__before is not null or __after is not null").drop("__before", "__after"))
+    numbered = shared.filter("nth > 0").withColumn("numbered", F.struct("seed", "nth"))
+    return _partners(shared, "seed").unionByName(_partners(numbered, "numbered"))
 
 
 CHAIN = "doc long, part int, first_doc long, first_part int, at array<int>, of array<int>"
@@ -230,6 +242,9 @@ def chains(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             change[0] = True
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
+            new = change.copy()  # a match may be found in several ways
+            new[1:] |= (at[1:] != at[:-1]) | (of[1:] != of[:-1])
+            columns, at, of, change = [c[new] for c in columns], at[new], of[new], change[new]
             starts = np.flatnonzero(change)
             ends = np.append(starts[1:], len(at))
             wide = np.flatnonzero((ends - starts >= 3) & (at[ends - 1] - at[starts] >= reach))

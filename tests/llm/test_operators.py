@@ -325,6 +325,34 @@ def test_chain_is_optimal():
         assert all(at[a] < at[b] and of[a] < of[b] for a, b in zip(links, links[1:]))
 
 
+def covered_by(spark, texts):
+    """{doc_id: words in some reported passage} of texts numbered from 0."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = defaultdict(set)
+    for r in collected(chaining.substring_dedup(frame)):
+        out[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    return out
+
+
+def fresh(name, n):
+    return [f"{name}{i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("later, places", [
+    (lambda p: p + fresh("x", 30) + p, [(0, 60), (90, 150)]), (lambda p: p[-45:] + fresh("x", 30) + p, [(75, 135)]),
+    (lambda p: fresh("y", 9) + p[20:40] + fresh("x", 30) + p, [(59, 119)])])
+def test_every_copy_in_a_document_is_found(spark, later, places):
+    p = fresh("p", 60)
+    found = covered_by(spark, [" ".join(fresh("a", 40) + p + fresh("b", 40)), " ".join(later(p))])
+    assert all(set(range(lo, hi)) <= found[1] for lo, hi in places)
+
+
+def test_a_quote_in_the_earlier_document_hides_nothing(spark):
+    p = fresh("p", 60)
+    found = covered_by(spark, [" ".join(p[15:] + fresh("x", 30) + p), " ".join(fresh("a", 9) + p)])
+    assert set(range(9, 69)) <= found[1]
+
+
 def test_dropped_passages(docs, odd):
     before = {r["doc_id"]: r["text"] for r in collected(docs)}
     after = {r["doc_id"]: r["text"] for r in collected(chaining.drop_passages(docs))}
