@@ -25,10 +25,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .jaccard import whole_groups
 from .tables import batch, broadcast_if, sized, store
-from .text import LOWER, chunks, gram_hashes, strings, word_hashes, word_spans
+from .text import LOWER, chunks, gram_hashes, run_hashes, strings, word_hashes, word_spans
 
 SEED_WORDS, SPACING = 6, 8
 MIN_WORDS, IDENTITY = 50, 0.8
+#: Words of the longer runs that a shared seed begins, beside the two of nearly ``min_words`` words.
+RUN_WORDS = 16
+#: Words kept on either side of a seed, and how many of them must match for a seed to be a chain by itself.
+SIDE, SIDE_MATCHES = 8, 9
 #: Score of a seed, and cost of a word between two seeds in either document.
 SEED_SCORE, WORD_COST = 6.0, 0.1
 #: Words fetched beyond a chain's ends, and how far an extension may fall below its best.
@@ -59,13 +63,23 @@ def least_of(h: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return top[:n] == h
 
 
+def run_lengths(min_words: int) -> list[int]:
+    """Lengths of the longer runs. Each place where ``min_words`` words are shared holds a whole run of the second length
+    that starts with a seed, and each of SPACING - 1 words more one of ``min_words``."""
+    return sorted({x for x in (RUN_WORDS, min_words - SPACING + 1, min_words) if x > SEED_WORDS})
+
+
 def text_seeds(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
-    """(text number, first word, hash, nth) of the seeds of all texts of at least ``min_words`` words.
+    """(text number, first word, hash, nth, sides, runs) of the seeds of all texts of at least ``min_words`` words.
 
-    ``nth`` counts the occurrences of a seed in its text from 0, so runs that repeat one phrase can also match in order."""
+    ``nth`` counts the occurrences of a seed in its text from 0, so runs that repeat one phrase can also match in order.
+    ``sides`` has four bits of each of the SIDE words before and after the seed, 0 beyond the text.
+    ``runs`` are the hashes of the longer runs of words that the seeds begin, one array for each of ``run_lengths``; a
+    run beyond the end of the text is masked."""
     starts, ends, first = word_spans(data, offsets)
     counts = np.diff(first)
-    grams, n = gram_hashes(word_hashes(LOWER[data], starts, ends), first, SEED_WORDS)
+    words = word_hashes(LOWER[data], starts, ends)
+    grams, n = gram_hashes(words, first, SEED_WORDS)
     text = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
     chosen = least_of(grams, n[text] - place) & (counts[text] >= min_words)
@@ -76,7 +90,16 @@ def text_seeds(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS
     run = np.arange(len(order))
     nth = np.empty(len(order), np.int64)
     nth[order] = run - np.maximum.accumulate(np.where(again, 0, run))
-    return text, place, grams, nth
+    bits = words % np.uint64(15) + np.uint64(1)
+    sides = np.zeros(len(text), np.uint64)
+    for i, step in enumerate([*range(-SIDE, 0), *range(SEED_WORDS, SEED_WORDS + SIDE)]):
+        here = (place + step >= 0) & (place + step < counts[text])
+        sides[here] |= bits[(first[text] + place + step)[here]] << np.uint64(4 * i)
+    runs = []
+    for length in run_lengths(min_words):
+        fits = place + length <= counts[text]
+        runs.append(pa.array(run_hashes(words, np.where(fits, first[text] + place, 0), np.where(fits, length, 0)).astype(np.int64), mask=~fits))
+    return text, place, grams, nth, sides.view(np.int64), runs
 
 
 class Fenwick:
@@ -195,10 +218,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _partners(seeds: DataFrame, key: str) -> DataFrame:
-    """(doc, part, at, first_doc, first_part, of): each occurrence in a later document with the first place of the
+    """(doc, part, at, first_doc, first_part, of, alone): each occurrence in a later document with the first place of the
     key's first document and the last place of the document just before its own."""
     ordered = Window.partitionBy(key).orderBy("doc", "part", "at")
-    here = F.struct("doc", "part", "at")
+    here = F.struct("doc", "part", "at", "sides")
     # frames end at the current row, so a group is read once in order and never held
     past = ordered.rowsBetween(Window.unboundedPreceding, 0)
     seen = seeds.withColumns({"first": F.first(here).over(past), "before": F.lag(here).over(ordered)})
@@ -206,60 +229,89 @@ def _partners(seeds: DataFrame, key: str) -> DataFrame:
     seen = seen.withColumn("prior", F.last(entered, ignorenulls=True).over(past))
     later = seen.filter("doc <> first.doc or part <> first.part")
     pairs = later.withColumn("to", F.explode(F.array_distinct(F.array("first", "prior"))))
-    return pairs.select("doc", "part", "at", F.col("to.doc").alias("first_doc"), F.col("to.part").alias("first_part"), F.col("to.at").alias("of"))
+    other = F.col("sides").bitwiseXOR(F.col("to.sides"))
+    other = other.bitwiseOR(F.shiftrightunsigned(other, 1))
+    other = other.bitwiseOR(F.shiftrightunsigned(other, 2)).bitwiseAND(F.lit(0x1111111111111111))  # a bit for each word that differs
+    return pairs.select("doc", "part", "at", F.col("to.doc").alias("first_doc"), F.col("to.part").alias("first_part"), F.col("to.at").alias("of"),
+                        (F.bit_count(other) <= 2 * SIDE - SIDE_MATCHES).alias("alone"))
 
 
 def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, part, at, first_doc, first_part, of): seeds shared with an earlier document, by gram and, for periodic text, by number."""
+    """(doc, part, at, first_doc, first_part, of, alone): seeds shared with an earlier document, and whether words beside them match too.
+
+    They are matched by gram, by number of the gram for periodic text, and by the longer runs they begin: documents that
+    hold only parts of a passage take its single seeds, but not its long runs."""
+    lengths = [f"run{x}" for x in run_lengths(min_words)]
+
     def run(batches):
         for table in batches:
             for own, data, offsets in chunks(table):
-                text, place, grams, nth = text_seeds(data, offsets, min_words)
+                text, place, grams, nth, sides, runs = text_seeds(data, offsets, min_words)
                 where = pa.array(text)
-                yield batch(["seed", "nth", "doc", "part", "at"], grams.astype(np.int64), nth.astype(np.int32), own.column(0).take(where), own.column(1).take(where), place.astype(np.int32))
+                yield batch(["seed", "nth", "doc", "part", "at", "sides", *lengths], grams.astype(np.int64), nth.astype(np.int32), own.column(0).take(where),
+                            own.column(1).take(where), place.astype(np.int32), sides, *runs)
 
-    seeds = rows.select("doc", "part", "text").mapInArrow(run, "seed long, nth int, doc long, part int, at int")
+    seeds = rows.select("doc", "part", "text").mapInArrow(run, "seed long, nth int, doc long, part int, at int, sides long" + "".join(f", {x} long" for x in lengths))
     group = Window.partitionBy("seed").orderBy("doc", "part", "at")
     near = seeds.withColumns({"__before": F.lag("doc").over(group), "__after": F.lead("doc").over(group)})
     shared = store(near.filter("__before is not null or __after is not null").drop("__before", "__after"))
-    numbered = shared.filter("nth > 0").withColumn("numbered", F.struct("seed", "nth"))
-    return _partners(shared, "seed").unionByName(_partners(numbered, "numbered"))
+    out = _partners(shared, "seed").unionByName(_partners(shared.filter("nth > 0").withColumn("numbered", F.struct("seed", "nth")), "numbered"))
+    for name in lengths:
+        out = out.unionByName(_partners(shared.filter(F.col(name).isNotNull()), name))
+    return out
 
 
 CHAIN = "doc long, part int, first_doc long, first_part int, at array<int>, of array<int>"
 
 
-def chains(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Chains of at least three seeds that may reach ``min_words`` words."""
-    reach = max(1, min_words - 2 * (SPACING + SEED_WORDS))
+def uncovered(at: np.ndarray, found: list[list[int]]) -> list[list[int]]:
+    """Chains, best first, without those whose places lie among the seeds of a better one."""
+    if len(found) == 1:
+        return found
+    seen, out = np.zeros(int(at.max()) + SEED_WORDS, bool), []
+    for links in found:
+        p = at[links]
+        if seen[p].all() and seen[p + SEED_WORDS - 1].all():
+            continue
+        out.append(links)
+        for lo, hi in zip(p.tolist(), [*p[1:].tolist(), 0]):
+            seen[lo:hi if 0 <= hi - lo - SEED_WORDS < GAP_WORDS else lo + SEED_WORDS] = True
+    return out
+
+
+def chains(found: DataFrame) -> DataFrame:
+    """Chains of one seed or more; whether a chain reaches enough words shows in its alignment.
+
+    A seed is a chain by itself if words beside it match too: other runs of SEED_WORDS that texts have in common are many."""
     keys = ["doc", "part", "first_doc", "first_part"]
 
     def run(batches):
         for table in whole_groups(batches, keys):
             columns = [table[k].to_numpy() for k in keys]
             at, of = table["at"].to_numpy().astype(np.int64), table["of"].to_numpy().astype(np.int64)
+            alone = table["alone"].to_numpy()
             change = np.zeros(len(at), bool)
             change[0] = True
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
             new = change.copy()  # a match may be found in several ways
             new[1:] |= (at[1:] != at[:-1]) | (of[1:] != of[:-1])
-            columns, at, of, change = [c[new] for c in columns], at[new], of[new], change[new]
+            columns, at, of, change, alone = [c[new] for c in columns], at[new], of[new], change[new], alone[new]
             starts = np.flatnonzero(change)
             ends = np.append(starts[1:], len(at))
-            wide = np.flatnonzero((ends - starts >= 3) & (at[ends - 1] - at[starts] >= reach))
             out = []
-            for lo, hi in zip(starts[wide].tolist(), ends[wide].tolist()):
+            for lo, hi in zip(starts.tolist(), ends.tolist()):
                 p, q = at[lo:hi], of[lo:hi]
-                for links in chain(p, q):
-                    if len(links) >= 3 and p[links[-1]] - p[links[0]] >= reach:
-                        out.append((*(int(c[lo]) for c in columns), p[links].tolist(), q[links].tolist()))
+                for links in uncovered(p, chain(p, q) if hi > lo + 1 else [[0]]):
+                    if len(links) < 3:
+                        continue
+                    out.append((*(int(c[lo]) for c in columns), p[links].tolist(), q[links].tolist()))
             if out:
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
                 yield batch([*keys, "at", "of"], *(pa.array(c, t) for c, t in zip(zip(*out), types)))
 
     dealt = found.repartition("doc", "first_doc").sortWithinPartitions(*keys, "at", "of")
-    return dealt.select(*keys, "at", "of").mapInArrow(run, CHAIN)
+    return dealt.select(*keys, "at", "of", "alone").mapInArrow(run, CHAIN)
 
 
 def with_words(rows: DataFrame, requests: DataFrame, key: tuple[str, str], use, schema: str) -> DataFrame:
@@ -330,7 +382,7 @@ def _aligner(min_words: int, identity: float):
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """Passages (words start..end of doc_id) that an earlier document holds too, with the place there and the words that match."""
     rows = _keyed(docs)
-    linked = store(chains(matches(rows, min_words), min_words))
+    linked = store(chains(matches(rows, min_words)))
     cut = with_words(rows, linked, ("doc", "part"), _slices, CHAIN + ", begin int, words binary")
     aligned = with_words(rows, store(cut), ("first_doc", "first_part"), _aligner(min_words, identity), PASSAGE)
     return aligned.distinct()

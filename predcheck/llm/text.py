@@ -140,6 +140,15 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarra
     return mix(out), grams
 
 
+def run_hashes(words: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``lengths`` words that start at ``at``, by differences of one prefix sum."""
+    if len(at) == 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _power_table(_BASE, len(words)), out=total[1:])
+    return mix((total[at + lengths] - total[at]) * _power_table(_BASE_INVERSE, len(words))[at])
+
+
 def count_words(texts: pa.Array) -> pa.Array:
     """Number of ``[^\x20\x09-\x0D]+`` words of each text; 0 for a null."""
     data, offsets = strings(texts)

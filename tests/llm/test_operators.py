@@ -353,6 +353,15 @@ def test_a_quote_in_the_earlier_document_hides_nothing(spark):
     assert set(range(9, 69)) <= found[1]
 
 
+def test_parts_in_other_documents_hide_no_passage(spark):
+    """Documents 1 to 4 hold only halves, so that neither the first nor the last holder of a seed holds all of it."""
+    p, pad = fresh("p", 70), lambda i: fresh(f"f{i}x", 40)
+    for halves in ((p[:40], p[30:]), (p[:48], p[22:])):
+        texts = [pad(0) + halves[0], pad(1) + halves[1], pad(2) + p, pad(3) + halves[0] + pad(30), pad(4) + halves[1] + pad(40), pad(5) + p + pad(50)]
+        found = covered_by(spark, [" ".join(t) for t in texts])
+        assert set(range(40, 110)) <= found[5]
+
+
 def test_dropped_passages(docs, odd):
     before = {r["doc_id"]: r["text"] for r in collected(docs)}
     after = {r["doc_id"]: r["text"] for r in collected(chaining.drop_passages(docs))}
