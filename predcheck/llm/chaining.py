@@ -303,7 +303,7 @@ def chains(found: DataFrame) -> DataFrame:
             for lo, hi in zip(starts.tolist(), ends.tolist()):
                 p, q = at[lo:hi], of[lo:hi]
                 for links in uncovered(p, chain(p, q) if hi > lo + 1 else [[0]]):
-                    if len(links) < 3:
+                    if len(links) == 1 and not alone[lo + links[0]]:
                         continue
                     out.append((*(int(c[lo]) for c in columns), p[links].tolist(), q[links].tolist()))
             if out:

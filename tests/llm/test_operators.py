@@ -362,6 +362,27 @@ def test_parts_in_other_documents_hide_no_passage(spark):
         assert set(range(40, 110)) <= found[5]
 
 
+def changed(rng, p, share):
+    return [f"c{rng.random()}" if rng.random() < share else w for w in p]
+
+
+def test_passages_with_changed_words_are_found(spark):
+    """Held against brute force along the diagonal: a passage counts if 50 or more of its words match to 0.8."""
+    rng = random.Random(2)
+    texts, planted = [], []
+    for n in (55, 80):
+        for share in (0.05, 0.1, 0.15):
+            for _ in range(25):
+                p = fresh(f"p{len(texts)}x", n)
+                q = changed(rng, p, share)
+                if sum(a == b for a, b in zip(p, q)) >= 0.8 * n:
+                    planted.append((len(texts) + 1, n, share))
+                texts += [" ".join(fresh(f"a{len(texts)}x", 30) + p), " ".join(fresh(f"b{len(texts)}x", 30) + q)]
+    found = covered_by(spark, texts)
+    recall = {key: np.mean([len(found[d] & set(range(30, 30 + n))) > n / 2 for d, n, s in planted if (n, s) == key]) for key in {x[1:] for x in planted}}
+    assert all(recall[n, s] >= least for n, s, least in ((55, 0.05, 0.9), (80, 0.05, 0.95), (55, 0.1, 0.8), (80, 0.1, 0.95), (80, 0.15, 0.75))), recall
+
+
 def test_dropped_passages(docs, odd):
     before = {r["doc_id"]: r["text"] for r in collected(docs)}
     after = {r["doc_id"]: r["text"] for r in collected(chaining.drop_passages(docs))}
