@@ -41,6 +41,7 @@ def _rules() -> list[Rule]:
     """All signature rules, strongest kinds first. Patterns are over lower-case words with single spaces."""
     found: list[Rule] = []
 
+    # every match of a pattern contains its keyword
     def add(label: str, kind: str, keyword: str, *patterns: str) -> None:
         found.extend(Rule(label, kind, keyword, p) for p in patterns)
 
@@ -48,13 +49,16 @@ def _rules() -> list[Rule]:
 
     # permissive licenses: grants, titles and sentences of their texts
     add("mit", "grant", "mit", granted + r"mit(?: license| licence)?\b", r"\bmit licensed\b", r"under the mit licen[sc]e\b")
-    add("mit", "name", "mit", r"\bthe mit licen[sc]e\b", r"\bmit licen[sc]e(?: mit)?\b", r"\bexpat licen[sc]e\b", r"\bmit x11 licen[sc]e\b")
+    add("mit", "name", "mit", r"\bthe mit licen[sc]e\b", r"\bmit licen[sc]e(?: mit)?\b", r"\bmit x11 licen[sc]e\b")
+    add("mit", "name", "expat", r"\bexpat licen[sc]e\b")
     add("mit", "text", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files")
     add("mit", "text", "substantial portions", r"shall be included in all copies or substantial portions of the software")
     add("mit-0", "name", "mit no attribution", r"\bmit no attribution(?: licen[sc]e)?\b")
-    add("x11", "name", "x11", r"\bx11 licen[sc]e\b", r"\bx consortium licen[sc]e\b")
+    add("x11", "name", "x11", r"\bx11 licen[sc]e\b")
+    add("x11", "name", "x consortium", r"\bx consortium licen[sc]e\b")
     add("apache-2", "grant", "apache", granted + r"apache(?: software)? licen[sc]e(?: version)? 2(?: 0)?\b", granted + r"apache 2(?: 0)?(?: licen[sc]e)?\b")
-    add("apache-2", "name", "apache", r"\bapache(?: software)? licen[sc]e(?: version| v)? 2(?: 0)?\b", r"\bapache licen[sc]e v2(?: 0)?\b", r"\bapache 2 0\b", r"\basl 2 0\b")
+    add("apache-2", "name", "apache", r"\bapache(?: software)? licen[sc]e(?: version| v)? 2(?: 0)?\b", r"\bapache licen[sc]e v2(?: 0)?\b", r"\bapache 2 0\b")
+    add("apache-2", "name", "asl 2 0", r"\basl 2 0\b")
     add("apache-2", "text", "apache", r"you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0")
     add("apache-1.1", "name", "apache", r"\bapache(?: software)? licen[sc]e(?: version| v)? 1 1\b")
     add("apache-1.0", "name", "apache", r"\bapache(?: software)? licen[sc]e(?: version| v)? 1 0\b")
@@ -66,7 +70,7 @@ def _rules() -> list[Rule]:
     add("bsd-4-clause", "name", "bsd", r"\b(?:original|old) bsd(?: licen[sc]e)?\b")
     add("bsd-3-clause", "text", "endorse or promote", r"neither the names? of .{1,120}? (?:nor the names of its contributors )?may be used to endorse or promote products")
     add("bsd-4-clause", "text", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment")
-    add("bsd", "text", "redistributions", r"redistributions? (?:and use )?(?:in|of) source (?:and binary forms|code must retain the above copyright notice)", r"redistributions in binary form must reproduce the above copyright notice")
+    add("bsd", "text", "redistribution", r"redistributions? (?:and use )?(?:in|of) source (?:and binary forms|code must retain the above copyright notice)", r"redistributions in binary form must reproduce the above copyright notice")
     add("bsd", "short", "bsd", r"\bbsd(?: style)? licen[sc]ed?\b", granted + r"bsd\b")
     add("isc", "name", "isc", r"\bisc licen[sc]e\b", granted + r"isc\b")
     add("isc", "text", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted")
@@ -80,7 +84,8 @@ def _rules() -> list[Rule]:
     add("bsl-1.0", "name", "boost", r"\bboost software licen[sc]e(?: version)?(?: 1 0)?\b")
     add("postgresql", "name", "postgresql", r"\bpostgresql licen[sc]e\b")
     add("ncsa", "name", "ncsa", r"\b(?:university of illinois )?ncsa open source licen[sc]e\b")
-    add("psf-2.0", "name", "python", r"\bpython software foundation licen[sc]e(?: version 2)?\b", r"\bpsf licen[sc]e(?: agreement)?\b")
+    add("psf-2.0", "name", "python", r"\bpython software foundation licen[sc]e(?: version 2)?\b")
+    add("psf-2.0", "name", "psf", r"\bpsf licen[sc]e(?: agreement)?\b")
     add("python-2.0", "name", "python", r"\bpython licen[sc]e(?: 2 0)?\b")
     add("ruby", "name", "ruby", r"\bruby licen[sc]e\b")
     add("php-3.01", "name", "php", r"\b(?:the )?php licen[sc]e(?: version)? 3 01\b")
@@ -112,7 +117,8 @@ def _rules() -> list[Rule]:
             add(f"{short}-{v}", "name", short, rf"\b{short} ?v?{number}\b", rf"\b{short} version {number}\b")
         add(short, "short", "gnu", rf"\b{full}\b")
         add(short, "short", short, rf"\b(?:gnu )?{short} licen[sc]e[sd]?\b", rf"{granted}{short}\b")
-    add("gpl", "text", "gnu", r"either version \d of the license or at your option any later version", r"you should have received a copy of the gnu general public license")
+    add("gpl", "text", "any later version", r"either version \d of the license or at your option any later version")
+    add("gpl", "text", "gnu", r"you should have received a copy of the gnu general public license")
     add("gpl-with-classpath-exception", "name", "classpath", r"\bclasspath exception\b")
     add("gpl-with-gcc-exception", "name", "gcc runtime", r"\bgcc runtime library exception\b")
     for v in ("1.0", "1.1", "2.0"):
@@ -132,7 +138,8 @@ def _rules() -> list[Rule]:
     add("cpl-1.0", "name", "common public", r"\bcommon public licen[sc]e(?: version)?(?: 1 0)?\b")
     add("ipl-1.0", "name", "ibm public", r"\bibm public licen[sc]e(?: version)?(?: 1 0)?\b")
     add("osl-3.0", "name", "open software", r"\bopen software licen[sc]e(?: version| v)? 3 0\b")
-    add("eupl-1.2", "name", "european union public", r"\beuropean union public licen[sc]e(?: version| v)?(?: 1 2)?\b", r"\beupl ?v?1 2\b")
+    add("eupl-1.2", "name", "european union public", r"\beuropean union public licen[sc]e(?: version| v)?(?: 1 2)?\b")
+    add("eupl-1.2", "name", "eupl", r"\beupl ?v?1 2\b")
     add("cecill-2.1", "name", "cecill", r"\bcecill(?: free software licen[sc]e agreement)?(?: version| v)? ?2 1\b")
     add("qpl-1.0", "name", "q public", r"\bq public licen[sc]e(?: version)?(?: 1 0)?\b")
     add("ms-pl", "name", "microsoft", r"\bmicrosoft public licen[sc]e\b")
@@ -147,7 +154,8 @@ def _rules() -> list[Rule]:
     add("proprietary", "grant", "proprietary", r"\bproprietary and confidential\b", r"\bproprietary licen[sc]e\b")
     add("proprietary", "text", "strictly prohibited", r"unauthori[sz]ed (?:copying|reproduction|use|distribution)(?: \w+){0,8} is strictly prohibited")
     add("evaluation", "grant", "evaluation", r"\bfor evaluation purposes only\b")
-    add("non-commercial", "grant", "commercial", r"\bfor non ?commercial (?:use|purposes) only\b", r"\bnot for commercial use\b", r"\bpersonal use only\b")
+    add("non-commercial", "grant", "commercial", r"\bfor non ?commercial (?:use|purposes) only\b", r"\bnot for commercial use\b")
+    add("non-commercial", "grant", "personal use only", r"\bpersonal use only\b")
     add("all-rights-reserved", "notice", "all rights reserved", r"\ball rights reserved\b")
     add("copyright", "notice", "copyright", r"\bcopyright (?:c |© )?(?:19|20)\d\d\b")
 
@@ -183,8 +191,9 @@ def _rules() -> list[Rule]:
     add("ofl-1.1", "name", "open font", r"\b(?:sil )?open font licen[sc]e(?: version)?(?: 1 1)?\b")
     add("ufl-1.0", "name", "ubuntu font", r"\bubuntu font licen[sc]e(?: version)?(?: 1 0)?\b")
     add("cern-ohl", "name", "cern", r"\bcern open hardware licen[sc]e\b")
-    add("openrail", "name", "rail", r"\b(?:creativeml )?open ?rail(?: \+?\+? ?m| m)?(?: licen[sc]e)?\b", r"\bresponsible ai licen[sc]e\b")
-    add("community-model", "name", "community license", r"\b\w+ \d community licen[sc]e agreement\b")
+    add("openrail", "name", "rail", r"\b(?:creativeml )?open ?rail(?: \+?\+? ?m| m)?(?: licen[sc]e)?\b")
+    add("openrail", "name", "responsible ai", r"\bresponsible ai licen[sc]e\b")
+    add("community-model", "name", "community licen", r"\b\w+ \d community licen[sc]e agreement\b")
 
     # addresses and machine-readable tags
     for label, words in (("apache-2", "apache org licenses license 2 0"), ("mit", "opensource org licenses mit"),

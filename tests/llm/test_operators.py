@@ -173,6 +173,44 @@ def test_license_rules(text, label):
     assert [scanner.rules[d.rule].label for d in scanner.detect(clean)] == [label]
 
 
+def examples(items):
+    """Texts that a parsed pattern matches: each branch and each option, repeats of least number or one more."""
+    out = [""]
+    for op, arg in items:
+        if str(op) in ("LITERAL", "ANY"):
+            more = [chr(arg) if str(op) == "LITERAL" else " "]
+        elif str(op) == "IN":
+            more = [chr(x) for kind, x in arg if str(kind) == "LITERAL"] or ["3"]
+        elif str(op) in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = arg
+            more = [x * n for n in {least, min(most, least + 1)} for x in examples(inner)]
+        elif str(op) == "SUBPATTERN":
+            more = examples(arg[3])
+        else:
+            more = [x for b in arg[1] for x in examples(b)] if str(op) == "BRANCH" else [""]
+        out = list(dict.fromkeys(x + y for x in out for y in more))[:3000]
+    return out
+
+
+def test_keywords_hide_no_rule():
+    """The prefilter lets each rule see its own examples, so it finds what all rules without it find."""
+    scanner = licenses.Scanner()
+    for i, rule in enumerate(scanner.rules):
+        found = [x for x in examples(re._parser.parse(rule.pattern)) if scanner.patterns[i].search(x)]
+        assert found and all(rule.keyword in x for x in found), rule
+        assert i in scanner.candidates(found[0]) and rule.label in {r.label for r, p in zip(scanner.rules, scanner.patterns) if p.search(found[0])}
+
+
+@pytest.mark.parametrize("text, label", [
+    ("ASL 2.0", "apache-2"), ("PSF license", "psf-2.0"), ("EUPL 1.2", "eupl-1.2"), ("for personal use only", "non-commercial"), ("Expat License", "mit"),
+    ("Responsible AI License", "openrail"), ("Llama 3 Community Licence Agreement", "community-model"), ("X Consortium License", "x11"),
+    ("Redistribution and use in source and binary forms", "bsd"), ("either version 3 of the License, or (at your option) any later version", "gpl")])
+def test_phrases_without_other_words(text, label):
+    scanner = licenses.Scanner()
+    clean = b" ".join(text.encode().translate(licenses.SEPARATED).split()).decode()
+    assert [scanner.rules[d.rule].label for d in scanner.detect(clean)] == [label]
+
+
 def test_license_containment():
     scanner = licenses.Scanner()
     for text in ("licensed under the gnu general public license version 3 or any later version", "mit license mit license"):
