@@ -30,6 +30,13 @@ def dense_index(df: DataFrame, order: Sequence, name: str = "row_index") -> Data
     return placed.withColumn(name, F.col("__start") + local).drop("__pid", "__start", "__mid")
 
 
+def checksums(id: str) -> dict[str, Column]:
+    """Aggregates that tell two multisets of ids apart: their number, the exclusive or of their hashes, and the sums of
+    two pieces of 20 bits, which stay within 64 bits up to 2**43 ids."""
+    h, low = F.xxhash64(id), F.lit((1 << 20) - 1)
+    return {"rows": F.count(F.lit(1)), "low": F.sum(h.bitwiseAND(low)), "high": F.sum(F.shiftright(h, 20).bitwiseAND(low)), "xor": F.bit_xor(h)}
+
+
 def number_replicates(sim: DataFrame, n_obs: int, index: str = "row_index") -> DataFrame:
     """Position i belongs to observation ``i mod n`` of replicate ``i div n + 1``."""
     position = F.col(index)

@@ -198,13 +198,15 @@ class VPC:
     def alignment(self) -> DataFrame:
         """One row per replicate: repl, rows, and aligned, whether it has every observation exactly once.
 
-        Ids are compared by their number and two checksums, so the simulated rows are read once and never shuffled."""
+        Ids are compared by their number and checksums, so the simulated rows are read once and never shuffled."""
         keys = self.data.select(_id_column(self.id).alias("obs_id"))
-        sums = [F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("obs_id").bitwiseAND(F.lit((1 << 40) - 1))).alias("low"), F.bit_xor(F.xxhash64("obs_id")).alias("xor")]
+        sums = align.checksums("obs_id")
         unique = F.count(F.lit(1)) == F.count_distinct("obs_id")
-        want = keys.agg(*[c.alias(f"want_{n}") for c, n in zip(sums, ("rows", "low", "xor"))], unique.alias("unique"))
-        right = F.col("unique") & (F.col("rows") == F.col("want_rows")) & F.col("low").eqNullSafe(F.col("want_low")) & F.col("xor").eqNullSafe(F.col("want_xor"))
-        by_replicate = self.sim.groupBy("repl").agg(*sums)
+        want = keys.agg(*[c.alias(f"want_{n}") for n, c in sums.items()], unique.alias("unique"))
+        right = F.col("unique")
+        for n in sums:
+            right = right & F.col(n).eqNullSafe(F.col(f"want_{n}"))
+        by_replicate = self.sim.groupBy("repl").agg(*[c.alias(n) for n, c in sums.items()])
         return by_replicate.join(F.broadcast(want)).select("repl", "rows", (right & F.col("repl").isNotNull()).alias("aligned"))
 
     @cached_property

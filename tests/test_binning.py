@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from predcheck import BinRule, assign_bins
 from predcheck.functions.breaks import interval_labels, with_pretty
-from predcheck.operators.clusters import bagged_cuts, best_intervals, merge_neighbours, plug_in_width
+from predcheck.operators.clusters import best_intervals, border_heights, plug_in_width
 
 
 def frame(spark, xs, strat=None):
@@ -122,12 +122,6 @@ def test_complete_linkage():
     assert merge_neighbours(v, v, 2) == [(0, 2), (3, 5)]
 
 
-def test_bagged_cuts_are_repeatable():
-    v = np.concatenate([np.linspace(0, 1, 30), np.linspace(10, 11, 30)])
-    one, two = (bagged_cuts(v, np.ones(60), 2, 7) for _ in range(2))
-    assert one == two and len(one) == 1 and 1 < one[0] < 10
-
-
 def test_plug_in_width_of_normal_data():
     # For standard normal data the optimal width is close to 3.49 n^(-1/3).
     grid = np.linspace(-4, 4, 401)
