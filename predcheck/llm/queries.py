@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import token_alignment
 from .chaining import substring_dedup
 from .digests import SQL as EXACT_SQL, exact_dedup
 from .divergence import SQL as DIVERGENCE_SQL, source_divergence
@@ -59,6 +60,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(read(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read(spark, sf_dir, "documents"))
 
@@ -68,5 +73,5 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_license_scan, op4_best_fit_packing, op5_curriculum_mixing, op6_substring_dedup, op7_exact_top_k, op8_syncmer_fingerprints,
-                                   op9_toxicity, op10_quality, op12_source_divergence, op13_exact_dedup)}
+                                   op9_toxicity, op10_quality, op11_token_alignment, op12_source_divergence, op13_exact_dedup)}
 SQL: dict[str, str] = {"op7_exact_top_k": TOP_K_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_exact_dedup": EXACT_SQL}
