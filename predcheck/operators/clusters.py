@@ -4,7 +4,8 @@ Optimal one-dimensional clusters are intervals of the sorted values. ``fisher``,
 k intervals of least squared or absolute deviation. Each stratum is summarised by cells of neighbouring values; a dynamic program over the
 cells gives a solution, and another one, which pays nothing for the cells that hold a cut, a lower bound for every place
 of every cut. Cells in which an optimal cut (or median) cannot lie are settled and merged; the others are split, on the executors, until they
-hold one value each. The result is then the optimum over all values, while a task only ever holds a few thousand cells of a stratum.
+hold one value each. The result is then the optimum over all values. A task holds the cells of a stratum and k numbers for each, no matrix: about
+CELLS at first, and as the cells get finer those near a cut, whose number grows with the square root of the number of values.
 
 ``hclust`` merges pairs of clusters that are each other's nearest neighbour, all at once, and notes at which height each border
 between neighbouring values disappears: the cut into k clusters is at the k - 1 highest borders. ``bclust`` resamples all values by weights
@@ -36,47 +37,83 @@ BAGS, BASE_CENTERS, GRID = 10, 20, 401
 
 # ------------------------------------------------------------------------------ helpers on one small table
 
-def _costs(cells: dict, absolute: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(upper, lower) bounds of the cost of one cluster over the cells i..j; 0 below the diagonal.
+class Costs:
+    """Cost of one cluster over the cells i..j, in constant time from prefix sums; nothing for an empty range (j < i).
 
-    Squared deviations are exact. For absolute ones, the lowest value of the cell that holds the median is a centre that
-    exists; by convexity the true median can't gain more than its cell's width times the slope there.
+    Squared deviations are exact. For absolute ones a cell costs what its weight at its mean would, and not less than ``dev``, a lower bound of its own least
+    cost: exact where the centre lies outside the cell, a lower bound inside it. Both kinds are least costs of one centre under convex functions
+    ordered like the cells, so they meet the quadrangle inequality: the best last cut moves up with the end of a range, and layers of the dynamic program need no matrix.
     """
-    w, s, q = (np.concatenate([[0.0], np.cumsum(cells[c])]) for c in ("w", "s", "q"))
-    m = len(w) - 1
-    i, j = np.arange(m)[:, None], np.arange(m)[None, :]
-    upto = np.maximum(j, i)
-    total, moment = w[upto + 1] - w[i], s[upto + 1] - s[i]
-    if not absolute:
-        cost = np.maximum((q[upto + 1] - q[i]) - moment * moment / total, 0.0)
-        cost = np.where(j >= i, cost, 0.0)
-        return cost, cost
-    mid = _median_cells(w, i, upto, total)
-    low, high = cells["lo"][mid], cells["hi"][mid]
-    left = w[mid] - w[i]
-    cost = low * left - (s[mid] - s[i]) + (s[upto + 1] - s[mid]) - low * (w[upto + 1] - w[mid])
-    gain = np.maximum((w[upto + 1] - w[mid]) - left, 0.0) * (high - low)
-    return np.where(j >= i, cost, 0.0), np.where(j >= i, np.maximum(cost - gain, 0.0), 0.0)
-
-
-def _median_cells(w, i, j, total) -> np.ndarray:
-    """The cell of the lower median of the cells i..j, from cumulative weights."""
-    mid = np.searchsorted(w[1:], (w[i] + total / 2).ravel() - 1e-9 * np.maximum(1.0, w[-1] * 1e-6)).reshape(total.shape)
-    return np.clip(mid, i, j)
-
-
-def best_intervals(cells: dict, k: int, cost: np.ndarray) -> tuple[list[tuple[int, int]], float]:
+
+    def __init__(self, cells: dict, absolute: bool):
+        self.w, self.s, self.q = (np.concatenate([[0.0], np.cumsum(cells[c])]) for c in ("w", "s", "q"))
+        self.lo, self.absolute, self.cells = cells["lo"], absolute, len(cells["w"])
+        self.own = {c: cells[c] for c in ("w", "s")} | {"dev": cells.get("dev", np.zeros(self.cells))}
+
+    def median(self, i, j) -> np.ndarray:
+        """The cell of the lower median of the cells i..j, from cumulative weights."""
+        half = self.w[i] + (self.w[j + 1] - self.w[i]) / 2
+        mid = np.searchsorted(self.w[1:], half - 1e-9 * max(1.0, self.w[-1] * 1e-6))
+        return np.clip(mid, i, j)
+
+    def __call__(self, i, j) -> np.ndarray:
+        i, j = np.broadcast_arrays(i, j)
+        empty, j = j < i, np.maximum(i, j)
+        i, j = np.minimum(i, self.cells - 1), np.minimum(j, self.cells - 1)
+        if self.absolute:
+            # only the median's cell can cost more than its weight at its mean; the best centre is where it begins to
+            mid = self.median(i, j)
+            w, s, dev = (self.own[c][mid] for c in ("w", "s", "dev"))
+            before, after = self.w[mid] - self.w[i], self.w[j + 1] - self.w[mid + 1]
+            center = (s - np.sign(before - after) * dev) / w
+            cost = center * (before - after) - (self.s[mid] - self.s[i]) + (self.s[j + 1] - self.s[mid + 1]) + np.maximum(np.abs(s - w * center), dev)
+        else:
+            moment = self.s[j + 1] - self.s[i]
+            cost = (self.q[j + 1] - self.q[i]) - moment * moment / (self.w[j + 1] - self.w[i])
+        return np.where(empty, 0.0, np.maximum(cost, 0.0))
+
+    def reached(self, i, j) -> np.ndarray:
+        """Cost of a cluster about a centre that exists: an upper bound, exact if the median's cell holds one value."""
+        if not self.absolute:
+            return self(i, j)
+        mid, w, s = self.median(i, j), self.w, self.s
+        center = self.lo[mid]
+        return center * (w[mid] - w[i]) - (s[mid] - s[i]) + (s[j + 1] - s[mid]) - center * (w[j + 1] - w[mid])
+
+
+def monotone_minima(before: np.ndarray, cost) -> tuple[np.ndarray, np.ndarray]:
+    """For every q the least ``before[p] + cost(p, q)`` over p <= q, and its first p, which never falls as q grows.
+
+    All ends of one level of the halving are looked at together, so a level costs a few passes over one array."""
+    n = len(before)
+    best, at = np.full(n, np.inf), np.zeros(n, np.int64)
+    stride = 1 << max(0, n - 1).bit_length()
+    while stride:
+        q = np.arange(stride - 1, n, 2 * stride)
+        stride //= 2
+        if not len(q):
+            continue
+        step = q[0] + 1
+        low = np.where(q >= step, at[np.maximum(q - step, 0)], 0)
+        high = np.minimum(np.where(q + step < n, at[np.minimum(q + step, n - 1)], n - 1), q)
+        size = high - low + 1
+        start = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(q)), size)
+        p = np.arange(len(of)) - start[of] + low[of]
+        value = before[p] + cost(p, q[of])
+        best[q] = np.minimum.reduceat(value, start)
+        hit = np.flatnonzero(value == best[q][of])
+        at[q] = p[hit[np.searchsorted(of[hit], np.arange(len(q)))]]
+    return best, at
+
+
+def best_intervals(costs: Costs, k: int) -> tuple[list[tuple[int, int]], float]:
     """The ``k`` intervals (first, last cell) of least total cost, and that cost."""
-    m = len(cells["w"])
+    m = costs.cells
     k = max(1, min(int(k), m))
-    cost = np.where(np.arange(m)[None, :] >= np.arange(m)[:, None], cost, np.inf)
-    best, starts = cost[0].copy(), []
+    best, starts = costs(np.zeros(m, np.int64), np.arange(m)), []
     for _ in range(1, k):
-        options = cost.copy()
-        options[1:] += best[:-1, None]
-        options[0] = np.inf
-        start = options.argmin(axis=0)
-        best = options[start, np.arange(m)]
+        best, start = monotone_minima(np.concatenate([[np.inf], best[:-1]]), costs)
         starts.append(start)
     out, last = [], m - 1
     for start in reversed(starts):
@@ -86,60 +123,76 @@ def best_intervals(cells: dict, k: int, cost: np.ndarray) -> tuple[list[tuple[in
     return out[::-1], float(best[-1])
 
 
-def undecided(cells: dict, k: int, lower: np.ndarray, most: float, absolute: bool) -> np.ndarray:
-    """Live cells that may hold a cut (or, for absolute deviations, a median) of a solution of cost at most ``most``."""
-    m, live = len(cells["w"]), cells["live"]
-    # inner[p, q]: least cost of a cluster between cuts in the cells p - 1 and q - 1, which cost nothing; 0 and m + 1 are the ends
-    inner = np.full((m + 2, m + 2), np.inf)
-    inner[np.triu_indices(m + 2)] = 0.0
-    inner[:m, 2:] = np.where(np.arange(m)[None, :] >= np.arange(m)[:, None], lower, inner[:m, 2:])
-    inner[:, 1:m + 1][:, ~live] = np.inf
-    inner[1:m + 1][~live] = np.inf
-    inner[:, 0] = inner[m + 1] = np.inf
-    forward, backward = [inner[0]], [inner[:, m + 1]]  # forward[j][q]: j + 1 clusters before a cut in q
+def undecided(costs: Costs, live: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """(live cells that may hold a cut of a solution of cost at most ``most``, those and, for absolute deviations, cells that may hold its medians).
+
+    A cell that holds a cut costs nothing, so the sums are lower bounds for every place of the cut within it."""
+    m, cells = costs.cells, np.flatnonzero(live)
+    n, limit = len(cells), most * (1 + 1e-9) + 1e-12
+    found = np.zeros(m, bool)
+    if n == 0:
+        return found, found
+
+    def ahead(p, q):
+        return costs(cells[p] + 1, cells[q] - 1)
+
+    def behind(p, q):
+        return costs(cells[n - 1 - q] + 1, cells[n - 1 - p] - 1)
+
+    forward, backward = [costs(np.zeros(n, np.int64), cells - 1)], [costs(cells + 1, np.full(n, m - 1))[::-1]]  # [j]: j + 1 clusters up to a cut in the cell, or after it
+    for _ in range(2, k):
+        forward.append(monotone_minima(forward[-1], ahead)[0])
+        backward.append(monotone_minima(backward[-1], behind)[0])
+    cuts = [np.flatnonzero(forward[j] + backward[k - 2 - j][::-1] <= limit) for j in range(k - 1)]
+    for c in cuts:
+        found[cells[c]] = True
+    holds_cut = found.copy()
+    if costs.absolute:
+        # the median of a cluster lies between those of its least and its greatest possible ends; its cuts may take any part of their cells
+        ranges = [(cells[c[0]], cells[c[-1]]) if len(c) else (0, m - 1) for c in cuts]
+        for left, right in zip([None, *ranges], [*ranges, None]):
+            a, b = (0, 0) if left is None else (left[0], left[1] + 1)
+            c, d = (m - 1, m - 1) if right is None else (max(right[0] - 1, a), right[1])
+            low, high = (costs.median(np.array([x]), np.array([y]))[0] for x, y in ((a, c), (min(b, d), d)))
+            found[min(low, high):max(low, high) + 1] = True
+    return holds_cut & live, found & live
+
+
+def chosen_intervals(costs: Costs, live: np.ndarray, k: int, most: float) -> list[tuple[int, int]]:
+    """The best intervals once no cell with a cut or median of a solution of cost ``most`` is to be split: only their
+    ends are tried, by costs about centres that exist."""
+    k, m = max(1, min(int(k), costs.cells)), costs.cells
+    parts, _ = best_intervals(costs, k)
+    if not costs.absolute or k == 1 or m <= k:
+        return parts
+    near = np.flatnonzero(undecided(costs, live, k, most)[0])
+    starts = np.union1d(np.concatenate([near, near + 1]), [p[0] for p in parts])
+    starts = np.concatenate([starts[(starts > 0) & (starts < m)], [m]])
+    best, before = costs.reached(np.zeros(len(starts), np.int64), starts - 1), []
     for _ in range(1, k):
-        forward.append((forward[-1][:, None] + inner)[1:m + 1].min(axis=0))
-        backward.append((inner + backward[-1][None, :])[:, 1:m + 1].min(axis=1))
-    limit = most * (1 + 1e-9) + 1e-12
-    found = np.zeros(m + 2, bool)
-    for j in range(1, k):
-        found |= forward[j - 1] + backward[k - j - 1] <= limit
-    found = found[1:m + 1]
-    if absolute:
-        w = np.concatenate([[0.0], np.cumsum(cells["w"])])
-        end = np.full(m + 2, np.inf)
-        changes = np.zeros(m + 1, np.int64)
-        for j in range(k):
-            before, after = end.copy(), end.copy()
-            before[0] = after[m + 1] = 0.0
-            before = forward[j - 1] if j else before
-            after = backward[k - j - 2] if j < k - 1 else after
-            p, q = np.nonzero(before[:, None] + inner + after[None, :] <= limit)
-            # the cluster has all cells between, and any part of those of its two cuts
-            outer_a, outer_b = np.maximum(p - 1, 0), np.minimum(q - 1, m - 1)
-            inner_a, inner_b = p, q - 2
-            from_, to = outer_a, np.maximum(inner_b, outer_a)
-            low = _median_cells(w, from_, to, w[to + 1] - w[from_])
-            from_, to = np.minimum(inner_a, outer_b), outer_b
-            high = _median_cells(w, from_, to, w[to + 1] - w[from_])
-            np.add.at(changes, np.minimum(low, high), 1)
-            np.add.at(changes, np.maximum(low, high) + 1, -1)
-        found = found | (np.cumsum(changes[:-1]) > 0)
-    return found & live
-
-
-def settle(cells: dict, k: int, absolute: bool) -> dict:
-    """One step: runs of cells that can't hold a cut are merged for good; ``live`` flags the others."""
+        options = [best[:q] + costs.reached(starts[:q], np.full(q, starts[q] - 1)) for q in range(1, len(starts))]
+        before.append(np.array([0, *[o.argmin() for o in options]]))
+        best = np.array([np.inf, *[o.min() for o in options]])
+    out, last = [], len(starts) - 1
+    for at in reversed(before):
+        out.append((int(starts[at[last]]), int(starts[last]) - 1))
+        last = int(at[last])
+    return [(0, int(starts[last]) - 1), *out[::-1]]
+
+
+def settle(cells: dict, k: int, absolute: bool, most: float = np.inf) -> tuple[dict, float]:
+    """One step: runs of cells that can't hold a cut are merged for good; ``live`` flags the others. Also the least cost reached so far."""
     if len(cells["w"]) <= k:
-        return cells
-    upper, lower = _costs(cells, absolute)
-    _, most = best_intervals(cells, k, upper)
-    found = undecided(cells, k, lower, most, absolute)
+        return cells, most
+    costs = Costs(cells, absolute)
+    i, j = (np.array(x) for x in zip(*best_intervals(costs, k)[0]))
+    most = min(most, float(costs.reached(i, j).sum()))
+    found = undecided(costs, cells["live"], k, most)[1]
     run = np.concatenate([[0], np.cumsum(found[1:] | found[:-1])])  # a new run wherever either neighbour is undecided
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     last = np.append(first[1:], len(run)) - 1
-    return {"lo": cells["lo"][first], "hi": cells["hi"][last], **{c: np.add.reduceat(cells[c], first) for c in ("w", "s", "q", "d")},
-            "live": found[first]}
+    dev = np.where(first == last, cells["dev"][first], costs(first, last)) if absolute else cells["dev"][first]
+    return {"lo": cells["lo"][first], "hi": cells["hi"][last], **{c: np.add.reduceat(cells[c], first) for c in ("w", "s", "q", "d")}, "dev": dev, "live": found[first]}, most
 
 
 def border_heights(low: np.ndarray, high: np.ndarray, weight: np.ndarray, linkage: str) -> np.ndarray:
@@ -217,7 +270,7 @@ def _numbered(values: DataFrame, strata: list[str]) -> tuple[DataFrame, DataFram
     return groups, materialize(null_safe_join(distinct, groups, strata, "inner").select("g", "x", "w"))
 
 
-CELL = "g long, lo double, hi double, w double, s double, q double, d double, live boolean, k int, shift double, pieces int"
+CELL = "g long, lo double, hi double, w double, s double, q double, d double, dev double, live boolean, k int, shift double, pieces int, most double"
 _SUMS = ("w", "s", "q", "d")
 
 
@@ -225,7 +278,7 @@ def _arrays(pdf: pd.DataFrame) -> tuple[dict, float, int, np.ndarray, np.ndarray
     """Sorted cells about the stratum's mean, the mean, k, and the cells' ends as they are in the data."""
     shift = float(pdf["shift"].iloc[0])
     lo, hi = pdf["lo"].to_numpy(float), pdf["hi"].to_numpy(float)
-    cells = {"lo": lo - shift, "hi": hi - shift, "live": pdf["live"].to_numpy(bool), **{c: pdf[c].to_numpy(float) for c in _SUMS}}
+    cells = {"lo": lo - shift, "hi": hi - shift, "live": pdf["live"].to_numpy(bool), **{c: pdf[c].to_numpy(float) for c in (*_SUMS, "dev")}}
     return cells, shift, int(pdf["k"].iloc[0]), lo, hi
 
 
@@ -236,46 +289,45 @@ def _optimum(values: DataFrame, wanted: DataFrame, absolute: bool, cells: int) -
     spans = values.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("shift"),
                                     F.count(F.lit(1)).cast("double").alias("d"))
     zero = F.lit(0.0)
-    table = spans.join(wanted, "g").select("g", "lo", "hi", zero.alias("w"), zero.alias("s"), zero.alias("q"), "d", F.lit(True).alias("live"), "k", "shift",
-                                           F.lit(cells).alias("pieces"))
+    table = spans.join(wanted, "g").select("g", "lo", "hi", zero.alias("w"), zero.alias("s"), zero.alias("q"), "d", zero.alias("dev"), F.lit(True).alias("live"), "k", "shift",
+                                           F.lit(cells).alias("pieces"), F.lit(float("inf")).alias("most"))
     table, live, opened = materialize(table), values, F.lit(True)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lo")
         own, shift, k, lo, hi = _arrays(pdf)
-        new = settle(own, k, absolute)
+        new, most = settle(own, k, absolute, float(pdf["most"].min()))
         to_split = int((new["live"] & (new["hi"] > new["lo"])).sum())
         # as many parts that a stratum's cells stay about as many
         return pd.DataFrame({"g": pdf["g"].iloc[0], "lo": lo[np.searchsorted(own["lo"], new["lo"])], "hi": hi[np.searchsorted(own["hi"], new["hi"])],
-                             **{c: new[c] for c in _SUMS}, "live": new["live"], "k": k, "shift": shift, "pieces": max(4, cells // max(1, to_split))})
+                             **{c: new[c] for c in (*_SUMS, "dev")}, "live": new["live"], "k": k, "shift": shift, "pieces": max(4, cells // max(1, to_split)), "most": most})
 
     while True:
         # the first round splits the whole stratum, even if it has one value; its sums are not known yet
-        cuts = table.filter(opened & F.col("live")).select("g", "lo", "hi", "d", "k", "shift", "pieces")
+        cuts = table.filter(opened & F.col("live")).select("g", "lo", "hi", "d", "k", "shift", "pieces", "most")
         n = cuts.count()
         if not n:
             break
         near = small(cuts.withColumnRenamed("g", "__g"), n)
         inside = live.join(near, (F.col("g") == F.col("__g")) & (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-        inside = materialize(inside.select("g", "x", "w", "lo", "hi", "d", "k", "shift", "pieces"))
+        inside = materialize(inside.select("g", "x", "w", "lo", "hi", "d", "k", "shift", "pieces", "most"))
         part = F.least(F.col("pieces") - 1, F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("pieces"))).cast("double")
         place = F.when(F.col("d") <= F.col("pieces"), F.col("x")).otherwise(part)  # few values: each a cell of its own
         off = F.col("x") - F.col("shift")
-        new = inside.groupBy("g", "lo", place.alias("place"), "k", "shift", "pieces").agg(
+        new = inside.groupBy("g", "lo", place.alias("place"), "k", "shift", "pieces", "most").agg(
             F.min("x").alias("a"), F.max("x").alias("b"), F.sum("w").alias("w"), F.sum(F.col("w") * off).alias("s"), F.sum(F.col("w") * off * off).alias("q"),
             F.count(F.lit(1)).cast("double").alias("d"))
-        new = new.select("g", F.col("a").alias("lo"), F.col("b").alias("hi"), *_SUMS, F.lit(True).alias("live"), "k", "shift", "pieces")
+        new = new.select("g", F.col("a").alias("lo"), F.col("b").alias("hi"), *_SUMS, zero.alias("dev"), F.lit(True).alias("live"), "k", "shift", "pieces", "most")
         rows = new.unionByName(table.filter(~(opened & F.col("live"))))
         table = materialize(rows.groupBy("g").applyInPandas(step, CELL))
         live, opened = inside.select("g", "x", "w"), F.col("hi") > F.col("lo")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         own, shift, k, lo, hi = _arrays(pdf.sort_values("lo"))
-        parts, _ = best_intervals(own, k, _costs(own, absolute)[0])
-        w = np.concatenate([[0.0], np.cumsum(own["w"])])
+        costs = Costs(own, absolute)
         out = []
-        for a, b in parts:
-            mid = _median_cells(w, np.array([a]), np.array([b]), w[b + 1:b + 2] - w[a:a + 1])[0]
+        for a, b in chosen_intervals(costs, own["live"], k, float(pdf["most"].min())):
+            mid = costs.median(np.array([a]), np.array([b]))[0]
             out.append({"a": lo[a], "b": hi[b], "m": lo[mid], "mean": shift + own["s"][a:b + 1].sum() / own["w"][a:b + 1].sum()})
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "parts": [out]})
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from predcheck import BinRule, assign_bins
 from predcheck.functions.breaks import interval_labels, with_pretty
-from predcheck.operators.clusters import best_intervals, border_heights, plug_in_width
+from predcheck.operators.clusters import Costs, best_intervals, border_heights, plug_in_width
 
 
 def frame(spark, xs, strat=None):
@@ -110,7 +110,9 @@ def test_best_intervals_against_all_partitions(absolute):
 
         k = min(k, m)
         best = min(sum(cost(a, b - 1) for a, b in zip((0, *c), (*c, m))) for c in itertools.combinations(range(1, m), k - 1))
-        got = best_intervals(v, w, k, absolute)
+        off = v - np.average(v, weights=w)
+        got, least = best_intervals(Costs({"lo": off, "hi": off, "w": w, "s": w * off, "q": w * off * off}, absolute), k)
+        assert least == pytest.approx(best, abs=1e-9)
         assert len(got) == k and got[0][0] == 0 and got[-1][1] == m - 1
         assert all(a[1] + 1 == b[0] for a, b in zip(got, got[1:]))
         assert sum(cost(a, b) for a, b in got) == pytest.approx(best, abs=1e-9)
@@ -118,8 +120,7 @@ def test_best_intervals_against_all_partitions(absolute):
 
 def test_complete_linkage():
     v = np.array([0.0, 1.0, 2.5, 6.0, 6.4, 11.0])
-    assert merge_neighbours(v, v, 3) == [(0, 2), (3, 4), (5, 5)]
-    assert merge_neighbours(v, v, 2) == [(0, 2), (3, 5)]
+    assert border_heights(v, v, np.ones(6), "complete").tolist() == [1.0, 2.5, 6.4, pytest.approx(0.4), 11.0]
 
 
 def test_plug_in_width_of_normal_data():
