@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -19,6 +20,7 @@ from predcheck.functions.quantiles import bracketed_quantiles, grouped_quantiles
 from predcheck.operators import report as rp  # noqa: E402
 from predcheck.operators.correct import median_prediction  # noqa: E402
 from predcheck.operators.statistics import censored, long_quantiles, percent_below  # noqa: E402
+from predcheck.plans.storage import shared_dir  # noqa: E402
 from check_tables import load, obs_events, obs_orders, sim_events  # noqa: E402
 
 ENTRY_DIR = "/root/testdata/sf0.001"
@@ -196,6 +198,16 @@ def simulated_by_position(spark, sf):
     return rounded(v.sim.join(v.obs().select("obs_id", "x"), "obs_id"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, row_number() OVER () - 1 AS i, count(*) OVER () AS n FROM orders),
+l AS (SELECT l_extendedprice AS y, row_number() OVER () - 1 AS place FROM lineitem),
+p AS (SELECT y, place % n AS i, (place // n + 1)::INTEGER AS repl FROM l, (SELECT DISTINCT n FROM o))
+SELECT o_orderkey, o_orderstatus, repl, y FROM p JOIN o USING (i)""")
+def simulated_by_file_order(spark, sf):
+    """Lines are replicates of the orders, by the places of both in their files."""
+    v = pk.observed(load(spark, sf, "orders"), "o_orderkey", "o_totalprice", order="files").simulated(load(spark, sf, "lineitem"), "l_extendedprice", order="files")
+    return v.sim.join(v.data.select(F.col("__position").alias("obs_id"), "o_orderkey", "o_orderstatus"), "obs_id").select("o_orderkey", "o_orderstatus", "repl", "y")
+
+
 @query(_POSITIONS.format("SELECT repl, count(*) AS n, min(obs_id) AS first_obs, max(obs_id) AS last_obs FROM a GROUP BY repl"))
 def replicate_numbers(spark, sf):
     return _by_position(spark, sf).sim.groupBy("repl").agg(
@@ -933,6 +945,72 @@ def statistics_without_binning(spark, sf):
     return rounded(v.binning("x").statistics(QPRED).stats)
 
 
+MANY_BREAKS = 5000
+
+
+@query(with_("obs AS (SELECT o_orderkey AS id, o_totalprice AS x FROM orders)",
+             f"lim AS (SELECT min(x) AS lo, max(x) AS hi FROM obs), given AS (SELECT (range * 100)::DOUBLE AS e FROM range({MANY_BREAKS}))",
+             "edges AS (SELECT e FROM given UNION SELECT lo FROM lim WHERE lo < (SELECT min(e) FROM given) UNION SELECT hi FROM lim WHERE hi > (SELECT max(e) FROM given))",
+             "n AS (SELECT count(*) AS n FROM edges), numbered AS (SELECT e, row_number() OVER (ORDER BY e) AS i FROM edges)",
+             select="SELECT o.id, greatest(1, least(c.i, n - 1))::DOUBLE AS bin_num FROM (obs o ASOF JOIN numbered c ON o.x >= c.e), n"))
+def bin_by_many_breaks(spark, sf):
+    """Thousands of cuts, pooled, looked up by halving."""
+    rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"))
+    return pk.assign_bins(rows, "x", pk.BinRule(method="breaks", breaks=[i * 100.0 for i in range(MANY_BREAKS)])).select("id", "bin_num")
+
+
+@query(with_("obs AS (SELECT o_orderkey AS id, o_totalprice AS x FROM orders)", f"given AS (SELECT (range * 100)::DOUBLE AS c FROM range({MANY_BREAKS}))",
+             "b AS (SELECT o.*, c AS lower FROM obs o ASOF LEFT JOIN given ON o.x >= given.c)",
+             select="SELECT b.id, CASE WHEN lower IS NULL THEN u.c WHEN u.c IS NULL OR abs(x - lower) <= abs(x - u.c) THEN lower ELSE u.c END AS bin_num FROM b ASOF LEFT JOIN given u ON b.x < u.c"))
+def bin_by_many_centers(spark, sf):
+    rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"))
+    return pk.assign_bins(rows, "x", pk.BinRule(method="centers", centers=[i * 100.0 for i in range(MANY_BREAKS)])).select("id", "bin_num")
+
+
+@query(with_(OBS, "lim AS (SELECT min(x) AS lo, max(x) AS hi, min(y) AS a, median(y) AS m, max(y) AS b FROM obs)",
+             """cut AS (SELECT strat, y, x <= lo + (hi - lo) / 2 AS early, y <= m AS small, printf('%.3g', lo - (hi - lo) / 1000) AS p, printf('%.3g', lo + (hi - lo) / 2) AS q,
+  printf('%.3g', hi + (hi - lo) / 1000) AS r, printf('%.3g', a) AS ya, printf('%.3g', m) AS ym, printf('%.3g', b) AS yb FROM obs, lim)""",
+             select="""SELECT CASE WHEN early THEN '(' || p || ',' || q || ']' ELSE '(' || q || ',' || r || ']' END AS cut_x_2,
+  CASE WHEN small THEN '[' || ya || ',' || ym || ']' ELSE '(' || ym || ',' || yb || ']' END AS level, count(*) AS n, round(avg(y), 6) AS mean_y FROM cut GROUP BY ALL"""))
+def strata_fitted(spark, sf):
+    """Strata that need the range or the quantiles of the data."""
+    v = base(spark, sf).stratify("cut(x, 2) ~ level = quantiles(y, 2)")
+    return rounded(v.obs().groupBy("cut_x_2", "level").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
+
+
+def _moments() -> pk.Mergeable:
+    """Breaks at the mean and one standard deviation to both sides."""
+    def finish(state, group):
+        n, mean, squares = state
+        sd = (squares / (n - 1)) ** 0.5
+        return [mean - sd, mean, mean + sd]
+
+    def merge(a, b):
+        n, apart = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + apart * b[0] / max(n, 1), a[2] + b[2] + apart * apart * a[0] * b[0] / max(n, 1)
+
+    return pk.Mergeable(lambda: (0, 0.0, 0.0), lambda s, x: merge(s, (len(x), x.mean(), ((x - x.mean()) ** 2).sum())), merge, finish)
+
+
+@query(with_(OBS, "m AS (SELECT strat, avg(x) AS a, stddev_samp(x) AS sd FROM obs GROUP BY strat)",
+             "binned AS (SELECT obs.*, (1 + (x >= a - sd)::INTEGER + (x >= a)::INTEGER + (x >= a + sd)::INTEGER) AS b FROM obs JOIN m USING (strat))",
+             select="""SELECT strat, b::DOUBLE AS bin_num, count(*) AS nobs, round(min(x), 6) AS xmin, round(max(x), 6) AS xmax, round(avg(DISTINCT floor(x)), 6) AS xbin
+  FROM binned GROUP BY strat, b"""))
+def bin_by_mergeable_function(spark, sf):
+    """Breaks and the x of a bin from states that are merged: moments, and the set of hours that occur."""
+    hours = pk.Mergeable(set, lambda s, x: s | set(x.astype(int).tolist()), lambda a, b: a | b, lambda s, group: sum(s) / len(s))
+    v = stratified(spark, sf).binning(func=_moments(), xbin=hours)
+    return rounded(v.bininfo().select("strat", "bin_num", "nobs", "xmin", "xmax").join(v.bins().select("strat", "bin_num", "xbin"), ["strat", "bin_num"]))
+
+
+@query(_SQL["interval_statistics"])
+def statistics_of_stored_replicates(spark, sf):
+    """The flagship from replicates that are stored in buckets by observation."""
+    name = f"replicates_{uuid.uuid4().hex}"
+    stored = pk.store_replicates(sim_events(spark, sf, REPLICATES), name, "y_sim", "obs_id", buckets=16, path=f"{shared_dir(spark)}/{name}")
+    return rounded(base(spark, sf).simulated(stored, "y_sim").stratify("~ strat").binning(method="ntile", nbins=6).predcorrect().statistics(QPRED).stats)
+
+
 # ------------------------------------------------------------------------------------------ driver contract
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -61,16 +62,30 @@ def closed_edges(breaks: Column, lo: Column, hi: Column) -> Column:
     return F.when(F.size(edges) == 1, F.array_repeat(F.element_at(edges, 1), 2)).otherwise(edges)
 
 
+#: Arrays of at most this many elements are looked through, longer ones are halved; LONGEST is the longest array that can be.
+LINEAR, LONGEST = 24, 1 << 24
+
+
+def passed(sorted_values: Column, test: Callable[[Column], Column]) -> Column:
+    """How many elements pass ``test``, which holds for a first part of the array: log2(n) reads of a long array."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(LONGEST.bit_length()))])
+    halved = F.aggregate(steps, F.lit(0), lambda at, step: F.when(test(F.get(sorted_values, at + step - 1)), at + step).otherwise(at))
+    return F.when(F.size(sorted_values) <= LINEAR, F.size(F.filter(sorted_values, test))).otherwise(halved)
+
+
 def interval(x: Column, edges: Column, right: bool = False) -> Column:
     """1-based interval of ``x``; the outer interval is closed on both sides."""
-    passed = F.size(F.filter(edges, (lambda e: e < x) if right else (lambda e: e <= x)))
-    return F.when(x.isNotNull() & edges.isNotNull(), F.greatest(F.lit(1), F.least(passed, F.size(edges) - 1)))
+    below = passed(edges, (lambda e: e < x) if right else (lambda e: e <= x))
+    return F.when(x.isNotNull() & edges.isNotNull(), F.greatest(F.lit(1), F.least(below, F.size(edges) - 1)))
 
 
 def closest(x: Column, centers: Column) -> Column:
-    """The nearest centre; the lower one on a tie."""
-    best = F.array_min(F.transform(centers, lambda c: F.struct(F.abs(x - c).alias("d"), c.alias("c"))))
-    return F.when(x.isNotNull(), best["c"])
+    """The nearest of sorted centres; the lower one on a tie."""
+    best = F.array_min(F.transform(centers, lambda c: F.struct(F.abs(x - c).alias("d"), c.alias("c"))))["c"]
+    at = passed(centers, lambda c: c < x)
+    least = F.least(F.abs(x - F.get(centers, at - 1)), F.abs(x - F.get(centers, at)))
+    halved = F.get(centers, passed(centers, lambda c: x - c > least))  # rounding can make more than two equally near
+    return F.when(x.isNotNull(), F.when(F.size(centers) <= LINEAR, best).otherwise(halved))
 
 
 def interval_labels(edges, right: bool = False) -> list[str]:

@@ -1,17 +1,18 @@
 """Row positions, and the alignment of simulated rows with observed rows.
 
-Spark rows have no order, so a position always comes from columns the caller names. Numbering is a range sort plus
-per-partition offsets; no step orders the whole table in one task.
+Spark rows have no order, so a position comes from columns the caller names, or from the places of the rows in the files they are read from. The first is
+a range sort plus per-partition offsets, the second needs no sort; no step orders the whole table in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.values import as_column
-from ..plans.storage import materialize
+from ..plans.storage import compact, materialize, small
 
 _LOCAL_BITS = 33
 
@@ -30,6 +31,55 @@ def dense_index(df: DataFrame, order: Sequence, name: str = "row_index") -> Data
     return placed.withColumn(name, F.col("__start") + local).drop("__pid", "__start", "__mid")
 
 
+#: The order in which rows stand in the files they are read from.
+FILES = "files"
+
+
+def file_index(df: DataFrame, columns: Sequence | None = None, name: str = "row_index") -> tuple[DataFrame, int]:
+    """(columns and 0-based positions in the order of the files, number of rows); files in the order of their paths.
+
+    ``df`` is a table read from files, possibly with filters and columns added. If no row of it was left out and the format numbers the rows of a
+    file (Parquet), a position is that number plus the file's offset: no sort, no shuffle, nothing stored. Otherwise the rows are stored as they are scanned, and
+    numbered by their place in the scanned piece of the file plus the piece's offset, again without a sort.
+    """
+    wanted = [F.col(c) for c in df.columns] if columns is None else list(columns)
+    file, block, row = F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.col("_metadata.row_index").alias("__row")
+    try:
+        tagged, numbered = df.select(*wanted, file, row), True
+    except AnalysisException:  # text formats do not number their rows
+        numbered = False
+    if numbered:
+        files, number = compact(tagged.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"), (F.max("__row") + 1).alias("__top")))
+        if not files.filter("__n <> __top").limit(1).count():
+            placed = _from_offsets(tagged, files, number, ["__file"], F.col("__row"), name)
+            return placed, files.agg(F.sum("__n")).first()[0] or 0
+    try:
+        tagged = df.select(*wanted, file, block)
+    except AnalysisException as e:
+        raise ValueError("an order of files needs a table that is read from files") from e
+    stored = materialize(tagged.withColumn("__mid", F.monotonically_increasing_id()))
+    pieces, number = compact(stored.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"), (F.max("__mid") + 1).alias("__end")))
+    if pieces.filter("__end - __first <> __n").limit(1).count():
+        raise ValueError("the rows of a file are not in the order of the file: number them before joins and other shuffles")
+    placed = _from_offsets(stored, pieces, number, ["__file", "__block"], F.col("__mid") - F.col("__first"), name)
+    return placed, pieces.agg(F.sum("__n")).first()[0] or 0
+
+
+def _from_offsets(rows: DataFrame, pieces: DataFrame, number: int, keys: list[str], place: Column, name: str) -> DataFrame:
+    """Positions from the place of a row in its piece and the rows of all pieces before."""
+    offsets = pieces.withColumn("__start", F.sum("__n").over(Window.orderBy(*keys)) - F.col("__n")).drop("__n")
+    joined = rows.join(small(offsets, number), keys)
+    return joined.withColumn(name, F.col("__start") + place).drop(*[c for c in joined.columns if c in {"__file", "__block", "__row", "__mid", "__first", "__end", "__top", "__start"}])
+
+
+def placed_rows(df: DataFrame, columns: Sequence, order, name: str = "row_index") -> DataFrame:
+    """The columns and positions in the given order, or that of the files."""
+    if isinstance(order, str) and order == FILES:
+        return file_index(df, columns, name)[0]
+    keys = {f"__o{i}": as_column(c) for i, c in enumerate(order)}
+    return dense_index(df.select(*columns, *[c.alias(n) for n, c in keys.items()]), list(keys), name).drop(*keys)
+
+
 def checksums(id: str) -> dict[str, Column]:
     """Aggregates that tell two multisets of ids apart: their number, the exclusive or of their hashes, and the sums of
     two pieces of 20 bits, which stay within 64 bits up to 2**43 ids."""
@@ -71,8 +121,8 @@ def _comparable_id(df: DataFrame, name: str, exact: bool) -> Column:
 def order_report(obs: DataFrame, sim: DataFrame, order_obs: Sequence, order_sim: Sequence,
                  tol: float = 1e-5) -> DataFrame:
     """One row: n_obs, n_sim, nrep, multiple_ok, id_ok, time_ok. Columns 1 and 2 are the id and the time."""
-    o = dense_index(obs.select(*[F.col(c) for c in dict.fromkeys([*obs.columns[:2], *order_obs])]), order_obs)
-    s = dense_index(sim.select(*[F.col(c) for c in dict.fromkeys([*sim.columns[:2], *order_sim])]), order_sim)
+    o = placed_rows(obs, [F.col(c) for c in obs.columns[:2]], order_obs)
+    s = placed_rows(sim, [F.col(c) for c in sim.columns[:2]], order_sim)
     kinds = [isinstance(d.schema[d.columns[0]].dataType, T.NumericType) for d in (obs, sim)]
     exact = all(isinstance(d.schema[d.columns[0]].dataType, T.IntegralType) for d in (obs, sim))
     n_obs, n_sim = o.count(), s.count()

@@ -16,12 +16,13 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.breaks import closed_edges, closest, interval, labels_column, spaced, with_pretty
+from ..functions.breaks import closed_edges, closest, interval, labels_column, passed, spaced, with_pretty
 from ..functions.quantiles import grouped_quantiles, select_ranks, steps_within_groups
-from ..functions.values import as_column, as_double, literal, null_safe_join, number_text
+from ..functions.values import as_column, as_double, null_safe_join, number_text
 from ..plans.storage import compact, materialize, small, split_rows
 from . import clusters
 from .align import dense_index
+from .states import Mergeable, merged
 
 # The interval styles and the other method names.
 STYLES = ("fixed", "sd", "equal", "pretty", "quantile", "kmeans", "hclust", "bclust", "fisher", "jenks", "dpih")
@@ -43,7 +44,8 @@ class BinRule:
 
     ``func(x, **values)`` gets the x column, the stratum columns and the per-stratum aggregates named in
     ``stats``, and returns a Column. With ``grouped=True`` it gets, per stratum, pandas Series ``x`` (distinct
-    values) and ``n`` (their counts) and the stratum values, and returns one bin per distinct value.
+    values) and ``n`` (their counts) and the stratum values, and returns one bin per distinct value. A ``Mergeable`` sees all values of a stratum, however
+    many, in states that are merged; it finishes with the breaks of the stratum.
     """
 
     method: str | None = None
@@ -72,6 +74,8 @@ class BinRule:
                 raise ValueError(f"{self.method} does not know {', '.join(sorted(unknown))}")
         elif self.func is None and self.options:
             raise ValueError(f"a bin column takes no {', '.join(sorted(self.options))}")
+        if isinstance(self.func, Mergeable) and (self.grouped or self.stats or self.options):
+            raise ValueError("a Mergeable takes no grouped, stats or further arguments")
         if self.method is not None:
             needed = NEEDS.get(self.method)
             if needed and getattr(self, needed) is None:
@@ -84,7 +88,7 @@ class BinRule:
                 if not self.by_strata:
                     raise ValueError(f"a table of {name} has rows by stratum, so bins can't be pooled")
                 if name not in value.columns:
-                    raise ValueError(f"{name} table must contain column {name}")
+                    raise ValueError(f"the table given as {name} has no column {name}")
             elif name != "nbins" and value is not None:
                 if isinstance(value, (str, Column)) or any(v is None or v != v for v in value):
                     raise ValueError(f"{name} must be numbers without missing values, or a DataFrame")
@@ -128,7 +132,7 @@ def _lookup(table: DataFrame, params: DataFrame, name: str) -> DataFrame:
     joined = null_safe_join(table, params.groupBy(*keys).agg(value.alias(name), bad.alias("__bad")), keys)
     wrong = F.col(name).isNull() | (F.col("__bad") > 0)
     if joined.filter(wrong | (F.size(name) != 1) if single else wrong).limit(1).count():
-        raise ValueError("nbins must be uniquely determined for every stratum" if single else f"invalid {name}")
+        raise ValueError("every stratum needs exactly one nbins" if single else f"missing or non-numeric {name} in the table")
     joined = joined.drop("__bad")
     return joined.withColumn(name, F.element_at(name, 1)) if single else joined
 
@@ -214,7 +218,7 @@ def _grouped_function(rows, strata, rule):
     values = rows.groupBy(*strata, "__x").agg(F.count(F.lit(1)).alias("n"))
     most = values.groupBy(*strata).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
     if most > split_rows(rows.sparkSession):
-        raise ValueError("too many distinct values for a grouped bin function; use the Column form")
+        raise ValueError("too many distinct values for a grouped bin function; give a Mergeable or the Column form")
     schema = T.StructType([rows.schema[s] for s in strata] + [
         T.StructField("__x", T.DoubleType()), T.StructField("bin", T.StringType()), T.StructField("bin_num", T.DoubleType())])
     names = [s for s in strata if s != POOLED]
@@ -224,7 +228,7 @@ def _grouped_function(rows, strata, rule):
         pdf = pdf.sort_values("__x").reset_index(drop=True)
         got = list(func(pdf["__x"], pdf["n"], **{s: pdf[s].iloc[0] for s in names}, **options))
         if len(got) != len(pdf):
-            raise ValueError("a bin function must return the right number of bins: one for each value")
+            raise ValueError("a bin function gives one bin for each value it gets")
         num = pd.to_numeric(pd.Series(got), errors="coerce").astype(float)
         text = [None if g is None or g != g else g if isinstance(g, str) else f"{g:.15g}" for g in got]
         return pd.DataFrame({**{s: pdf[s] for s in strata}, "__x": pdf["__x"], "bin": text, "bin_num": num})
@@ -244,6 +248,8 @@ class BinModel:
     rows: int
     #: Rows of the largest stratum, hence an upper bound for the rows of a bin; None when nothing was counted.
     largest: int | None = None
+    #: Estimated size of a row of the table.
+    row_bytes: int = 1024
 
     def transform(self, df: DataFrame, x: str = "__x", id: str = "__id", column: str = "__bin") -> DataFrame:
         """Add bin, bin_num, bin_left and bin_right. Bins already there stay where the rule does not apply."""
@@ -257,14 +263,13 @@ class BinModel:
             hit = F.col("__hit").isNotNull()
         elif rule.stratum is None and rule.column is not None:
             joined, hit = df, F.lit(True)
-        elif pooled:
-            # One row of cuts for all the data: constants of the expression, no join.
-            row = table.first()
-            joined = df.withColumns({f.name: literal(row[f.name], f.dataType) for f in table.schema if f.name != POOLED})
-            hit = F.lit(True)
         else:
-            joined = null_safe_join(df, small(table, self.rows, 1024), keys)
+            if pooled:  # one row of cuts for all the data, sent to every task like any table of cuts
+                df = df.withColumn(POOLED, F.lit(0))
+            joined = null_safe_join(df, small(table, self.rows, self.row_bytes), keys)
             hit = F.col("__hit").isNotNull()
+        if self._cut:  # the lookup is done once for all columns made from it
+            joined = joined.withColumn("__i", interval(F.col(x), F.col("__cuts"), rule.right and rule.method in ("breaks", None)))
         made = self._expressions(joined, F.col(x), F.col(id), column)
         if "bin" in df.columns:
             made = {c: F.when(hit, e).otherwise(F.col(c)) for c, e in made.items()}
@@ -272,6 +277,11 @@ class BinModel:
         extra = [c for c in out.columns if c not in df.columns and c not in BIN_COLUMNS]
         return out.drop(*extra, POOLED)
 
+    @property
+    def _cut(self) -> bool:
+        """Whether bins are intervals between cuts."""
+        return isinstance(self.rule.func, Mergeable) or self.rule.method not in (None, "centers", "pam", "ntile")
+
     def _expressions(self, df, x, id, column) -> dict[str, Column]:
         rule = self.rule
         none = F.lit(None).cast("double")
@@ -281,12 +291,13 @@ class BinModel:
             num = closest(x, F.col("__cuts"))
             return dict(zip(BIN_COLUMNS, (number_text(num), num, none, none)))
         if rule.method == "ntile":
-            passed = F.filter("__cuts", lambda s: (s["__x"] < x) | ((s["__x"] == x) & (s["__id"] <= id)))
-            number = F.coalesce(F.array_max(F.transform(passed, lambda s: s["__b"])), F.lit(1).cast("long"))
+            cuts = F.col("__cuts")
+            before = passed(cuts, lambda s: (s["__x"] < x) | ((s["__x"] == x) & (s["__id"] <= id)))
+            number = F.coalesce(F.get(cuts, before - 1)["__b"], F.lit(1).cast("long"))
             number = F.when(x.isNotNull() & F.col("__hit").isNotNull(), number)
             return dict(zip(BIN_COLUMNS, (number.cast("string"), number.cast("double"), none, none)))
-        if rule.method is not None:
-            i = interval(x, F.col("__cuts"), rule.right and rule.method == "breaks")
+        if self._cut:
+            i = F.col("__i")
             left, right = (F.when(i.isNotNull(), F.try_element_at("__cuts", i + d)) for d in (0, 1))
             return dict(zip(BIN_COLUMNS, (F.when(i.isNotNull(), F.try_element_at("__labels", i)), i.cast("double"), left, right)))
         if rule.func is not None:
@@ -339,7 +350,14 @@ def fit_bins(rows: DataFrame, rule: BinRule, strata: Sequence[str] = (), whole:
         return BinModel(rule, keys, made, count, largest)
 
     method, payload = rule.method, []
-    if method is not None:
+    if isinstance(rule.func, Mergeable):
+        found = materialize(merged(rows, keys, "__x", rule.func, T.ArrayType(T.DoubleType()), "__cuts"))
+        if found.filter(F.size("__cuts") == 0).limit(1).count():
+            raise ValueError("a bin function gave no breaks for a stratum")
+        table = null_safe_join(table, found, keys)
+        table = table.withColumn("__cuts", closed_edges(F.col("__cuts"), F.col("xmin"), F.col("xmax"))).withColumn("__labels", labels_column(F.col("__cuts"), rule.right))
+        payload = ["__cuts", "__labels"]
+    elif method is not None:
         needed = {"fixed": "breaks", **NEEDS}.get(method, "nbins")
         table = _with_parameter(table, rows, keys, rule, needed)
         if needed == "nbins" and method in STYLES and method != "dpih" and (_least_bins(table, rule) or 2) < 2:
@@ -351,7 +369,8 @@ def fit_bins(rows: DataFrame, rule: BinRule, strata: Sequence[str] = (), whole:
             table = table.withColumn("__labels", labels_column(F.col("__cuts"), rule.right and method == "breaks"))
             payload.append("__labels")
     made, count = compact(table.select(*keys, *payload, *[f"__stat_{n}" for n in rule.stats], F.lit(True).alias("__hit")))
-    return BinModel(rule, keys, made, count, largest)
+    cuts = (made.agg(F.max(F.size("__cuts"))).first()[0] or 0) if payload else 0
+    return BinModel(rule, keys, made, count, largest, 1024 + 64 * cuts)
 
 
 def _cuts(rows, keys, table, rule, largest) -> DataFrame:

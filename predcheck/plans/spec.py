@@ -13,12 +13,13 @@ from dataclasses import dataclass
 from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.quantiles import PILOTS, bracketed_quantiles, brackets_pay, grouped_quantiles
 from ..functions.values import as_column, as_double, null_safe_join
 from ..operators import align, bininfo as info, correct, statistics as st, strata as sf
 from ..operators.binning import NO_STRATUM, BinModel, BinRule, fit_bins
+from ..operators.states import Mergeable, merged
 from .storage import broadcast_bytes, compact, group_sizes, materialize, small, split_rows
 
 #: Size of one observation (id, group, limit, correction) in a broadcast table.
@@ -91,18 +92,21 @@ class VPC:
         added = [c for c in data.columns if c not in keys]
         return self.update(data=self.data.drop(*added).join(data.select(*keys, *added), keys, "left"))
 
-    def simulated(self, data: DataFrame, y, *, id=None, repl="repl", order: Sequence | None = None, check: bool = True) -> "VPC":
+    def simulated(self, data: DataFrame, y, *, id=None, repl="repl", order: Sequence | str | None = None, check: bool = True) -> "VPC":
         """Replicates. Either ``id`` and ``repl`` say which observation and replicate a row belongs to, or
-        ``order`` says how to number the rows (the observations must then have been given an order too).
+        ``order`` says how to number the rows (the observations must then have been given an order too): columns, or ``"files"`` for the order of the files read.
 
         With ids, ``statistics`` checks that every replicate has every observation once; ``check=False`` leaves it out."""
         if order is not None:
             if self.positions is None:
                 raise ValueError("simulated(order=...) needs observed(order=...)")
-            keys = {f"__o{i}": as_column(c) for i, c in enumerate(order)}
-            narrow = data.select(*[c.alias(n) for n, c in keys.items()], as_double(y).alias("y"))
-            rows = align.dense_index(narrow, list(keys))
-            if rows.count() % max(self.positions, 1):
+            value = [as_double(y).alias("y")]
+            if order == align.FILES:
+                rows, number = align.file_index(data, value)
+            else:
+                rows = align.placed_rows(data, value, order)
+                number = rows.count()
+            if number % max(self.positions, 1):
                 raise ValueError("the number of simulated rows must be a multiple of the number of observations")
             numbered = align.number_replicates(rows, self.positions)
             return self.update(sim=numbered.select("obs_id", "repl", "y"), check=False)
@@ -130,13 +134,14 @@ class VPC:
 
     def stratify(self, formula: str | None = None, *, rows: Sequence = (), cols: Sequence = (),
                  derived: dict[str, Column] | None = None, data: DataFrame | None = None) -> "VPC":
-        """``"~ a + b"``, ``"a ~ b"`` or explicit sides. Bins and correction have to be given again."""
+        """``"~ a + b"``, ``"a ~ b"`` or explicit sides, with terms such as ``cut(x, 2)``. Bins and correction have to be given again."""
         two_sided = bool(rows)
         if formula is not None:
             rows, cols, two_sided = sf.split_formula(formula)
-        left, right = sf.as_terms(rows, derived or {}), sf.as_terms(cols, derived or {})
+        joined = self._joined(data)
+        left, right = (sf.as_terms(side, derived or {}, joined._observed()) for side in (rows, cols))
         sf.check_terms(left, right)
-        return self._joined(data).update(strat_rows=tuple(left), strat_cols=tuple(right), two_sided=two_sided)._unbinned()
+        return joined.update(strat_rows=tuple(left), strat_cols=tuple(right), two_sided=two_sided)._unbinned()
 
     def binning(self, bin=None, *, method: str | None = None, func: Callable | None = None, nbins=None, centers=None,
                 breaks=None, xbin: Any = "xmedian", altx=None, stratum=None, by_strata: bool = True, right: bool = False,
@@ -150,8 +155,8 @@ class VPC:
                                               by_strata=by_strata, right=right, quantile_type=quantile_type, stats=stats, grouped=grouped, **options)
         if isinstance(xbin, Column):
             bin, method, func = xbin, None, None
-        elif not callable(xbin) and xbin not in info.INFO_COLUMNS:
-            raise ValueError(f"xbin must be a Column, a function or one of {', '.join(info.INFO_COLUMNS)}")
+        elif not callable(xbin) and not isinstance(xbin, Mergeable) and xbin not in info.INFO_COLUMNS:
+            raise ValueError(f"xbin must be a Column, a function, a Mergeable or one of {', '.join(info.INFO_COLUMNS)}")
         elif bin is None and method is None and func is None:
             method = "centers" if centers is not None else "breaks" if breaks is not None else None
         per_row = nbins if isinstance(nbins, (str, Column)) else None
@@ -350,6 +355,10 @@ class VPC:
         keys = [*self.strata, "bin"]
         if isinstance(self.xbin, str):
             return self._info(self.by_strata, extra).select(*keys, "bin_num", F.col(self.xbin).alias("xbin"), *extra)
+        if isinstance(self.xbin, Mergeable):
+            rows = self._obs_with_x()
+            counted = rows.groupBy(*keys).agg(F.min("bin_num").alias("bin_num"), *[c.alias(n) for n, c in extra.items()])
+            return null_safe_join(counted, merged(rows, keys, "__bx", self.xbin, T.DoubleType(), "xbin"), keys)
         value = F.min("__bx") if isinstance(self.xbin, Column) else self.xbin(F.col("__bx"))
         return self._obs_with_x().groupBy(*keys).agg(F.min("bin_num").alias("bin_num"), value.alias("xbin"),
                                                      *[c.alias(n) for n, c in extra.items()])
@@ -441,9 +450,10 @@ class VPC:
         return counts.withColumns({"stratified_by": F.lit(", ".join(self.strata)), "has_stats": F.lit(self.qpred is not None)})
 
 
-def observed(data: DataFrame, x, yobs=None, *, y=None, id=None, order: Sequence | None = None, pred=None, blq=None,
+def observed(data: DataFrame, x, yobs=None, *, y=None, id=None, order: Sequence | str | None = None, pred=None, blq=None,
              lloq=float("-inf")) -> VPC:
-    """Start a check. ``id`` identifies an observation; ``order`` numbers them 0..n-1 by the given columns instead."""
+    """Start a check. ``id`` identifies an observation; ``order`` numbers them 0..n-1 by the given columns instead,
+    or, if it is ``"files"``, by their places in the files that ``data`` is read from."""
     value = yobs if yobs is not None else y
     if value is None:
         raise ValueError("the observed variable is missing")
@@ -451,5 +461,9 @@ def observed(data: DataFrame, x, yobs=None, *, y=None, id=None, order: Sequence
         raise ValueError("give either id or order")
     if order is None:
         return VPC(data, id, x, value, pred, blq, lloq)
-    placed = align.dense_index(data, order, "__position")
-    return VPC(placed, "__position", x, value, pred, blq, lloq, positions=placed.count())
+    if order == align.FILES:
+        placed, number = align.file_index(data, name="__position")
+    else:
+        placed = align.dense_index(data, order, "__position")
+        number = placed.count()
+    return VPC(placed, "__position", x, value, pred, blq, lloq, positions=number)

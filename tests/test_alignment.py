@@ -1,9 +1,12 @@
 """What the check refuses, and what its steps drop."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import predcheck as pk
+from predcheck.operators import align
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +111,59 @@ def test_sort_merge_free_join(spark, obs, sim):
         assert "ShuffledHashJoin" in again._grouped_sim()._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("predcheck.broadcastBytes")
+
+
+def _in_files(spark, path, rows, files, format="parquet"):
+    """Rows in the given order, in some files whose paths are in order, each of several row groups or lines."""
+    for i in range(files):
+        part = rows[i * len(rows) // files:(i + 1) * len(rows) // files]
+        frame = spark.createDataFrame(part, "k long, v double").coalesce(1)
+        writer = frame.write.option("parquet.block.size", "2000").option("header", True).option("maxRecordsPerFile", 0)
+        writer.format(format).mode("append").save(f"{path}/f={i:03d}")
+    reader = spark.read.option("header", True).schema("k long, v double")
+    return reader.format(format).load([f"{path}/f={i:03d}" for i in range(files)])
+
+
+@pytest.mark.parametrize("format,kept,files", [("parquet", "true", 5), ("parquet", "k % 3 <> 0", 5), ("csv", "true", 4), ("csv", "k % 7 < 4", 1)])
+def test_positions_from_files(spark, tmp_path, format, kept, files):
+    """With and without a filter, with and without row numbers in the format, however the files are cut into tasks."""
+    rng = random.Random(files)
+    rows = [(k, k / 2) for k in rng.sample(range(10_000), 3000)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = _in_files(spark, str(tmp_path), rows, files, format).filter(kept)
+        placed, n = align.file_index(df.withColumn("w", F.col("v") * 2))
+        got = [r.k for r in placed.orderBy("row_index").collect()]
+        assert placed.select("row_index").distinct().count() == n and sorted(r.row_index for r in placed.collect()) == list(range(n))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    keep = {"true": lambda k: True, "k % 3 <> 0": lambda k: k % 3, "k % 7 < 4": lambda k: k % 7 < 4}[kept]
+    assert got == [k for k, _ in rows if keep(k)] and set(placed.columns) == {"k", "v", "w", "row_index"}
+    if (format, kept) == ("parquet", "true"):
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "hashpartitioning" not in plan
+
+
+def test_check_in_the_order_of_files(spark, tmp_path):
+    """Same intervals as by an order column; the two tables are cut into files differently."""
+    obs = [(i, float(i % 17)) for i in range(200)]
+    sim = [(r * 200 + i, i % 17 + r / 10) for r in range(4) for i in range(200)]
+    o, s = _in_files(spark, str(tmp_path / "o"), obs, 1), _in_files(spark, str(tmp_path / "s"), sim, 3)
+    tables = []
+    for orders in ("files", "files"), (["k"], ["k"]):
+        v = pk.observed(o, "k", "v", order=orders[0]).simulated(s, "v", order=orders[1]).binning(method="ntile", nbins=4)
+        tables.append([tuple(r) for r in v.statistics().stats.collect()])
+    assert tables[0] == tables[1] and pk.check_order(o.select((F.col("k") % 200).alias("i"), "v"), s.select((F.col("k") % 200).alias("i"), F.floor("v").alias("v")), "files", "files", tol=1.0) == 4
+    with pytest.raises(ValueError, match="multiple"):
+        pk.observed(o, "k", "v", order="files").simulated(s.filter("k < 799"), "v", order="files")
+    with pytest.raises(ValueError, match="read from files"):
+        align.file_index(spark.range(3))
+
+
+def test_checksums_of_many_ids(spark):
+    """More than 2**24 observations: the sums of hashes must not overflow."""
+    n = 17_500_000
+    ids = spark.range(n).withColumn("y", F.lit(1.0))
+    sums = ids.agg(*[c.alias(k) for k, c in align.checksums("id").items()]).first()
+    assert sums.rows == n and sums.high > 2 ** 42
+    assert spark.range(3).agg(*align.checksums("id").values()).first() != spark.range(1, 4).agg(*align.checksums("id").values()).first()
