@@ -192,6 +192,12 @@ _POSITIONS = with_(OBS, SIM, """o AS (SELECT *, row_number() OVER (ORDER BY obs_
                    """a AS (SELECT s.p % s.n AS obs_id, (s.p // s.n + 1)::INTEGER AS repl, s.y_sim AS y FROM s)""", select="{}")
 
 
+@query(with_(OBS, select="SELECT obs_id, round(y * 2, 6) AS y, lloq * 3 AS lloq, y * 2 < lloq * 3 AS blq FROM obs"))
+def updated_fields(spark, sf):
+    """Fields of a check replaced by name; the flag is then that of the new limit."""
+    return rounded(base(spark, sf).update(y="y * 2", lloq="lloq * 3", blq=None).obs().select("obs_id", "y", "lloq", "blq"))
+
+
 @query(_POSITIONS.format("SELECT a.obs_id, a.repl, round(o.x, 6) AS x, round(a.y, 6) AS y FROM a JOIN o ON o.p = a.obs_id"))
 def simulated_by_position(spark, sf):
     v = _by_position(spark, sf)
@@ -538,7 +544,18 @@ def clusters_sql(breaks):
                  select=f"SELECT strat, bin, b::DOUBLE AS bin_num, {INFO_OUT} FROM info JOIN labels USING (strat, b)")
 
 
-_CLUSTERS = {"kmeans": clusters_sql(HALFWAY), "fisher": clusters_sql(HALFWAY), "jenks": clusters_sql(UPPER_ENDS)}
+def agglomeration_sql(k):
+    """Complete linkage: the two neighbours with the least distance from end to end are merged, the lower ones of equal pairs, until k are left."""
+    merge = """merged AS (SELECT strat, list(x ORDER BY x) AS lo, list(x ORDER BY x) AS hi FROM (SELECT DISTINCT strat, x FROM obs) GROUP BY strat UNION ALL
+  SELECT strat, lo[:i] || lo[i + 2:], hi[:i - 1] || hi[i + 1:] FROM (SELECT *, list_position(gaps, list_min(gaps)) AS i FROM
+    (SELECT *, list_transform(range(1, len(lo)), lambda z: hi[z + 1] - lo[z]) AS gaps FROM merged WHERE len(lo) > """ + str(k) + ")))"
+    return merge + f", best AS (SELECT strat AS s, list_transform(range(1, {k} + 1), lambda z: {{'a': lo[z], 'b': hi[z]}}) AS parts FROM merged WHERE len(lo) = {k})"
+
+
+AGGLOMERATION = "WITH RECURSIVE " + with_(OBS, agglomeration_sql(4), cut_sql(HALFWAY).replace("FROM lim", "FROM lim JOIN best ON s = strat"), CLUSTER_LABEL, INFO,
+                                          select=f"SELECT strat, bin, b::DOUBLE AS bin_num, {INFO_OUT} FROM info JOIN labels USING (strat, b)").removeprefix("WITH ")
+# Distances of whole minutes leave several best sets of medoids; those of prices are compared below.
+_CLUSTERS = {"hclust": AGGLOMERATION, "kmeans": clusters_sql(HALFWAY), "fisher": clusters_sql(HALFWAY), "jenks": clusters_sql(UPPER_ENDS)}
 
 
 def _clustered(method):
@@ -561,6 +578,13 @@ def prices(spark, sf):
     return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("strat"), F.col("o_totalprice").alias("x"))
 
 
+@query(with_(PRICES, intervals_sql(3, absolute=True), select="SELECT s AS strat, unnest(list_transform(parts, lambda z: z.m)) AS center FROM best"))
+def medoids_of_prices(spark, sf):
+    """The centres themselves: prices have one best set."""
+    got = pk.assign_bins(prices(spark, sf), "x", pk.BinRule(method="pam", nbins=3), ["strat"], "id")
+    return got.select("strat", F.col("bin_num").alias("center")).distinct()
+
+
 @query(with_(PRICES, intervals_sql(3), select="SELECT s AS strat, round(cost / 1e6, 6) AS cost FROM best"))
 def cluster_cost_squared(spark, sf):
     got = pk.assign_bins(prices(spark, sf), "x", pk.BinRule(method="fisher", nbins=3), ["strat"], "id")
