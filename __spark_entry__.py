@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F  # noqa: E402
 
 import predcheck as pk  # noqa: E402
-from predcheck.functions.quantiles import bracketed_quantiles, grouped_quantiles  # noqa: E402
+from predcheck.functions.quantiles import bracketed_quantiles, counted_quantiles, grouped_quantiles  # noqa: E402
 from predcheck.operators import report as rp  # noqa: E402
 from predcheck.operators.correct import median_prediction  # noqa: E402
 from predcheck.operators.statistics import censored, long_quantiles, percent_below  # noqa: E402
@@ -780,6 +780,14 @@ def bracketed_replicates(spark, sf):
     return rounded(got.select("strat", "repl", *[F.col("q")[i].alias(f"q{i}") for i in range(3)]))
 
 
+@query(_SQL["bracketed_replicates"])
+def counted_replicates(spark, sf):
+    """The same quantiles from two passes, of which only the second shuffles values, those near a quantile."""
+    rows = sim_events(spark, sf, REPLICATES).join(obs_events(spark, sf).select("obs_id", "strat"), "obs_id")
+    got = counted_quantiles(rows, ["strat"], "repl", [4, 10, 16], "y_sim", QPRED)
+    return rounded(got.select("strat", "repl", *[F.col("q")[i].alias(f"q{i}") for i in range(3)]))
+
+
 @query(with_(OBS, "vals AS (SELECT strat, list(y ORDER BY y) AS v FROM obs GROUP BY strat)", select=" UNION ALL ".join(
     f"SELECT strat, {t} AS qtype, " + ", ".join(f"round({list_quantile(p, t)}, 6) AS q{i}" for i, p in enumerate((0.05, 0.5, 0.95, 0.333))) + " FROM vals"
     for t in range(1, 10))))

@@ -66,9 +66,9 @@ def closed_edges(breaks: Column, lo: Column, hi: Column) -> Column:
 LINEAR, LONGEST = 24, 1 << 24
 
 
-def passed(sorted_values: Column, test: Callable[[Column], Column]) -> Column:
-    """How many elements pass ``test``, which holds for a first part of the array: log2(n) reads of a long array."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(LONGEST.bit_length()))])
+def passed(sorted_values: Column, test: Callable[[Column], Column], longest: int = LONGEST) -> Column:
+    """How many elements pass ``test``, which holds for a first part of the array: log2(longest) reads of a long array."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(longest.bit_length()))])
     halved = F.aggregate(steps, F.lit(0), lambda at, step: F.when(test(F.get(sorted_values, at + step - 1)), at + step).otherwise(at))
     return F.when(F.size(sorted_values) <= LINEAR, F.size(F.filter(sorted_values, test))).otherwise(halved)
 

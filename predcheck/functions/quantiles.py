@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.storage import compact, group_sizes, materialize, small, split_rows
+from .breaks import passed
 from .values import null_safe_join, quoted
 
 # Plotting-position constants (a, b) of the continuous definitions 4 to 9.
@@ -121,6 +122,17 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, wants: DataFrame, l
     return found.unionByName(deep.select(*keys, F.col("__r").alias("r"), "v"))
 
 
+def _from_ranks(joined: DataFrame, probs: Sequence[float], qtype: int, kept: Sequence[str]) -> DataFrame:
+    """The kept columns and ``q`` from ``n`` and ``__m``, a map from wanted ranks to values."""
+    qs = []
+    for i, p in enumerate(probs):
+        lo, hi, weight = ranks("n", p, qtype)
+        joined = joined.selectExpr("*", f"if(n > 0, cast(try_element_at(__m, {lo}) as double), null) as __lo{i}",
+                                   f"if(n > 0, cast(try_element_at(__m, {hi}) as double), null) as __hi{i}")
+        qs.append(interpolate(f"__lo{i}", f"__hi{i}", weight))
+    return joined.selectExpr(*map(quoted, kept), f"array({', '.join(qs)}) as q")
+
+
 def _split(df, keys, value, probs, qtype, extra, split_keys, limit):
     data = materialize(df)
     counted = data.groupBy(*keys).agg(F.count(value).alias("n"), F.count(F.lit(1)).alias("__rows"), *extra)
@@ -136,15 +148,7 @@ def _split(df, keys, value, probs, qtype, extra, split_keys, limit):
     wants = hot.filter("n > 0").selectExpr(*map(quoted, keys), f"explode(array_distinct(array({wanted}))) as r")
     found = select_ranks(data, keys, value, wants, most, split_keys, limit)
     found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("__m"))
-    joined = null_safe_join(hot, found, keys, "left")
-    qs = []
-    for i, p in enumerate(probs):
-        lo, hi, weight = ranks("n", p, qtype)
-        joined = joined.selectExpr("*", f"if(n > 0, cast(try_element_at(__m, {lo}) as double), null) as __lo{i}",
-                                   f"if(n > 0, cast(try_element_at(__m, {hi}) as double), null) as __hi{i}")
-        qs.append(interpolate(f"__lo{i}", f"__hi{i}", weight))
-    kept = [quoted(c) for c in hot.columns if c != "__rows"]
-    out = joined.selectExpr(*kept, f"array({', '.join(qs)}) as q")
+    out = _from_ranks(null_safe_join(hot, found, keys, "left"), probs, qtype, [c for c in hot.columns if c != "__rows"])
     return cold.unionByName(out) if keys else out
 
 
@@ -255,3 +259,55 @@ def bracketed_quantiles(df: DataFrame, shared: Sequence[str], replicate: str, pi
     rows = null_safe_join(df.select(*keys, value), small(missed, again), keys, "left_semi")
     redone = grouped_quantiles(rows, keys, value, probs, qtype, largest=largest, split_keys=shared)
     return got.filter("not __miss").drop("__miss").unionByName(redone)
+
+
+#: Cells of values per group of the counting pass, replicates that place their borders, and the most counters that it may have.
+CELLS, CELL_PILOTS, MOST_COUNTERS = 64, 3, 2_000_000
+
+
+#: Set to true where the network is the bottleneck: the counting pass reads the rows twice and shuffles few of them.
+COUNTING_CONF = "predcheck.countingPass"
+
+
+def counting_pays(rows: int, groups: int, replicates: int) -> bool:
+    """A counting pass can pay when groups have many more rows than cells, and its counters are few."""
+    return replicates >= 20 and rows >= 8 * CELLS * max(groups, 1) and groups * replicates * CELLS <= MOST_COUNTERS
+
+
+def counted_quantiles(df: DataFrame, shared: Sequence[str], replicate: str, pilots: Sequence, value: str, probs: Sequence[float], qtype: int = 7,
+                      sums: dict[str, Column] | None = None, limit: int | None = None) -> DataFrame:
+    """``grouped_quantiles`` by (shared, replicate) in two passes over the rows, for some dozens of replicates of the same groups.
+
+    Cell borders that all replicates of a group share are placed by the ``pilots``. The first pass counts the values of each cell before the shuffle; the
+    second shuffles only the values of cells that hold a wanted rank. Ties at a border are a cell that needs no second pass. The result
+    is exact whatever the pilots showed: a group that none of them has is one cell. ``sums`` names further sums, of which the result has the totals.
+    """
+    shared, probs, sums = list(shared), [float(p) for p in probs], sums or {}
+    keys, limit = [*shared, replicate], limit or split_rows(df.sparkSession)
+    points = F.percentile_approx(value, [i / CELLS for i in range(1, CELLS)], 20 * CELLS)
+    borders, count = compact(df.filter(F.col(replicate).isin(list(pilots))).groupBy(*shared).agg(F.array_sort(F.array_distinct(points)).alias("__s")))
+    v = F.col(value)
+    tagged = null_safe_join(df, small(borders, count, 64 + 8 * CELLS), shared).withColumn("__below", passed(F.col("__s"), lambda s: s < v, CELLS))
+    cell = F.coalesce(2 * F.col("__below") + F.coalesce(F.get("__s", F.col("__below")) == v, F.lit(False)).cast("int"), F.lit(0))
+    tagged = tagged.withColumn("__cell", F.when(v.isNotNull(), cell)).drop("__s", "__below")
+    parts = materialize(tagged.groupBy(*keys, "__cell").agg(F.count(value).alias("__n"), F.min(value).alias("__min"), F.max(value).alias("__max"),
+                                                            *[c.alias(n) for n, c in sums.items()]))
+    totals = parts.groupBy(*keys).agg(F.sum("__n").alias("n"), *[F.sum(n).alias(n) for n in sums])
+    wanted = ", ".join(r for p in probs for r in ranks("n", p, qtype)[:2])
+    wants = totals.filter("n > 0").selectExpr(*map(quoted, keys), f"explode(array_distinct(array({wanted}))) as r")
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__cell")) - F.col("__n")
+    spans = parts.filter("__cell is not null").withColumn("__before", before)
+    hits = materialize(null_safe_join(spans, wants, keys, "inner").filter("r > __before and r <= __before + __n").select(*keys, "__cell", "r", "__before", "__n", "__min", "__max"))
+    found = hits.filter("__min = __max").select(*keys, "r", F.col("__min").alias("v"))
+    rest = hits.filter("__min <> __max")
+    most, cells = rest.agg(F.max("__n"), F.count(F.lit(1))).first()
+    if cells:
+        inner = [*keys, "__cell"]
+        rows = null_safe_join(tagged.select(*inner, value), small(rest.select(*inner).distinct(), cells), inner, "left_semi")
+        local = rest.select(*inner, F.col("r").alias("__r"), F.expr("r - __before").alias("r"))
+        if most > limit:
+            rows = materialize(rows)
+        picked = select_ranks(rows, inner, value, local.drop("__r"), most, [*shared, "__cell"], limit)
+        found = found.unionByName(null_safe_join(local, picked, [*inner, "r"], "inner").select(*keys, F.col("__r").alias("r"), "v"))
+    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("__m"))
+    return _from_ranks(null_safe_join(totals, found, keys, "left"), probs, qtype, [*keys, "n", *sums])

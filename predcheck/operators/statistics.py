@@ -42,6 +42,11 @@ def share_below() -> Column:
     return F.when(F.count(F.lit(1)) == F.count("blq"), F.avg(F.col("blq").cast("double")) * 100)
 
 
+def share_of(flagged: str, flags: str, rows: str) -> Column:
+    """The same percentage from the numbers of true flags, of flags and of rows."""
+    return F.when(F.col(rows) == F.col(flags), F.col(flagged) / F.col(rows) * 100)
+
+
 def percent_below(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, ``y``): percent of true ``blq`` flags; missing when any flag of the group is missing."""
     return df.groupBy(*keys).agg(share_below().alias("y"))

@@ -15,7 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.quantiles import PILOTS, bracketed_quantiles, brackets_pay, grouped_quantiles
+from ..functions.quantiles import CELL_PILOTS, COUNTING_CONF, PILOTS, bracketed_quantiles, brackets_pay, counted_quantiles, counting_pays, grouped_quantiles
 from ..functions.values import as_column, as_double, null_safe_join
 from ..operators import align, bininfo as info, correct, statistics as st, strata as sf
 from ..operators.binning import NO_STRATUM, BinModel, BinRule, fit_bins
@@ -402,6 +402,13 @@ class VPC:
         Stored if anything is below the limit, because both tables of results are then made from it."""
         flagged = bool(self.sizes["below"])
         rows = self._grouped_sim(*["lloq"] * flagged).select("gid", "repl", "v", F.expr("y < lloq" if flagged else "false").alias("blq"))
+        asked = self.data.sparkSession.conf.get(COUNTING_CONF, "false").lower() == "true"
+        known = self._replicates if asked and counting_pays(self.sizes["rows"], self.sizes["bins"], 20) else {"count": 0}
+        if counting_pays(self.sizes["rows"], self.sizes["bins"], known["count"]):
+            sums = {"__blq": F.count_if("blq"), "__flags": F.count("blq"), "__all": F.count(F.lit(1))}
+            got = counted_quantiles(rows, ["gid"], "repl", known["pilots"][::max(1, len(known["pilots"]) // CELL_PILOTS)][:CELL_PILOTS], "v", self.qpred, self.quantile_type, sums)
+            got = got.withColumn("below", st.share_of("__blq", "__flags", "__all")).drop(*sums)
+            return materialize(got) if flagged else got
         # Replicates of a bin resemble each other, so split points of large groups are shared between them.
         got = grouped_quantiles(rows, ["gid", "repl"], "v", self.qpred, self.quantile_type, extra=[st.share_below().alias("below")],
                                 largest=self.sizes["largest"], split_keys=["gid"])

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from predcheck.functions.quantiles import bracketed_quantiles, grouped_quantiles, select_ranks
+from predcheck.functions.quantiles import bracketed_quantiles, counted_quantiles, grouped_quantiles, select_ranks
 
 # numpy's names of the definitions 1 to 9
 METHODS = ["inverted_cdf", "averaged_inverted_cdf", "closest_observation", "interpolated_inverted_cdf", "hazen", "weibull",
@@ -116,3 +116,39 @@ def test_brackets_in_the_pipeline(spark, monkeypatch):
     plain = v.stats.collect()
     monkeypatch.setattr(spec, "brackets_pay", lambda *a: True)
     assert v.stats.collect() == plain
+
+
+@pytest.mark.parametrize("limit", [None, 30])
+@pytest.mark.parametrize("qtype", [1, 2, 6, 7])
+def test_counted_quantiles(spark, qtype, limit):
+    """Ties, missing and infinite values, a group that no pilot has, an empty group, and cells too large for a task."""
+    rng = np.random.default_rng(qtype)
+    rows = []
+    for g in range(3):
+        for r in range(1, 7):
+            for i in range(400 if (g, r) != (2, 6) else 3):
+                x = float(rng.choice([1.0, 2.0, float("-inf"), float("inf")])) if rng.random() < 0.3 else float(rng.normal(g, r))
+                rows.append((g, r, None if rng.random() < 0.1 else x, bool(i % 3)))
+    rows += [(7, 5, float(i), None) for i in range(50)] + [(8, 5, None, True)]
+    df = spark.createDataFrame(rows, "g int, rep int, v double, f boolean").repartition(5)
+    got = counted_quantiles(df, ["g"], "rep", [1, 2, 3], "v", [0.0, 0.05, 0.5, 0.95, 1.0], qtype, {"flagged": F.count_if("f")}, limit)
+    want = grouped_quantiles(df, ["g", "rep"], "v", [0.0, 0.05, 0.5, 0.95, 1.0], qtype, extra=[F.count_if("f").alias("flagged")])
+    read = lambda d: {(r.g, r.rep): (r.n, r.flagged, r.q) for r in d.collect()}
+    assert read(got) == read(want) and len(read(got)) == 20
+
+
+def test_counting_inside_a_check(spark, monkeypatch):
+    """The same tables with and without the counting pass, which then shuffles few values."""
+    from predcheck.functions import quantiles
+    import predcheck as pk
+    obs = spark.range(6000).select(F.col("id").alias("i"), (F.col("id") % 10).cast("double").alias("t"), (F.col("id") * 7919 % 1000).cast("double").alias("y"))
+    sim = obs.select("i", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("repl"), "y").select("i", "repl", (F.col("y") + (F.col("i") * 31 * F.col("repl")) % 97).alias("y"))
+    tables = []
+    for most in (quantiles.MOST_COUNTERS, 0):
+        spark.conf.set(quantiles.COUNTING_CONF, "true")
+        monkeypatch.setattr(quantiles, "MOST_COUNTERS", most)
+        v = pk.observed(obs, "t", "y", id="i", lloq=100.0).simulated(sim, "y").binning(method="ntile", nbins=2).statistics()
+        assert quantiles.counting_pays(v.sizes["rows"], v.sizes["bins"], 24) == bool(most)
+        tables.append(([tuple(r) for r in v.stats.collect()], [tuple(r) for r in v.pctblq.collect()]))
+        spark.conf.unset(quantiles.COUNTING_CONF)
+    assert tables[0] == tables[1]
