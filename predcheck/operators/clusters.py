@@ -264,8 +264,8 @@ def _per_group(cells: DataFrame, strata: list[str], fn) -> DataFrame:
 
 
 def _numbered(values: DataFrame, strata: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(strata -> g, one row each, with a hash h of the stratum; (g, x, w) of the distinct values), both stored."""
-    groups = materialize(values.select(*strata).distinct().withColumns({"g": F.monotonically_increasing_id(), "h": F.xxhash64(*strata)}))
+    """(strata -> g, one row each; (g, x, w) of the distinct values), both stored."""
+    groups = materialize(values.select(*strata).distinct().withColumn("g", F.monotonically_increasing_id()))
     distinct = values.groupBy(*strata, "x").agg(F.count(F.lit(1)).cast("double").alias("w"))
     return groups, materialize(null_safe_join(distinct, groups, strata, "inner").select("g", "x", "w"))
 
@@ -432,7 +432,8 @@ def fit(rows: DataFrame, strata: list[str], table: DataFrame, method: str, optio
             raise ValueError("linkage is complete, single or average")
         cuts = _merged(values, wanted, linkage, cells)
     elif method == "bclust":
-        hashed = values.join(groups.select("g", "h"), "g").select("g", "h", "x", "w")
+        # the same values are drawn alike in every stratum, so the bins of a stratum do not depend on its name
+        hashed = values.select("g", F.lit(0).cast("long").alias("h"), "x", "w")
         cuts = _bagged(hashed, wanted, cells, int(options.get("seed", 1)), int(options.get("iter_base", BAGS)), int(options.get("base_centers", BASE_CENTERS)))
     else:
         parts = _optimum(values, wanted, method == "pam", cells)
@@ -445,7 +446,7 @@ def fit(rows: DataFrame, strata: list[str], table: DataFrame, method: str, optio
             inner = F.slice("parts", 1, F.size("parts") - 1)
             found = F.concat(first, F.transform(inner, lambda p, i: (p["b"] + F.col("parts")[i + 1]["a"]) / 2), last)
         cuts = parts.select("g", found.alias("cuts"))
-    return groups.join(cuts, "g").drop("g", "h")
+    return groups.join(cuts, "g").drop("g")
 
 
 def fit_plug_in(rows: DataFrame, strata: list[str], table: DataFrame, largest: int, grid: int = GRID) -> DataFrame:
