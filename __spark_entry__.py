@@ -570,6 +570,40 @@ for _m in ("pam", "kmeans", "hclust", "bclust", "fisher", "jenks", "dpih"):
     _clustered(_m)
 
 
+def linkage_sql(k, gap, center, spread):
+    """Merging neighbours by centres m, weights w and spreads s of clusters: the pair of least ``gap`` becomes one, until k are left."""
+    at = {"a": "[i]", "b": "[i + 1]"}
+
+    def of(sql, a, b):
+        return sql.format(**{f"{n}{c}": f"{c}{at_}" for n, at_ in (("a", a), ("b", b)) for c in "mws"})
+    lists = ", ".join(f"{c}[:i - 1] || [{of(sql, at['a'], at['b'])}] || {c}[i + 2:] AS {c}" for c, sql in (("m", center), ("w", "{aw} + {bw}"), ("s", spread)))
+    gaps = of(gap, "[z]", "[z + 1]")
+    merge = f"""merged AS (SELECT strat, list(x ORDER BY x) AS lo, list(x ORDER BY x) AS hi, list(x ORDER BY x) AS m, list(n ORDER BY x) AS w, list(0::DOUBLE) AS s
+    FROM (SELECT strat, x, count(*)::DOUBLE AS n FROM obs GROUP BY strat, x) GROUP BY strat UNION ALL
+  SELECT strat, lo[:i] || lo[i + 2:], hi[:i - 1] || hi[i + 1:], {lists} FROM (SELECT *, list_position(gaps, list_min(gaps)) AS i FROM
+    (SELECT *, list_transform(range(1, len(lo)), lambda z: {gaps}) AS gaps FROM merged WHERE len(lo) > {k})))"""
+    best = f"best AS (SELECT strat AS s, list_transform(range(1, {k} + 1), lambda z: {{'a': lo[z], 'b': hi[z]}}) AS parts FROM merged WHERE len(lo) = {k})"
+    return "WITH RECURSIVE " + with_(OBS, merge, best, cut_sql(HALFWAY).replace("FROM lim", "FROM lim JOIN best ON s = strat"), CLUSTER_LABEL, INFO,
+                                     select=f"SELECT strat, bin, b::DOUBLE AS bin_num, {INFO_OUT} FROM info JOIN labels USING (strat, b)").removeprefix("WITH ")
+
+
+_APART, _WEIGHED = "({bm} - {am} - {as} - {bs})", "({aw} * {am} + {bw} * {bm}) / ({aw} + {bw})"
+_LINKAGES = {"ward.D2": ("2 * {aw} * {bw} / ({aw} + {bw}) * ({bm} - {am}) * ({bm} - {am})", _WEIGHED, "0::DOUBLE"),
+             "centroid": (_APART, _WEIGHED, "{aw} / ({aw} + {bw}) * {as} + {bw} / ({aw} + {bw}) * {bs} + {aw} / ({aw} + {bw}) * ({bw} / ({aw} + {bw})) * " + _APART),
+             "median": (_APART, "({am} + {bm}) * 0.5::DOUBLE", "0.5::DOUBLE * {as} + 0.5::DOUBLE * {bs} + 0.25::DOUBLE * " + _APART)}
+
+
+def _linked(linkage):
+    def run(spark, sf):
+        return rounded(stratified(spark, sf).binning(method="hclust", nbins=4, linkage=linkage).bininfo())
+    run.__name__ = f"bin_style_hclust_{linkage.replace('.', '_').lower()}"
+    return query(linkage_sql(4, *_LINKAGES[linkage]))(run)
+
+
+for _m in _LINKAGES:
+    _linked(_m)
+
+
 # The least cost is unique even where several sets of intervals reach it. Prices have thousands of distinct values a stratum.
 PRICES = "obs AS (SELECT o_orderpriority AS strat, o_totalprice AS x FROM orders)"
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 from statistics import NormalDist
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -195,17 +196,61 @@ def settle(cells: dict, k: int, absolute: bool, most: float = np.inf) -> tuple[d
     return {"lo": cells["lo"][first], "hi": cells["hi"][last], **{c: np.add.reduceat(cells[c], first) for c in ("w", "s", "q", "d")}, "dev": dev, "live": found[first]}, most
 
 
-def border_heights(low: np.ndarray, high: np.ndarray, weight: np.ndarray, linkage: str) -> np.ndarray:
-    """The height at which each border between sorted neighbouring clusters disappears (complete, single or average linkage).
+#: Linkages of agglomeration, under the names that users of hierarchical clustering know (fixed values).
+LINKAGES = ("complete", "single", "average", "mcquitty", "centroid", "median", "ward.D", "ward.D2")
+#: Linkages whose clusters count alike when they merge, whatever their sizes.
+_EQUAL_PARTS = ("mcquitty", "median")
 
-    ``low`` and ``high`` are the clusters' ends; for average linkage both are the mean."""
+
+class Cluster(NamedTuple):
+    """Ends, weight and spread of an interval of values, as numbers or Columns. Beside complete and single linkage both ends are its centre."""
+    lo: Any
+    hi: Any
+    w: Any
+    spread: Any
+
+
+def distance(linkage: str, a: Cluster, b: Cluster):
+    """Distance of a cluster from the next higher one.
+
+    The update rules of the linkages on distances |x - y| have closed forms for neighbouring intervals: the distance of their centres, for centroid,
+    median and ``ward.D`` less a spread that each cluster brings along. Every such distance adds up, d(a, c) = d(a, b) + d(b, c) + 2 spread(b), so
+    the nearest cluster is always a neighbour and merging never brings a third one nearer: reciprocal neighbours may merge in any order, and heights never fall.
+    """
+    if linkage == "single":
+        return b.lo - a.hi
+    if linkage == "complete":
+        return b.hi - a.lo
+    apart = b.lo - a.lo
+    if linkage in ("average", "mcquitty"):
+        return apart
+    share = 2 * a.w * b.w / (a.w + b.w)
+    if linkage == "ward.D2":
+        return share * apart * apart  # its square, which orders alike
+    apart = apart - a.spread - b.spread
+    return share * apart if linkage == "ward.D" else apart
+
+
+def joined(linkage: str, a: Cluster, b: Cluster) -> Cluster:
+    """The cluster of two neighbours."""
+    if linkage in ("single", "complete"):
+        return Cluster(a.lo, b.hi, a.w + b.w, a.spread)
+    total = a.w + b.w
+    p, q = (0.5, 0.5) if linkage in _EQUAL_PARTS else (a.w / total, b.w / total)
+    center = (a.lo + b.lo) * 0.5 if linkage in _EQUAL_PARTS else (a.w * a.lo + b.w * b.lo) / total
+    spread = p * a.spread + q * b.spread + p * q * (b.lo - a.lo - a.spread - b.spread)
+    return Cluster(center, center, total, spread)
+
+
+def border_heights(low: np.ndarray, high: np.ndarray, weight: np.ndarray, linkage: str, spread: np.ndarray | None = None) -> np.ndarray:
+    """The height at which each border between sorted neighbouring clusters disappears."""
     n = len(low)
-    lo, hi, w = list(map(float, low)), list(map(float, high)), list(map(float, weight))
+    parts = [Cluster(*map(float, row)) for row in zip(low, high, weight, np.zeros(n) if spread is None else spread)]
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     heights = np.zeros(max(0, n - 1))
 
     def gap(i, j):
-        return lo[j] - hi[i] if linkage == "single" else hi[j] - lo[i]
+        return distance(linkage, parts[i], parts[j])
 
     heap = [(gap(i, i + 1), i, i + 1, 0, 0) for i in range(n - 1)]
     heapq.heapify(heap)
@@ -216,11 +261,7 @@ def border_heights(low: np.ndarray, high: np.ndarray, weight: np.ndarray, linkag
             continue
         top = max(top, h)
         heights[border[i]] = top
-        if linkage == "average":
-            lo[i] = hi[i] = (w[i] * lo[i] + w[j] * lo[j]) / (w[i] + w[j])
-        else:
-            hi[i] = hi[j]
-        w[i] += w[j]
+        parts[i] = joined(linkage, parts[i], parts[j])
         border[i], right[i] = border[j], right[j]
         version[i] += 1
         version[j] = -1
@@ -336,15 +377,16 @@ def _optimum(values: DataFrame, wanted: DataFrame, absolute: bool, cells: int) -
 
 def _merged(values: DataFrame, wanted: DataFrame, linkage: str, cells: int) -> DataFrame:
     """(g, cuts): breaks from the lowest to the highest value at the k - 1 borders that agglomeration keeps longest."""
-    rows = values.select("g", F.col("x").alias("lo"), F.col("x").alias("hi"), "w", F.col("x").alias("first"), F.col("x").alias("last"))
+    fields = ("lo", "hi", "w", "spread")
+    rows = values.select("g", F.col("x").alias("lo"), F.col("x").alias("hi"), F.col("w").cast("double").alias("w"), F.lit(0.0).alias("spread"), F.col("x").alias("first"), F.col("x").alias("last"))
+    here, following = Cluster(*map(F.col, fields)), Cluster(*(F.col(f"n_{c}") for c in fields))
     borders = None
     while (rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > cells:
         # clusters in order of their position; neighbours are found by position, so no stratum is in one task
-        at = dense_index(rows, ["g", "lo"], "at")
-        sides = at.select("g", "lo", "hi", "w", "first", "last", "at")
-        after = sides.select("g", (F.col("at") - 1).alias("at"), *[F.col(c).alias(f"n_{c}") for c in ("lo", "hi", "w", "first", "last")])
-        gap = F.col("n_lo") - F.col("hi") if linkage == "single" else F.col("n_hi") - F.col("lo")
-        pairs = materialize(sides.join(after, ["g", "at"], "left").withColumn("gap", gap))
+        at = dense_index(rows, ["g", "first"], "at")
+        sides = at.select("g", *fields, "first", "last", "at")
+        after = sides.select("g", (F.col("at") - 1).alias("at"), *[F.col(c).alias(f"n_{c}") for c in (*fields, "first", "last")])
+        pairs = materialize(sides.join(after, ["g", "at"], "left").withColumn("gap", distance(linkage, here, following)))
         left = pairs.select("g", (F.col("at") + 1).alias("at"), F.col("gap").alias("gap_left"))
         right = pairs.select("g", (F.col("at") - 1).alias("at"), F.col("gap").alias("gap_right"))
         # of equal gaps the left one is nearer, so exactly one border of every tie is chosen
@@ -355,15 +397,13 @@ def _merged(values: DataFrame, wanted: DataFrame, linkage: str, cells: int) -> D
         borders = gone if borders is None else borders.unionByName(gone)
         taken = chosen.filter("joins").select("g", (F.col("at") + 1).alias("at"), F.lit(True).alias("taken"))
         kept = chosen.join(taken, ["g", "at"], "left_anti")
-        mean = (F.col("lo") * F.col("w") + F.col("n_lo") * F.col("n_w")) / (F.col("w") + F.col("n_w"))
-        ends = {"lo": mean, "hi": mean} if linkage == "average" else {"lo": F.col("lo"), "hi": F.col("n_hi")}
-        rows = materialize(kept.select("g", *[F.when(F.col("joins"), c).otherwise(F.col(n)).alias(n) for n, c in ends.items()],
-                                       F.when(F.col("joins"), F.col("w") + F.col("n_w")).otherwise(F.col("w")).alias("w"), "first",
+        both = joined(linkage, here, following)
+        rows = materialize(kept.select("g", *[F.when(F.col("joins"), c).otherwise(F.col(n)).alias(n) for n, c in zip(fields, both)], "first",
                                        F.when(F.col("joins"), F.col("n_last")).otherwise(F.col("last")).alias("last")))
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lo")
-        heights = border_heights(pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["w"].to_numpy(), linkage)
+        pdf = pdf.sort_values("first")
+        heights = border_heights(pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["w"].to_numpy(), linkage, pdf["spread"].to_numpy())
         below, above = pdf["last"].to_numpy()[:-1], pdf["first"].to_numpy()[1:]
         return pd.DataFrame({"g": pdf["g"].iloc[0] if len(pdf) else 0, "below": below, "above": above, "height": heights})
 
@@ -428,8 +468,8 @@ def fit(rows: DataFrame, strata: list[str], table: DataFrame, method: str, optio
     wanted = materialize(null_safe_join(groups, table.select(*strata, F.col("nbins").cast("int").alias("k")), strata, "inner").select("g", "k"))
     if method == "hclust":
         linkage = options.get("linkage", "complete")
-        if linkage not in ("complete", "single", "average"):
-            raise ValueError("linkage is complete, single or average")
+        if linkage not in LINKAGES:
+            raise ValueError(f"linkage is one of {', '.join(LINKAGES)}")
         cuts = _merged(values, wanted, linkage, cells)
     elif method == "bclust":
         # the same values are drawn alike in every stratum, so the bins of a stratum do not depend on its name

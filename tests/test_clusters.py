@@ -84,6 +84,53 @@ def test_agglomeration(data, few_cells, linkage):
             assert len(table[s]) == len(want) + 2
 
 
+def update(linkage, d, i, j, n):
+    """Distances of the cluster of i and j from all others, by the textbook rules of agglomeration on distances |x - y|."""
+    a, b, k = n[i], n[j], n
+    if linkage == "mcquitty":
+        return (d[i] + d[j]) / 2
+    if linkage == "median":
+        return (d[i] + d[j]) / 2 - d[i, j] / 4
+    if linkage == "centroid":
+        return (a * d[i] + b * d[j]) / (a + b) - a * b * d[i, j] / (a + b) ** 2
+    if linkage == "average":
+        return (a * d[i] + b * d[j]) / (a + b)
+    return ((a + k) * d[i] + (b + k) * d[j] - k * d[i, j]) / (a + b + k)  # Ward
+
+
+def merged_groups(x, k, linkage):
+    """k groups of values by merging the closest pair of all pairs; rows of equal value start as single clusters."""
+    x = np.sort(x)
+    d = np.abs(x[:, None] - x[None])
+    if linkage == "ward.D2":
+        d = d ** 2
+    n, groups, live = np.ones(len(x)), [[v] for v in x], np.ones(len(x), bool)
+    d[np.diag_indices(len(x))] = np.inf
+    while len({v for g, here in zip(groups, live) if here for v in g[:1]}) > k or live.sum() > k:
+        i, j = sorted(np.unravel_index(np.argmin(np.where(live[:, None] & live[None], d, np.inf)), d.shape))
+        row = update(linkage, d, i, j, n)
+        d[i], d[:, i] = row, row
+        d[i, i] = np.inf
+        n[i], live[j] = n[i] + n[j], False
+        groups[i] = groups[i] + groups[j]
+    return sorted((min(g), max(g)) for g, here in zip(groups, live) if here)
+
+
+@pytest.mark.parametrize("linkage", ["mcquitty", "centroid", "median", "ward.D", "ward.D2", "average"])
+def test_linkages_against_all_pairs(spark, linkage):
+    rng = np.random.default_rng(8)
+    values = {"a": rng.gamma(2, 40, 90), "b": np.concatenate([rng.normal(0, 1, 60), rng.normal(9, 3, 50)]), "c": np.repeat(rng.uniform(0, 90, 30), rng.integers(1, 9, 30))}
+    frame = spark.createDataFrame([(s, float(v)) for s, x in values.items() for v in x], "s string, __x double").repartition(5)
+    spark.conf.set(clusters.CELLS_CONF, "48")  # the larger strata merge in rounds first
+    try:
+        table = {r.s: r["__cuts"] for r in fit_bins(frame, BinRule(method="hclust", nbins=5, options={"linkage": linkage}), ["s"]).table.collect()}
+    finally:
+        spark.conf.unset(clusters.CELLS_CONF)
+    for s, x in values.items():
+        groups = merged_groups(x, 5, linkage)
+        assert table[s] == pytest.approx([x.min(), *[(a[1] + b[0]) / 2 for a, b in zip(groups, groups[1:])], x.max()]), s
+
+
 def test_bagging_is_stable(data, few_cells):
     frame, _ = data
     rule = BinRule(method="bclust", nbins=4, options={"iter_base": 3, "base_centers": 8})
