@@ -15,8 +15,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Distinct words a worker keeps before it starts afresh.
-CACHE_WORDS = 600_000
+#: Bytes of cached words and ids, with ENTRY bytes for each, that a worker keeps before it starts afresh.
+CACHE_BYTES, ENTRY = 128 << 20, 200
 
 #: Fixed values of the vocabulary file: its split pattern and its mark for the end of a word.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -35,6 +35,7 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.held = 0
         spec = json.loads(open(path, encoding="utf-8").read())
         vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.whole = Tokenizer.from_file(path)
@@ -56,7 +57,7 @@ class WordIds(dict):
         self.split = regex.compile(PATTERN).findall
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if self.held >= CACHE_BYTES:
             self.clear()
         text = word.decode()
         if text.isascii():
@@ -73,8 +74,13 @@ class WordIds(dict):
         else:  # characters with other normal forms, and strings of special tokens
             out = self._encoded(text)
         self[word] = out
+        self.held += len(word) + len(out) + ENTRY
         return out
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
     def _marks(self, text: str) -> bytes:
         return array("I", map(self.id_of, self.piece(text.encode() + b"\xff"))).tobytes()
 

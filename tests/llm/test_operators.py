@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -98,6 +99,55 @@ def test_lm_baseline_and_model(docs, rows):
         assert -1e6 < r["score"] < 0
 
 
+def test_scores_against_a_plain_forward_pass():
+    """score() against one text place at a time, in plain Python, each place seen through the window that scores it."""
+    w, *_ = _tiny()
+    rng = np.random.default_rng(3)
+    n = attention.GROUPS * attention.MEMBERS
+    for name in w:
+        w[name] = w[name] + 0.3 * rng.standard_normal(w[name].shape).astype(np.float32)
+    counts = np.array([3, 1, 70, 0, attention.WINDOW, attention.WINDOW + 5])
+    inputs, targets = (rng.integers(0, n, int(counts.sum())) for _ in range(2))
+    got, at = attention.score(w, inputs, targets, counts), 0
+    for count in counts.tolist():
+        for place in range(count):
+            nth = max(0, -(-(place + 1 - attention.WINDOW) // attention.STRIDE))
+            seen = [w["embed"][inputs[at + j]].astype(float) for j in range(nth * attention.STRIDE, place + 1)]
+            query = seen[-1] @ w["query"]
+            logits = [query @ (e @ w["key"]) / math.sqrt(attention.KEY) + w["distance"][len(seen) - 1 - j] for j, e in enumerate(seen)]
+            shares = [math.exp(v) for v in logits]
+            looked = sum(a * (e @ w["value"]) for a, e in zip(shares, seen)) / sum(shares)
+            h = [max(0.0, v) for v in np.concatenate([seen[-1], looked]) @ w["hidden"] + w["hidden_bias"]]
+            group, member = divmod(int(targets[at + place]), attention.MEMBERS)
+            want = 0.0
+            for z, chosen in ((h @ w["group"] + w["group_bias"], group), (h @ w["member"][group] + w["member_bias"][group], member)):
+                want += z[chosen] - math.log(sum(math.exp(v) for v in z))
+            assert got[at + place] == pytest.approx(want, rel=1e-3, abs=1e-3)
+        at += count
+
+
+def test_training_takes_each_window_in_one_round(monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_IDS", 60)
+    rng = np.random.default_rng(4)
+    texts = [rng.permutation(1000)[:n].astype(np.uint16) for n in (5, 200, 1, 60, 33)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts[i:i + 2]], pa.binary())], ["codes"]) for i in (0, 2, 4)]
+    found = [(tuple(y[r]), tuple(x[r])) for number in range(lm.ROUNDS) for x, y, real in lm.blocks(iter(batches), 1500, number) for x, y, r in zip(x, y, real)]
+    pieces = [t[i:i + 60] for t in texts for i in range(0, len(t), 60)]
+    want = []
+    for p in pieces:
+        for i in range(0, max(1, len(p) - attention.WINDOW + attention.STRIDE), attention.STRIDE):
+            want.append((tuple(p[i:i + attention.WINDOW]), tuple([1500 if i == 0 else p[i - 1], *p[i:i + attention.WINDOW - 1]])))
+    assert sorted(found) == sorted((y, x[:len(y)]) for y, x in want)
+
+
+def test_word_cache_is_bounded(monkeypatch):
+    w = subwords.WordIds(subwords.default_path())
+    monkeypatch.setattr(subwords, "CACHE_BYTES", 3000)
+    for i in range(200):
+        assert w[f"word{i}".encode()] and w.held <= 3000 + 2 * (subwords.ENTRY + 100)
+    assert len(w) < 20
+
+
 def test_windows_score_every_place_once():
     counts = np.array([1, 5, attention.WINDOW, attention.WINDOW + 1, 100, 0, 3])
     places, real, scored = attention.windows(counts)
