@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .jaccard import whole_groups
 from .tables import batch, broadcast_if, sized, store
@@ -35,8 +35,8 @@ RUN_WORDS = 16
 SIDE, SIDE_MATCHES = 8, 9
 #: Score of a seed, and cost of a word between two seeds in either document.
 SEED_SCORE, WORD_COST = 6.0, 0.1
-#: Words fetched beyond a chain's ends, and how far an extension may fall below its best.
-MARGIN, DROP = 64, 6
+#: Words fetched beyond a chain's ends, how far an extension may fall below its best, and how many more words it may insert than lose, or lose than insert.
+MARGIN, DROP, BAND = 64, 6, 8
 #: A gap of this many words of which fewer than half match separates two passages.
 GAP_WORDS = 16
 #: Chains of one document that a task takes at once.
@@ -154,9 +154,9 @@ def chain(at: np.ndarray, of: np.ndarray) -> list[list[int]]:
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Words in common, in order, of two short runs: place by place if equally long, else by dynamic programming."""
+    """Words in common, in order, of two short runs: place by place if that explains most of them, else by dynamic programming."""
     same = int((a[:min(len(a), len(b))] == b[:min(len(a), len(b))]).sum())
-    if len(a) == len(b) or not len(a) or not len(b) or len(a) * len(b) > 1 << 14:
+    if len(a) == len(b) and 5 * same >= 4 * len(a) or not len(a) or not len(b) or len(a) * len(b) > 1 << 14:
         return same
     row = np.zeros(len(b) + 1, np.int64)
     for x in a:
@@ -164,22 +164,43 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(words, matches) by which two runs go on together from their starts."""
-    n = min(len(a), len(b))
-    same = a[:n] == b[:n]
-    if n == 0 or not same.any():
-        return 0, 0
-    score = np.cumsum(np.where(same, 1, -2))
-    fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
-    score = score[:fallen[0]] if len(fallen) else score
-    best = int(np.argmax(score)) if len(score) and score.max() > 0 else -1
-    return best + 1, int(same[:best + 1].sum())
+def extend(a: list, b: list) -> tuple[int, int, int]:
+    """(words of a, words of b, matches) by which two runs go on together from their starts, with changed, inserted and lost words.
+
+    For each number of edits the furthest place on every diagonal is kept; a match scores 1 and an edit -2, and diagonals
+    more than DROP below the best, or more than BAND from the first, are given up."""
+    n, m = len(a), len(b)
+    i = 0
+    while i < n and i < m and a[i] == b[i]:
+        i += 1
+    best, end, reach, edits = i, (i, i, i), {0: (i, i)}, 0
+    while reach:
+        edits += 1
+        ahead = {}
+        for k in {d + step for d in reach for step in (-1, 0, 1)}:
+            if not -BAND <= k <= BAND:
+                continue
+            # (place in a, matches) after a changed word, a word only b has, a word only a has
+            ways = [(reach[d][0] + one, reach[d][1]) for d, one in ((k, 1), (k - 1, 0), (k + 1, 1)) if d in reach]
+            i, same = max(((i, same) for i, same in ways if i <= n and i + k <= m), default=(-1, 0))
+            if i < 0:
+                continue
+            while i < n and i + k < m and a[i] == b[i + k]:
+                i += 1
+                same += 1
+            score = same - 2 * edits
+            if score > best:
+                best, end = score, (i, i + k, same)
+            if score >= best - DROP:
+                ahead[k] = i, same
+        reach = {k: v for k, v in ahead.items() if v[1] - 2 * edits >= best - DROP}
+    return end
 
 
 def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, of: np.ndarray, min_words: int, identity: float):
     """Aligned passages (a start, a end, b start, b end, matches) around chained seeds at ``at`` in a and ``of`` in b."""
     found, i = [], 0
+    own, other = a.tolist(), b.tolist()
     while i < len(at):
         a0, b0, a1, b1 = int(at[i]), int(of[i]), int(at[i]) + SEED_WORDS, int(of[i]) + SEED_WORDS
         matches, j = SEED_WORDS, i + 1
@@ -196,10 +217,10 @@ def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, of: np.ndarray, min_w
                 matches += inner + SEED_WORDS - max(0, a1 - p, b1 - q)
             a1, b1 = max(a1, p + SEED_WORDS), max(b1, q + SEED_WORDS)
             j += 1
-        more, same = extend(a[a1:], b[b1:])
-        a1, b1, matches = a1 + more, b1 + more, matches + same
-        more, same = extend(a[:a0][::-1], b[:b0][::-1])
-        a0, b0, matches = a0 - more, b0 - more, matches + same
+        more, also, same = extend(own[a1:], other[b1:])
+        a1, b1, matches = a1 + more, b1 + also, matches + same
+        more, also, same = extend(own[:a0][::-1], other[:b0][::-1])
+        a0, b0, matches = a0 - more, b0 - also, matches + same
         if a1 - a0 >= min_words and matches >= identity * max(a1 - a0, b1 - b0):
             found.append((a0, a1, b0, b1, matches))
         i = j
@@ -217,23 +238,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 31)).cast("int"))
 
 
-def _partners(seeds: DataFrame, key: str) -> DataFrame:
-    """(doc, part, at, first_doc, first_part, of, alone): each occurrence in a later document with the first place of the
-    key's first document and the last place of the document just before its own."""
-    ordered = Window.partitionBy(key).orderBy("doc", "part", "at")
-    here = F.struct("doc", "part", "at", "sides")
-    # frames end at the current row, so a group is read once in order and never held
-    past = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    seen = seeds.withColumns({"first": F.first(here).over(past), "before": F.lag(here).over(ordered)})
-    entered = F.when((F.col("before.doc") != F.col("doc")) | (F.col("before.part") != F.col("part")), F.col("before"))
-    seen = seen.withColumn("prior", F.last(entered, ignorenulls=True).over(past))
-    later = seen.filter("doc <> first.doc or part <> first.part")
-    pairs = later.withColumn("to", F.explode(F.array_distinct(F.array("first", "prior"))))
-    other = F.col("sides").bitwiseXOR(F.col("to.sides"))
+def _differing(x: Column, y: Column) -> Column:
+    """A bit for each of the words beside two seeds that differ."""
+    other = x.bitwiseXOR(y)
     other = other.bitwiseOR(F.shiftrightunsigned(other, 1))
-    other = other.bitwiseOR(F.shiftrightunsigned(other, 2)).bitwiseAND(F.lit(0x1111111111111111))  # a bit for each word that differs
+    return other.bitwiseOR(F.shiftrightunsigned(other, 2)).bitwiseAND(F.lit(0x1111111111111111))
+
+
+def _partners(seeds: DataFrame, finer: list[tuple[str, Column]]) -> DataFrame:
+    """(doc, part, at, first_doc, first_part, of, alone): each occurrence in a later document with the first place of its
+    key's first document and the last place of the document just before its own.
+
+    The keys are the seed and, where the condition holds, the seed with each of the ``finer`` columns. All of them keep
+    the rows of a seed together, so the windows follow one shuffle; a place found by several keys is passed on once."""
+    here = F.struct("doc", "part", "at", "sides")
+    out = seeds.withColumn("to", F.lit(None).cast(f"array<{seeds.select(here.alias('h')).schema['h'].dataType.simpleString()}>"))
+    for key, holds in [(["seed"], F.lit(True)), *((["seed", name], holds) for name, holds in finer)]:
+        ordered = Window.partitionBy(*key).orderBy("doc", "part", "at")
+        # frames end at the current row, so a group is read once in order and never held
+        past = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({"first": F.first(here).over(past), "before": F.lag(here).over(ordered)})
+        entered = F.when((F.col("before.doc") != F.col("doc")) | (F.col("before.part") != F.col("part")), F.col("before"))
+        out = out.withColumn("prior", F.last(entered, ignorenulls=True).over(past)).drop("before")
+        later = holds & ((F.col("first.doc") != F.col("doc")) | (F.col("first.part") != F.col("part")))
+        known = F.coalesce("to", F.array().cast(out.schema["to"].dataType))
+        out = out.withColumn("to", F.when(later, F.array_distinct(F.concat(known, F.array("first", "prior")))).otherwise(F.col("to"))).drop("first", "prior")
+    pairs = out.withColumn("to", F.explode("to"))
+    own, to = F.col("sides"), F.col("to.sides")
+    # a word inserted or lost beside the seed moves those beyond it by one place
+    apart = _differing(own, to).bitwiseAND(_differing(own, F.shiftleft(to, 4))).bitwiseAND(_differing(own, F.shiftrightunsigned(to, 4)))
     return pairs.select("doc", "part", "at", F.col("to.doc").alias("first_doc"), F.col("to.part").alias("first_part"), F.col("to.at").alias("of"),
-                        (F.bit_count(other) <= 2 * SIDE - SIDE_MATCHES).alias("alone"))
+                        (F.bit_count(apart) <= 2 * SIDE - SIDE_MATCHES).alias("alone"))
 
 
 def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -254,11 +289,8 @@ def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     seeds = rows.select("doc", "part", "text").mapInArrow(run, "seed long, nth int, doc long, part int, at int, sides long" + "".join(f", {x} long" for x in lengths))
     group = Window.partitionBy("seed").orderBy("doc", "part", "at")
     near = seeds.withColumns({"__before": F.lag("doc").over(group), "__after": F.lead("doc").over(group)})
-    shared = store(near.filter("__before is not null or __after is not null").drop("__before", "__after"))
-    out = _partners(shared, "seed").unionByName(_partners(shared.filter("nth > 0").withColumn("numbered", F.struct("seed", "nth")), "numbered"))
-    for name in lengths:
-        out = out.unionByName(_partners(shared.filter(F.col(name).isNotNull()), name))
-    return out
+    shared = near.filter("__before is not null or __after is not null").drop("__before", "__after")
+    return _partners(shared, [("nth", F.col("nth") > 0), *((name, F.col(name).isNotNull()) for name in lengths)])
 
 
 CHAIN = "doc long, part int, first_doc long, first_part int, at array<int>, of array<int>"

@@ -471,6 +471,50 @@ def test_passages_with_changed_words_are_found(spark):
     assert all(recall[n, s] >= least for n, s, least in ((55, 0.05, 0.9), (80, 0.05, 0.95), (55, 0.1, 0.8), (80, 0.1, 0.95), (80, 0.15, 0.75))), recall
 
 
+def shifted(rng, p, share):
+    """Half of the edits lose a word, the others insert one before it."""
+    out = []
+    for w in p:
+        r = rng.random()
+        out += [] if r < share / 2 else [f"i{rng.random()}", w] if r < share else [w]
+    return out
+
+
+def test_passages_with_inserted_and_lost_words_are_found(spark):
+    rng = random.Random(5)
+    texts, planted = [], []
+    for n in (60, 80, 120):
+        for share in (0.05, 0.1, 0.15):
+            for _ in range(25):
+                q = shifted(rng, p := fresh(f"p{len(texts)}x", n), share)
+                if len(q) >= 54:
+                    planted.append((len(texts) + 1, n, share, len(q)))
+                texts += [" ".join(fresh(f"a{len(texts)}x", 30) + p), " ".join(fresh(f"b{len(texts)}x", 30) + q)]
+    found = covered_by(spark, texts)
+    recall = {key: np.mean([len(found[d] & set(range(30, 30 + m))) > m / 2 for d, n, s, m in planted if (n, s) == key]) for key in {x[1:3] for x in planted}}
+    assert all(recall[key] >= (0.85 if key == (60, 0.15) else 0.9) for key in recall), recall
+
+
+def test_extension_is_the_best_alignment():
+    """Against all prefixes by dynamic programming: matches score 1, edits -2."""
+    rng = random.Random(8)
+    for _ in range(200):
+        a = [rng.randrange(1000) for _ in range(rng.randrange(0, 40))]
+        b = [f for x in a for f in ([] if rng.random() < 0.06 else [rng.randrange(1000), x] if rng.random() < 0.06 else [rng.randrange(1000)] if rng.random() < 0.06 else [x])]
+        score = {(i, 0): -2 * i for i in range(len(a) + 1)} | {(0, j): -2 * j for j in range(len(b) + 1)}
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                score[i, j] = max(score[i - 1, j] - 2, score[i, j - 1] - 2, score[i - 1, j - 1] + (1 if x == y else -2))
+        i, j, same = chaining.extend(a, b)
+        want = max(score.values())
+        kept, chaining.DROP = chaining.DROP, 1000
+        try:
+            i, j, same = chaining.extend(a, b)
+        finally:
+            chaining.DROP = kept
+        assert score[i, j] == want and 0 <= same <= min(i, j)
+
+
 def test_dropped_passages(docs, odd):
     before = {r["doc_id"]: r["text"] for r in collected(docs)}
     after = {r["doc_id"]: r["text"] for r in collected(chaining.drop_passages(docs))}
