@@ -31,8 +31,9 @@ SEED_WORDS, SPACING = 6, 8
 MIN_WORDS, IDENTITY = 50, 0.8
 #: Words of the longer runs that a shared seed begins, beside the two of nearly ``min_words`` words.
 RUN_WORDS = 16
-#: Words kept on either side of a seed, and how many of them must match for a seed to be a chain by itself.
-SIDE, SIDE_MATCHES = 8, 9
+#: Words kept on either side of a seed, and how many of them must match for a seed to be a chain by itself: place by place, or
+#: with words beyond an inserted or lost one moved by a place (chance matches are then three times as many).
+SIDE, SIDE_MATCHES, MOVED_MATCHES = 8, 9, 11
 #: Score of a seed, and cost of a word between two seeds in either document.
 SEED_SCORE, WORD_COST = 6.0, 0.1
 #: Words fetched beyond a chain's ends, how far an extension may fall below its best, and how many more words it may insert than lose, or lose than insert.
@@ -173,27 +174,36 @@ def extend(a: list, b: list) -> tuple[int, int, int]:
     i = 0
     while i < n and i < m and a[i] == b[i]:
         i += 1
-    best, end, reach, edits = i, (i, i, i), {0: (i, i)}, 0
+    best, end, reach, cost = i, (i, i, i), {0: (i, i)}, 0
+    low = high = 0
     while reach:
-        edits += 1
-        ahead = {}
-        for k in {d + step for d in reach for step in (-1, 0, 1)}:
-            if not -BAND <= k <= BAND:
-                continue
-            # (place in a, matches) after a changed word, a word only b has, a word only a has
-            ways = [(reach[d][0] + one, reach[d][1]) for d, one in ((k, 1), (k - 1, 0), (k + 1, 1)) if d in reach]
-            i, same = max(((i, same) for i, same in ways if i <= n and i + k <= m), default=(-1, 0))
+        cost += 2
+        ahead, low, high = {}, max(low - 1, -BAND), min(high + 1, BAND)
+        for k in range(low, high + 1):
+            i = same = -1
+            way = reach.get(k)  # a changed word
+            if way is not None and way[0] < n and way[0] + k < m:
+                i, same = way[0] + 1, way[1]
+            way = reach.get(k - 1)  # a word only b has
+            if way is not None and way[0] + k <= m and way > (i, same):
+                i, same = way
+            way = reach.get(k + 1)  # a word only a has
+            if way is not None and way[0] < n and (way[0] + 1, way[1]) > (i, same):
+                i, same = way[0] + 1, way[1]
             if i < 0:
                 continue
-            while i < n and i + k < m and a[i] == b[i + k]:
+            j = i + k
+            while i < n and j < m and a[i] == b[j]:
                 i += 1
+                j += 1
                 same += 1
-            score = same - 2 * edits
-            if score > best:
-                best, end = score, (i, i + k, same)
-            if score >= best - DROP:
+            if same - cost > best:
+                best, end = same - cost, (i, j, same)
+            if same - cost >= best - DROP:
                 ahead[k] = i, same
-        reach = {k: v for k, v in ahead.items() if v[1] - 2 * edits >= best - DROP}
+        reach = {k: way for k, way in ahead.items() if way[1] - cost >= best - DROP}
+        if reach:
+            low, high = min(reach), max(reach)
     return end
 
 
@@ -266,9 +276,10 @@ def _partners(seeds: DataFrame, finer: list[tuple[str, Column]]) -> DataFrame:
     pairs = out.withColumn("to", F.explode("to"))
     own, to = F.col("sides"), F.col("to.sides")
     # a word inserted or lost beside the seed moves those beyond it by one place
-    apart = _differing(own, to).bitwiseAND(_differing(own, F.shiftleft(to, 4))).bitwiseAND(_differing(own, F.shiftrightunsigned(to, 4)))
-    return pairs.select("doc", "part", "at", F.col("to.doc").alias("first_doc"), F.col("to.part").alias("first_part"), F.col("to.at").alias("of"),
-                        (F.bit_count(apart) <= 2 * SIDE - SIDE_MATCHES).alias("alone"))
+    straight = _differing(own, to)
+    moved = straight.bitwiseAND(_differing(own, F.shiftleft(to, 4))).bitwiseAND(_differing(own, F.shiftrightunsigned(to, 4)))
+    alone = (F.bit_count(straight) <= 2 * SIDE - SIDE_MATCHES) | (F.bit_count(moved) <= 2 * SIDE - MOVED_MATCHES)
+    return pairs.select("doc", "part", "at", F.col("to.doc").alias("first_doc"), F.col("to.part").alias("first_part"), F.col("to.at").alias("of"), alone.alias("alone"))
 
 
 def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -331,10 +342,15 @@ def chains(found: DataFrame) -> DataFrame:
             columns, at, of, change, alone = [c[new] for c in columns], at[new], of[new], change[new], alone[new]
             starts = np.flatnonzero(change)
             ends = np.append(starts[1:], len(at))
+            # where both places only grow, in steps that cost less than a seed scores, all matches are one chain
+            steps = np.ones(len(at), bool)
+            steps[1:] = (at[1:] > at[:-1]) & (of[1:] > of[:-1]) & (WORD_COST * (at[1:] - at[:-1] + of[1:] - of[:-1]) < SEED_SCORE)
+            plain = np.logical_and.reduceat(steps | change, starts)
+            worth = (ends > starts + 1) | alone[starts]
             out = []
-            for lo, hi in zip(starts.tolist(), ends.tolist()):
+            for lo, hi, one in zip(starts[worth].tolist(), ends[worth].tolist(), plain[worth].tolist()):
                 p, q = at[lo:hi], of[lo:hi]
-                for links in uncovered(p, chain(p, q) if hi > lo + 1 else [[0]]):
+                for links in [list(range(hi - lo))] if one else uncovered(p, chain(p, q)):
                     if len(links) == 1 and not alone[lo + links[0]]:
                         continue
                     out.append((*(int(c[lo]) for c in columns), p[links].tolist(), q[links].tolist()))
