@@ -157,7 +157,8 @@ def chain(at: np.ndarray, of: np.ndarray) -> list[list[int]]:
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Words in common, in order, of two short runs: place by place if that explains most of them, else by dynamic programming."""
     same = int((a[:min(len(a), len(b))] == b[:min(len(a), len(b))]).sum())
-    if len(a) == len(b) and 5 * same >= 4 * len(a) or not len(a) or not len(b) or len(a) * len(b) > 1 << 14:
+    # of equally long runs, another alignment leaves a word out on either side
+    if len(a) == len(b) and (same >= len(a) - 1 or 5 * same >= 4 * len(a)) or not len(a) or not len(b) or len(a) * len(b) > 1 << 14:
         return same
     row = np.zeros(len(b) + 1, np.int64)
     for x in a:
@@ -210,7 +211,6 @@ def extend(a: list, b: list) -> tuple[int, int, int]:
 def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, of: np.ndarray, min_words: int, identity: float):
     """Aligned passages (a start, a end, b start, b end, matches) around chained seeds at ``at`` in a and ``of`` in b."""
     found, i = [], 0
-    own, other = a.tolist(), b.tolist()
     while i < len(at):
         a0, b0, a1, b1 = int(at[i]), int(of[i]), int(at[i]) + SEED_WORDS, int(of[i]) + SEED_WORDS
         matches, j = SEED_WORDS, i + 1
@@ -227,9 +227,9 @@ def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, of: np.ndarray, min_w
                 matches += inner + SEED_WORDS - max(0, a1 - p, b1 - q)
             a1, b1 = max(a1, p + SEED_WORDS), max(b1, q + SEED_WORDS)
             j += 1
-        more, also, same = extend(own[a1:], other[b1:])
+        more, also, same = extend(a[a1:].tolist(), b[b1:].tolist())
         a1, b1, matches = a1 + more, b1 + also, matches + same
-        more, also, same = extend(own[:a0][::-1], other[:b0][::-1])
+        more, also, same = extend(a[:a0][::-1].tolist(), b[:b0][::-1].tolist())
         a0, b0, matches = a0 - more, b0 - also, matches + same
         if a1 - a0 >= min_words and matches >= identity * max(a1 - a0, b1 - b0):
             found.append((a0, a1, b0, b1, matches))
