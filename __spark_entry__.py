@@ -1069,6 +1069,18 @@ def bin_by_mergeable_function(spark, sf):
     return rounded(v.bininfo().select("strat", "bin_num", "nobs", "xmin", "xmax").join(v.bins().select("strat", "bin_num", "xbin"), ["strat", "bin_num"]))
 
 
+@query(_SQL["interval_statistics"])
+def statistics_of_added_replicates(spark, sf):
+    """The flagship after half of its replicates were checked before: only the others are computed."""
+    store, sim = f"{shared_dir(spark)}/quantiles-{uuid.uuid4().hex}", sim_events(spark, sf, REPLICATES)
+
+    def stated(rows):
+        return base(spark, sf).simulated(rows, "y_sim").stratify("~ strat").binning(method="ntile", nbins=6).predcorrect().statistics(QPRED, store=store).stats
+
+    stated(sim.filter(F.col("repl") <= REPLICATES // 2)).count()
+    return rounded(stated(sim))
+
+
 @query(_SQL["interval_statistics"])
 def statistics_of_stored_replicates(spark, sf):
     """The flagship from replicates that are stored in buckets by observation."""

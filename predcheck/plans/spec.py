@@ -7,12 +7,14 @@ reads that fit bins and count group sizes.
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.quantiles import CELL_PILOTS, COUNTING_CONF, PILOTS, bracketed_quantiles, brackets_pay, counted_quantiles, counting_pays, grouped_quantiles
@@ -71,6 +73,7 @@ class VPC:
     qpred: tuple[float, ...] | None = None
     conf_level: float = 0.95
     quantile_type: int = 7
+    store: str | None = None
 
     # ------------------------------------------------------------------------------------------ the steps
 
@@ -186,13 +189,16 @@ class VPC:
         return self.update(predcor=False)
 
     def statistics(self, qpred: Sequence[float] = (0.05, 0.5, 0.95), *, conf_level: float = 0.95,
-                   quantile_type: int = 7) -> "VPC":
-        """Ask for the quantile and percent-below-limit tables, ``stats`` and ``pctblq``."""
+                   quantile_type: int = 7, store: str | None = None) -> "VPC":
+        """Ask for the quantile and percent-below-limit tables, ``stats`` and ``pctblq``.
+
+        ``store`` is a shared folder that keeps the quantiles of every replicate. A later check of the same observations, bins and
+        options computes only the replicates that it does not hold yet; a replicate whose values changed is computed again."""
         if not self.layers:
             raise ValueError("statistics needs bins: call binning first")
         if self.sim is None:
             raise ValueError("statistics needs replicates: call simulated first")
-        out = self.update(qpred=tuple(float(p) for p in qpred), conf_level=conf_level, quantile_type=quantile_type)
+        out = self.update(qpred=tuple(float(p) for p in qpred), conf_level=conf_level, quantile_type=quantile_type, store=store)
         if out.sizes["missing_bins"]:
             warnings.warn("some observations have no bin; not every stratum may have been binned", stacklevel=2)
         if out.check and (bad := out._replicates["misaligned"]):
@@ -388,7 +394,7 @@ class VPC:
     def _replicate_quantiles(self) -> DataFrame:
         """(gid, repl, q_index, y): the heavy step, one shuffle of the simulated rows or of those near a quantile."""
         rows, largest = self._grouped_sim().select("gid", "repl", "v"), self.sizes["largest"]
-        if brackets_pay(largest, 10 * PILOTS, self.qpred):
+        if self.store is None and brackets_pay(largest, 10 * PILOTS, self.qpred):
             known = self._replicates
             if brackets_pay(largest, known["count"], self.qpred):
                 return st.to_long(bracketed_quantiles(rows, ["gid"], "repl", known["pilots"], "v", self.qpred, self.quantile_type, largest),
@@ -400,6 +406,8 @@ class VPC:
         """(gid, repl, q, below): the quantiles of every replicate and its percentage below the limit, from one pass.
 
         Stored if anything is below the limit, because both tables of results are then made from it."""
+        if self.store is not None:
+            return self._from_store()
         flagged = bool(self.sizes["below"])
         rows = self._grouped_sim(*["lloq"] * flagged).select("gid", "repl", "v", F.expr("y < lloq" if flagged else "false").alias("blq"))
         asked = self.data.sparkSession.conf.get(COUNTING_CONF, "false").lower() == "true"
@@ -414,6 +422,38 @@ class VPC:
                                 largest=self.sizes["largest"], split_keys=["gid"])
         return materialize(got) if flagged else got
 
+    def _fingerprint(self) -> str:
+        """Of all that the quantiles of a replicate depend on, beside its own values."""
+        used = self._grouped_obs().select("obs_id", *self.strata, "bin", "blq", "lloq", *(["pc"] if self.predcor else []))
+        sums = used.select(F.struct(*used.columns).alias("row")).agg(*[c.alias(n) for n, c in align.checksums("row").items()]).first()
+        asked = (self.qpred, self.quantile_type, self.strata, self.predcor, self.log, self.lower_bound, self.drop_blq)
+        return hashlib.sha256(repr((tuple(sums), asked)).encode()).hexdigest()[:32]
+
+    def _from_store(self) -> DataFrame:
+        """(gid, repl, q, below) of all replicates, read from the store once those that it lacks have been added to it.
+
+        A replicate is known by its number and checksums of its values, which take one aggregate without a shuffle of rows."""
+        spark, keys = self.data.sparkSession, [*self.strata, "bin"]
+        folder = f"{self.store.rstrip('/')}/{self._fingerprint()}"
+        sums = align.checksums("row")
+        marks = self.sim.select("repl", F.struct("obs_id", "y").alias("row")).groupBy("repl").agg(*[c.alias(n) for n, c in sums.items()])
+        wanted, number = compact(marks.select("repl", F.concat_ws(" ", *sums).alias("mark")))
+        try:
+            held = spark.read.parquet(folder).select("repl", "mark").distinct()
+            lacking = null_safe_join(wanted, held, ["repl", "mark"], "left_anti")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            lacking = wanted
+        lacking, missing = compact(lacking)
+        if missing:
+            rows = null_safe_join(self.sim, small(lacking.select("repl"), missing), ["repl"], "left_semi")
+            added = self.update(store=None, sim=rows)._per_replicate
+            named = null_safe_join(self._named(added), small(lacking, missing), ["repl"])
+            named.select(*keys, "repl", "mark", "q", "below").write.mode("append").parquet(folder)
+        kept = null_safe_join(spark.read.parquet(folder), small(wanted, number), ["repl", "mark"], "left_semi")
+        return null_safe_join(kept, self._groups.select(*keys, "gid"), keys).select("gid", "repl", "q", "below")
+
     def replicate_quantiles(self) -> DataFrame:
         """(strata, bin, repl, q_index, y)."""
         return self._named(self._replicate_quantiles()).select(*self.strata, "bin", "repl", "q_index", "y")
@@ -441,7 +481,7 @@ class VPC:
             raise ValueError("call statistics() first")
         if not self.sizes["below"]:
             return None
-        if "_per_replicate" in self.__dict__:  # asked for the quantiles before: their pass has counted the flags too
+        if self.store is not None or "_per_replicate" in self.__dict__:  # asked for the quantiles before: their pass has counted the flags too
             share = self._per_replicate.select("gid", F.col("below").alias("y"))
         else:
             share = st.percent_below(self._grouped_sim("lloq").select("gid", "repl", F.expr("y < lloq as blq")), ["gid", "repl"])

@@ -239,3 +239,27 @@ def test_results_do_not_depend_on_broadcasts(spark):
         assert tables()[1:] == plain[1:]
     finally:
         spark.conf.unset("predcheck.broadcastBytes")
+
+
+@pytest.mark.parametrize("corrected, qtype", [(False, 7), (True, 2)])
+def test_stored_quantiles_of_replicates(spark, tmp_path, corrected, qtype):
+    """Added and changed replicates are computed, known ones read; results are those of a check without a store."""
+    obs = small(spark).withColumn("blq", F.col("y") < 0.6).withColumn("lloq", F.lit(0.6))
+    store = str(tmp_path / "store")
+
+    def stated(sim, store=None):
+        v = check(spark, obs, sim).binning("x")
+        return (v.predcorrect() if corrected else v).statistics(quantile_type=qtype, store=store)
+
+    def marks():
+        return sum(r["n"] for r in spark.read.parquet(*[str(p) for p in (tmp_path / "store").iterdir()]).groupBy().agg(F.count_distinct("repl", "mark").alias("n")).collect())
+
+    all_rows = replicates(spark, obs, 9)
+    changed = all_rows.withColumn("ys", F.when(F.col("repl") == 2, F.col("ys") * 1.5).otherwise(F.col("ys")))
+    for sim, held in ((all_rows.filter("repl <= 4"), 4), (all_rows, 9), (changed, 10), (all_rows.filter("repl > 6"), 10)):
+        got, want = stated(sim, store), stated(sim)
+        assert result(got.stats) == result(want.stats) and result(got.pctblq) == result(want.pctblq)
+        assert marks() == held
+    other = check(spark, obs, all_rows).binning(method="ntile", nbins=3).statistics(store=store)
+    assert result(other.stats) == result(check(spark, obs, all_rows).binning(method="ntile", nbins=3).statistics().stats)
+    assert len(list((tmp_path / "store").iterdir())) == 2
