@@ -11,6 +11,7 @@ from ..functions.values import null_safe_join
 from ..plans.storage import small, split_rows
 from .align import dense_index
 
+# The names of the columns of bin information.
 INFO_COLUMNS = ("nobs", "xmedian", "xmean", "xmin", "xmax", "xmid", "xleft", "xright", "xcenter")
 
 

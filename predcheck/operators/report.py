@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.values import null_safe_join
+from ..plans.storage import compact, small, split_rows
 from .align import dense_index
 from .statistics import interval_probs
 
@@ -45,16 +46,25 @@ def boundaries(vpc) -> DataFrame:
     return vpc.bininfo().select(*vpc.strata, F.explode(F.array("xleft", "xright")).alias("x")).distinct()
 
 
+def _numbered(table: DataFrame, terms: list[str], name: str) -> DataFrame:
+    """Add the number, from 1, of the combination of ``terms`` in sorted order.
+
+    One task orders the combinations only up to a counted number; more are numbered by a range sort."""
+    combinations, n = compact(table.select(*terms).distinct())
+    if n <= split_rows(table.sparkSession):
+        places = combinations.withColumn(name, F.row_number().over(Window.orderBy(*terms)))
+    else:
+        places = dense_index(combinations, terms, name).withColumn(name, (F.col(name) + 1).cast("int"))
+    return null_safe_join(table, small(places, n), terms)
+
+
 def facets(vpc) -> DataFrame:
     """One row per combination of strata: place in a grid (two-sided) or in a sequence (one-sided)."""
     levels = vpc.obs().groupBy(*vpc.strata).agg(F.count(F.lit(1)).alias("nobs"))
-    if not vpc.two_sided:
-        return levels.withColumn("facet", F.row_number().over(Window.orderBy(*vpc.strata)))
-
-    def place(terms):
-        return F.dense_rank().over(Window.orderBy(*[n for n, _ in terms])) if terms else F.lit(1)
-
-    return levels.withColumns({"facet_row": place(vpc.strat_rows), "facet_col": place(vpc.strat_cols)})
+    sides = {"facet_row": vpc.strat_rows, "facet_col": vpc.strat_cols} if vpc.two_sided else {"facet": vpc._strata()}
+    for name, terms in sides.items():
+        levels = _numbered(levels, [n for n, _ in terms], name) if terms else levels.withColumn(name, F.lit(1))
+    return levels
 
 
 def observation_labels(vpc) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import predcheck as pk
-from predcheck.operators.report import back_transform, floor_values, interval_width
+from predcheck.operators.report import back_transform, facets, floor_values, interval_width
 from predcheck.sources.readers import read_table, write_table
 
 INF = float("inf")
@@ -263,3 +263,19 @@ def test_stored_quantiles_of_replicates(spark, tmp_path, corrected, qtype):
     other = check(spark, obs, all_rows).binning(method="ntile", nbins=3).statistics(store=store)
     assert result(other.stats) == result(check(spark, obs, all_rows).binning(method="ntile", nbins=3).statistics().stats)
     assert len(list((tmp_path / "store").iterdir())) == 2
+
+
+def test_facets_of_many_strata(spark):
+    """Strata beyond the number that one task orders get the same places."""
+    obs = small(spark).withColumn("part", F.when(F.col("obs_id") % 3 > 0, F.col("obs_id") % 3))
+
+    def places():
+        for formula in ("~ strat + part", "strat ~ part", "strat ~ ."):
+            yield sorted(result(facets(pk.observed(obs, "x", "y", id="obs_id").stratify(formula))), key=repr)
+
+    want = list(places())
+    spark.conf.set("predcheck.splitRows", "1")
+    try:
+        assert list(places()) == want and sorted(r[-1] for r in want[0]) == [1, 2, 3, 4, 5, 6]
+    finally:
+        spark.conf.unset("predcheck.splitRows")
