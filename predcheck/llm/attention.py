@@ -107,7 +107,7 @@ def gradients(w: Weights, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tup
         rows = np.arange(len(z))
         taken = z[rows, chosen].copy()
         logs = _normal(z)
-        z /= z.sum(1, keepdims=True)
+        z /= np.exp(logs)[:, None]
         z[rows, chosen] -= 1
         z *= weight
         return -float((taken - logs).sum()) * float(weight), z
@@ -130,7 +130,7 @@ def gradients(w: Weights, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tup
     de, dc = db[..., :WIDTH].copy(), db[..., WIDTH:]
     da = np.matmul(dc, v.transpose(0, 2, 1))
     dv = np.matmul(a.transpose(0, 2, 1), dc)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
+    ds = a * (da - np.einsum("ntj,ntj->nt", da, a)[..., None])
     g["distance"] = np.bincount(_BACK.ravel(), np.tril(ds.sum(0)).ravel(), WINDOW).astype(np.float32)
     ds *= np.float32(KEY ** -0.5)
     dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)

@@ -5,8 +5,9 @@ before it, by batched masked attention over overlapping windows that score each
 corpus counts. The most frequent ids are classes of their own; the others share classes by frequency.
 
 What is gathered from the corpus: the counts of all words of all training documents (hence of all subword ids), in one
-shuffle of per-task counts; and training windows from the same share of the training documents at every size, each used
-once. Attention weights are trained in the tasks that hold the windows, block by block, and averaged between rounds.
+shuffle of per-task counts; and the windows of all training documents, each used once. Attention weights are trained in
+the tasks that hold the windows, block by block, and averaged between rounds. Texts are encoded once, into the classes
+of their ids; training and scoring read those.
 
 The baseline adds up logarithms of smoothed word frequencies. Frequent words, at most FREQUENT by definition of their
 share, are looked up where a text is read; the others are shuffled by word, once, with one row per document.
@@ -19,7 +20,6 @@ nothing and are uniform; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,9 @@ from .text import LOWER, chunks, word_hashes, word_spans
 FOLDS, HELD_OUT_FOLD = 7, 2
 #: A word is frequent if its share of all tokens is at least 1 / FREQUENT.
 FREQUENT = 200_000
-#: Share of training documents whose windows train the weights, whatever the size of the corpus; each window is used in one round.
-TRAINING_SHARE = 1 / 16
+#: Every window of the training documents is used in one round.
 ROUNDS, RATE = 4, 0.01
-#: Ids whose windows a training task holds and shuffles together.
+#: Ids whose windows a task holds together.
 BLOCK_IDS = 400_000
 #: Classes of all other ids together; END and the frequent ids are classes of their own.
 SHARED = 24
@@ -102,23 +101,6 @@ def id_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-class Model(NamedTuple):
-    """Class of each id, log10 share of each id within its class, and the weights over classes."""
-    class_of: np.ndarray
-    within: np.ndarray
-    weights: dict
-
-    def log10(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each text; ``ids`` of all texts end to end, each closed by END."""
-        targets = self.class_of[ids]
-        inputs = np.empty_like(targets)
-        inputs[1:] = targets[:-1]
-        first = np.cumsum(counts) - counts
-        inputs[first] = self.class_of[END]
-        p = attention.score(self.weights, inputs, targets, counts) / np.log(10) + self.within[ids]
-        return np.bincount(np.repeat(np.arange(len(counts)), counts), p, len(counts))
-
-
 def classes(counts: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class of each id, log10 share within the class, natural log share of each class) from smoothed counts."""
     smooth = np.append(counts, texts).astype(float) + 1
@@ -197,23 +179,9 @@ def blocks(batches, begin: int, number: int) -> Iterator[tuple[np.ndarray, np.nd
         yield windows_of(texts)
 
 
-def train(docs: DataFrame, class_of: np.ndarray, log_shares: np.ndarray, path: str) -> dict:
-    """Weights from windows of a share of the training documents, by rounds of local training and averaging."""
-    chosen = text_of(docs, "doc_id").filter(~held_out("doc_id", FOLDS, HELD_OUT_FOLD)) \
-        .filter(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 20)) < int(TRAINING_SHARE * (1 << 20)))
-
-    def sequences(batches):
-        ids_of = word_ids(path)
-        for rows in batches:
-            for _, data, offsets in chunks(rows):
-                ids, counts, *_ = chunk_ids(ids_of, LOWER[data], offsets)
-                at = np.concatenate([[0], np.cumsum(counts)])
-                codes = class_of[ids].astype(np.uint16)
-                yield batch(["codes"], pa.array([codes[at[i]:at[i + 1]].tobytes() for i in range(len(counts))], pa.binary()))
-
-    stored = store(chosen.mapInArrow(sequences, "codes binary"))
+def train(coded: DataFrame, begin: int, log_shares: np.ndarray) -> dict:
+    """Weights from all windows of the texts in ``codes``, by rounds of local training and averaging; ``begin`` is the class before the first id."""
     weights = attention.start(log_shares)
-    begin = int(class_of[END])
     for number in range(ROUNDS):
         raw = _pack(weights)
 
@@ -237,7 +205,7 @@ def train(docs: DataFrame, class_of: np.ndarray, log_shares: np.ndarray, path: s
                     total, size = total + n * np.frombuffer(x, np.float32).astype(float), size + n
             yield batch(["n", "weights"], pa.array([size]), pa.array([(total / size).astype(np.float32).tobytes()], pa.binary()))
 
-        found = stored.mapInArrow(local, "part int, n double, weights binary").groupBy("part").applyInArrow(mean, "n double, weights binary").collect()
+        found = coded.mapInArrow(local, "part int, n double, weights binary").groupBy("part").applyInArrow(mean, "n double, weights binary").collect()
         if not found:  # no window fell to this round
             continue
         size = sum(r["n"] for r in found)
@@ -248,7 +216,38 @@ def train(docs: DataFrame, class_of: np.ndarray, log_shares: np.ndarray, path: s
 
 # ---------------------------------------------------------------------------------------------- scores
 
-COLUMNS = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word long, n long"
+COLUMNS = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, codes binary, word long, n long"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+
+
+def scores(coded: DataFrame, weights: dict, begin: int) -> DataFrame:
+    """The rows of SCORED: ``inner`` and the model's log10 probability of the classes in ``codes``."""
+    shared = coded.sparkSession.sparkContext.broadcast(weights)
+
+    def of(codes: list) -> np.ndarray:
+        counts = np.array([len(x) for x in codes])
+        targets = np.concatenate(codes).astype(np.int64)
+        inputs = np.empty_like(targets)
+        inputs[1:] = targets[:-1]
+        inputs[np.cumsum(counts) - counts] = begin  # a text has its END at least
+        return np.bincount(np.repeat(np.arange(len(counts)), counts), attention.score(shared.value, inputs, targets, counts), len(counts)) / np.log(10)
+
+    def run(batches):
+        for rows in batches:
+            out, held, size = [], [], 0
+            for raw in rows.column("codes"):
+                held.append(np.frombuffer(raw.as_py(), np.uint16))
+                size += len(held[-1])
+                if size >= BLOCK_IDS:
+                    out.append(of(held))
+                    held, size = [], 0
+            if held:
+                out.append(of(held))
+            if out:
+                names = [x.split()[0] for x in SCORED.split(", ")]
+                yield batch(names, *(rows.column(c) for c in names[:-1]), np.concatenate(out) + rows.column("inner").to_numpy())
+
+    return coded.mapInArrow(run, SCORED)
 
 
 def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -266,22 +265,24 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     order = np.argsort(hashes)
     counts = id_counts(words, path)
     class_of, within, log_shares = classes(counts, texts)
-    weights = train(docs, class_of, log_shares, path)
-    # bounded: numbers of the vocabulary's size, the weights, and fewer than FREQUENT words
-    shared = spark.sparkContext.broadcast((class_of, within, weights, hashes[order], common["c"].to_numpy()[order]))
+    begin = int(class_of[END])
+    # bounded: numbers of the vocabulary's size, and fewer than FREQUENT words
+    shared = spark.sparkContext.broadcast((class_of, within, hashes[order], common["c"].to_numpy()[order]))
     smooth = np.log10(total + types + 1)
     end_score = np.log10(texts + 1) - smooth
 
     def run(batches):
-        *parts, frequent, c = shared.value
-        model = Model(*parts)
+        classes_of, inside, frequent, c = shared.value
         ids_of, log_c, serial = word_ids(path), np.append(np.log10(c + 1.0), 0.0), TaskContext.get().partitionId() << 40
         frequent = np.append(frequent, np.uint64(2**64 - 1))
         names = [x.split()[0] for x in COLUMNS.split(", ")]
         for rows in batches:
             for part, data, offsets in chunks(rows):
                 ids, per_doc, unique, which, n_words, doc = chunk_ids(ids_of, LOWER[data], offsets)
-                score = model.log10(ids, per_doc)
+                ends = np.cumsum(per_doc)
+                inner = np.bincount(np.repeat(np.arange(len(per_doc)), per_doc), inside[ids], len(per_doc))
+                codes = classes_of[ids].astype(np.uint16)
+                codes = pa.array([codes[end - n:end].tobytes() for n, end in zip(per_doc.tolist(), ends.tolist())], pa.binary())
                 at = np.searchsorted(frequent, unique)
                 hit = (frequent[at] == unique) & (at < len(frequent) - 1)
                 at[~hit] = len(frequent) - 1
@@ -290,20 +291,22 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 rids = serial + np.arange(len(n_words))
                 serial += len(n_words)
                 none = pa.nulls(len(rids), pa.int64())
-                yield batch(names, rids, part.column(0), part.column(2), n_words + 1, known, base, score, none, none)
+                yield batch(names, rids, part.column(0), part.column(2), n_words + 1, known, base, inner, codes, none, none)
                 rare = ~hit[which] if len(which) else np.zeros(0, bool)
                 pairs, n = np.unique(doc[rare] * max(1, len(unique)) + which[rare], return_counts=True)
                 if len(pairs):
                     d, w = pairs // len(unique), pairs % len(unique)
                     empty = pa.nulls(len(pairs), pa.float64())
                     blank = pa.nulls(len(pairs), pa.int64())
-                    yield batch(names, rids[d], blank, part.column(2).take(pa.array(d)), blank, blank, empty, empty, unique[w].astype(np.int64), n.astype(np.int64))
+                    yield batch(names, rids[d], blank, part.column(2).take(pa.array(d)), blank, blank, empty, empty, pa.nulls(len(pairs), pa.binary()), unique[w].astype(np.int64), n.astype(np.int64))
 
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("held_out", held_out("doc_id", FOLDS, HELD_OUT_FOLD))
-    scored = store(rows.select("doc_id", "text", "held_out").mapInArrow(run, COLUMNS))
-    rare = scored.filter("word is not null").select("word", "rid", "n", "held_out") \
+    stored = store(rows.select("doc_id", "text", "held_out").mapInArrow(run, COLUMNS))
+    coded = stored.filter("word is null")
+    weights = train(coded.filter("not held_out").select("codes"), begin, log_shares)
+    rare = stored.filter("word is not null").select("word", "rid", "n", "held_out") \
         .withColumn("c", F.sum(F.when(~F.col("held_out"), F.col("n")).otherwise(0)).over(Window.partitionBy("word")))
     added = rare.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    out = scored.filter("word is null").select("rid", "doc_id", "held_out", "n_tokens", "known", "base", "score").join(added, "rid", "left")
+    out = scores(coded.drop("word", "n"), weights, begin).join(added, "rid", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
                       F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")

@@ -140,6 +140,22 @@ def test_training_takes_each_window_in_one_round(monkeypatch):
     assert sorted(found) == sorted((y, x[:len(y)]) for y, x in want)
 
 
+def test_every_training_document_reaches_the_weights(spark):
+    """The words of one document the other way round leave all counts as they are, but not what the weights see."""
+    rng = random.Random(9)
+    texts = [" ".join(f"word{rng.randrange(200)}" for _ in range(150)) for _ in range(16)]
+    learnt = [d for d in range(16) if brute.fold(d, 7) != 2]
+
+    def scores(turned=None):
+        frame = spark.createDataFrame([(d, " ".join(t.split()[::-1]) if d == turned else t) for d, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+        return {r["doc_id"]: r["score"] for r in collected(lm.lm_scores(frame))}
+
+    plain = scores()
+    for d in learnt[:3]:
+        other = scores(d)
+        assert max(abs(other[x] - plain[x]) for x in plain if x != d) > 1e-4, d
+
+
 def test_word_cache_is_bounded(monkeypatch):
     w = subwords.WordIds(subwords.default_path())
     monkeypatch.setattr(subwords, "CACHE_BYTES", 3000)
