@@ -34,6 +34,8 @@ RUN_WORDS = 16
 #: Words kept on either side of a seed, and how many of them must match for a seed to be a chain by itself: place by place, or
 #: with words beyond an inserted or lost one moved by a place (chance matches are then three times as many).
 SIDE, SIDE_MATCHES, MOVED_MATCHES = 8, 9, 11
+#: Why a match may be a chain by itself: words beside it match, or only the long run that it begins.
+BESIDE, LONG = 2, 1
 #: Score of a seed, and cost of a word between two seeds in either document.
 SEED_SCORE, WORD_COST = 6.0, 0.1
 #: Words fetched beyond a chain's ends, how far an extension may fall below its best, and how many more words it may insert than lose, or lose than insert.
@@ -64,10 +66,15 @@ def least_of(h: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return top[:n] == h
 
 
+def long_run(min_words: int) -> int:
+    """Words of the run by which a match is LONG."""
+    return max(SEED_WORDS + 1, min_words - SPACING + 1)
+
+
 def run_lengths(min_words: int) -> list[int]:
     """Lengths of the longer runs. Each place where ``min_words`` words are shared holds a whole run of the second length
     that starts with a seed, and each of SPACING - 1 words more one of ``min_words``."""
-    return sorted({x for x in (RUN_WORDS, min_words - SPACING + 1, min_words) if x > SEED_WORDS})
+    return sorted({max(x, SEED_WORDS + 1) for x in (RUN_WORDS, long_run(min_words), min_words)})
 
 
 def text_seeds(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
@@ -75,8 +82,8 @@ def text_seeds(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS
 
     ``nth`` counts the occurrences of a seed in its text from 0, so runs that repeat one phrase can also match in order.
     ``sides`` has four bits of each of the SIDE words before and after the seed, 0 beyond the text.
-    ``runs`` are the hashes of the longer runs of words that the seeds begin, one array for each of ``run_lengths``; a
-    run beyond the end of the text is masked."""
+    ``runs`` are hashes, of 32 bits beside the seed's 64, of the longer runs of words that the seeds begin, one array for
+    each of ``run_lengths``; a run beyond the end of the text is masked."""
     starts, ends, first = word_spans(data, offsets)
     counts = np.diff(first)
     words = word_hashes(LOWER[data], starts, ends)
@@ -99,7 +106,7 @@ def text_seeds(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS
     runs = []
     for length in run_lengths(min_words):
         fits = place + length <= counts[text]
-        runs.append(pa.array(run_hashes(words, np.where(fits, first[text] + place, 0), np.where(fits, length, 0)).astype(np.int64), mask=~fits))
+        runs.append(pa.array(run_hashes(words, np.where(fits, first[text] + place, 0), np.where(fits, length, 0)).view(np.int64).astype(np.int32), mask=~fits))
     return text, place, grams, nth, sides.view(np.int64), runs
 
 
@@ -211,11 +218,12 @@ def extend(a: list, b: list) -> tuple[int, int, int]:
 def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, of: np.ndarray, min_words: int, identity: float):
     """Aligned passages (a start, a end, b start, b end, matches) around chained seeds at ``at`` in a and ``of`` in b."""
     found, i = [], 0
+    at, of = at.tolist(), of.tolist()
     while i < len(at):
-        a0, b0, a1, b1 = int(at[i]), int(of[i]), int(at[i]) + SEED_WORDS, int(of[i]) + SEED_WORDS
+        a0, b0, a1, b1 = at[i], of[i], at[i] + SEED_WORDS, of[i] + SEED_WORDS
         matches, j = SEED_WORDS, i + 1
         while j < len(at):
-            p, q = int(at[j]), int(of[j])
+            p, q = at[j], of[j]
             if p - a1 == q - b1 and p < a1:  # the next seed overlaps on the same diagonal
                 grown = p + SEED_WORDS - a1
                 matches += max(0, grown)
@@ -255,13 +263,14 @@ def _differing(x: Column, y: Column) -> Column:
     return other.bitwiseOR(F.shiftrightunsigned(other, 2)).bitwiseAND(F.lit(0x1111111111111111))
 
 
-def _partners(seeds: DataFrame, finer: list[tuple[str, Column]]) -> DataFrame:
+def _partners(seeds: DataFrame, finer: list[tuple[str, Column]], long: str) -> DataFrame:
     """(doc, part, at, first_doc, first_part, of, alone): each occurrence in a later document with the first place of its
     key's first document and the last place of the document just before its own.
 
     The keys are the seed and, where the condition holds, the seed with each of the ``finer`` columns. All of them keep
-    the rows of a seed together, so the windows follow one shuffle; a place found by several keys is passed on once."""
-    here = F.struct("doc", "part", "at", "sides")
+    the rows of a seed together, so the windows follow one shuffle; a place found by several keys is passed on once. Where
+    the column ``long`` is equal too, a match needs no words beside it: no other seed of the passage may lead to that place."""
+    here = F.struct("doc", "part", "at", "sides", long)
     out = seeds.withColumn("to", F.lit(None).cast(f"array<{seeds.select(here.alias('h')).schema['h'].dataType.simpleString()}>"))
     for key, holds in [(["seed"], F.lit(True)), *((["seed", name], holds) for name, holds in finer)]:
         ordered = Window.partitionBy(*key).orderBy("doc", "part", "at")
@@ -278,12 +287,13 @@ def _partners(seeds: DataFrame, finer: list[tuple[str, Column]]) -> DataFrame:
     # a word inserted or lost beside the seed moves those beyond it by one place
     straight = _differing(own, to)
     moved = straight.bitwiseAND(_differing(own, F.shiftleft(to, 4))).bitwiseAND(_differing(own, F.shiftrightunsigned(to, 4)))
-    alone = (F.bit_count(straight) <= 2 * SIDE - SIDE_MATCHES) | (F.bit_count(moved) <= 2 * SIDE - MOVED_MATCHES)
+    beside = (F.bit_count(straight) <= 2 * SIDE - SIDE_MATCHES) | (F.bit_count(moved) <= 2 * SIDE - MOVED_MATCHES)
+    alone = F.when(beside, BESIDE).when(F.col(long) == F.col("to")[long], LONG).otherwise(0).cast("byte")
     return pairs.select("doc", "part", "at", F.col("to.doc").alias("first_doc"), F.col("to.part").alias("first_part"), F.col("to.at").alias("of"), alone.alias("alone"))
 
 
 def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, part, at, first_doc, first_part, of, alone): seeds shared with an earlier document, and whether words beside them match too.
+    """(doc, part, at, first_doc, first_part, of, alone): seeds shared with an earlier document, and whether they may be a chain alone (BESIDE, LONG or 0).
 
     They are matched by gram, by number of the gram for periodic text, and by the longer runs they begin: documents that
     hold only parts of a passage take its single seeds, but not its long runs."""
@@ -297,11 +307,11 @@ def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield batch(["seed", "nth", "doc", "part", "at", "sides", *lengths], grams.astype(np.int64), nth.astype(np.int32), own.column(0).take(where),
                             own.column(1).take(where), place.astype(np.int32), sides, *runs)
 
-    seeds = rows.select("doc", "part", "text").mapInArrow(run, "seed long, nth int, doc long, part int, at int, sides long" + "".join(f", {x} long" for x in lengths))
+    seeds = rows.select("doc", "part", "text").mapInArrow(run, "seed long, nth int, doc long, part int, at int, sides long" + "".join(f", {x} int" for x in lengths))
     group = Window.partitionBy("seed").orderBy("doc", "part", "at")
     near = seeds.withColumns({"__before": F.lag("doc").over(group), "__after": F.lead("doc").over(group)})
     shared = near.filter("__before is not null or __after is not null").drop("__before", "__after")
-    return _partners(shared, [("nth", F.col("nth") > 0), *((name, F.col(name).isNotNull()) for name in lengths)])
+    return _partners(shared, [("nth", F.col("nth") > 0), *((name, F.col(name).isNotNull()) for name in lengths)], f"run{long_run(min_words)}")
 
 
 CHAIN = "doc long, part int, first_doc long, first_part int, at array<int>, of array<int>"
@@ -322,10 +332,32 @@ def uncovered(at: np.ndarray, found: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def chains(found: DataFrame) -> DataFrame:
+def spaced(at: np.ndarray, of: np.ndarray, run: int) -> np.ndarray:
+    """Which of a pair's LONG matches are needed: of a periodic stretch that meets one place, its ends and one in each stretch of a quarter of a run of ``run`` words.
+
+    Places at most that far apart that begin equal runs have a common period, so the words around all but those near the
+    ends are the same; passages from the places kept overlap."""
+    reach = run // 2
+    order = np.lexsort((at, of))
+    p, q = at[order], of[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (q[1:] != q[:-1]) | (p[1:] - p[:-1] > reach)
+    starts = np.flatnonzero(new)
+    which = np.cumsum(new) - 1
+    first, last = p[starts][which], p[np.append(starts[1:], len(p)) - 1][which]
+    block = (p - first) // max(1, reach // 2)
+    opens = new.copy()
+    opens[1:] |= block[1:] != block[:-1]
+    keep = np.zeros(len(p), bool)
+    keep[order] = opens | (p - first < SPACING) | (last - p < SPACING)
+    return keep
+
+
+def chains(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Chains of one seed or more; whether a chain reaches enough words shows in its alignment.
 
-    A seed is a chain by itself if words beside it match too: other runs of SEED_WORDS that texts have in common are many."""
+    A seed is a chain by itself if words beside it match too, or the long run that it begins: other runs of SEED_WORDS that
+    texts have in common are many."""
     keys = ["doc", "part", "first_doc", "first_part"]
 
     def run(batches):
@@ -346,12 +378,15 @@ def chains(found: DataFrame) -> DataFrame:
             steps = np.ones(len(at), bool)
             steps[1:] = (at[1:] > at[:-1]) & (of[1:] > of[:-1]) & (WORD_COST * (at[1:] - at[:-1] + of[1:] - of[:-1]) < SEED_SCORE)
             plain = np.logical_and.reduceat(steps | change, starts)
-            worth = (ends > starts + 1) | alone[starts]
+            worth = (ends > starts + 1) | (alone[starts] > 0)
             out = []
             for lo, hi, one in zip(starts[worth].tolist(), ends[worth].tolist(), plain[worth].tolist()):
-                p, q = at[lo:hi], of[lo:hi]
-                for links in [list(range(hi - lo))] if one else uncovered(p, chain(p, q)):
-                    if len(links) == 1 and not alone[lo + links[0]]:
+                p, q, why = at[lo:hi], of[lo:hi], alone[lo:hi]
+                linked = [list(range(hi - lo))] if one else uncovered(p, chain(p, q))
+                single = np.array([x[0] for x in linked if len(x) == 1 and why[x[0]] == LONG], np.int64)
+                needed = set(single[spaced(p[single], q[single], long_run(min_words))].tolist()) if len(single) else ()
+                for links in linked:
+                    if len(links) == 1 and why[links[0]] != BESIDE and links[0] not in needed:
                         continue
                     out.append((*(int(c[lo]) for c in columns), p[links].tolist(), q[links].tolist()))
             if out:
@@ -430,7 +465,7 @@ def _aligner(min_words: int, identity: float):
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """Passages (words start..end of doc_id) that an earlier document holds too, with the place there and the words that match."""
     rows = _keyed(docs)
-    linked = store(chains(matches(rows, min_words)))
+    linked = store(chains(matches(rows, min_words), min_words))
     cut = with_words(rows, linked, ("doc", "part"), _slices, CHAIN + ", begin int, words binary")
     aligned = with_words(rows, store(cut), ("first_doc", "first_part"), _aligner(min_words, identity), PASSAGE)
     return aligned.distinct()

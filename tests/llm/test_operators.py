@@ -466,6 +466,28 @@ def test_parts_in_other_documents_hide_no_passage(spark):
         assert set(range(40, 110)) <= found[5]
 
 
+def test_a_long_run_needs_no_other_seed(spark):
+    """Of each 57 words, many documents before and after the first holder have 49: most seeds of the last lead to those."""
+    texts, places = [], []
+    for i in range(40):
+        p, pad = fresh(f"p{i}x", 57), lambda k: fresh(f"f{i}x{k}x", 12)
+        parts = [p[j:j + 49] for j in (0, 3, 6, 8)]
+        for k, held in enumerate([*parts, p, *parts, p]):
+            texts.append(" ".join(pad(k) + held + pad(20 + k)))
+        places.append(len(texts) - 1)
+    found = covered_by(spark, texts)
+    assert [d for d in places if not set(range(12, 69)) <= found[d]] == []
+
+
+def test_spaced_matches_keep_ends_and_tile():
+    at, of = np.concatenate([np.arange(5, 405), [900, 950], np.arange(0, 30)]), np.concatenate([np.zeros(402, int), np.full(30, 7)])
+    kept = chaining.spaced(at, of, 43)
+    for place, lo, hi in ((0, 5, 404), (7, 0, 29)):
+        p = np.sort(at[kept & (of == place) & (at < 500)])
+        assert (p[0], p[-1]) == (lo, hi) and np.diff(p).max() < 43 and len(p) <= 60
+    assert kept[400:402].all()
+
+
 def changed(rng, p, share):
     return [f"c{rng.random()}" if rng.random() < share else w for w in p]
 
