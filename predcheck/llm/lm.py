@@ -20,6 +20,7 @@ nothing and are uniform; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +49,11 @@ _GROUPS = 64
 
 def unique_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """(hashes of the distinct words, one place of each, and which distinct word each word is)."""
-    hashes = word_hashes(data, starts, ends)
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.ones(len(order), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return ranked[new], order[new], which
+    found = pa.array(word_hashes(data, starts, ends)).dictionary_encode()
+    which = found.indices.to_numpy()
+    place = np.empty(len(found.dictionary), np.int64)
+    place[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return found.dictionary.to_numpy(), place, which
 
 
 # ---------------------------------------------------------------------------------------------- corpus counts
@@ -116,25 +114,42 @@ def classes(counts: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.
     return class_of, within, np.log(np.maximum(total, 1e-9) / total.sum())
 
 
-def chunk_ids(ids_of, data: np.ndarray, offsets: np.ndarray):
-    """(ids with END after each text, number by text, and the words: hashes, which, counts by text)."""
+class Encoded(NamedTuple):
+    """A chunk of texts: entries are its distinct words, and END as the last one; ``order`` has each text's words and an END after them."""
+    ids: np.ndarray  # of all entries, laid end to end
+    sizes: np.ndarray
+    order: np.ndarray
+    n_words: np.ndarray
+    hashes: np.ndarray  # of the distinct words
+    which: np.ndarray  # of these each word is
+    doc: np.ndarray  # number of the text of each word
+
+    def first(self) -> np.ndarray:
+        """Where each text begins in ``order``."""
+        return np.cumsum(self.n_words + 1) - self.n_words - 1
+
+
+def encoded(ids_of, data: np.ndarray, offsets: np.ndarray) -> Encoded:
     starts, ends, first = word_spans(data, offsets)
     hashes, place, which = unique_words(data, starts, ends)
     raw = data.tobytes()
     lists = [ids_of[raw[lo:hi]] for lo, hi in zip(starts[place].tolist(), ends[place].tolist())]
-    flat = np.frombuffer(b"".join(lists), "<u4").astype(np.int64)
-    sizes = np.array([len(x) // 4 for x in lists], np.int64)
-    begin = np.cumsum(sizes) - sizes
+    ids = np.append(np.frombuffer(b"".join(lists), "<u4"), np.uint32(END))
+    sizes = np.array([*map(len, lists), 4], np.int64) // 4
     n_words = np.diff(first)
     doc = np.repeat(np.arange(len(n_words)), n_words)
-    per_word = sizes[which] if len(which) else np.zeros(0, np.int64)
-    per_doc = np.bincount(doc, per_word, len(n_words)).astype(np.int64) + 1
-    out = np.full(int(per_doc.sum()), END, np.int64)
-    # a word's ids go after those of the words before it, and one END for each text before its own
-    to = np.cumsum(per_word) - per_word + doc
-    step = np.arange(int(per_word.sum())) - np.repeat(np.cumsum(per_word) - per_word, per_word)
-    out[np.repeat(to, per_word) + step] = flat[np.repeat(begin[which] if len(which) else per_word, per_word) + step]
-    return out, per_doc, hashes, which, n_words, doc
+    order = np.full(len(which) + len(n_words), len(lists), np.int32)
+    order[np.arange(len(which)) + doc] = which
+    return Encoded(ids, sizes, order, n_words, hashes, which, doc)
+
+
+def texts_of(part: Encoded, codes: np.ndarray) -> pa.Array:
+    """The ``codes`` of each text's ids, given those of ``part.ids``, as bytes."""
+    ends = np.concatenate([[0], np.cumsum(part.sizes)]) * codes.itemsize
+    entries = pa.Array.from_buffers(pa.large_binary(), len(part.sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(codes))])
+    _, at, data = entries.take(pa.array(part.order)).buffers()
+    borders = np.frombuffer(at, np.int64)[np.append(part.first(), len(part.order))]
+    return pa.Array.from_buffers(pa.large_binary(), len(part.n_words), [None, pa.py_buffer(borders), data]).cast(pa.binary())
 
 
 # ---------------------------------------------------------------------------------------------- training
@@ -158,17 +173,17 @@ def blocks(batches, begin: int, number: int) -> Iterator[tuple[np.ndarray, np.nd
     def windows_of(texts):
         counts = np.array([len(x) for x in texts])
         targets = np.concatenate(texts)
-        inputs = np.concatenate([[begin], targets[:-1]])
+        inputs = np.empty_like(targets)
+        inputs[1:] = targets[:-1]
         inputs[np.cumsum(counts) - counts] = begin
-        places, real, _ = attention.windows(counts)
-        order = np.random.default_rng(11).permutation(len(places))[number::ROUNDS]
-        at, real = places[order], real[order]
-        return np.where(real, inputs[at], 0), targets[at], real
+        order = np.random.default_rng(11).permutation(int(attention.window_counts(counts).sum()))[number::ROUNDS]
+        at, real, _ = attention.windows(counts, order)
+        return np.where(real, inputs.take(at), np.uint16(0)), targets.take(at), real
 
     texts, size = [], 0
     for rows in batches:
         for raw in rows.column(0):
-            codes = np.frombuffer(raw.as_py(), np.uint16).astype(np.int64)
+            codes = np.frombuffer(raw.as_py(), np.uint16)
             for i in range(0, len(codes), BLOCK_IDS):
                 texts.append(codes[i:i + BLOCK_IDS])
                 size += len(texts[-1])
@@ -226,7 +241,7 @@ def scores(coded: DataFrame, weights: dict, begin: int) -> DataFrame:
 
     def of(codes: list) -> np.ndarray:
         counts = np.array([len(x) for x in codes])
-        targets = np.concatenate(codes).astype(np.int64)
+        targets = np.concatenate(codes)
         inputs = np.empty_like(targets)
         inputs[1:] = targets[:-1]
         inputs[np.cumsum(counts) - counts] = begin  # a text has its END at least
@@ -278,11 +293,11 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         names = [x.split()[0] for x in COLUMNS.split(", ")]
         for rows in batches:
             for part, data, offsets in chunks(rows):
-                ids, per_doc, unique, which, n_words, doc = chunk_ids(ids_of, LOWER[data], offsets)
-                ends = np.cumsum(per_doc)
-                inner = np.bincount(np.repeat(np.arange(len(per_doc)), per_doc), inside[ids], len(per_doc))
-                codes = classes_of[ids].astype(np.uint16)
-                codes = pa.array([codes[end - n:end].tobytes() for n, end in zip(per_doc.tolist(), ends.tolist())], pa.binary())
+                found = encoded(ids_of, LOWER[data], offsets)
+                unique, which, n_words, doc = found.hashes, found.which, found.n_words, found.doc
+                of_entry = np.bincount(np.repeat(np.arange(len(found.sizes)), found.sizes), inside[found.ids], len(found.sizes))
+                inner = np.add.reduceat(of_entry[found.order], found.first())  # a text has its END at least
+                codes = texts_of(found, classes_of[found.ids].astype(np.uint16))
                 at = np.searchsorted(frequent, unique)
                 hit = (frequent[at] == unique) & (at < len(frequent) - 1)
                 at[~hit] = len(frequent) - 1

@@ -175,6 +175,49 @@ def test_windows_score_every_place_once():
     assert (cols >= np.minimum(place[places[rows, cols]], attention.WINDOW - attention.STRIDE)).all() and len(text)
 
 
+def test_chosen_windows_are_those_of_all():
+    counts = np.array([1, 5, 0, attention.WINDOW + 1, 100, 3])
+    order = np.random.default_rng(2).permutation(int(attention.window_counts(counts).sum()))[1::3]
+    for whole, some in zip(attention.windows(counts), attention.windows(counts, order)):
+        assert (whole[order] == some).all()
+
+
+def test_gradients_by_group_against_all_classes():
+    """The output layer's gradients, which come from one product a group, against a plain softmax over every class."""
+    w, x, y = _tiny()
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    y[:] = np.where(y < 800, y, 7)  # some groups have no target, one has many
+    real = np.random.default_rng(6).random(x.shape) < 0.8
+    loss, g = attention.gradients(w, x, y, real)
+    h = attention.forward(w, x)[0][real]
+    want = {k: np.zeros_like(w[k]) for k in ("group", "group_bias", "member", "member_bias")}
+    total = 0.0
+    for state, target in zip(h, y[real].tolist()):
+        i, j = divmod(target, attention.MEMBERS)
+        for z, chosen, name, bias in ((state @ w["group"] + w["group_bias"], i, want["group"], want["group_bias"]),
+                                      (state @ w["member"][i] + w["member_bias"][i], j, want["member"][i], want["member_bias"][i])):
+            p = np.exp(z) / np.exp(z).sum()
+            total -= math.log(p[chosen])
+            p[chosen] -= 1
+            name += np.outer(state, p) / len(h)
+            bias += p / len(h)
+    assert loss == pytest.approx(total / len(h), rel=1e-6)
+    for name, expected in want.items():
+        assert np.allclose(g[name], expected, atol=1e-7), name
+
+
+def test_encoded_texts_against_the_tokenizer():
+    texts = ["", "The cat, the CAT sat.", " \t", "na\u00efve \u4f60\u597d caf\u00e9 <|endoftext|> x", "cat", "it's 12 o'clock\u00a0now"]
+    ids_of = subwords.word_ids(subwords.default_path())
+    whole = Tokenizer.from_file(subwords.default_path())
+    for _, data, offsets in lm.chunks(pa.record_batch([pa.array(texts)], ["text"])):
+        found = lm.encoded(ids_of, lm.LOWER[data], offsets)
+        got = [np.frombuffer(x, np.uint16).tolist() for x in lm.texts_of(found, found.ids.astype(np.uint16)).to_pylist()]
+        want = [[i for word in brute.words(t) for i in whole.encode(word, add_special_tokens=False).ids] + [lm.END] for t in texts]
+        assert [x[:-1] for x in got if x] == [x[:-1] for x in want] and all(x[-1] == lm.END for x in got)
+        assert found.n_words.tolist() == [len(brute.words(t)) for t in texts]
+
+
 def _tiny():
     rng = np.random.default_rng(0)
     w = attention.start(np.log(rng.dirichlet(np.ones(attention.GROUPS * attention.MEMBERS))))
