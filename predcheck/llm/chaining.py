@@ -19,6 +19,8 @@ only is left alone; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -110,46 +112,35 @@ def text_seeds(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS
     return text, place, grams, nth, sides.view(np.int64), runs
 
 
-class Fenwick:
-    """Prefix maxima of (value, which) over places 0..n-1."""
-
-    def __init__(self, n: int):
-        self.best: list[tuple[float, int]] = [(-1e18, -1)] * (n + 1)
-
-    def put(self, place: int, value: tuple[float, int]) -> None:
-        place += 1
-        while place < len(self.best):
-            if self.best[place] < value:
-                self.best[place] = value
-            place += place & -place
-
-    def before(self, place: int) -> tuple[float, int]:
-        """The greatest value at places less than ``place``."""
-        out = (-1e18, -1)
-        while place > 0:
-            if self.best[place] > out:
-                out = self.best[place]
-            place -= place & -place
-        return out
-
-
 def chain(at: np.ndarray, of: np.ndarray) -> list[list[int]]:
     """Chains of matches (indices), best first; ``at`` and ``of`` increase strictly along a chain, and no match is in two.
 
     The best predecessor of a match maximises score + cost * (its places), because gap costs add up over places."""
     order = np.lexsort((-of, at))  # of equal ``at``, greater ``of`` first: they can't precede each other
     ranks = np.unique(of, return_inverse=True)[1]
-    tree, score, previous = Fenwick(int(ranks.max()) + 1), [0.0] * len(at), [-1] * len(at)
-    places, ofs, ranked = at.tolist(), of.tolist(), ranks.tolist()
-    for i in order.tolist():
-        value, before = tree.before(ranked[i])
-        here = WORD_COST * (places[i] + ofs[i])
-        gain = value - here
-        score[i] = SEED_SCORE + max(0.0, gain)
-        previous[i] = before if gain > 0 else -1
-        tree.put(ranked[i], (score[i] + here, i))
+    score, previous = [0.0] * len(at), [-1] * len(at)
+    values = (WORD_COST * (at + of)).tolist()
+    # a Fenwick tree of prefix maxima of (value, which) over ranks
+    best, size = [(-1e18, -1)] * (int(ranks.max()) + 2), int(ranks.max()) + 2
+    for i, rank in zip(order.tolist(), ranks[order].tolist()):
+        found, place = best[0], rank
+        while place > 0:
+            if best[place] > found:
+                found = best[place]
+            place -= place & -place
+        here = values[i]
+        gain = found[0] - here
+        if gain > 0:
+            score[i], previous[i] = SEED_SCORE + gain, found[1]
+        else:
+            score[i] = SEED_SCORE
+        found, place = (score[i] + here, i), rank + 1
+        while place < size:
+            if best[place] < found:
+                best[place] = found
+            place += place & -place
     used, found = [False] * len(at), []
-    for i in sorted(range(len(at)), key=lambda i: -score[i]):
+    for i in sorted(range(len(at)), key=score.__getitem__, reverse=True):
         if used[i]:
             continue
         links = []
@@ -161,14 +152,14 @@ def chain(at: np.ndarray, of: np.ndarray) -> list[list[int]]:
     return found
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
+def common(a: list, b: list) -> int:
     """Words in common, in order, of two short runs: place by place if that explains most of them, else by dynamic programming."""
-    same = int((a[:min(len(a), len(b))] == b[:min(len(a), len(b))]).sum())
+    same = sum(map(eq, a, b))
     # of equally long runs, another alignment leaves a word out on either side
     if len(a) == len(b) and (same >= len(a) - 1 or 5 * same >= 4 * len(a)) or not len(a) or not len(b) or len(a) * len(b) > 1 << 14:
         return same
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
+    row, b = np.zeros(len(b) + 1, np.int64), np.array(b, np.uint64)
+    for x in np.array(a, np.uint64):
         row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
     return int(row[-1])
 
@@ -182,43 +173,56 @@ def extend(a: list, b: list) -> tuple[int, int, int]:
     i = 0
     while i < n and i < m and a[i] == b[i]:
         i += 1
-    best, end, reach, cost = i, (i, i, i), {0: (i, i)}, 0
-    low = high = 0
-    while reach:
+    # a way is (place in a, matches) as one number; ways[k + off] is that of diagonal k, -1 if it has none
+    one, off, mask = 1 << 32, BAND + 1, (1 << 32) - 1
+    best, end, cost = i, (i, i, i), 0
+    ways = [-1] * (2 * off + 1)
+    ways[off] = i * one + i
+    low = high = off
+    while low <= high:
         cost += 2
-        ahead, low, high = {}, max(low - 1, -BAND), min(high + 1, BAND)
-        for k in range(low, high + 1):
-            i = same = -1
-            way = reach.get(k)  # a changed word
-            if way is not None and way[0] < n and way[0] + k < m:
-                i, same = way[0] + 1, way[1]
-            way = reach.get(k - 1)  # a word only b has
-            if way is not None and way[0] + k <= m and way > (i, same):
-                i, same = way
-            way = reach.get(k + 1)  # a word only a has
-            if way is not None and way[0] < n and (way[0] + 1, way[1]) > (i, same):
-                i, same = way[0] + 1, way[1]
-            if i < 0:
+        ahead, low, high, risen = [-1] * (2 * off + 1), max(low - 1, 1), min(high + 1, off + BAND), False
+        for at in range(low, high + 1):
+            k = at - off
+            now, way = -1, ways[at]  # a changed word
+            if way >= 0 and way >> 32 < n and (way >> 32) + k < m:
+                now = way + one
+            way = ways[at - 1]  # a word only b has
+            if way > now and (way >> 32) + k <= m:
+                now = way
+            way = ways[at + 1]  # a word only a has
+            if way >= 0 and way + one > now and way >> 32 < n:
+                now = way + one
+            if now < 0:
                 continue
+            i = now >> 32
             j = i + k
-            while i < n and j < m and a[i] == b[j]:
-                i += 1
-                j += 1
-                same += 1
-            if same - cost > best:
-                best, end = same - cost, (i, j, same)
-            if same - cost >= best - DROP:
-                ahead[k] = i, same
-        reach = {k: way for k, way in ahead.items() if way[1] - cost >= best - DROP}
-        if reach:
-            low, high = min(reach), max(reach)
+            if i < n and j < m and a[i] == b[j]:
+                first = i
+                i, j = i + 1, j + 1
+                while i < n and j < m and a[i] == b[j]:
+                    i += 1
+                    j += 1
+                now += (i - first) * (one + 1)
+            gain = (now & mask) - cost
+            if gain > best:
+                best, end, risen = gain, (i, j, now & mask), True
+            if gain >= best - DROP:
+                ahead[at] = now
+        ways = ahead
+        if risen:
+            ways = [way if way >= 0 and (way & mask) - cost >= best - DROP else -1 for way in ways]
+        while low <= high and ways[low] < 0:
+            low += 1
+        while low <= high and ways[high] < 0:
+            high -= 1
     return end
 
 
 def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, of: np.ndarray, min_words: int, identity: float):
     """Aligned passages (a start, a end, b start, b end, matches) around chained seeds at ``at`` in a and ``of`` in b."""
     found, i = [], 0
-    at, of = at.tolist(), of.tolist()
+    a, b, at, of = a.tolist(), b.tolist(), at.tolist(), of.tolist()
     while i < len(at):
         a0, b0, a1, b1 = at[i], of[i], at[i] + SEED_WORDS, of[i] + SEED_WORDS
         matches, j = SEED_WORDS, i + 1
@@ -226,18 +230,19 @@ def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, of: np.ndarray, min_w
             p, q = at[j], of[j]
             if p - a1 == q - b1 and p < a1:  # the next seed overlaps on the same diagonal
                 grown = p + SEED_WORDS - a1
-                matches += max(0, grown)
+                if grown > 0:
+                    matches, a1, b1 = matches + grown, a1 + grown, b1 + grown
             else:
                 gap_a, gap_b = max(0, p - a1), max(0, q - b1)
                 inner = common(a[a1:a1 + gap_a], b[b1:b1 + gap_b])
                 if max(gap_a, gap_b) >= GAP_WORDS and 2 * inner < max(gap_a, gap_b):
                     break
                 matches += inner + SEED_WORDS - max(0, a1 - p, b1 - q)
-            a1, b1 = max(a1, p + SEED_WORDS), max(b1, q + SEED_WORDS)
+                a1, b1 = max(a1, p + SEED_WORDS), max(b1, q + SEED_WORDS)
             j += 1
-        more, also, same = extend(a[a1:].tolist(), b[b1:].tolist())
+        more, also, same = extend(a[a1:], b[b1:])
         a1, b1, matches = a1 + more, b1 + also, matches + same
-        more, also, same = extend(a[:a0][::-1].tolist(), b[:b0][::-1].tolist())
+        more, also, same = extend(a[:a0][::-1], b[:b0][::-1])
         a0, b0, matches = a0 - more, b0 - also, matches + same
         if a1 - a0 >= min_words and matches >= identity * max(a1 - a0, b1 - b0):
             found.append((a0, a1, b0, b1, matches))
@@ -321,14 +326,15 @@ def uncovered(at: np.ndarray, found: list[list[int]]) -> list[list[int]]:
     """Chains, best first, without those whose places lie among the seeds of a better one."""
     if len(found) == 1:
         return found
-    seen, out = np.zeros(int(at.max()) + SEED_WORDS, bool), []
+    seen, out, at = bytearray(int(at.max()) + SEED_WORDS), [], at.tolist()
     for links in found:
-        p = at[links]
-        if seen[p].all() and seen[p + SEED_WORDS - 1].all():
+        p = [at[i] for i in links]
+        if all(seen[x] and seen[x + SEED_WORDS - 1] for x in p):
             continue
         out.append(links)
-        for lo, hi in zip(p.tolist(), [*p[1:].tolist(), 0]):
-            seen[lo:hi if 0 <= hi - lo - SEED_WORDS < GAP_WORDS else lo + SEED_WORDS] = True
+        for lo, hi in zip(p, [*p[1:], 0]):
+            end = hi if 0 <= hi - lo - SEED_WORDS < GAP_WORDS else lo + SEED_WORDS
+            seen[lo:end] = b"\1" * (end - lo)
     return out
 
 
@@ -435,12 +441,21 @@ def with_words(rows: DataFrame, requests: DataFrame, key: tuple[str, str], use,
     return dealt.select("doc", "part", "task", "kind", "text", "request").mapInArrow(run, schema)
 
 
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, bounds) of a column of lists of whole numbers; list i is elements[bounds[i]:bounds[i + 1]]."""
+    lists = table[name].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy().astype(np.int64), bounds
+
+
 def _slices(table: pa.Table, words: np.ndarray):
     """The words around each chain in the later document."""
-    at = table["at"].to_pylist()
-    begin = [max(0, p[0] - MARGIN) for p in at]
-    own = [words[b:p[-1] + SEED_WORDS + MARGIN].tobytes() for b, p in zip(begin, at)]
-    yield table.append_column("begin", pa.array(begin, pa.int32())).append_column("words", pa.array(own, pa.binary())).combine_chunks().to_batches()[0]
+    at, bounds = _lists(table, "at")
+    begin = np.maximum(0, at[bounds[:-1]] - MARGIN)
+    ends = at[bounds[1:] - 1] + SEED_WORDS + MARGIN
+    own = [words[lo:hi].tobytes() for lo, hi in zip(begin.tolist(), ends.tolist())]
+    yield table.append_column("begin", pa.array(begin.astype(np.int32))).append_column("words", pa.array(own, pa.binary())).combine_chunks().to_batches()[0]
 
 
 PASSAGE = "doc_id long, part int, start_word long, end_word long, first_doc_id long, first_start_word long, first_end_word long, matched long, identity double"
@@ -449,12 +464,15 @@ PASSAGE = "doc_id long, part int, start_word long, end_word long, first_doc_id l
 def _aligner(min_words: int, identity: float):
     def run(table: pa.Table, words: np.ndarray):
         out = []
-        for r in table.to_pylist():
-            a, begin = np.frombuffer(r["words"], np.uint64), r["begin"]
-            low = max(0, r["of"][0] - MARGIN)
-            b = words[low:r["of"][-1] + SEED_WORDS + MARGIN]
-            for a0, a1, b0, b1, same in passages(a, b, np.array(r["at"]) - begin, np.array(r["of"]) - low, min_words, identity):
-                out.append((r["doc"], r["part"], begin + a0, begin + a1, r["first_doc"], low + b0, low + b1, same, same / max(a1 - a0, b1 - b0)))
+        at, bounds = _lists(table, "at")
+        of, others = _lists(table, "of")
+        columns = (table[c].to_pylist() for c in ("doc", "part", "first_doc", "begin", "words"))
+        for i, (doc, part, first_doc, begin, own) in enumerate(zip(*columns)):
+            p, q = at[bounds[i]:bounds[i + 1]], of[others[i]:others[i + 1]]
+            low = max(0, int(q[0]) - MARGIN)
+            b = words[low:int(q[-1]) + SEED_WORDS + MARGIN]
+            for a0, a1, b0, b1, same in passages(np.frombuffer(own, np.uint64), b, p - begin, q - low, min_words, identity):
+                out.append((doc, part, begin + a0, begin + a1, first_doc, low + b0, low + b1, same, same / max(a1 - a0, b1 - b0)))
         if out:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield batch([c.split()[0] for c in PASSAGE.split(", ")], *(pa.array(c, t) for c, t in zip(zip(*out), types)))

@@ -456,6 +456,35 @@ def test_passages_cover_repeats(docs, rows):
     assert not set(covered) & {r[0] for r in rows[:60] if len(brute.words(r[1])) < 50}
 
 
+def test_chains_and_covers_against_plain_python():
+    """Scores by trying every predecessor; covers by sets of words."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        at, of = rng.integers(0, 70, (2, int(rng.integers(1, 30))))
+        order = sorted(range(len(at)), key=lambda i: (at[i], -of[i]))
+        score = {}
+        for i in order:
+            ways = [score[j] - chaining.WORD_COST * (at[i] - at[j] + of[i] - of[j]) for j in score if at[j] < at[i] and of[j] < of[i]]
+            score[i] = chaining.SEED_SCORE + max([0.0, *ways])
+        found = chaining.chain(at, of)
+        assert sorted(i for links in found for i in links) == list(range(len(at)))
+        assert score[found[0][-1]] == pytest.approx(max(score.values()))
+        seen, kept = set(), []
+        for links in found:
+            p = at[links].tolist()
+            if len(found) == 1 or not all(x in seen and x + chaining.SEED_WORDS - 1 in seen for x in p):
+                kept.append(links)
+                for lo, hi in zip(p, [*p[1:], 0]):
+                    seen.update(range(lo, hi if 0 <= hi - lo - chaining.SEED_WORDS < chaining.GAP_WORDS else lo + chaining.SEED_WORDS))
+        assert chaining.uncovered(at, found) == kept
+
+
+def test_lists_of_a_slice_of_a_table():
+    table = pa.table({"at": pa.array([[1, 2], [], [5], [7, 8, 9]], pa.list_(pa.int32()))}).slice(1, 3)
+    elements, bounds = chaining._lists(table, "at")
+    assert [elements[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == [[], [5], [7, 8, 9]]
+
+
 def test_chain_is_optimal():
     rng = np.random.default_rng(5)
     for _ in range(40):
