@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F  # noqa:
 
 import predcheck as pk  # noqa: E402
 from predcheck.functions.quantiles import bracketed_quantiles, counted_quantiles, grouped_quantiles  # noqa: E402
+from predcheck.functions.values import natural_log  # noqa: E402
 from predcheck.operators import report as rp  # noqa: E402
 from predcheck.operators.correct import median_prediction  # noqa: E402
 from predcheck.operators.statistics import censored, long_quantiles, percent_below  # noqa: E402
@@ -968,10 +969,8 @@ LOGGED = OBS.replace("value AS y", "ln(value) AS y")
              quantile_ctes(censor=False), select="SELECT strat, bin, xbin, qname, " + ", ".join(f"round(exp({c}), 4) AS {c}" for c in ("y", "lo", "md", "hi")) + " FROM ("
              + stats_select().replace(", 6)", ", 12)").replace("round(xmedian, 12)", "round(xmedian, 6)") + ")"))
 def back_transformed(spark, sf):
-    obs, sim = obs_events(spark, sf), sim_events(spark, sf, REPLICATES)
-    logged = load(spark, sf, "events").select(F.col("event_id").alias("obs_id"), F.ln("value").alias("ly"), F.col("value").alias("v"))
-    sim = sim.join(logged, "obs_id").select("obs_id", "repl", (F.col("y_sim") / F.col("v") * F.col("ly")).alias("y_sim"))
-    v = pk.observed(obs, "x", F.ln("y"), id="obs_id", blq=F.lit(False)).simulated(sim, "y_sim").stratify("~ strat")
+    obs, sim = obs_events(spark, sf), sim_events(spark, sf, REPLICATES, natural_log(F.col("value")))
+    v = pk.observed(obs, "x", natural_log(F.col("y")), id="obs_id", blq=F.lit(False)).simulated(sim, "y_sim").stratify("~ strat")
     stats = rp.back_transform(v.binning(method="ntile", nbins=6).statistics(QPRED).stats)
     return stats.select("strat", "bin", F.round("xbin", 6).alias("xbin"), "qname", *[F.round(c, 4).alias(c) for c in ("y", "lo", "md", "hi")])
 

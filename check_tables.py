@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from predcheck.functions.values import as_column
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,12 +21,12 @@ def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("blq", F.col("y") < F.col("lloq"))
 
 
-def sim_events(spark: SparkSession, sf_dir: str, replicates: int = 20) -> DataFrame:
-    """Every event once per replicate, scaled by a factor that depends on the event and the replicate."""
+def sim_events(spark: SparkSession, sf_dir: str, replicates: int = 20, value="value") -> DataFrame:
+    """Every event once per replicate, its value (or another column) scaled by a factor that depends on the event and the replicate."""
     # One small file is one task: spread the events before they are multiplied.
     events = load(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism, "event_id")
     rows = events.select(
-        F.col("event_id").alias("obs_id"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("repl"), F.col("value"))
+        F.col("event_id").alias("obs_id"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("repl"), as_column(value).alias("value"))
     mix = (F.col("obs_id") * 31 + F.col("repl") * 17 + F.col("obs_id") * F.col("repl")) % 101
     return rows.select("obs_id", "repl", (F.col("value") * (mix.cast("double") / 100.0 + 0.5)).alias("y_sim"))
 

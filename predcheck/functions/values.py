@@ -41,6 +41,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, at_zero).otherwise(no_nan(num / F.when(den != 0, den)))
 
 
+def natural_log(c: Column) -> Column:
+    """Minus infinity for zero; a negative number has no logarithm."""
+    return F.when(c == 0, F.lit(NEG_INF)).otherwise(F.ln(c))
+
+
 def number_text(c: Column) -> Column:
     """Text of a number, whole numbers without a decimal point."""
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
