@@ -6,9 +6,13 @@ radius, and one segment's radius grows by one at a time. Once the radii r_1..r_m
 sum(r_i + 1) - 1 >= the k-th distance found, nothing closer can be missing and the query is finished; the others go on.
 The number of segments follows the size of the index (a segment of about log2(n) bits, so a value has about one code).
 
+The index is dealt into blocks of about a million codes, and the queries into chunks. A task holds one block in numpy
+arrays and grows the radii of each query of one chunk on its own, so the driver sees counts only and the number of jobs
+does not depend on the distances. With several blocks, the codes that the smallest radii meet in all of them first give
+a bound on each query's k-th distance.
+
 Equal codes are one entry with their k least ids, found with a first pass over salted shares of a code, so a code that
-very many rows have is neither expanded nor brought into one task whole. Candidates are checked within the join: only
-those as close as the k-th so far leave it.
+very many rows have is neither expanded nor brought into one task whole.
 
 Defined cases: rows without an id or a vector take no part; missing or NaN elements count as 0; a vector is its own
 nearest neighbour; equal distances are ordered by id; with fewer than k rows a query has them all; an empty index or
@@ -17,16 +21,21 @@ no queries give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .tables import broadcast_if, sized, store
+from .tables import batch, sized, store
 
 K, BITS = 10, 64
 _SHARES = 16
+#: Codes of one block of the index (about 50 bytes each in a task), and of one packed row.
+BLOCK, ROWS = 1 << 20, 1 << 14
+#: Queries of a chunk at least, and chunks at most: a block goes to the task of each chunk.
+CHUNK, CHUNKS = 4096, 16
+#: Codes compared at once.
+CANDIDATES = 1 << 20
+_ENTRY = pa.schema([("block", pa.int32()), ("code", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
 
 def sign_codes(vectors: pa.Array) -> pa.Array:
@@ -45,8 +54,8 @@ def sign_codes(vectors: pa.Array) -> pa.Array:
 
 
 def segments(n: int) -> int:
-    """Number of segments, of 2, 4, 8 or 16, whose length is closest to log2(n)."""
-    return min((2, 4, 8, 16), key=lambda m: (abs(BITS / m - max(1, n).bit_length()), m))
+    """Number of segments, of 4, 8 or 16, whose length is closest to log2(n)."""
+    return min((4, 8, 16), key=lambda m: (abs(BITS / m - max(1, n).bit_length()), m))
 
 
 def steps(m: int):
@@ -57,16 +66,98 @@ def steps(m: int):
     for r in range(3, length + 1):
         for j in range(m):
             yield (j,), (r,), m * r + j
-    yield (), (), BITS
 
 
-def _masks(length: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(length), radius)]
+class Growth:
+    """The flipped bits of all steps in their order: ``places`` and ``masks`` one entry a lookup, ``ends`` and ``covered`` one a step."""
 
+    def __init__(self, m: int):
+        self.length = BITS // m
+        bits = np.bitwise_count(np.arange(1 << self.length, dtype=np.uint32))
+        by_radius = [np.flatnonzero(bits == r) for r in range(self.length + 1)]
+        parts = [(j, by_radius[r], at) for at, (which, radii, _) in enumerate(steps(m)) for r in radii for j in which]
+        sizes = [len(masks) for _, masks, _ in parts]
+        self.places = np.repeat([j for j, _, _ in parts], sizes)
+        self.masks = np.concatenate([masks for _, masks, _ in parts]).astype(np.int32)
+        self.covered = [c for *_, c in steps(m)]
+        self.ends = np.cumsum(np.bincount([at for *_, at in parts], sizes, len(self.covered))).astype(int).tolist()
+
+
+class SegmentIndex:
+    """The codes of a block under each of their segment values, and the number and the least of the ids of each code."""
+
+    def __init__(self, codes: np.ndarray, number: np.ndarray, least: np.ndarray, m: int):
+        self.own, self.number, self.least, self.growth = codes, number, least, Growth(m)
+        length, counts, rows = self.growth.length, [], []
+        self.offsets, self.shifts, self.low = np.arange(m, dtype=np.int32) << length, np.arange(m, dtype=np.uint64) * np.uint64(length), np.uint64((1 << length) - 1)
+        for j in range(m):
+            values = ((codes >> self.shifts[j]) & self.low).astype(np.uint16)
+            counts.append(np.bincount(values, minlength=1 << length))
+            rows.append(np.argsort(values, kind="stable").astype(np.int32))
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)  # by segment, then value
+        self.rows = np.concatenate(rows)
+        self.codes = codes[self.rows]
+
+    def _below(self, query: np.uint64, far: int, first: int, last: int) -> list:
+        """(rows, distances) of the codes within ``far`` that the lookups first..last lead to; a code may come once a segment."""
+        own = self.offsets + ((query >> self.shifts) & self.low).astype(np.int32)
+        keys = own[self.growth.places[first:last]] ^ self.growth.masks[first:last]
+        start = self.starts[keys]
+        size = self.starts[keys + 1] - start
+        found, ends = [], np.cumsum(size, dtype=np.int32)
+        for a, b in _slices(ends):
+            before = ends[a - 1] if a else np.int32(0)
+            at = np.arange(ends[b - 1] - before, dtype=np.int32) + np.repeat(start[a:b] - (ends[a:b] - size[a:b] - before), size[a:b])
+            apart = np.bitwise_count(self.codes[at] ^ query)
+            near = np.flatnonzero(apart <= far)
+            found.append((self.rows[at[near]], apart[near]))
+        return found
+
+    def _scan(self, query: np.uint64, far: int) -> list:
+        apart = np.bitwise_count(self.own ^ query)
+        near = np.flatnonzero(apart <= far)
+        return [(near.astype(np.int32), apart[near])]
+
+    def search(self, query: np.uint64, k: int, bound: int = BITS, only_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, distances) of the first codes by distance and least id that hold the k nearest ids of the block within ``bound``.
+
+        The radii grow until all codes as near as the k-th id so far must have been met: to a known bound at once, else first by
+        steps, then to the distance before the k-th so far. With more values to look up than codes, the codes are gone through instead."""
+        growth, far, at, covered = self.growth, bound, 0, -1
+        rows, dist = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        while covered < far:
+            upto = at
+            while upto + 1 < len(growth.covered) and growth.covered[upto] < (far if bound < BITS else far - 1 if at > 1 and far < BITS else 0):
+                upto += 1
+            if growth.ends[upto] > len(self.own) and not only_first:
+                found, covered = self._scan(query, far), BITS
+            else:
+                found = self._below(query, far, growth.ends[at - 1] if at else 0, growth.ends[upto])
+                at, covered = upto + 1, growth.covered[upto] if upto + 1 < len(growth.covered) else BITS
+            more, apart = (np.concatenate(x) if len(found) > 1 else x[0] for x in zip(*found))
+            if len(more):
+                if len(more) > (enough := len(self.shifts) * k):  # so many hold k codes at least
+                    least = int(np.searchsorted(np.cumsum(np.bincount(apart)), enough))
+                    near = np.flatnonzero(apart <= least)
+                    more, apart = more[near], apart[near]
+                rows, first = np.unique(np.concatenate([rows, more]), return_index=True)
+                dist = np.concatenate([dist, apart])[first]
+                order = np.lexsort((self.least[rows], dist))[:k]  # the k nearest ids are of the k first codes by distance and least id
+                rows, dist = rows[order], dist[order]
+                full = int(np.searchsorted(np.cumsum(self.number[rows]), k))
+                far = min(far, int(dist[full])) if full < len(dist) else far
+            if only_first:
+                break
+        return rows, dist
 
-def _segment(code: Column, m: int, j: int) -> Column:
-    length = BITS // m
-    return F.shiftrightunsigned(code, j * length).bitwiseAND(F.lit((1 << length) - 1))
+
+def _slices(ends: np.ndarray):
+    """Stretches of lookups with about CANDIDATES codes each; a lookup is never cut."""
+    a = 0
+    while a < len(ends):
+        b = len(ends) if ends[-1] - (before := ends[a - 1] if a else 0) <= CANDIDATES else max(a + 1, int(np.searchsorted(ends, before + CANDIDATES, "right")))
+        yield a, b
+        a = b
 
 
 def entries(index: DataFrame, k: int = K) -> DataFrame:
@@ -77,52 +168,71 @@ def entries(index: DataFrame, k: int = K) -> DataFrame:
     return least.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
+def _packed(rows: DataFrame, blocks: int) -> DataFrame:
+    """(block, codes, number, ids): the codes of a block dealt by hash, some thousands a row, with the number of ids of each and the ids."""
+    def run(batches):
+        table = pa.Table.from_batches(list(batches), _ENTRY)
+        order, dealt = np.argsort(at := table["block"].to_numpy(), kind="stable"), np.bincount(at, minlength=blocks)
+        table = table.take(pa.array(order))
+        for block, (start, n) in enumerate(zip(np.cumsum(dealt) - dealt, dealt.tolist())):
+            for a in range(start, start + n, ROWS):
+                some = table.slice(a, min(ROWS, start + n - a)).combine_chunks()
+                ids = some["ids"].combine_chunks()
+                yield batch(("block", "codes", "number", "ids"), pa.array([block], pa.int32()), [some["code"].to_numpy().tobytes()],
+                            [np.array(ids.value_lengths()).astype(np.uint16).tobytes()], [ids.flatten().to_numpy().astype(np.int64).tobytes()])
+
+    return rows.select(F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"), "code", "ids").mapInArrow(run, "block int, codes binary, number binary, ids binary")
+
+
+def _search(k: int, only_first: bool):
+    """Of a block and a chunk of queries, with only_first (query, dists): the k least distances that the first step meets; else (query, neighbor_id, dist) of the k nearest ids within the bounds."""
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        codes, number, ids = (np.frombuffer(b"".join(block[c].to_pylist()), kind) for c, kind in (("codes", np.uint64), ("number", np.uint16), ("ids", np.int64)))
+        queries, bounds = asked["query"].to_numpy(), asked["bound"].to_numpy()
+        starts = np.cumsum(number, dtype=np.int64) - number
+        index = SegmentIndex(codes, number, ids[starts], segments(len(codes)))
+        found = [index.search(q, k, int(bound), only_first) for q, bound in zip(queries.astype(np.uint64), bounds)]
+        sizes = [len(rows) for rows, _ in found]
+        rows, dist = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.uint8)]).astype(np.int64) for i in (0, 1))
+        of = np.repeat(np.arange(len(found)), sizes)
+        total = np.cumsum(many := number[rows].astype(np.int64))
+        at = np.arange(total[-1] if len(total) else 0) + np.repeat(starts[rows] - (total - many), many)
+        of, dist = np.repeat(of, many), np.repeat(dist, many)
+        order = np.lexsort((ids[at], dist, of))
+        of, dist, near = of[order], dist[order], ids[at][order]
+        first = np.searchsorted(of, of)
+        kept = np.arange(len(of)) - first < k
+        if only_first:
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of[kept], minlength=len(found)))])
+            return pa.table({"query": queries, "dists": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(dist[kept], pa.int32()))})
+        return pa.table({"query": queries[of[kept]], "neighbor_id": near[kept], "dist": pa.array(dist[kept], pa.int32())})
+
+    return run
+
+
 def top_k(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, neighbor_id, distance, rank) for every row of ``queries`` against all rows of ``index`` (both: id, code)."""
     known, n = sized(entries(index, k))
-    m = segments(n)
-    length = BITS // m
-    table = known.withColumn("seg", F.explode(F.array(*[F.lit(j) for j in range(m)]))) \
-        .select("code", "seg", F.element_at(F.array(*[_segment(F.col("code"), m, j) for j in range(m)]), F.col("seg") + 1).alias("value"))
-    table, rows = sized(table)
-    active = queries.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(BITS))
-    active, left = sized(active)
-    best, finished = None, []
-    order = Window.partitionBy("query").orderBy("dist", F.col("ids")[0])
-    for which, radii, covered in steps(m):
-        if not left:
-            break
-        if which:
-            # (segment, flipped bits) as one number each, written as one literal
-            flips = ",".join(str((j << 32) | mask) for j in which for r in radii for mask in _masks(length, r))
-            own = F.element_at(F.array(*[_segment(F.col("query"), m, j) for j in range(m)]), F.col("seg") + 1)
-            asked = active.withColumn("flip", F.explode(F.split(F.lit(flips), ",").cast("array<bigint>"))) \
-                .withColumn("seg", F.shiftright("flip", 32).cast("int")).withColumn("value", own.bitwiseXOR(F.col("flip").bitwiseAND(F.lit((1 << 32) - 1)))) \
-                .select("query", "bound", "seg", "value")
-            near = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-            found = asked.join(broadcast_if(table, rows), (asked["seg"] == table["seg"]) & (asked["value"] == table["value"]) & (near <= F.col("bound"))) \
-                .select("query", "code", near.cast("int").alias("dist")).distinct().join(broadcast_if(known, n), "code").select("query", "code", "dist", "ids")
-            if best is not None:
-                found = found.unionByName(best.select("query", "code", "dist", "ids")).dropDuplicates(["query", "code"])
-        else:
-            found = best.select("query", "code", "dist", "ids")
-        # the k nearest ids are of the k first codes by distance and least id
-        ranked = found.withColumns({"before": F.sum(F.size("ids")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.size("ids"),
-                                    "place": F.row_number().over(order)}).filter(F.col("place") <= k)
-        far = F.min(F.when(F.col("before") + F.size("ids") >= k, F.col("dist"))).over(Window.partitionBy("query"))
-        state = store(ranked.withColumn("far", far).withColumn("done", F.coalesce(F.col("far") <= covered, F.lit(False)) | F.lit(covered >= BITS)))
-        finished.append(state.filter("done").select("query", "dist", "ids"))
-        best = state.filter(~F.col("done"))
-        reached = state.groupBy("query").agg(F.first("done").alias("done"), F.first("far").alias("far"))
-        active, left = sized(active.select("query").join(reached, "query", "left").filter("done is null or not done")
-                             .select("query", F.coalesce("far", F.lit(BITS)).alias("bound")))
-    lists = finished[0] if finished else known.select(F.col("code").alias("query"), F.lit(0).alias("dist"), "ids").limit(0)
-    for more in finished[1:]:
-        lists = lists.unionByName(more)
-    lists = lists.select("query", "dist", F.explode("ids").alias("neighbor_id"))
-    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("dist", "neighbor_id"))).filter(F.col("rank") <= k)
-    asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query"))
-    return asked.join(lists, "query").select("query_id", "neighbor_id", F.col("dist").alias("distance"), "rank")
+    blocks = -(-n // BLOCK) or 1
+    packed = _packed(known, blocks)
+    wanted, asked = sized(queries.select(F.col("code").alias("query")).distinct())
+    chunks = min(CHUNKS, -(-asked // CHUNK)) or 1
+
+    def met(bounded: DataFrame, only_first: bool, schema: str) -> DataFrame:
+        """Every block meets every chunk of the queries in a task."""
+        left = packed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        right = bounded.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(_search(k, only_first), schema)
+
+    bounded = wanted.withColumn("bound", F.lit(BITS))
+    if blocks > 1:
+        # what the smallest radii meet in all blocks bounds the k-th distance, so that no block goes as far as its own k-th
+        first = met(bounded, True, "query long, dists array<int>").groupBy("query").agg(F.array_sort(F.flatten(F.collect_list("dists"))).alias("dists"))
+        bounded = store(first.select("query", F.when(F.size("dists") >= k, F.try_element_at("dists", F.lit(k))).otherwise(F.lit(BITS)).alias("bound")))
+    near = met(bounded, False, "query long, neighbor_id long, dist int")
+    lists = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("dist", "neighbor_id"))).filter(F.col("rank") <= k)
+    asked_by = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query"))
+    return asked_by.join(lists, "query").select("query_id", "neighbor_id", F.col("dist").alias("distance"), "rank")
 
 
 def coded(vectors: DataFrame) -> DataFrame:

@@ -653,6 +653,58 @@ def test_top_k(spark, n, dims):
         assert all(codes[i] == sum(1 << b for b in range(64) if x[i, b] > 0) for i in range(n))
 
 
+def nearest(codes, ids, query, k):
+    apart = np.bitwise_count(codes ^ query).astype(int)
+    order = np.lexsort((ids, apart))[:k]
+    return apart[order].tolist(), ids[order].tolist()
+
+
+@pytest.mark.parametrize("n, k", [(3, 10), (700, 10), (5000, 3), (40_000, 10)])
+def test_grown_radii_miss_nothing(n, k):
+    """One block against all distances: random, near and repeated codes, with and without a bound."""
+    rng = np.random.default_rng(n)
+    codes = np.unique(np.concatenate([rng.integers(0, 2 ** 64, n, np.uint64), *(np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 64, n // 9, np.uint64)) for _ in range(2))]))
+    rng.shuffle(codes)
+    number = rng.integers(1, 4, len(codes)).astype(np.uint16)
+    ids = rng.permutation(int(number.sum()))
+    starts = np.cumsum(number, dtype=int) - number
+    ids = np.concatenate([np.sort(ids[a:a + c]) for a, c in zip(starts, number)])
+    index = hamming.SegmentIndex(codes, number, ids[starts], hamming.segments(n))
+    each = np.repeat(codes, number)
+    for query in [*codes[:40], np.uint64(77), np.uint64(0), np.uint64(2 ** 64 - 1), *rng.integers(0, 2 ** 64, 20, np.uint64)]:
+        apart, near = nearest(each, ids, query, k)
+        for bound in (64, apart[-1], min(63, apart[-1] + 2)):
+            rows, dist = index.search(query, k, bound)
+            got = sorted((int(d), int(i)) for r, d in zip(rows, dist) for i in ids[starts[r]:starts[r] + number[r]])[:k]
+            assert got == list(zip(apart, near))
+        rows, dist = index.search(query, k, only_first=True)
+        assert all(np.bitwise_count(codes[rows] ^ query) == dist) and len(set(rows.tolist())) == len(rows)
+
+
+def test_top_k_of_blocks(spark, monkeypatch):
+    """Blocks and chunks of the index and the queries give what one block gives."""
+    rng = np.random.default_rng(9)
+    codes = np.concatenate([rng.integers(-2 ** 63, 2 ** 63, 400), np.full(30, 5), 5 ^ (1 << rng.integers(0, 60, 90))])
+    rows = spark.createDataFrame([(int(i), int(c)) for i, c in enumerate(codes)], "id long, code long")
+    want = {(q, i, d, r) for q in range(0, len(codes), 20)
+            for r, (d, i) in enumerate(zip(*nearest(codes.astype(np.uint64), np.arange(len(codes)), codes.astype(np.uint64)[q], 10)), 1)}
+    monkeypatch.setattr(hamming, "BLOCK", 60)
+    monkeypatch.setattr(hamming, "CHUNK", 5)
+    assert {tuple(r) for r in hamming.top_k(rows, rows.filter("id % 20 = 0")).collect()} == want
+
+
+def test_top_k_runs_as_few_jobs_for_far_codes(spark):
+    """The radii grow in the tasks: the driver starts no job and plans no masks for a radius."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(rng.integers(-2 ** 63, 2 ** 63, 300))], "id long, code long")
+    spark.sparkContext.setJobGroup("far", "far")
+    try:
+        assert hamming.top_k(rows, rows.filter("id % 20 = 0")).count() == 150
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("far")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_top_k_of_nothing(spark):
     assert hamming.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
