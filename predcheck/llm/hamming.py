@@ -6,7 +6,7 @@ radius, and one segment's radius grows by one at a time. Once the radii r_1..r_m
 sum(r_i + 1) - 1 >= the k-th distance found, nothing closer can be missing and the query is finished; the others go on.
 The number of segments follows the size of the index (a segment of about log2(n) bits, so a value has about one code).
 
-The index is dealt into blocks of about a million codes, and the queries into chunks. A task holds one block in numpy
+The index is dealt into blocks of up to about two million codes, and the queries into chunks. A task holds one block in numpy
 arrays and grows the radii of each query of one chunk on its own, so the driver sees counts only and the number of jobs
 does not depend on the distances. With several blocks, the codes that the smallest radii meet in all of them first give
 a bound on each query's k-th distance.
@@ -29,8 +29,8 @@ from .tables import batch, sized, store
 
 K, BITS = 10, 64
 _SHARES = 16
-#: Codes of one block of the index (about 50 bytes each in a task), and of one packed row.
-BLOCK, ROWS = 1 << 20, 1 << 14
+#: Codes of one block of the index (about 100 bytes each in a task), and of one packed row.
+BLOCK, ROWS = 1 << 21, 1 << 14
 #: Queries of a chunk at least, and chunks at most: a block goes to the task of each chunk.
 CHUNK, CHUNKS = 4096, 16
 #: Codes compared at once.
@@ -107,8 +107,11 @@ class SegmentIndex:
         found, ends = [], np.cumsum(size, dtype=np.int32)
         for a, b in _slices(ends):
             before = ends[a - 1] if a else np.int32(0)
-            at = np.arange(ends[b - 1] - before, dtype=np.int32) + np.repeat(start[a:b] - (ends[a:b] - size[a:b] - before), size[a:b])
-            apart = np.bitwise_count(self.codes[at] ^ query)
+            at = np.repeat((start[a:b] - (ends[a:b] - size[a:b] - before)).astype(np.int64), size[a:b])
+            at += np.arange(len(at))
+            apart = self.codes[at]
+            apart ^= query
+            apart = np.bitwise_count(apart)
             near = np.flatnonzero(apart <= far)
             found.append((self.rows[at[near]], apart[near]))
         return found
@@ -170,8 +173,16 @@ def entries(index: DataFrame, k: int = K) -> DataFrame:
 
 def _packed(rows: DataFrame, blocks: int) -> DataFrame:
     """(block, codes, number, ids): the codes of a block dealt by hash, some thousands a row, with the number of ids of each and the ids."""
-    def run(batches):
-        table = pa.Table.from_batches(list(batches), _ENTRY)
+    def tables(batches):
+        held, n = [], 0
+        for some in batches:
+            held, n = [*held, some], n + some.num_rows
+            if n >= BLOCK:
+                yield pa.Table.from_batches(held, _ENTRY)
+                held, n = [], 0
+        yield pa.Table.from_batches(held, _ENTRY)
+
+    def pieces(table):
         order, dealt = np.argsort(at := table["block"].to_numpy(), kind="stable"), np.bincount(at, minlength=blocks)
         table = table.take(pa.array(order))
         for block, (start, n) in enumerate(zip(np.cumsum(dealt) - dealt, dealt.tolist())):
@@ -181,6 +192,10 @@ def _packed(rows: DataFrame, blocks: int) -> DataFrame:
                 yield batch(("block", "codes", "number", "ids"), pa.array([block], pa.int32()), [some["code"].to_numpy().tobytes()],
                             [np.array(ids.value_lengths()).astype(np.uint16).tobytes()], [ids.flatten().to_numpy().astype(np.int64).tobytes()])
 
+    def run(batches):
+        for table in tables(batches):
+            yield from pieces(table)
+
     return rows.select(F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"), "code", "ids").mapInArrow(run, "block int, codes binary, number binary, ids binary")
 
 
